@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with a memory-mapped transducer of the corpus's frequent words.
 
-The corpus is counted once; its most frequent pre-tokens (``LEXICON`` of them, a parameter that bounds
-the driver's share) are compiled into a minimal acyclic automaton with shared suffixes. Arcs carry the
-number of words that sort before them, so a walk over a word's bytes yields its rank, and the rank its
+The corpus is counted once; pre-tokens that occur at least once in every ``1 / LEXICON`` of its characters
+are compiled into a minimal acyclic automaton with shared suffixes. As every occurrence takes up its
+characters, these words have at most ``LEXICON`` characters together, whatever the corpus: that bounds the
+driver's share without a sort. Arcs carry the number of words that sort before them, so a walk over a word's bytes yields its rank, and the rank its
 ids. The automaton is one flat file that Spark ships to every executor, where the Python workers map it
 into memory. A word that isn't in the lexicon is merged exactly, pair by pair in rank order.
 """
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LEXICON = 65536
+LEXICON = 1 << 20
 #: Words that a Python worker remembers between lookups; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Distinct words that a counting task holds before it passes them on.
-COUNTED = 300_000
+COUNTED = 100_000
 
 #: The published split pattern of byte-level BPE (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,6 +40,9 @@ _WHITE = r"[\t-\r \x85\xa0  -     　]"
 _SPLIT = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"(?:(?!{_WHITE})[^\p{{L}}\p{{N}}])").replace(r"(?!\S)", rf"(?={_WHITE}|\Z)").replace(r"\s", _WHITE))
 
 
+_NONE = 1 << 62
+
+
 def byte_letters() -> dict[int, str]:
     """Byte-level BPE writes bytes as letters: printable bytes as themselves, the others from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -68,44 +72,51 @@ class Vocabulary:
             self.bytes_of[i] = token.encode()
         id_of = {b: i for i, b in enumerate(self.bytes_of)}
         self.byte_ids = [id_of[bytes([b])] for b in range(256)]
+        # A pair of ids is one integer, and so are the rank and the id of what it becomes.
         self.merges = {}
         for rank, pair in enumerate(data["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.merges[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of one pre-token: always the pair of lowest rank, leftmost first."""
         ids = [self.byte_ids[b] for b in word]
-        merges = self.merges
         if len(ids) > 64:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best = min(((merges[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in merges), default=None)
-            if best is None:
+        get = self.merges.get
+        ranks = [get(a << 32 | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == _NONE:
                 break
-            i = best[1]
-            ids[i : i + 2] = [merges[ids[i], ids[i + 1]][1]]
+            i = ranks.index(best)
+            ids[i : i + 2] = [best & 0xFFFFFFFF]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 32 | ids[i + 1], _NONE)
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], _NONE)
         return tuple(ids)
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same with a heap and links, for words of any length."""
-        n, merges = len(ids), self.merges
+        n, get = len(ids), self.merges.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(merges[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
+        heap = [(rank, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (rank := get(a << 32 | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
-            if ids[i] != pair[0] or j >= n or ids[j] != pair[1]:
+            if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = merges[pair][1], -1
+            ids[i], ids[j] = rank & 0xFFFFFFFF, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for left in (before[i], i):
-                if left >= 0 and after[left] < n and (p := (ids[left], ids[after[left]])) in merges:
-                    heapq.heappush(heap, (merges[p][0], left, p))
+                if left >= 0 and after[left] < n and (new := get(ids[left] << 32 | ids[after[left]])) is not None:
+                    heapq.heappush(heap, (new, left, ids[left], ids[after[left]]))
         return tuple(i for i in ids if i >= 0)
 
 
@@ -202,12 +213,13 @@ def _count_words(vocabulary_path):
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    counts.update(pieces(text, vocabulary))
-                    if len(counts) > COUNTED:
-                        yield out()
-                        counts.clear()
+            for k in range(0, batch.num_rows, 256):
+                for text in batch.slice(k, 256).column(0).to_pylist():
+                    if text:
+                        counts.update(pieces(text, vocabulary))
+                        if len(counts) > COUNTED:
+                            yield out()
+                            counts.clear()
         yield out()
 
     return run
@@ -224,11 +236,14 @@ def _vocabulary(path: str) -> Vocabulary:
 
 
 def build_lexicon(docs: DataFrame, vocabulary_path: str, size: int = LEXICON) -> str:
-    """Count all words of ``docs.text``, compile the ``size`` most frequent ones and ship the file; its name."""
+    """Count all words of ``docs.text``, compile those with at least one occurrence in ``1 / size`` of all characters, ship the file; its name."""
     spark = docs.sparkSession
     vocabulary = _vocabulary(vocabulary_path)
-    counts = docs.select("text").mapInArrow(_count_words(vocabulary_path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    frequent: list[str] = []
+    if size:
+        least = max(2, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // size))
+        counts = docs.select("text").mapInArrow(_count_words(vocabulary_path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        frequent = [r["word"] for r in counts.filter(F.col("n") >= least).select("word").collect()]
     entries = {w.encode(): (vocabulary.special[w],) if w in vocabulary.special else vocabulary.merge(w.encode()) for w in frequent}
     name = f"lexicon-{uuid.uuid4().hex}"
     path = os.path.join(tempfile.mkdtemp(prefix="strandline-"), name)
