@@ -1,14 +1,16 @@
-"""Shipping this package to executors whose Python path doesn't have it."""
+"""What a Spark session needs: this package on the executors and a folder that all of them share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_FALLBACK: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -26,3 +28,18 @@ def ship(spark: SparkSession) -> SparkSession:
                         z.write(full, os.path.relpath(full, os.path.dirname(here)))
         sc.addPyFile(path)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset (tests), a local folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    return _FALLBACK.setdefault("dir", tempfile.mkdtemp(prefix="strandline-"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/strandline/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
