@@ -1,0 +1,141 @@
+import json
+import re
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from strandline.llm import pii, quality, queries, tool_calls
+from tests.llm import brute
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain_rows(names, rows):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted((tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    df = queries.QUERIES[name](spark, SF)
+    r = con.execute(queries.ORACLE[name])
+    assert plain_rows(df.columns, df.collect()) == plain_rows([x[0] for x in r.description], r.fetchall())
+
+
+def base_rules(text):
+    w = brute.WORD.findall(text or "")
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if brute.WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    covered = {i + k for i, g in enumerate(windows) if windows.count(g) > 1 for k in range(5)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for x in w for c in x), dup, len(covered)
+
+
+def test_quality_base_counts(spark):
+    texts = [None, "", " \n\t", "a b c d", "one two three four five " * 3, "x\ny\nx\n\n \nx", "# é$ <日本> |\x1cq", "a\x85b c d e f g", "l m n o p q l m n o p z\r\nl m\r\nl m\r"]
+    docs = spark.createDataFrame([(i, t, "en", 1, "q") for i, t in enumerate(texts)] + [(0, None, "xx", 1, "q")], "doc_id long, text string, lang string, words int, picked string")
+    got = quality.quality(docs).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        n, chars, symbols, dup, repeated = base_rules(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, repeated), r
+        assert r["base_failed"] == (n < 10 or 100 * repeated > 20 * n) and not (r["base_failed"] and r["kept"])
+    assert quality.quality(docs.limit(0)).count() == 0
+
+
+def test_quality_rejects_other_distributions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    verdicts = quality.quality(docs, ["doc_id", "lang"]).collect()
+    assert sum(r["kept"] for r in verdicts) > 0.7 * len(verdicts)
+    odd = spark.createDataFrame([(1, " ".join(f"{i}#{i * 7}" for i in range(300)), "en"), (2, " ".join(f"qzx{chr(97 + i % 26)}w" + "k" * (i % 7) for i in range(300)), "de")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["kept"] for r in quality.quality(odd).collect()} == {1: False, 2: False}
+
+
+def test_surrogates_keep_form_and_coreference(spark):
+    text = "Mr. John Smith (john.smith@mail.example.com, +1 555-0199-2345, 10.1.2.3) met Anna Keller; card 4111 1111 1111 1111. Mr. John Smith paid."
+    docs = spark.createDataFrame([(1, text, 5), (2, "Again John Smith from 10.1.2.3", 6), (3, None, 7), (4, "", 8), (5, "nothing here", 9), (1, text, 5)], "doc_id long, text string, n_entities int")
+    rows = pii.pseudonymised(docs).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == 6 and got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == "nothing here"
+    new = got[1]["text"]
+    for secret in ("John", "Smith", "john.smith", "10.1.2.3", "4111 1111", "Anna", "Keller"):
+        assert secret not in new
+    m = re.match(r"Mr\. (\w+ \w+) \(([\w.]+)@", new)
+    assert new.count(m[1]) == 2 and got[2]["text"].startswith(f"Again {m[1]} from ")
+    assert m[1].split()[0] in pii.GIVEN["latin", "m"] and re.search(r"met (\w+) ", new)[1] in pii.GIVEN["latin", "f"]
+    card = re.search(r"card ([\d ]+)\.", new)[1].replace(" ", "")
+    assert card[0] == "4" and str(pii._luhn(card[:-1])) == card[-1]
+    ip = re.search(r"(\d+(?:\.\d+){3})\)", new)[1]
+    assert ip in got[2]["text"] and len(new) - len(text) == len(ip) - len("10.1.2.3") + len(" ".join([m[1]] * 2)) - len("John Smith John Smith") + len(re.search(r"met (\w+ \w+);", new)[1]) - len("Anna Keller")
+    assert pii.pseudonymised(docs.limit(0)).count() == 0
+
+
+def test_surrogates_are_distinct():
+    key = pii.derived("k", 0)
+    for kind, values in {"ip": [f"10.0.{i // 250}.{i % 250}" for i in range(2000)], "ssn": [f"123-45-{i:04d}" for i in range(2000)], "phone": [f"(555) 123-{i:04d}" for i in range(2000)], "person": [f"{a} {b}" for a in pii.GIVEN["latin", "f"] for b in ("Keller", "Miller", "Moreno")]}.items():
+        new = [pii.surrogate(kind, v, key) for v in values]
+        assert len(set(new)) == len(values) and all(a != b for a, b in zip(values, new))
+        assert [re.sub(r"\d+" if kind == "ip" else r"\d", "0", v) for v in new] == [re.sub(r"\d+" if kind == "ip" else r"\d", "0", v) for v in values] or kind == "person"
+
+
+def test_collisions_are_found(spark):
+    found = spark.createDataFrame([("ip", "1.2.3.4"), ("ip", "1.2.3.5")], "kind string, value string")
+    assert pii.collisions(found, pii.derived("k", 0)).count() == 0
+
+
+def test_tool_calls_are_linked_ordered_and_validated(spark):
+    def call(i, name, arguments):
+        return {"id": i, "name": name, "arguments": arguments}
+
+    schemas = {"find": {"properties": {"q": {"type": "string"}, "n": {"type": "integer"}}, "required": ["q"], "additionalProperties": False}}
+    rows = [
+        (1, 0, "user", "hi {"),
+        (1, 1, "assistant", json.dumps({"tool_calls": [call("b", "find", {"q": "$a", "n": 2}), call("a", "find", '{"q": "x"}'), call("c", "find", {"n": "2", "z": 1})], "content": None})),
+        (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": {"z": 1, "a": 2}})),
+        (1, 3, "tool", json.dumps({"tool_call_id": "nobody", "content": "?"})),
+        (2, 0, "assistant", json.dumps({"tool_calls": [call("p", "find", {"q": "$r"}), call("r", "find", {"q": "$p"}), call("s", "other", {})]})),
+        (None, 0, "assistant", json.dumps({"tool_calls": [call("a", "find", {"q": "x"})]})),
+        (3, 0, None, None),
+        (3, 1, "assistant", '{"tool_calls": '),
+        (3, 1, "assistant", '{"tool_calls": '),
+    ]
+    messages = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, calls int")
+    got = tool_calls.linked(messages, schemas).collect()
+    assert len(got) == len(rows)
+    by = {(r["conv_id"], r["turn"]): r for r in got}
+    first = by[1, 1]
+    assert (first["n_calls"], first["n_valid"], first["n_linked"]) == (3, 2, 1)
+    calls = {c["id"]: c for c in json.loads(first["json"])["tool_calls"]}
+    assert [calls[k]["level"] for k in "abc"] == [0, 1, 0] and calls["a"]["result"] == '{"a":2,"z":1}' and calls["b"]["result"] is None
+    assert calls["c"]["problems"] == ["missing q", "type of n", "unexpected z"]
+    assert (by[1, 2]["n_linked"], by[1, 3]["n_linked"]) == (1, 0)
+    assert [c["level"] for c in json.loads(by[2, 0]["json"])["tool_calls"]] == [None, None, 0]
+    assert json.loads(by[None, 0]["json"])["tool_calls"][0]["result"] is None
+    assert by[1, 0]["json"] == '{"content":"hi {","role":"user","turn":0}' and by[3, 1]["n_calls"] == 0
+    assert tool_calls.linked(messages.limit(0)).count() == 0
+
+
+def test_pipeline_stages_take_effect(spark):
+    import corpus_pipeline as p
+
+    P = pytest.importorskip("public_tokenizers")
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r for r in documents.collect()}
+    kept = {r["doc_id"] for r in quality.quality(documents).filter("kept").collect()}
+    groups = brute.near_duplicates([(i, rows[i]["text"]) for i in kept])
+    kept = {i for i in kept if groups[i][2]}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    kept -= {d for d, *_ in brute.contaminated([(i, rows[i]["text"]) for i in kept], items)}
+    texts = {r["doc_id"]: r["text"] for r in pii.pseudonymised(documents.filter(F.col("doc_id").isin(list(kept)))).collect()}
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: list(r["ids"]) for r in p.run(spark, SF).collect()}
+    assert got == {i: library.encode(texts[i] or "", add_special_tokens=False).ids for i in kept}
+    assert 0 < len(kept) < len(rows)
