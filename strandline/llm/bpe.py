@@ -77,6 +77,10 @@ class Vocabulary:
         for rank, pair in enumerate(data["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
+        order = sorted(self.merges)
+        self.pair_keys = np.array([*order, 1 << 62], dtype=np.int64)
+        self.pair_values = np.array([*map(self.merges.get, order), _NONE], dtype=np.int64)
+        self.byte_table = np.array(self.byte_ids, dtype=np.int64)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, word: bytes) -> tuple[int, ...]:
@@ -99,6 +103,57 @@ class Vocabulary:
                 ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], _NONE)
         return tuple(ids)
 
+    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """``merge`` of many words at once, a round at a time: every word's own best pair, leftmost first."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        for low, width in ((0, 8), (8, 16), (16, 32)):
+            rows = np.flatnonzero((lengths > low) & (lengths <= width))
+            for k in range(0, len(rows), 8192):
+                self._merge_block([words[i] for i in rows[k : k + 8192]], rows[k : k + 8192], width, out)
+        for i in np.flatnonzero(lengths > 32):
+            out[i] = self.merge(words[i])
+        return out
+
+    def _merge_block(self, words: list[bytes], rows: np.ndarray, width: int, out: list) -> None:
+        n = len(words)
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        size = np.array([len(w) for w in words])
+        ids = self.byte_table[raw]
+        pairs = np.full((n, width), _NONE, dtype=np.int64)  # a pair's rank and what it becomes; the last column stays empty
+        pairs[:, :-1] = self._ranked(ids[:, :-1], ids[:, 1:])
+        pairs[np.arange(width)[None, :] >= (size - 1)[:, None]] = _NONE
+        active, place = np.arange(n), np.arange(width)
+        while len(active):
+            own = pairs[active]
+            at = own.argmin(axis=1)
+            best = own[np.arange(len(active)), at]
+            go = best < _NONE
+            active, at, best, own = active[go], at[go], best[go], own[go]
+            if not len(active):
+                break
+            # What stands behind the merged pair moves one place to the left.
+            take = np.minimum(place[None, :] + (place[None, :] > at[:, None]), width - 1)
+            line = np.arange(len(active))
+            now = np.take_along_axis(ids[active], take, axis=1)
+            own = np.take_along_axis(own, take, axis=1)
+            own[:, -1] = _NONE
+            now[line, at] = best & 0xFFFFFFFF
+            size[active] -= 1
+            right = at + 1 < size[active]
+            own[line[right], at[right]] = self._ranked(now[line[right], at[right]], now[line[right], at[right] + 1])
+            own[line[~right], at[~right]] = _NONE
+            left = at > 0
+            own[line[left], at[left] - 1] = self._ranked(now[line[left], at[left] - 1], now[line[left], at[left]])
+            ids[active], pairs[active] = now, own
+        for i, row, length in zip(rows.tolist(), ids.tolist(), size.tolist()):
+            out[i] = tuple(row[:length])
+
+    def _ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_values[at], _NONE)
+
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same with a heap and links, for words of any length."""
         n, get = len(ids), self.merges.get
@@ -183,6 +238,7 @@ class Transducer:
                 f.write(blob + b"\0" * (-len(blob) % 8))
 
     def __init__(self, path: str):
+        self.arcs = None
         with open(path, "rb") as f:
             whole = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
         head = whole[: 8 * (1 + len(self.FIELDS))].cast("q")
@@ -204,6 +260,30 @@ class Transducer:
             return None
         return tuple(self.ids[self.start[rank] : self.start[rank + 1]])
 
+    def get_all(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
+        """``get`` of many words: all of them walk the arcs together, byte by byte."""
+        first, label = np.frombuffer(self.first, np.int32), np.frombuffer(self.label, np.uint8)
+        target, skip, final = (np.frombuffer(x, kind) for x, kind in ((self.target, np.int32), (self.skip, np.int32), (self.final, np.uint8)))
+        if self.arcs is None:  # arcs stand in order of their state and byte
+            self.arcs = np.repeat(np.arange(len(final), dtype=np.int64), np.diff(first)) << 8 | label
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        start = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(words), np.uint8)
+        state, rank, alive = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64), np.ones(len(words), bool)
+        for k in range(int(size.max(initial=0))):
+            on = np.flatnonzero(alive & (size > k))
+            if not len(on):
+                break
+            key = state[on] << 8 | data[start[on] + k]
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            hit = self.arcs[arc] == key if len(self.arcs) else np.zeros(len(on), bool)
+            alive[on[~hit]] = False
+            on, arc = on[hit], arc[hit]
+            rank[on] += skip[arc]
+            state[on] = target[arc]
+        alive &= final[state] > 0
+        return [tuple(self.ids[self.start[r] : self.start[r + 1]]) if ok else None for r, ok in zip(rank.tolist(), alive.tolist())]
+
 
 def _count_words(vocabulary_path):
     def run(batches):
@@ -262,23 +342,27 @@ class Encoder:
             _WORDS[lexicon] = (Transducer(SparkFiles.get(lexicon)), {})
         self.transducer, self.known = _WORDS[lexicon]
 
-    def look_up(self, word: str) -> tuple[int, ...]:
-        raw = word.encode()
-        ids = self.transducer.get(raw)
-        if ids is None:
-            special = self.vocabulary.special.get(word)
-            ids = self.vocabulary.merge(raw) if special is None else (special,)
-        if len(self.known) >= REMEMBERED:
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of new words: from the lexicon, else merged exactly."""
+        raw = [w.encode() for w in words]
+        found = self.transducer.get_all(raw)
+        unseen = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(unseen, self.vocabulary.merge_all([raw[i] for i in unseen])):
+            special = self.vocabulary.special.get(words[i])
+            found[i] = ids if special is None else (special,)
+        self.known.update(zip(words, found))
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        rows = [pieces(t, self.vocabulary) if t else [] for t in texts]
+        every = set(chain.from_iterable(rows))
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-        self.known[word] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        words, get = pieces(text, self.vocabulary), self.known.get
-        parts = list(map(get, words))
-        if None in parts:
-            parts = [ids if ids is not None else get(w) or self.look_up(w) for w, ids in zip(words, parts)]
-        return list(chain.from_iterable(parts))
+            new = every
+        if new:
+            self.learn(list(new))
+        get = self.known.__getitem__
+        return [list(chain.from_iterable(map(get, r))) for r in rows]
 
 
 def _list_array(rows: list[list[int]]) -> pa.Array:
@@ -294,7 +378,7 @@ def _encode(vocabulary_path, lexicon, at):
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids = _list_array([encoder.encode(t) if t else [] for t in part.column(at).to_pylist()])
+                ids = _list_array(encoder.encode(part.column(at).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
 
     return run
