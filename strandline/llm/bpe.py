@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LEXICON = 1 << 20
+LEXICON = 1 << 21
 #: Words that a Python worker remembers between lookups; the memory is emptied when full.
 REMEMBERED = 100_000
 #: Distinct words that a counting task holds before it passes them on.
@@ -80,6 +80,9 @@ class Vocabulary:
         order = sorted(self.merges)
         self.pair_keys = np.array([*order, 1 << 62], dtype=np.int64)
         self.pair_values = np.array([*map(self.merges.get, order), _NONE], dtype=np.int64)
+        self.piece_size = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
+        self.piece_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.byte_table = np.array(self.byte_ids, dtype=np.int64)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -384,14 +387,26 @@ def _encode(vocabulary_path, lexicon, at):
     return run
 
 
+def decoded(ids: np.ndarray, edges: np.ndarray, vocabulary: Vocabulary) -> list[str]:
+    """Texts of rows of ids, given flat with the rows' edges: one gather of all their bytes."""
+    size = vocabulary.piece_size[ids]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(ends[-1]) + np.repeat(vocabulary.piece_start[ids] - ends[:-1], size)
+    raw, cuts = vocabulary.piece_bytes[place].tobytes(), ends[edges].tolist()
+    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+
+
 def _decode(vocabulary_path, at):
     def run(batches):
-        piece = _vocabulary(vocabulary_path).bytes_of
+        vocabulary = _vocabulary(vocabulary_path)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                texts = [b"".join(map(piece.__getitem__, ids)).decode("utf-8", "replace") if ids is not None else None for ids in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+                column = part.column(at)
+                edges = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                texts = decoded(column.flatten().to_numpy(zero_copy_only=False), edges, vocabulary)
+                known = column.is_valid().to_pylist()
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t if ok else None for t, ok in zip(texts, known)], pa.string())], names=[*part.schema.names, "decoded"])
 
     return run
 
