@@ -122,6 +122,7 @@ def split(series: DataFrame, cuts: DataFrame, least: int) -> DataFrame:
 
     ``series`` has ``seq`` (an array: its place in the order of series), ``track_id``, ``parent_id`` and ``idx``.
     """
+    cuts = written(cuts, "cuts")  # a few rows, read three times
     order = ["root", "seq"]
     parts = pieces(series, cuts, least, TRACK).withColumn("root", F.col("seq")[0])
     base = series.agg(F.coalesce(F.max("track_id"), F.lit(0)).alias("base"))
