@@ -8,11 +8,14 @@ Candidates
     Bands of ``ROWS`` registers are hashed to keys. Texts with equal shingle sets are folded to one
     representative before that, so a group of copies costs one row. In a band bucket every member is
     paired with the bucket's smallest member; what is still in another component afterwards is paired
-    with a second centre, and only members still in different components are paired with each other.
-    No pair of different texts in a bucket is left out unless both are known to be connected.
+    with a second centre. Members still in different components are then compared in blocks of bounded
+    size, which return only the links found. No pair of different texts in a bucket is left out unless
+    both are known to be connected.
 Verification
-    A pair needs a collision-corrected Jaccard estimate of at least ``SCREEN`` (far below the
-    threshold) and is then confirmed on the full shingle sets: ``100 * both >= 75 * either``.
+    A pair with a centre needs a collision-corrected Jaccard estimate of at least ``SCREEN`` (far below
+    the threshold) and is then confirmed on the full shingle sets: ``100 * both >= 75 * either``. Blocks
+    hold the full sets and are counted exactly; shingles that no other text of a block has bound what a
+    text can share, which spares most texts the count.
 
 With 72 bands of 6 registers a pair at exactly 0.75 is missed with probability below 1e-6.
 """
@@ -35,6 +38,7 @@ REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
 SCREEN = 0.5
 PERCENT = 75
+BLOCK_SHINGLES, BLOCK_ROWS = 1 << 17, 512
 
 _STEP = (np.random.default_rng(7).permutation(REGISTERS - 1) + 1).tolist() + [1]
 _STEP = np.array([s if np.gcd(s, REGISTERS) == 1 else next(t % REGISTERS for t in range(s + 1, 3 * REGISTERS) if np.gcd(t, REGISTERS) == 1) for s in _STEP])
@@ -140,12 +144,38 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([pa.array([a_id[i] for i in keep], pa.int64()), pa.array([b_id[i] for i in keep], pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _links_in_block(block: pa.Table) -> pa.Table:
+    """Links between rows with different labels: of one part, or between two parts, of a bucket."""
+    ids, labels, parts = (block.column(k).to_numpy() for k in ("id", "label", "part"))
+    sets = [np.frombuffer(x, np.uint64) for x in block.column("shingles").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    _, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.add.reduceat(counts[codes] > 1, edges[:-1], dtype=np.int64)
+    one_part, place = parts.min() == parts.max(), np.arange(len(ids))
+    marked = np.zeros(len(counts), dtype=bool)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero((parts == parts.min()) & (100 * shared >= PERCENT * sizes)):
+        least = np.minimum(shared, shared[i])
+        able = (labels != labels[i]) & (100 * least >= PERCENT * (sizes + sizes[i] - least)) & ((place > i) if one_part else (parts != parts[i]))
+        if able.any():
+            own = codes[edges[i] : edges[i + 1]]
+            marked[own] = True
+            both = np.add.reduceat(marked[codes], edges[:-1], dtype=np.int64)
+            marked[own] = False
+            hit = ids[able & (100 * both >= PERCENT * (sizes + sizes[i] - both))]
+            a.append(np.full(len(hit), ids[i]))
+            b.append(hit)
+    return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document.
 
     Null texts and texts without words have an empty set, are linked with nothing and are kept. Rows
     with the same id and equal text count as one document; ids must be non-null 64-bit integers (rows
     with a null id are ignored). Other columns of ``docs`` are not read. An empty table gives no rows.
+    ``block_shingles`` bounds a part of a bucket that is compared as a whole; it doesn't change results.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     sketch = store(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, regs binary"), "sketch")
@@ -191,13 +221,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = confirmed(pairs.select(F.col("s.id").alias("a"), F.col("id").alias("b")).distinct())
     edges = store(edges.union(more), "edges")
 
-    # What is in one bucket but still in different components, apart from the pairs with a centre.
+    # What is in one bucket but still in different components, in parts of bounded size: each row goes to
+    # the comparison of its part with every part of the bucket.
     now = store(labelled(edges), "labelled")
-    mixed = now.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("key")
-    now = now.join(mixed, "key").filter("id <> c")
-    x, y = (now.select("key", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("label").alias(f"l{k}")) for k in "ab")
-    pairs = x.join(y, "key").filter(F.expr("a < b and la <> lb") & sized("na", "nb")).select("a", "b").distinct()
-    edges = store(edges.union(confirmed(pairs)), "edges")
+    parted = F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count("n") / BLOCK_ROWS)).alias("n_parts")
+    mixed = now.filter("id <> c").groupBy("key").agg(parted, (F.min("label") != F.max("label")).alias("mixed")).filter("mixed")
+    rest = now.filter("id <> c").join(mixed, "key").select("key", "id", "label", "n_parts", F.expr("pmod(xxhash64(id), n_parts)").alias("part"))
+    rest = rest.select("key", "id", "label", "part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("other"))
+    blocks = rest.join(sets.select("id", "shingles"), "id").groupBy("key", F.least("part", "other"), F.greatest("part", "other"))
+    edges = store(edges.union(blocks.applyInArrow(_links_in_block, "a long, b long").distinct()), "edges")
 
     label = components(edges)
     out = member.join(label.withColumnRenamed("id", "rep"), "rep", "left")

@@ -38,8 +38,24 @@ def test_near_duplicates_chain_and_group(spark):
     chain = [f"c{i}" for i in range(300)]
     rows += [(k, " ".join(chain[8 * k : 8 * k + 100])) for k in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r[0]: tuple(r[1:]) for r in near_dup.near_duplicates(docs).collect()}
-    assert got == brute.near_duplicates(rows)
+    want = brute.near_duplicates(rows)
+    for most in (near_dup.BLOCK_SHINGLES, 600):
+        got = {r[0]: tuple(r[1:]) for r in near_dup.near_duplicates(docs, block_shingles=most).collect()}
+        assert got == want
+
+
+def test_blocks_find_all_links():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.concatenate([np.arange(40 - k % 9), rng.integers(100, 200, k % 9)])).astype(np.uint64) for k in range(60)]
+    block = {"id": np.arange(60), "label": np.arange(60) // 2, "shingles": [x.tobytes() for x in sets]}
+    for parts in (np.zeros(60, int), np.arange(60) % 2):
+        got = near_dup._links_in_block(pa.table(block | {"part": parts}))
+        want = {
+            (i, j) for i in range(60) for j in range(60)
+            if i // 2 != j // 2 and ((parts[i] < parts[j]) if parts.any() else i < j)
+            and 100 * len(both := np.intersect1d(sets[i], sets[j])) >= 75 * (len(sets[i]) + len(sets[j]) - len(both))
+        }
+        assert want and set(zip(got["a"].to_pylist(), got["b"].to_pylist())) == want
 
 
 def test_estimate_is_close_to_jaccard():
