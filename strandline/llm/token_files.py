@@ -33,6 +33,7 @@ ROUNDS = 4
 MOST_RULES = 2048
 LEAST_COUNT = 6
 REMEMBERED = 400_000
+JOINED = 256
 END_ID = 1
 
 
@@ -155,7 +156,8 @@ class ChunkEncoder:
     """Ids of texts by the tokenizers library, which sees each distinct run of non-space characters once.
 
     The tokenizer file maps white space to a separator that no token crosses, so a text's ids are those of
-    its runs in order.
+    its runs in order. New runs go to the library ``JOINED`` at a time, parted by spaces; the offsets of the
+    tokens tell the runs apart. Known runs are held as the bytes of their ids.
     """
 
     def __init__(self, path: str):
@@ -177,10 +179,18 @@ class ChunkEncoder:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list(set(chain.from_iterable(rows)))
-        for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[word] = e.ids
-        get = self.known.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, r)), (END_ID,)), dtype=np.uint32) for r in rows]
+        for k in range(0, len(new), JOINED):
+            self._learn(new[k : k + JOINED])
+        get, end = self.known.__getitem__, np.uint32(END_ID).tobytes()
+        return [np.frombuffer(b"".join(map(get, r)) + end, dtype=np.uint32) for r in rows]
+
+    def _learn(self, words: list[str]) -> None:
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(w) + 1 for w in words])
+        cuts = 4 * np.searchsorted(np.array([a for a, _ in found.offsets], dtype=np.int64), starts)
+        ids = np.array(found.ids, dtype=np.uint32).tobytes()
+        for word, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist()):
+            self.known[word] = ids[a:b]
 
 
 def _blocks(path):
