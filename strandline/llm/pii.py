@@ -41,26 +41,26 @@ _SOLID = re.compile(
         [
             r"(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
             r"(?P<key>\bAKIA[0-9A-Z]{12,20}\b)",
-            r"(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?(?P<secret>[^\s\"',;]{6,})",
+            r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?(?P<secret>[^\s\"',;]{6,})",
+            r"(?P<hex>\b(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,128}\b)",
             r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
             rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))",
             r"(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))",
             r"(?P<phone>(?<![\w(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{4}(?!\w)|(?<!\w)\+\d(?:[ .-]?\d){7,14}(?!\w))",
             r"(?P<ssn>(?<!\w)\d{3}-\d{2}-\d{4}(?!\w))",
-            r"(?P<hex>\b(?=[0-9a-f]*\d)[0-9a-f]{32,128}\b)",
         ]
     )
 )
 _TITLED = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\s+(?P<person>{_CAPITAL}(?:[ ]{_CAPITAL}){{0,2}})")
 _NAMED = re.compile(rf"\b(?P<person>(?:{'|'.join(sorted(_LISTED, key=len, reverse=True))})[ ]{_CAPITAL})")
-_TRIGGERS = ("@", "AKIA", "password", "passwd", "pwd", "secret", "token", "api")
+_TRIGGER = re.compile(r"@|AKIA|(?i:password|passwd|pwd|secret|token|api)")
 _DIGIT = re.compile(r"\d")
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of the entities of a text, in order, without overlaps."""
     found = []
-    if _DIGIT.search(text) or any(t in text for t in _TRIGGERS):
+    if _DIGIT.search(text) or _TRIGGER.search(text):
         found += [(*m.span(m.lastgroup), m.lastgroup) for m in _SOLID.finditer(text)]
     if any(t in text for t in TITLES):
         found += [(*m.span("person"), "person") for m in _TITLED.finditer(text)]
@@ -79,6 +79,8 @@ def _both(alphabet: str) -> list[str]:
 
 
 _DIGITS, _HEX = ["0123456789"], ["0123456789abcdef"]
+#: For hex with an upper-case letter: letters stay letters of their case, so no value meets one in lower case.
+_HEX_CASED = [*_DIGITS, *_both("abcdef")]
 _LETTERS = [*_DIGITS, *_both("abcdefghijklmnopqrstuvwxyz"), *_both("абвгдежзийклмнопрстуфхцчшщъыьэюя")]
 _NAMES = [*_both("aeiou"), *_both("bcdfghjklmnpqrstvwxyz"), *_both("áéíóúàèùâêîôûäëïöü"), *_both("ñç"), *_both("аеёиоуыэюя"), *_both("бвгджзйклмнпрстфхцчшщ"), *_both("αεηιουω"), *_both("βγδζθκλμνξπρστφχψ")]
 
@@ -191,9 +193,12 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
         return value[:4] + permuted(value[4:], _LETTERS, key, kind)
     if kind == "person":
         return "".join(_person(w, key) if w[0].isalpha() else w for w in re.split(r"([ '’-])", value) if w)
-    if kind in ("secret", "hex") and re.fullmatch(r"[0-9a-f]+", value):
-        return permuted(value, _HEX, key, kind)
-    return permuted(value, _LETTERS, key, kind)
+    if kind in ("secret", "hex") and re.fullmatch(r"[0-9a-fA-F]+", value):
+        return permuted(value, _HEX_CASED if re.search("[A-F]", value) else _HEX, key, kind)
+    out = permuted(value, _LETTERS, key, kind)
+    while kind == "secret" and re.fullmatch(r"[0-9a-fA-F]+", out) and out != value:  # stay among the secrets that aren't hex
+        out = permuted(out, _LETTERS, key, kind)
+    return out
 
 
 def derived(key: str, version: int) -> bytes:

@@ -86,6 +86,30 @@ def test_surrogates_are_distinct():
         assert [re.sub(r"\d+" if kind == "ip" else r"\d", "0", v) for v in new] == [re.sub(r"\d+" if kind == "ip" else r"\d", "0", v) for v in values] or kind == "person"
 
 
+def test_secrets_of_any_letter_case(spark):
+    token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    values = [("TOKEN = \"", token, "\"!!"), ("Token: ", "hUnTeR-TwO", " x"), ("my Api_Key='", "aB3dE6", "'"), ("PASSWORD=", "QWERTYUI", ""), ("sha ", token, ","), ("sha ", token.lower(), ","), ("id ", "AB12" + token[:30] + "cD", ".")]
+    docs = spark.createDataFrame([(i, "".join(v)) for i, v in enumerate(values)] + [(7, "no secrets: TOKENS, API, PASSWORD")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymised(docs).collect()}
+    assert got[7]["n_entities"] == 0 and got[7]["text"] == "no secrets: TOKENS, API, PASSWORD"
+    new = []
+    for i, (head, value, tail) in enumerate(values):
+        text = got[i]["text"]
+        assert got[i]["n_entities"] == 1 and text.startswith(head) and text.endswith(tail), text
+        new.append(text[len(head) : len(text) - len(tail)])
+        assert new[i] != value and len(new[i]) == len(value)
+        assert [c.isupper() for c in new[i]] == [c.isupper() for c in value] or value == token.lower()
+        assert bool(re.fullmatch("[0-9a-fA-F]+", value)) == bool(re.fullmatch("[0-9a-fA-F]+", new[i]))
+    assert new[5] == new[5].lower() and pii.spans("TOKEN = \"" + token) == [(9, 49, "secret")]
+
+
+def test_cased_secrets_are_distinct():
+    key = pii.derived("k", 0)
+    values = [f"{a}{i:04d}{b}" for i in range(500) for a in ("ab", "AB", "aB", "xY", "XY") for b in ("", "C")]
+    new = [pii.surrogate("secret", v, key) for v in values]
+    assert len(set(new)) == len(values) and all(a != b for a, b in zip(values, new))
+
+
 def test_collisions_are_found(spark):
     found = spark.createDataFrame([("ip", "1.2.3.4"), ("ip", "1.2.3.5")], "kind string, value string")
     assert pii.collisions(found, pii.derived("k", 0)).count() == 0
