@@ -18,8 +18,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and don't diverge from their language's reference."""
-    verdict = quality.quality(docs, keep=COLUMNS)
+    """Documents that pass the base rules and don't diverge from their language's reference, if it has one."""
+    verdict = quality.quality(docs, keep=COLUMNS, nearest=False)
     return verdict.filter("kept").select(COLUMNS)
 
 

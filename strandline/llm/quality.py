@@ -173,11 +173,12 @@ def fit_references(docs: DataFrame, k: int = 12) -> tuple[dict, dict]:
     return classes, common
 
 
-def quality(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
+def quality(docs: DataFrame, keep: list[str] = (), nearest: bool = True) -> DataFrame:
     """Base counts, distances and verdict for every row of ``docs``, after the columns ``keep``.
 
     A null text counts as empty: no words, so ``base_failed``. The reference is that of the row's
-    ``lang``; where that is null, absent or has none, the nearest reference. A distance is null below
+    ``lang``; where that is null, absent or has none, the nearest reference. Without ``nearest`` a language
+    that has none is judged by the base rules only, and its distances are null. A distance is null below
     its minimum length (``MIN_CHARS``, ``MIN_WORDS``) and then rejects nothing. Repeated rows and ids
     give repeated results; other columns are ignored; an empty table gives no rows.
     """
@@ -185,7 +186,8 @@ def quality(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     every = _references()
     own = F.filter(every, lambda r: r["lang"] == F.col("lang"))
-    refs = let(own, lambda r: F.when(F.size(r) > 0, r).otherwise(every))
+    others = F.lit(True) if nearest else F.col("lang").isNull()
+    refs = let(own, lambda r: F.when((F.size(r) == 0) & others, every).otherwise(r))
     df = df.withColumn("base_failed", failed).withColumn("histogram", histogram_classes())
     class_distance = F.array_min(F.transform(refs, lambda r: js_distance(F.col("histogram"), r["classes"])))
 

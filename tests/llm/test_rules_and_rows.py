@@ -59,6 +59,17 @@ def test_quality_rejects_other_distributions(spark):
     assert {r["doc_id"]: r["kept"] for r in quality.quality(odd).collect()} == {1: False, 2: False}
 
 
+def test_pipeline_keeps_languages_without_a_reference(spark):
+    import corpus_pipeline as p
+
+    finnish = " ".join(f"{a}{b}" for a in ("talo", "meri", "kivi", "lumi", "puu", "joki", "tie", "kuu", "sana", "susi") for b in ("ssa", "sta", "lla", "lta", "lle", "ksi", "tta"))
+    greek = " ".join(f"{a}{b}" for a in ("λόγ", "δρόμ", "κόσμ", "φίλ", "νόμ", "χρόν", "τόπ", "ήλι", "άνεμ", "ουραν") for b in ("ος", "ου", "ον", "οι", "ων", "ους", "ε"))
+    rows = [(1, finnish, "fi"), (2, greek, "el"), (3, "sama sana on " * 40, "fi"), (4, None, "el"), (5, greek, None), (6, greek, "de")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in p.quality_rules(spark, docs, SF).collect()} == {1, 2}
+    assert not any(r["kept"] for r in quality.quality(docs).collect())
+
+
 def test_surrogates_keep_form_and_coreference(spark):
     text = "Mr. John Smith (john.smith@mail.example.com, +1 555-0199-2345, 10.1.2.3) met Anna Keller; card 4111 1111 1111 1111. Mr. John Smith paid."
     docs = spark.createDataFrame([(1, text, 5), (2, "Again John Smith from 10.1.2.3", 6), (3, None, 7), (4, "", 8), (5, "nothing here", 9), (1, text, 5)], "doc_id long, text string, n_entities int")
