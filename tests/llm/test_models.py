@@ -116,6 +116,16 @@ def test_langid_gradients():
             assert abs((losses[0] - losses[1]) / (2 * step) - g[k][at]) < 5e-3 * max(1, abs(g[k][at]))
 
 
+def test_toxicity_reads_symbols_at_edges(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    scorer = toxicity.fit(docs, labels)
+    for token, words in (("!diot", ["idiot"]), ("(lown", ["clown"]), ("\"!D1OT!!\",", ["idiot"]), ("!diot!", ["idiot"]), ("idio+", ["idiot"])):
+        assert toxicity.restore(token, scorer.lm) == words, token
+        assert scorer.token(token) > toxicity.STRONG
+    for token, words in (("(loser", ["loser"]), ("idiot###", ["idiot"]), ("(the", ["the"]), ("the!", ["the"]), ("(and)", ["and"]), ("!!!", []), ("$#!+", [])):
+        assert toxicity.restore(token, scorer.lm) == words, token
+
+
 def test_toxicity_finds_held_out_and_obfuscated(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     scorer = toxicity.fit(docs, labels)
