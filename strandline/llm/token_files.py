@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from strandline.llm.store import store
 
 BLOCK = 1 << 17
-ROUNDS = 4
 MOST_RULES = 2048
-LEAST_COUNT = 6
+#: A rule takes three numbers, so it pays if it shortens the sequence by four.
+LEAST_COUNT = 4
 REMEMBERED = 400_000
 JOINED = 256
 END_ID = 1
@@ -41,9 +41,7 @@ def compress(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray, np
     """``(left, right, sequence)``: rule ``k`` rewrites symbol ``alphabet + k`` to its left and right symbols."""
     seq = ids.astype(np.uint32)
     lefts, rights, top = [], [], alphabet
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         codes = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
         pairs, counts = np.unique(codes, return_counts=True)
         often = np.flatnonzero(counts >= LEAST_COUNT)

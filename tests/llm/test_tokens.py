@@ -60,6 +60,17 @@ def test_token_files_equal_the_library(spark):
     assert token_files.read_documents(token_files.write_tokens(docs.limit(0), WORD)).count() == 0
 
 
+def test_repair_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(1)
+    passage = rng.permutation(1000).astype(np.uint32)[:300]
+    documents = [np.concatenate([passage, rng.integers(0, 50000, 20).astype(np.uint32)]) for _ in range(60)]
+    block = token_files.Block(token_files.pack(documents, 50000))
+    assert len(block.seq) <= 60 * 22 and block.sizes.max() >= 256
+    assert all(np.array_equal(a, b) for a, b in zip(block.documents(), documents))
+    pairs = np.unique(block.seq[:-1].astype(np.uint64) << np.uint64(32) | block.seq[1:], return_counts=True)[1]
+    assert pairs.max() < token_files.LEAST_COUNT
+
+
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     runs = np.concatenate([np.full(n, 7, np.uint32) for n in (1, 2, 3, 50, 51)] + [np.array([1, 2, 1, 2, 1, 2, 1, 2, 1, 2, 1, 2, 1, 2, 1], np.uint32)])
