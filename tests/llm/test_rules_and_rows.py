@@ -158,6 +158,28 @@ def test_tool_calls_are_linked_ordered_and_validated(spark):
     assert tool_calls.linked(messages.limit(0)).count() == 0
 
 
+def test_tool_calls_of_a_hot_conversation_equal_a_plain_version(spark):
+    schemas = {"find": {"properties": {"q": {"type": "string"}}, "required": ["q"]}}
+    rows = []
+    for conv, n in [(0, 400), *((c, 4) for c in range(1, 200))]:
+        for k in range(n):
+            arguments = {"q": f"$c{k - 1}"} if k % 4 else {"q": "x"} if k % 8 else {"z": k}
+            rows.append((conv, 2 * k, "assistant", json.dumps({"tool_calls": [{"id": f"c{k}", "name": "find", "arguments": arguments}]})))
+            rows.append((conv, 2 * k + 1, "tool", json.dumps({"tool_call_id": f"c{k}" if k % 3 else f"no{k}", "content": str(k)})))
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {(r["conv_id"], r["turn"]): r for r in tool_calls.linked(messages, schemas).collect()}
+    assert len(got) == len(rows)
+    for conv, turn, role, _ in rows:
+        r, k = got[conv, turn], turn // 2
+        if role == "tool":
+            assert (r["n_calls"], r["n_valid"], r["n_linked"]) == (0, 0, int(k % 3 > 0))
+            continue
+        call = json.loads(r["json"])["tool_calls"][0]
+        assert (r["n_calls"], r["n_valid"], r["n_linked"]) == (1, int(k % 8 > 0), int(k % 3 > 0))
+        assert (call["id"], call["level"], call["result"]) == (f"c{k}", k % 4, str(k) if k % 3 else None)
+        assert call["problems"] == ([] if k % 8 else ["missing q"])
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline as p
 
