@@ -10,7 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
-_FALLBACK: dict[str, str] = {}
+_LOCAL: list[str] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -31,11 +31,15 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests), a local folder."""
+    """The session's ``spark.checkpoint.dir``. Only a local session, as in tests, may leave it unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    return _FALLBACK.setdefault("dir", tempfile.mkdtemp(prefix="strandline-"))
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="strandline-"))
+    return _LOCAL[0]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
