@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.components import components
 from strandline.llm.shingles import mix, shingle_rows
-from strandline.llm.store import store
+from strandline.llm.store import Tables, few
 
 BANDS, ROWS = 72, 6
 REGISTERS = BANDS * ROWS
@@ -91,57 +91,60 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches):
-    """doc_id, n_shingles, digest of the shingle set, registers."""
+    """doc_id, n_shingles, digest of the shingle set, band keys."""
     for batch in batches:
         for first, last, shingles, edges in shingle_rows(batch.column(1)):
-            regs = registers(shingles, edges)
+            keys = band_keys(registers(shingles, edges)).view(np.int64)
             sets = [np.unique(shingles[edges[i] : edges[i + 1]]) for i in range(last - first)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(first, last - first),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([x.tobytes() for x in regs], pa.binary()),
+                    pa.array([_digest(s) for s in sets], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(last - first + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel())),
                 ],
-                names=["doc_id", "n_shingles", "digest", "regs"],
+                names=["doc_id", "n_shingles", "digest", "keys"],
             )
 
 
-def _bands(batches):
-    for batch in batches:
-        regs = np.array([np.frombuffer(x, np.uint16) for x in batch.column(2).to_pylist()]).reshape(-1, REGISTERS)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(band_keys(regs).view(np.int64).ravel()),
-                pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)),
-                pa.array(np.repeat(batch.column(1).to_numpy(zero_copy_only=False), BANDS)),
-            ],
-            names=["key", "id", "n"],
-        )
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def _sets(batches):
+    """id, size and digest of the shingle set, the set itself, registers."""
     for batch in batches:
         for first, last, shingles, edges in shingle_rows(batch.column(1)):
-            sets = [np.unique(shingles[edges[i] : edges[i + 1]]).tobytes() for i in range(last - first)]
+            regs = registers(shingles, edges)
+            sets = [np.unique(shingles[edges[i] : edges[i + 1]]) for i in range(last - first)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), pa.array(sets, pa.binary()), batch.column(2).slice(first, last - first)],
-                names=["id", "shingles", "regs"],
+                [
+                    batch.column(0).slice(first, last - first),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([_digest(s) for s in sets], pa.binary()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array([x.tobytes() for x in regs], pa.binary()),
+                ],
+                names=["id", "n", "digest", "shingles", "regs"],
             )
 
 
+def _screen(batches):
+    """The pairs of a batch (a, b, registers of both) whose estimate reaches SCREEN."""
+    for batch in batches:
+        a, b = (np.array([np.frombuffer(x, np.uint16) for x in batch.column(k).to_pylist()]).reshape(-1, REGISTERS) for k in (2, 3))
+        yield batch.select([0, 1]).filter(pa.array(estimate(a, b) >= SCREEN))
+
+
 def _confirm(batches):
+    """The pairs of a batch (a, b, full sets of both) that reach the threshold."""
     for batch in batches:
-        a_id, b_id, a_set, b_set, a_reg, b_reg = (batch.column(k).to_pylist() for k in range(6))
         keep = []
-        if a_id:
-            close = estimate(*(np.array([np.frombuffer(x, np.uint16) for x in regs]) for regs in (a_reg, b_reg)))
-            for i in np.flatnonzero(close >= SCREEN):
-                x, y = np.frombuffer(a_set[i], np.uint64), np.frombuffer(b_set[i], np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                    keep.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([a_id[i] for i in keep], pa.int64()), pa.array([b_id[i] for i in keep], pa.int64())], names=["a", "b"])
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
 def _links_in_block(block: pa.Table) -> pa.Table:
@@ -173,69 +176,83 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, n_shingles, component_id, kept`` for every document.
 
     Null texts and texts without words have an empty set, are linked with nothing and are kept. Rows
-    with the same id and equal text count as one document; ids must be non-null 64-bit integers (rows
-    with a null id are ignored). Other columns of ``docs`` are not read. An empty table gives no rows.
-    ``block_shingles`` bounds a part of a bucket that is compared as a whole; it doesn't change results.
+    with the same id and equal text count as one document and give a row each; an id with several texts
+    is linked by each of them, and all its rows carry its component. Of equal similarities none is
+    preferred: all links count. Ids must be 64-bit integers; rows with a null id are ignored. A text of
+    any length is hashed as a whole, in one task. Other columns of ``docs``, whatever their names, are not
+    read. An empty table gives no rows. ``block_shingles`` bounds a part of a bucket that is compared as a
+    whole; it doesn't change results.
     """
+    tables = Tables(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    sketch = store(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, regs binary"), "sketch")
-
-    classes = sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = store(
-        sketch.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")),
-        "classes",
-    )
-    reps = sketch.filter("n_shingles > 0").join(member.filter("rep = doc_id").select("doc_id").distinct(), "doc_id", "left_semi")
-
-    rows = reps.select("doc_id", "n_shingles", "regs").mapInArrow(_bands, "key long, id long, n long")
-    bucket = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("c")).filter("size > 1")
-    bucket = bucket.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn"))
-    inside = store(rows.join(bucket, "key"), "buckets")
-
-    involved = inside.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.join(involved, "doc_id", "left_semi").join(reps.select("doc_id", "regs"), "doc_id")
-    sets = store(texts.select("doc_id", "text", "regs").mapInArrow(_sets, "id long, shingles binary, regs binary").dropDuplicates(["id"]), "sets")
+    sketch = tables.write(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketch")
+
+    # One representative, the smallest id, for each shingle set; sets of one row need no join.
+    sets = sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("keys").alias("keys"))
+    reps = tables.write(sets, "representatives")
+    copied = reps.filter("copies > 1").select("digest", F.col("id").alias("rep"))
+    member = sketch.select("doc_id", "n_shingles", "digest").join(copied, "digest", "left")
+    member = tables.write(member.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    tables.drop(sketch)
+
+    # Buckets of two texts or more, each with its smallest member.
+    rows = reps.select("id", F.explode("keys").alias("key"))
+    bucket = rows.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("last")).filter("c < last").select("key", "c")
+    bucket = tables.write(bucket, "centres")
+    inside = tables.write(rows.join(bucket, "key"), "buckets")
+    tables.drop(reps, bucket)
+
+    involved = tables.write(inside.select(F.col("id").alias("doc_id")).distinct(), "involved")
+    texts = docs.join(few(involved), "doc_id", "left_semi")
+    full = texts.mapInArrow(_sets, "id long, n long, digest binary, shingles binary, regs binary").filter("n > 0").dropDuplicates(["id", "digest"])
+    full = tables.write(full.drop("digest"), "sets")
+    tables.drop(involved)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"), F.col("regs").alias("ra"))
-        b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.col("regs").alias("rb"))
-        full = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "ra", "rb")
-        return full.mapInArrow(_confirm, "a long, b long")
+        """Screened by registers and confirmed on the full sets; sizes that can't reach the threshold are left out first."""
+
+        def both(pairs, *columns):
+            for x in ("a", "b"):
+                pairs = pairs.join(full.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x)
+            return pairs
 
-    def sized(x: str, y: str):
-        return (F.col(x) * 100 >= F.col(y) * PERCENT) & (F.col(y) * 100 >= F.col(x) * PERCENT)
+        able = both(pairs, "n", "regs").filter(f"100 * n_a >= {PERCENT} * n_b and 100 * n_b >= {PERCENT} * n_a")
+        close = able.select("a", "b", "regs_a", "regs_b").mapInArrow(_screen, "a long, b long").distinct()
+        return both(close, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirm, "a long, b long").distinct()
 
     def labelled(edges: DataFrame) -> DataFrame:
-        labels = components(edges)
-        return inside.join(labels, "id", "left").select("key", "id", "n", "c", "cn", F.coalesce("component_id", "id").alias("label"))
+        label = components(edges)
+        return tables.write(inside.join(label, "id", "left").select("key", "id", "c", F.coalesce("component_id", "id").alias("label")), "labelled")
 
-    pairs = inside.filter((F.col("id") != F.col("c")) & sized("n", "cn")).select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
-    edges = store(confirmed(pairs), "edges")
+    first = tables.write(confirmed(inside.filter("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()), "edges")
 
     # A second centre for what the first one left in other components.
-    now = store(labelled(edges), "labelled")
-    first = now.filter("id = c").select("key", F.col("label").alias("label1")).distinct()
-    left = now.join(first, "key").filter("label <> label1")
-    second = left.groupBy("key").agg(F.min(F.struct("id", "n", "label")).alias("s"))
-    pairs = left.join(second, "key").filter((F.col("id") != F.col("s.id")) & (F.col("label") != F.col("s.label")) & sized("n", "s.n"))
-    more = confirmed(pairs.select(F.col("s.id").alias("a"), F.col("id").alias("b")).distinct())
-    edges = store(edges.union(more), "edges")
+    now = labelled(first)
+    left = now.join(now.filter("id = c").select("key", F.col("label").alias("label1")), "key").filter("label <> label1")
+    second = left.groupBy("key").agg(F.min(F.struct("id", "label")).alias("s"))
+    pairs = left.join(second, "key").filter((F.col("id") != F.col("s.id")) & (F.col("label") != F.col("s.label")))
+    edges = tables.write(first.union(confirmed(pairs.select(F.col("s.id").alias("a"), F.col("id").alias("b")).distinct())), "edges")
+    tables.drop(now, first)
 
     # What is in one bucket but still in different components, in parts of bounded size: each row goes to
     # the comparison of its part with every part of the bucket.
-    now = store(labelled(edges), "labelled")
+    now = labelled(edges)
+    rest = now.filter("id <> c")
+    mixed = rest.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("key")
+    rest = rest.join(mixed, "key").join(full.select("id", "n", "shingles"), "id")
     parted = F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count("n") / BLOCK_ROWS)).alias("n_parts")
-    mixed = now.filter("id <> c").groupBy("key").agg(parted, (F.min("label") != F.max("label")).alias("mixed")).filter("mixed")
-    rest = now.filter("id <> c").join(mixed, "key").select("key", "id", "label", "n_parts", F.expr("pmod(xxhash64(id), n_parts)").alias("part"))
-    rest = rest.select("key", "id", "label", "part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("other"))
-    blocks = rest.join(sets.select("id", "shingles"), "id").groupBy("key", F.least("part", "other"), F.greatest("part", "other"))
-    edges = store(edges.union(blocks.applyInArrow(_links_in_block, "a long, b long").distinct()), "edges")
-
-    label = components(edges)
-    out = member.join(label.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component_id", "rep").alias("component_id"),
-        (F.col("doc_id") == F.coalesce("component_id", "rep")).alias("kept"),
-    )
+    rest = rest.join(now.filter("id <> c").join(mixed, "key").join(full.select("id", "n"), "id").groupBy("key").agg(parted), "key")
+    rest = rest.select("key", "id", "label", "shingles", "n_parts", F.expr("pmod(xxhash64(id), n_parts)").alias("part"))
+    rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("other"))
+    blocks = rest.groupBy("key", F.least("part", "other"), F.greatest("part", "other"))
+    more = blocks.applyInArrow(_links_in_block, "a long, b long").distinct()
+    # An id whose texts have different representatives is linked with each of them.
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("doc_id")
+    own = member.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    linked = tables.write(edges.union(more).union(own), "edges")
+    tables.drop(now, edges, full, inside)
+
+    label = components(linked)
+    tables.drop(linked)
+    component = F.coalesce("component_id", "rep")
+    return member.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

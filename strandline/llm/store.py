@@ -6,29 +6,48 @@ executor, and later reads never recompute what came before it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FALLBACK: dict[str, str] = {}
+from strandline.session import shared_dir, written
 
+#: Most ids that are sent to every task instead of shuffling the rows they select (8 bytes each).
+MOST_IDS = 1 << 22
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests), a local folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    return _FALLBACK.setdefault("dir", tempfile.mkdtemp(prefix="strandline-"))
+
+class Tables:
+    """The tables of one run of an operator: written under a folder of their own, dropped when a successor is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/strandline/{uuid.uuid4().hex}", 0
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` once and return a DataFrame that reads it back."""
+        self.n += 1
+        path = f"{self.at}/{self.n}-{name}"
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(back)] = back, path
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the files of tables that nothing reads any more."""
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table))[1])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
+
+
+def few(ids: DataFrame, most: int = MOST_IDS) -> DataFrame:
+    """A stored table of ids, marked for broadcast if it has at most ``most`` rows; larger ones are left to a shuffled join."""
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def crc_mod(column, modulus: int):

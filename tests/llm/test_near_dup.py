@@ -2,8 +2,10 @@ import numpy as np
 import pyarrow as pa
 
 from strandline.llm import near_dup
+from strandline.llm.components import components
 from strandline.llm.decontaminate import Index, contaminated
 from strandline.llm.shingles import shingle_rows
+from strandline.llm.store import few
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.01"
@@ -103,3 +105,26 @@ def test_shingles_are_sliced_alike(monkeypatch):
         parts.append(shingles.shingle_hashes(*shingles.word_hashes(raw, offsets[first : last + 1]))[0])
     assert np.array_equal(np.concatenate(whole), np.concatenate(parts))
     assert len(Index([]).ids) == 0
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """An id is linked by each of its texts; all its rows carry its component."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(9, a), (4, a), (9, b), (7, b + " end"), (2, c), (9, None), (3, ""), (5, c), (5, c), (8, b)]
+    docs = spark.createDataFrame([(i, t, "k", None) for i, t in rows], "doc_id long, text string, key string, component_id string")
+    got = sorted(tuple(r) for r in near_dup.near_duplicates(docs.repartition(4)).collect())
+    sizes = {a: 56, b: 56, b + " end": 57, c: 56, "": 0, None: 0}
+    group = {9: 4, 4: 4, 7: 4, 8: 4, 2: 2, 5: 2, 3: 3}
+    assert got == sorted((i, sizes[t], group[i], group[i] == i) for i, t in rows)
+
+
+def test_few_is_broadcast_only_within_its_bound(spark):
+    ids = spark.range(100)
+    for most, hint in ((100, True), (99, False)):
+        assert ("ResolvedHint" in few(ids, most)._jdf.queryExecution().analyzed().toString()) == hint
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    edges = [(1000, k) for k in range(1001, 1400)] + [(k, k + 1) for k in range(50)] + [(5, 5), (None, 3), (70, 60), (60, 70)]
+    got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 1000 for k in range(1000, 1400)} | {k: 0 for k in range(51)} | {70: 60, 60: 60}
