@@ -59,6 +59,24 @@ def test_quality_rejects_other_distributions(spark):
     assert {r["doc_id"]: r["kept"] for r in quality.quality(odd).collect()} == {1: False, 2: False}
 
 
+def test_passing_computes_the_verdict_once(spark):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan, whole = (df._jdf.queryExecution().optimizedPlan().toString() for df in (quality.passing(docs, columns), quality.quality(docs, columns)))
+    for name in ("split(", "regexp_replace(", "xxhash64("):
+        assert 0 < plan.count(name) <= whole.count(name)
+    kept = {r["doc_id"] for r in quality.quality(docs).filter("kept").collect()}
+    assert {r["doc_id"] for r in quality.passing(docs, columns).collect()} == kept
+    clash = docs.select("doc_id", "text", "lang", F.lit(7).alias("n_words"), F.lit("x").alias("kept"))
+    assert quality.quality(clash, ["doc_id", "n_words", "kept"]).columns == quality.quality(docs).columns
+
+
+def test_references_are_fitted_as_they_are_scored(spark):
+    docs = spark.createDataFrame([(1, "The cat, the dog. THE end thé", "en"), (2, None, "en"), (3, "x", None)], "doc_id long, text string, lang string")
+    classes, words = quality.fit_references(docs, k=2)
+    assert words["en"]["the"] == round(2 / 7, 4) and list(words["en"]) == ["the", "cat"] and round(sum(classes["en"]), 3) == 1
+
+
 def test_pipeline_keeps_languages_without_a_reference(spark):
     import corpus_pipeline as p
 
