@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +45,40 @@ def op3_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+SCHEMAS = {
+    "search": {"properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"], "additionalProperties": False},
+    "lookup": {"properties": {"key": {"type": "string"}}, "required": ["key"]},
+}
+
+
+def tool_turns(conversations: DataFrame) -> DataFrame:
+    """The conversations table, which holds no calls, with some turns as calls and results (stated again in the SQL).
+
+    By the length L of its text, an assistant turn t makes two calls (L % 3 <> 0): ``c{t}a`` to ``search``, which
+    refers to ``c{t-2}b`` (L % 3 = 1) and lacks its query (L % 5 = 0), and ``c{t}b`` to ``lookup`` or an unknown tool
+    (L % 4 = 0), which refers to ``c{t-2}a`` (L % 2 = 0) or ``c{t}a`` and repeats the id ``c{t}a`` (L % 11 = 0). A user
+    turn behind the first becomes the result of ``c{t-1}a`` (L % 2 = 0) or ``c{t-1}b`` (L % 4 = 1).
+    """
+    n, turn = F.coalesce(F.length("text"), F.lit(0)), F.col("turn")
+
+    def name(back: int, letter: str):
+        return F.concat(F.lit("c"), (turn - back).cast("string"), F.lit(letter))
+
+    query = F.when(n % 3 == 1, F.concat(F.lit("$"), name(2, "b"))).otherwise(F.concat(F.lit("q"), n.cast("string")))
+    search = F.when(n % 5 == 0, F.lit('{"limit": "many"}')).otherwise(F.concat(F.lit('{"query": "'), query, F.lit('", "limit": '), (n % 7).cast("string"), F.lit(".0}")))
+    key = F.concat(F.lit("$"), F.when(n % 2 == 0, name(2, "a")).otherwise(name(0, "a")))
+    first = F.concat(F.lit('{"id": "'), name(0, "a"), F.lit('", "name": "search", "arguments": '), search, F.lit("}"))
+    tool = F.when(n % 4 == 0, "guess").otherwise("lookup")
+    second = F.concat(F.lit('{"name": "'), tool, F.lit('", "id": "'), F.when(n % 11 == 0, name(0, "a")).otherwise(name(0, "b")), F.lit('", "arguments": {"key": "'), key, F.lit('"}}'))
+    calls = F.concat(F.lit('{"content": null, "tool_calls": ['), first, F.lit(", "), second, F.lit("]}"))
+    answers = (F.col("role") == "user") & (turn > 0) & ((n % 2 == 0) | (n % 4 == 1))
+    result = F.to_json(F.struct(F.when(n % 2 == 0, name(1, "a")).otherwise(name(1, "b")).alias("tool_call_id"), F.col("text").alias("content")))
+    text = F.when((F.col("role") == "assistant") & (n % 3 != 0), calls).when(answers, result).otherwise(F.col("text"))
+    return conversations.select("conv_id", "turn", F.when(answers, "tool").otherwise(F.col("role")).alias("role"), text.alias("text"))
+
+
 def op4_tool_calls(spark, sf_dir):
-    return tool_calls.linked(table(spark, sf_dir, "conversations"))
+    return tool_calls.linked(tool_turns(table(spark, sf_dir, "conversations")), SCHEMAS)
 
 
 def op5_pii(spark, sf_dir):
@@ -95,9 +126,34 @@ from ds join bs using (s) join n using (item_id) group by doc_id, item_id, n hav
 """
 
 ORACLE["op4_tool_calls"] = """
-select conv_id, turn, role, cast(0 as bigint) as n_calls, cast(0 as bigint) as n_valid, cast(0 as bigint) as n_linked,
-  '{"content":' || to_json(text) || ',"role":' || to_json(role) || ',"turn":' || turn || '}' as json
-from conversations
+with recursive m as (select row_number() over () as row, conv_id, turn, role, text, coalesce(length(text), 0) as n from conversations),
+t as (select *, role = 'assistant' and n % 3 <> 0 as calls, role = 'user' and turn > 0 and (n % 2 = 0 or n % 4 = 1) as answers,
+  'c' || (turn - 1) || case when n % 2 = 0 then 'a' else 'b' end as answered from m),
+c as (select row, conv_id, turn, 0 as place, 'c' || turn || 'a' as id, 'search' as name,
+    case when n % 5 = 0 then '{"limit":"many"}' else '{"limit":' || (n % 7) || ',"query":"' || case when n % 3 = 1 then '$c' || (turn - 2) || 'b' else 'q' || n end || '"}' end as arguments,
+    case when n % 5 = 0 then ['missing query', 'type of limit'] else [] end as problems,
+    case when n % 5 <> 0 and n % 3 = 1 then ['c' || (turn - 2) || 'b'] else [] end as refs from t where calls
+  union all
+  select row, conv_id, turn, 1, 'c' || turn || case when n % 11 = 0 then 'a' else 'b' end, case when n % 4 = 0 then 'guess' else 'lookup' end,
+    '{"key":"$c' || case when n % 2 = 0 then turn - 2 else turn end || 'a"}', case when n % 4 = 0 then ['unknown tool'] else [] end,
+    ['c' || case when n % 2 = 0 then turn - 2 else turn end || 'a'] from t where calls),
+e as (select distinct conv_id, id, unnest(refs) as ref from c),
+known as (select distinct conv_id, id from c),
+p as (select conv_id, id, id as at, 0 as depth from known
+  union all select p.conv_id, p.id, e.ref, depth + 1 from p join e on e.conv_id = p.conv_id and e.id = p.at where depth < 60),
+l as (select p.conv_id, p.id, case when max(depth) < 60 and count(known.id) = count(*) then max(depth) end as level
+  from p left join known on known.conv_id = p.conv_id and known.id = p.at group by p.conv_id, p.id),
+r as (select conv_id, answered as id, arg_min(text, turn) as result from t where answers group by conv_id, answered),
+x as (select c.*, level, result, r.id is not null as found from c left join l on l.conv_id = c.conv_id and l.id = c.id left join r on r.conv_id = c.conv_id and r.id = c.id),
+j as (select row, count(*) as n_calls, count(*) filter (len(problems) = 0) as n_valid, count(*) filter (found) as n_linked,
+  string_agg('{"arguments":' || arguments || ',"id":"' || id || '","level":' || coalesce(level::varchar, 'null') || ',"name":"' || name || '","place":' || place || ',"problems":' || to_json(problems)
+    || ',"refs":' || to_json(refs) || ',"result":' || coalesce(to_json(result)::varchar, 'null') || '}', ',' order by place) as body from x group by row)
+select t.conv_id, turn, case when answers then 'tool' else role end as role, coalesce(n_calls, 0) as n_calls, coalesce(n_valid, 0) as n_valid,
+  case when answers then (known.id is not null)::bigint else coalesce(n_linked, 0) end as n_linked,
+  case when calls then '{"content":null,"role":"assistant","tool_calls":[' || body || '],"turn":' || turn || '}'
+    when answers then '{"content":' || to_json(text) || ',"role":"tool","tool_call_id":"' || answered || '","turn":' || turn || '}'
+    else '{"content":' || to_json(text) || ',"role":' || to_json(role) || ',"turn":' || turn || '}' end as json
+from t left join j using (row) left join known on answers and known.conv_id = t.conv_id and known.id = t.answered
 """
 
 
@@ -145,5 +201,3 @@ from d
 
 
 ORACLE["op3_quality"] = _quality_sql()
-
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 3000))

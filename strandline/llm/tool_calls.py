@@ -5,21 +5,32 @@ An assistant turn calls tools when its text is a JSON object with ``tool_calls``
 ``tool_call_id`` and ``content``. An argument string ``$x`` refers to the result of call ``x`` of the same
 conversation. Any other text is plain content.
 
+Canonical JSON has sorted keys, no white space, unescaped letters, and numbers in their shortest form: a float
+without a fraction is written as an integer. What isn't JSON by the standard (``NaN``, numbers beyond a double,
+lone surrogates) or nests deeper than ``DEEPEST`` is plain content, not a call.
+
 Calls and results are hash-joined by conversation and call id. A call's level is 0 if it refers to no
-call, else one more than the highest level it refers to; rounds of a join raise levels until none changes,
-and what never gets one (a cycle, or a reference to no call) has level null. No step gathers a
-conversation: one may hold a third of all rows. ``conv_id, level, turn, place`` is the topological order.
+call, else one more than the highest level it refers to; what never gets one (a cycle, or a reference to no
+call) has level null. Calls of a conversation are ordered in one task if they are ``MOST_CALLS`` at most; in
+longer ones, of which one may hold a third of all rows, rounds of a join raise levels until none changes.
+``conv_id, level, turn, place`` is the topological order.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.store import store
+from strandline.llm.store import Tables
+
+#: Most calls of a conversation that one task puts in order.
+MOST_CALLS = 50_000
+#: Levels of objects and lists that a call or result may nest.
+DEEPEST = 100
 
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
@@ -29,11 +40,26 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def _loads(text):
-    try:
-        return json.loads(text)
-    except (ValueError, TypeError, RecursionError):
-        return None
+def _number(text: str):
+    x = float(text)
+    if math.isinf(x):
+        raise ValueError("beyond a double")
+    return int(x) if x.is_integer() and abs(x) < 1 << 53 else x
+
+
+def _refused(text: str):
+    raise ValueError(f"{text} isn't JSON")
+
+
+def _loads(text: str):
+    """The value of a JSON text, nested ``DEEPEST`` levels at most. Raises ValueError or RecursionError."""
+    value = json.loads(text, parse_float=_number, parse_constant=_refused)
+    level = [value]
+    for _ in range(DEEPEST + 1):
+        level = [y for x in level if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]
+        if not level:
+            return value
+    raise ValueError("nested too deep")
 
 
 def violations(arguments, schema: dict | None) -> list[str]:
@@ -58,10 +84,13 @@ def violations(arguments, schema: dict | None) -> list[str]:
 
 
 def _references(value) -> set[str]:
-    if isinstance(value, str):
-        return {value[1:]} if value.startswith("$") and len(value) > 1 else set()
-    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
-    return {r for v in inner for r in _references(v)}
+    out, open_ = set(), [value]
+    while open_:
+        x = open_.pop()
+        if isinstance(x, str) and x.startswith("$") and len(x) > 1:
+            out.add(x[1:])
+        open_ += x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
+    return out
 
 
 PARSED = "row long, conv_id long, turn long, role string, text string, calls array<struct<place:int,id:string,name:string,arguments:string,problems:array<string>,refs:array<string>>>, result_id string, content string"
@@ -75,24 +104,41 @@ def _parse(schemas):
             call = call if isinstance(call, dict) else {}
             arguments = call.get("arguments", {})
             if isinstance(arguments, str):
-                arguments = _loads(arguments)
+                try:
+                    arguments = _loads(arguments)
+                except (ValueError, RecursionError):
+                    arguments = None
             name = call.get("name")
             name, own = (name if isinstance(name, str) else None), call.get("id")
-            out.append({"place": place, "id": None if own is None else str(own), "name": name, "arguments": canonical(arguments), "problems": violations(arguments, schemas.get(name)), "refs": sorted(_references(arguments))})
+            own = own if own is None or isinstance(own, str) else canonical(own)
+            out.append({"place": place, "id": own, "name": name, "arguments": canonical(arguments), "problems": violations(arguments, schemas.get(name)), "refs": sorted(_references(arguments))})
         return out
 
+    def message(role, text):
+        """Calls, id of the call that is answered, content."""
+        if not text or "{" not in text or role not in ("assistant", "tool"):
+            return [], None, text
+        try:
+            data = _loads(text)
+            data = data if isinstance(data, dict) else {}
+            if role == "assistant" and isinstance(data.get("tool_calls"), list):
+                calls, answered = calls_of(data), None
+            elif role == "tool" and data.get("tool_call_id") is not None:
+                calls, answered = [], data["tool_call_id"]
+                answered = answered if isinstance(answered, str) else canonical(answered)
+            else:
+                return [], None, text
+            content = data.get("content")
+            content = content if content is None or isinstance(content, str) else canonical(content)
+            canonical([calls, answered, content]).encode()
+        except (ValueError, RecursionError):  # among them lone surrogates, which no text can hold
+            return [], None, text
+        return calls, answered, content
+
     def run(batches):
         for batch in batches:
-            calls, ids, contents = [], [], []
-            for role, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                data = _loads(text) if text and "{" in text and role in ("assistant", "tool") else None
-                data = data if isinstance(data, dict) else {}
-                called = role == "assistant" and isinstance(data.get("tool_calls"), list)
-                answered = role == "tool" and data.get("tool_call_id") is not None
-                calls.append(calls_of(data) if called else [])
-                ids.append(str(data["tool_call_id"]) if answered else None)
-                content = data.get("content") if called or answered else text
-                contents.append(content if content is None or isinstance(content, str) else canonical(content))
+            rows = [message(*r) for r in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            calls, ids, contents = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(calls, _CALL), pa.array(ids, pa.string()), pa.array(contents, pa.string())], names=[*batch.schema.names, "calls", "result_id", "content"])
 
     return run
@@ -108,40 +154,70 @@ def _write(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(rows, pa.string())], names=[*keep, "json"])
 
 
-def levels(calls: DataFrame) -> DataFrame:
+def _in_order(group: pa.Table) -> pa.Table:
+    """Levels of one conversation's calls: those that wait for nothing first, then what waited for them."""
+    refs: dict[str, set[str]] = {}
+    for own, to in zip(group["id"].to_pylist(), group["refs"].to_pylist()):
+        refs.setdefault(own, set()).update(to)
+    waits, after, level = {k: len(v) for k, v in refs.items()}, {}, {}
+    for own, to in refs.items():
+        for ref in to:
+            after.setdefault(ref, []).append(own)
+    ready = [k for k, n in waits.items() if not n]
+    for own in ready:
+        level[own] = max((level[r] + 1 for r in refs[own]), default=0)
+        for other in after.get(own, ()):
+            waits[other] -= 1
+            if not waits[other]:
+                ready.append(other)
+    conv = group["conv_id"][0].as_py() if len(group) else None
+    return pa.table({"conv_id": pa.array([conv] * len(level), pa.int64()), "id": pa.array(list(level), pa.string()), "level": pa.array(list(level.values()), pa.int32())})
+
+
+def levels(calls: DataFrame, most: int = MOST_CALLS) -> DataFrame:
     """``conv_id, id, level`` of calls ``conv_id, id, refs``; an id that occurs twice takes the union of its references."""
-    own = store(calls.filter("id is not null").select("conv_id", "id", "refs").distinct(), "calls")
-    edges = own.select("conv_id", "id", F.explode("refs").alias("ref")).distinct()
+    tables = Tables(calls.sparkSession)
+    own = tables.write(calls.filter("id is not null and conv_id is not null").select("conv_id", "id", "refs").distinct(), "calls")
+    long = tables.write(own.groupBy("conv_id").count().filter(F.col("count") > most).select("conv_id"), "long")
+    short = own.join(long, "conv_id", "left_anti").groupBy("conv_id").applyInArrow(_in_order, "conv_id long, id string, level int")
+    done = tables.write(short, "levels")
+    if not long.isEmpty():
+        done = tables.write(done.unionByName(_in_rounds(own.join(long, "conv_id", "left_semi"), tables)), "levels")
+    return done
+
+
+def _in_rounds(own: DataFrame, tables: Tables) -> DataFrame:
+    edges = tables.write(own.select("conv_id", "id", F.explode("refs").alias("ref")).distinct(), "references")
     waiting = edges.select("conv_id", "id").distinct()
-    done = store(own.select("conv_id", "id").distinct().join(waiting, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    while not edges.isEmpty():
+    done = tables.write(own.select("conv_id", "id").distinct().join(waiting, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
+    while True:
         ready = edges.join(done.select("conv_id", F.col("id").alias("ref"), "level"), ["conv_id", "ref"], "left")
         new = ready.groupBy("conv_id", "id").agg((F.max("level") + 1).alias("level"), F.count_if(F.col("level").isNull()).alias("open")).filter("open = 0").drop("open")
-        new = store(new.join(done, ["conv_id", "id"], "left_anti"), "levels")
+        new = tables.write(new.join(done, ["conv_id", "id"], "left_anti"), "levels")
         if new.isEmpty():
-            break
-        done = done.unionByName(new)
-    return done
+            return done
+        more = tables.write(done.unionByName(new), "levels")
+        tables.drop(done, new)
+        done = more
 
 
-def linked(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
+def linked(messages: DataFrame, schemas: dict | None = None, most: int = MOST_CALLS) -> DataFrame:
     """One row per message: ``conv_id, turn, role, n_calls, n_valid, n_linked, json``.
 
     In ``json`` each call carries its canonical arguments, its ``problems`` (empty: valid), its ``level``
-    and the ``result`` of the earliest tool turn with its id (null: none). ``n_linked`` of a tool turn is
-    1 if its call exists, else 0. Null or malformed texts are plain content; null conversation ids link
-    with nothing; repeated rows are repeated; extra columns are ignored; an empty table gives no rows.
+    and the ``result`` of the earliest tool turn with its id (null: none; of results in one turn, the content
+    that sorts first). ``n_linked`` of a tool turn is 1 if its call exists, else 0. Null or malformed texts are
+    plain content; null conversation ids link with nothing; null roles and turns are written as null; repeated
+    rows are repeated, and their calls share a result. Texts of any length are parsed as a whole. Other
+    columns, whatever their names, are ignored; an empty table gives no rows. ``most`` doesn't change results.
     """
+    tables = Tables(messages.sparkSession)
     rows = messages.select(F.monotonically_increasing_id().alias("row"), F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    parsed = store(rows.mapInArrow(_parse(schemas or {}), PARSED), "messages")
+    parsed = tables.write(rows.mapInArrow(_parse(schemas or {}), PARSED), "messages")
     special = parsed.filter((F.size("calls") > 0) | F.col("result_id").isNotNull())
-    if special.isEmpty():
-        calls_json = parsed.select("*", *[F.lit(0).cast("long").alias(c) for c in ("n_calls", "n_valid", "n_linked")])
-        return calls_json.mapInArrow(_write, "conv_id long, turn long, role string, n_calls long, n_valid long, n_linked long, json string")
-
     calls = special.select("row", "conv_id", F.explode("calls").alias("c")).select("row", "conv_id", "c.*")
     results = special.filter("result_id is not null").groupBy("conv_id", F.col("result_id").alias("id")).agg(F.min(F.struct("turn", "content")).alias("r"))
-    full = calls.join(levels(calls), ["conv_id", "id"], "left").join(results, ["conv_id", "id"], "left")
+    full = calls.join(levels(calls, most), ["conv_id", "id"], "left").join(results, ["conv_id", "id"], "left")
     per_row = full.groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("place", "id", "name", "arguments", "problems", "refs", "level", F.col("r.content").alias("result")))).alias("calls"),
         F.count(F.lit(1)).alias("n_calls"),
@@ -150,16 +226,14 @@ def linked(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
     )
     kind = per_row.schema["calls"].dataType.simpleString()
     base = parsed.drop("calls", "text")
-    callers = base.join(per_row, "row")
     named = calls.select("conv_id", F.col("id").alias("result_id")).distinct().withColumn("hit", F.lit(1).cast("long"))
     answers = base.filter("result_id is not null").join(named, ["conv_id", "result_id"], "left")
-    nothing = F.lit(None).cast(kind).alias("calls")
-    zero = F.lit(0).cast("long")
+    nothing, zero = F.lit(None).cast(kind).alias("calls"), F.lit(0).cast("long")
     rest = parsed.filter((F.size("calls") == 0) & F.col("result_id").isNull()).drop("calls", "text")
     columns = ["conv_id", "turn", "role", "content", "result_id", "calls", "n_calls", "n_valid", "n_linked"]
     every = (
-        callers.select(columns)
+        base.join(per_row, "row").select(columns)
         .unionByName(answers.select("conv_id", "turn", "role", "content", "result_id", nothing, zero.alias("n_calls"), zero.alias("n_valid"), F.coalesce("hit", zero).alias("n_linked")))
         .unionByName(rest.select("conv_id", "turn", "role", "content", "result_id", nothing, zero.alias("n_calls"), zero.alias("n_valid"), zero.alias("n_linked")))
-    )
+    )
     return every.mapInArrow(_write, "conv_id long, turn long, role string, n_calls long, n_valid long, n_linked long, json string")

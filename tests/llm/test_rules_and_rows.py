@@ -176,6 +176,38 @@ def test_tool_calls_are_linked_ordered_and_validated(spark):
     assert tool_calls.linked(messages.limit(0)).count() == 0
 
 
+def test_tool_calls_survive_bad_rows(spark):
+    def calls(arguments, i="a"):
+        return f'{{"tool_calls": [{{"id": {json.dumps(i)}, "name": "find", "arguments": {arguments}}}]}}'
+
+    deep = "[" * 3000 + "]" * 3000
+    bad = [
+        ("assistant", calls('{"q": NaN}')), ("assistant", calls('{"q": 1e999}')), ("assistant", calls(f'{{"q": {deep}}}')), ("assistant", calls('{"q": "\\ud800"}')), ("assistant", calls("{}", "\ud800")),
+        ("assistant", '{"tool_calls": {}}'), ("assistant", "[{"), ("tool", '{"tool_call_id": null}'), ("tool", '{"tool_call_id": "x", "content": "\\udc00"}'), ("tool", "{" * 5000), (None, calls("{}")), ("user", calls("{}")), ("assistant", ""),
+    ]
+    good = [("assistant", calls('{"q": 1.0, "p": -0.0, "r": 1e2, "s": 0.1, "t": 12345678901234567890}')), ("assistant", calls('"{\\"q\\": NaN}"')), ("assistant", '{"tool_calls": [7, {}, {"id": 5}]}'), ("tool", '{"tool_call_id": 5, "content": [2.0]}')]
+    rows = [(9, k, *r) for k, r in enumerate(bad + good)]
+    messages = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, json string, level int")
+    got = {r["turn"]: r for r in tool_calls.linked(messages).collect()}
+    assert len(got) == len(rows)
+    for k, (role, text) in enumerate(bad):
+        assert got[k]["n_calls"] == 0 and json.loads(got[k]["json"]) == {"content": text, "role": role, "turn": k}
+    k = len(bad)
+    assert '"arguments":{"p":0,"q":1,"r":100,"s":0.1,"t":12345678901234567890}' in got[k]["json"]
+    assert '"arguments":null' in got[k + 1]["json"] and '"arguments are no object"' in got[k + 1]["json"]
+    assert got[k + 2]["n_calls"] == 3 and got[k + 2]["n_linked"] == 1 and '"id":"5"' in got[k + 2]["json"] and '"result":"[2]"' in got[k + 2]["json"]
+    assert got[k + 3]["n_linked"] == 1
+
+
+def test_levels_in_one_task_equal_rounds(spark):
+    chain = [(1, f"c{k}", [f"c{k - 1}"] if k else []) for k in range(3000)] + [(1, "c5", ["c2", "c9"]), (2, "a", ["b"]), (2, "b", ["a"]), (2, "c", ["a"]), (2, "d", []), (3, "x", ["y"]), (None, "n", []), (4, None, [])]
+    calls = spark.createDataFrame(chain, "conv_id long, id string, refs array<string>")
+    one = {tuple(r) for r in tool_calls.levels(calls).collect()}
+    assert one == {(1, f"c{k}", k) for k in range(5)} | {(2, "d", 0)}
+    short = calls.filter("id not in ('c9') and conv_id < 3 and (conv_id = 2 or cast(substr(id, 2) as int) < 8)")
+    assert {tuple(r) for r in tool_calls.levels(short, 0).collect()} == {tuple(r) for r in tool_calls.levels(short).collect()} != set()
+
+
 def test_tool_calls_of_a_hot_conversation_equal_a_plain_version(spark):
     schemas = {"find": {"properties": {"q": {"type": "string"}}, "required": ["q"]}}
     rows = []
@@ -185,7 +217,7 @@ def test_tool_calls_of_a_hot_conversation_equal_a_plain_version(spark):
             rows.append((conv, 2 * k, "assistant", json.dumps({"tool_calls": [{"id": f"c{k}", "name": "find", "arguments": arguments}]})))
             rows.append((conv, 2 * k + 1, "tool", json.dumps({"tool_call_id": f"c{k}" if k % 3 else f"no{k}", "content": str(k)})))
     messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
-    got = {(r["conv_id"], r["turn"]): r for r in tool_calls.linked(messages, schemas).collect()}
+    got = {(r["conv_id"], r["turn"]): r for r in tool_calls.linked(messages, schemas, most=100).collect()}
     assert len(got) == len(rows)
     for conv, turn, role, _ in rows:
         r, k = got[conv, turn], turn // 2
