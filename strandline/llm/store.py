@@ -28,7 +28,7 @@ class Tables:
         """Write ``df`` once and return a DataFrame that reads it back."""
         self.n += 1
         path = f"{self.at}/{self.n}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = back, path
         return back

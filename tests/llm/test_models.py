@@ -76,6 +76,29 @@ def test_ctw_matches_brute_force(spark):
     assert ctw.score(docs.limit(0)).count() == 0
 
 
+def test_ctw_blocks_may_be_read_by_several_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 7} and w{i} end " * (i % 5), "x") for i in range(60)], "doc_id long, text string, first string").repartition(2)
+    whole = sorted(map(tuple, ctw.score(docs).collect()))
+    write = ctw.Tables.write
+
+    def scattered(self, df, name):  # the rows of a block come in three tasks, each in order
+        out = write(self, df, name)
+        return out.repartition(3, F.col("place") < 9, F.col("place") < 20).sortWithinPartitions("block", "place") if name == "texts" else out
+
+    monkeypatch.setattr(ctw.Tables, "write", scattered)
+    monkeypatch.setattr(ctw.Tables, "drop", lambda *_: None)
+    parts = sorted(map(tuple, ctw.score(docs).collect()))
+    for a, b in zip(whole, parts, strict=True):
+        assert np.allclose(np.array(a, float), np.array(b, float), rtol=1e-12, atol=1e-12)
+
+
+def test_packed_numbers_return():
+    for x in (np.array([], np.uint64), np.array([1, 2**63 + 5, 7], np.uint64), np.array([1.5, -2.0]), np.array([3, 4], np.uint32)):
+        assert np.array_equal(ctw.unpacked(ctw.packed(x), x.dtype), x)
+    keys = np.array([3, 9, 2**60, 2**63 + 1], np.uint64)
+    assert np.array_equal(np.cumsum(ctw.differences(keys), dtype=np.uint64), keys)
+
+
 def test_log_gamma():
     x = np.array([0.5, 1.0, 2.5, 10.5, 1e6 + 0.5])
     assert np.allclose(ctw.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
