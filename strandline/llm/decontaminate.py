@@ -1,150 +1,126 @@
 """Benchmark passages inside documents: size-partitioned MinHash containment, verified exactly.
 
-Short test items hide in documents a thousand times their size, where a symmetric similarity is close
-to zero. So containment ``|item and document| / |item|`` is searched directly. Items are partitioned by
-the size of their shingle set. Each partition has its own sampling threshold: a shingle hash is in the
-sketch when it lies below ``2^64 / scale``, with a scale that leaves about ``SKETCH`` hashes of an item
-(all of them for items of up to ``2 * SKETCH`` shingles). A document is probed against a partition only
-if its set is large enough to contain 75 percent of the partition's smallest item, and only with its own
-hashes below the threshold. Pairs whose sketch containment reaches ``SCREEN`` are confirmed on the full
-sets: ``100 * shared >= 75 * item``.
+Short test items hide in documents a thousand times their size, where a symmetric similarity is close to
+zero. So containment ``|item and document| / |item|`` is searched directly.
+
+Partitions
+    Items are partitioned by the size ``n`` of their shingle set, a power of two at a time. Each partition has
+    its own sketch size, the number of smallest hashes that stand for an item (``sketch_size``), and its own
+    threshold, the number of them that a document must hold (``least_hits``). Where a sketch holds more than a
+    quarter of an item's shingles, up to 127, the threshold is what an item that is held by 75 percent can't
+    miss, so nothing is lost; above that it is far below what such an item misses by chance (below 1e-9).
+Search
+    Documents are read once. A bit table of fixed size in front leaves only hashes that may be in a sketch;
+    these are joined with the sketches and counted by document and item.
+Verification
+    Candidate documents are read again, and their shingles counted against the full sets of their candidate
+    items: ``100 * shared >= 75 * n``.
+
+Everything but the bit table, ``FILTER_BITS`` for a benchmark of any size, is a join of tables.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from strandline.llm.shingles import shingle_rows
-from strandline.llm.store import store
+from strandline.llm.shingles import mix, shingle_rows
+from strandline.llm.store import MOST_IDS, Tables, few
 
-SKETCH = 128
-SCREEN = 0.5
 PERCENT = 75
-#: Most item shingles that are sent to every task (8 bytes each, with 4 for the item).
-MOST_BROADCAST = 4_000_000
+LARGEST_SKETCH = 64
+LARGEST_PARTITION = 40
+#: Share of a sketch that must be found where chance decides.
+SCREEN = 0.4
+FILTER_BITS = 24
 
-SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
 
+def sketch_size(partition: int) -> int:
+    """Hashes in the sketch of an item with ``2^partition`` shingles or more, but less than twice as many."""
+    return 1 << partition if partition <= 3 else min(LARGEST_SKETCH, 3 << partition >> 2)
 
-def scale(size: int) -> int:
-    """Sampling scale of the size partition of an item: a power of two, 1 up to ``2 * SKETCH`` shingles."""
-    return 1 << max(0, (size // SKETCH).bit_length() - 1) if size >= 2 * SKETCH else 1
 
+def least_hits(partition: int) -> int:
+    """Hashes of a sketch that a document must hold."""
+    missing = (2 << partition) - 1 - -(-PERCENT * ((2 << partition) - 1) // 100)
+    sure = sketch_size(partition) - missing
+    return sure if partition < 7 else int(np.ceil(SCREEN * sketch_size(partition)))
 
-def _item_sets(batches):
+
+def _shingles(batches):
+    """id, hash for the distinct shingles of every row."""
     for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, last, shingles, edges in shingle_rows(batch.column(1)):
             sets = [np.unique(shingles[edges[i] : edges[i + 1]]) for i in range(last - first)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["item_id", "size", "shingles"],
-            )
-
-
-class Index:
-    """Item shingles sorted by hash, and for each partition its scale and smallest size."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        items = [(k, s) for k, s in items if len(s)]
-        self.ids = np.array([k for k, _ in items], dtype=np.int64)
-        self.sizes = np.array([len(s) for _, s in items], dtype=np.int64)
-        self.scales = np.array([scale(len(s)) for _, s in items], dtype=np.uint64)
-        hashes = np.concatenate([s for _, s in items]) if items else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(items)), self.sizes)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owner = hashes[order], owner[order].astype(np.int32)
-        limit = np.uint64(0xFFFFFFFFFFFFFFFF) // np.maximum(self.scales, 1)
-        self.sampled = self.hashes <= limit[self.owner] if len(items) else np.zeros(0, bool)
-        self.in_sketch = np.bincount(self.owner[self.sampled], minlength=len(items))
-        self.least = int(np.ceil(self.sizes.min(initial=1 << 40) * PERCENT / 100))
-        # A bit table in front of the search: most shingles of a document are in no item.
-        self.bits = np.zeros(1 << 22, dtype=bool)
-        self.bits[(self.hashes[self.sampled] >> np.uint64(42)).astype(np.int64)] = True
-
-    def matches(self, shingles: np.ndarray, edges: np.ndarray):
-        """``(row, item, shared)`` of confirmed pairs of the rows."""
-        long_enough = np.diff(edges) >= self.least
-        maybe = np.flatnonzero(self.bits[(shingles >> np.uint64(42)).astype(np.int64)])
-        left = np.searchsorted(self.hashes, shingles[maybe], side="left")
-        known = left < len(self.hashes)
-        known[known] = self.hashes[left[known]] == shingles[maybe[known]]
-        rows = np.unique(np.searchsorted(edges, maybe[known], side="right") - 1)
-        for row in rows[long_enough[rows]]:
-            own = np.unique(shingles[edges[row] : edges[row + 1]])
-            lo, hi = np.searchsorted(self.hashes, own, side="left"), np.searchsorted(self.hashes, own, side="right")
-            hit = np.repeat(lo, hi - lo) + (np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo))
-            owners, taken = self.owner[hit], self.sampled[hit]
-            items, counts = np.unique(owners[taken], return_counts=True)
-            for item in items[counts >= SCREEN * self.in_sketch[items]]:
-                shared = int((owners == item).sum())
-                if 100 * shared >= PERCENT * self.sizes[item]:
-                    yield int(row), int(item), shared
-
-
-def _probe(index):
-    def run(batches):
-        ix = index.value
-        for batch in batches:
-            out: list[tuple] = []
-            for first, _, shingles, edges in shingle_rows(batch.column(1)) if len(ix.ids) else ():
-                ids = batch.column(0)
-                out += [(ids[first + r].as_py(), int(ix.ids[i]), int(ix.sizes[i]), s, s / int(ix.sizes[i])) for r, i, s in ix.matches(shingles, edges)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, [pa.int64()] * 4 + [pa.float64()])], names=["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"])
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[first:last], [len(x) for x in sets])), pa.array(flat.view(np.int64))], names=["id", "hash"])
 
-    return run
+
+def _place(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _sampled_shingles(scales: list[int]):
-    """doc_id, hash for distinct document hashes that some partition samples."""
+def _places(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_place(batch.column(0).to_numpy().view(np.uint64))))], names=["place"])
+
+
+def _probe(shipped):
+    """doc_id, hash for the distinct shingles of every document that may be in a sketch."""
+
     def run(batches):
-        limit = np.uint64(0xFFFFFFFFFFFFFFFF // min(scales))
+        table = np.unpackbits(shipped.value).astype(bool)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, last, shingles, edges in shingle_rows(batch.column(1)):
-                sets = [np.unique(shingles[edges[i] : edges[i + 1]]) for i in range(last - first)]
-                sizes = [len(s) for s in sets]
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                keep = flat <= limit
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[first:last], sizes)[keep]), pa.array(flat[keep].view(np.int64))], names=["doc_id", "hash"])
+                maybe = np.flatnonzero(table[_place(shingles)])
+                row = np.searchsorted(edges, maybe, side="right") - 1
+                found = np.unique(np.stack([ids[first:last][row], shingles[maybe].view(np.int64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["doc_id", "hash"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """Pairs of a document and a test item of which it holds at least 75 percent of the shingles.
+def _by_partition(value, partition: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(value(p)) for p in range(LARGEST_PARTITION)]), partition + 1)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, most_ids: int = MOST_IDS) -> DataFrame:
+    """Pairs ``doc_id, item_id, n_item_shingles, n_shared, containment`` of a document and a test item of which
+    it holds at least 75 percent of the shingles.
 
-    The items' shingles are counted first. Up to ``most_broadcast`` of them go to every task and the
-    documents are scanned once, without a shuffle; beyond that, sampled hashes of documents and items
-    are joined instead. Null or empty texts on either side match nothing; an item or document with one
-    to four words has its whole sequence as its one shingle. Rows with a null id are ignored. Repeated
-    rows of a document or item count as one; an id with several texts has them all. Empty tables give no rows.
+    Null or empty texts on either side match nothing; an item or document with one to four words has its whole
+    sequence as its one shingle. Rows with a null id are ignored. Repeated rows of a document or item count as
+    one; an id with several texts has the shingles of all. A containment of exactly 75 percent counts; items with
+    equal texts all match. Texts of any length are hashed as a whole, in one task. Other columns, whatever their
+    names, are ignored. Empty tables give no rows. Ids of candidate documents are sent to every task if they are
+    ``most_ids`` at most, else the documents are joined by a shuffle.
     """
-    spark = docs.sparkSession
+    spark, tables = docs.sparkSession, Tables(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text")).filter("doc_id is not null")
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("item_id is not null").mapInArrow(_item_sets, "item_id long, size long, shingles array<long>")
-    items = store(items.filter("size > 0").dropDuplicates(["item_id", "shingles"]), "items")
-    total = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    if total <= most_broadcast:
-        rows = [(r["item_id"], np.array(r["shingles"], np.int64).view(np.uint64)) for r in items.orderBy("item_id").toLocalIterator()]
-        found = docs.mapInArrow(_probe(spark.sparkContext.broadcast(Index(rows))), SCHEMA)
-        return found.dropDuplicates(["doc_id", "item_id", "n_item_shingles"])
-
-    sizes = [r[0] for r in items.select(F.expr(f"floor(log2(size / {SKETCH}))").alias("p")).distinct().collect()]
-    scales = [1 << max(0, int(p)) for p in sizes]
-    one = items.select(F.monotonically_increasing_id().alias("k"), "item_id", "size", "shingles")
-    one = store(one, "item-sets")
-    factor = F.when(F.col("size") < 2 * SKETCH, 1.0).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.col("size") / SKETCH))))
-    hashed = one.select("k", factor.alias("scale"), F.explode("shingles").alias("hash"))
-    place = F.when(F.col("hash") < 0, F.col("hash").cast("double") + 2.0**64).otherwise(F.col("hash").cast("double"))
-    taken = hashed.filter(place <= F.lit(2.0**64) / F.col("scale"))
-    held = taken.groupBy("k").agg(F.count(F.lit(1)).alias("held"))
-    probes = docs.mapInArrow(_sampled_shingles(scales), "doc_id long, hash long")
-    screened = probes.join(taken.select("k", "hash"), "hash").groupBy("doc_id", "k").agg(F.countDistinct("hash").alias("hits")).join(held, "k").filter(F.col("hits") >= SCREEN * F.col("held")).select("doc_id", "k")
-    screened = store(screened, "screened")
-    own = docs.join(screened.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_item_sets, "doc_id long, size long, shingles array<long>").select("doc_id", F.col("shingles").alias("own"))
-    pairs = screened.join(own, "doc_id").join(one, "k").withColumn("n_shared", F.size(F.array_intersect("own", "shingles")).cast("long"))
-    pairs = pairs.filter(F.col("n_shared") * 100 >= F.col("size") * PERCENT)
-    return pairs.select("doc_id", "item_id", F.col("size").alias("n_item_shingles"), "n_shared", (F.col("n_shared") / F.col("size")).alias("containment")).dropDuplicates(["doc_id", "item_id", "n_item_shingles"])
+    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text")).filter("id is not null")
+    full = tables.write(items.mapInArrow(_shingles, "id long, hash long").distinct().select(F.col("id").alias("item_id"), "hash"), "items")
+    sizes = full.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = tables.write(sizes.withColumn("partition", F.floor(F.log2("n") + 1e-9).cast("int")), "sizes")
+    ranked = full.join(sizes, "item_id").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("hash")))
+    sketch = ranked.filter(F.col("rank") <= _by_partition(sketch_size, F.col("partition"))).select("item_id", "hash", _by_partition(least_hits, F.col("partition")).alias("least"))
+    sketch = tables.write(sketch, "sketches")
+
+    bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+    for row in sketch.select("hash").mapInArrow(_places, "place long").groupBy(F.expr("place div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")).toLocalIterator():
+        bits[row["word"] * 64 : row["word"] * 64 + 64] = np.unpackbits(np.array([row["bits"]], np.int64).view(np.uint8), bitorder="little")
+    probes = docs.mapInArrow(_probe(spark.sparkContext.broadcast(np.packbits(bits))), "doc_id long, hash long")
+    hits = probes.join(sketch, "hash").groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("hits"), F.min("least").alias("least"))
+    screened = tables.write(hits.filter("hits >= least").select("doc_id", "item_id"), "candidates")
+    tables.drop(sketch)
+
+    found = tables.write(screened.select("doc_id").distinct(), "documents")
+    own = docs.join(few(found, most_ids), "doc_id", "left_semi").mapInArrow(_shingles, "doc_id long, hash long").distinct()
+    wanted = screened.join(full, "item_id")
+    shared = own.join(wanted, ["doc_id", "hash"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    pairs = shared.join(sizes, "item_id").filter(f"100 * n_shared >= {PERCENT} * n")
+    return pairs.select("doc_id", "item_id", F.col("n").alias("n_item_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))

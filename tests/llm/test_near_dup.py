@@ -1,9 +1,9 @@
 import numpy as np
 import pyarrow as pa
 
-from strandline.llm import near_dup
+from strandline.llm import decontaminate, near_dup
 from strandline.llm.components import components
-from strandline.llm.decontaminate import Index, contaminated
+from strandline.llm.decontaminate import contaminated
 from strandline.llm.shingles import shingle_rows
 from strandline.llm.store import few
 from tests.llm import brute
@@ -75,7 +75,7 @@ def test_contamination_matches_brute_force(spark):
     want = brute.contaminated([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.collect()])
     assert want
     for most in (4_000_000, 0):
-        got = contaminated(docs, items, most_broadcast=most).collect()
+        got = contaminated(docs, items, most_ids=most).collect()
         assert {tuple(r)[:4] for r in got} == want and len(got) == len(want)
 
 
@@ -83,15 +83,33 @@ def test_contamination_edge_cases(spark):
     rng = np.random.default_rng(5)
     long_item = " ".join(f"v{rng.integers(0, 10**9)}" for _ in range(3000))
     item = " ".join(f"w{i}" for i in range(20))
-    docs = [(1, "x " * 30000 + item), (2, None), (3, ""), (4, "A b"), (5, item), (5, item), (6, "start " + long_item + " end"), (7, " ".join(long_item.split()[:1000]))]
-    items = [(1, item), (2, None), (3, ""), (4, "a  B"), (5, long_item), (1, item)]
-    d = spark.createDataFrame([(a, b, "z") for a, b in docs], "doc_id long, text string, item_id string")
-    b = spark.createDataFrame(items, "item_id long, text string")
-    want = brute.contaminated(docs, items)
+    docs = [(1, "x " * 30000 + item), (2, None), (3, ""), (4, "A b"), (5, item), (5, item), (6, "start " + long_item + " end"), (7, " ".join(long_item.split()[:1000])), (None, item), (8, " ".join(item.split()[:16])), (9, " ".join(item.split()[:15]))]
+    items = [(1, item), (2, None), (3, ""), (4, "a  B"), (5, long_item), (1, item), (None, item), (6, item)]
+    d = spark.createDataFrame([(a, b, "z", 5) for a, b in docs], "doc_id long, text string, item_id string, hash int")
+    b = spark.createDataFrame([(a, t, 1) for a, t in items], "item_id long, text string, n int")
+    want = brute.contaminated(*([r for r in rows if r[0] is not None] for rows in (docs, items)))
     for most in (4_000_000, 0):
-        assert {tuple(r)[:4] for r in contaminated(d, b, most_broadcast=most).collect()} == want
-    assert {(1, 1), (4, 4), (5, 1), (6, 5)} == {w[:2] for w in want}
+        assert {tuple(r)[:4] for r in contaminated(d, b, most_ids=most).collect()} == want
+    assert {(1, 1), (4, 4), (5, 1), (5, 6), (6, 5), (8, 1)} <= {w[:2] for w in want} and (9, 1) not in {w[:2] for w in want}
     assert contaminated(d.limit(0), b).count() == 0 and contaminated(d, b.limit(0)).count() == 0
+    halves = [(1, " ".join(item.split()[:12])), (1, " ".join(item.split()[8:])), (2, " ".join(item.split()[:12]))]
+    halves = spark.createDataFrame(halves, "doc_id long, text string")
+    assert {tuple(r)[:2] for r in contaminated(halves, b).collect()} == {(1, 1), (1, 6)}
+
+
+def test_sketches_are_partitioned_by_size_and_lose_nothing():
+    rng = np.random.default_rng(8)
+    for n in [*range(1, 128), 200, 255, 256, 1000, 5000]:
+        p = n.bit_length() - 1
+        k, least = decontaminate.sketch_size(p), decontaminate.least_hits(p)
+        assert 1 <= least <= k <= n and (n < 16 or k < n)
+        missing = n - -(-75 * n // 100)
+        if p < 7:
+            assert k - missing >= least  # whatever is missing
+        else:
+            held = rng.hypergeometric(n - missing, missing, k, 20000)
+            assert held.min() >= least
+    assert [decontaminate.sketch_size(p) for p in range(9)] == [1, 2, 4, 8, 12, 24, 48, 64, 64]
 
 
 def test_shingles_are_sliced_alike(monkeypatch):
@@ -104,7 +122,6 @@ def test_shingles_are_sliced_alike(monkeypatch):
     for first, last in shingles.slices(offsets, 8):
         parts.append(shingles.shingle_hashes(*shingles.word_hashes(raw, offsets[first : last + 1]))[0])
     assert np.array_equal(np.concatenate(whole), np.concatenate(parts))
-    assert len(Index([]).ids) == 0
 
 
 def test_near_duplicates_of_ids_with_several_texts(spark):
