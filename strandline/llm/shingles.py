@@ -69,6 +69,15 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def gathered(index: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit ids of the entries ``index`` one after the other, and where each ends (n + 1)."""
+    size = np.array([len(x) for x in ids], dtype=np.int64) // 4
+    first = np.cumsum(size) - size
+    table = np.frombuffer(b"".join(ids), dtype=np.int32)
+    ends = np.concatenate([[0], np.cumsum(size[index])])
+    return table[np.arange(ends[-1]) + np.repeat(first[index] - ends[:-1], size[index])], ends
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the rows, in order, and the index of the first word of each row (n + 1)."""
     low = _LOWER[raw[offsets[0] : offsets[-1]]]

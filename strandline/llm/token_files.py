@@ -6,9 +6,9 @@ neighbouring ids are replaced by new symbols, round after round, until no pair p
 stores its rules, the expanded length of each symbol, the remaining sequence and the documents' lengths,
 so any document can be expanded without the others.
 
-In one round many pairs are replaced at once: a symbol may open pairs or close pairs, never both, so
-chosen occurrences can't overlap and the order of replacement doesn't matter; a pair of equal symbols is
-replaced at every second place of a run.
+In one round many pairs are replaced at once, always the most frequent among them: a symbol may open pairs
+or close pairs, never both, so chosen occurrences can't overlap and the order of replacement doesn't matter.
+When a pair of equal symbols is the most frequent, all such pairs are replaced, at every second place of a run.
 
 Block layout (little endian): ``RPR1``, five uint32 (documents, ids, rules, symbols, alphabet), then as
 uint32 the documents' lengths, the rules' left and right symbols, the rules' lengths, the sequence.
@@ -17,22 +17,28 @@ Blocks are rows of a Parquet table, so every store that Spark reads can hold the
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.store import store
+from strandline.llm.recent import Recent
+from strandline.llm.shingles import buffers, gathered, slices
+from strandline.llm.store import few, store
 
 BLOCK = 1 << 17
-MOST_RULES = 2048
 #: A rule takes three numbers, so it pays if it shortens the sequence by four.
 LEAST_COUNT = 4
-REMEMBERED = 400_000
+#: Runs that a Python worker remembers, and the longest of them.
+REMEMBERED, LONGEST_REMEMBERED = 800_000, 64
+#: Bytes of text whose distinct runs are encoded together; a longer text stands alone.
+SLICE_BYTES = 4 << 20
 JOINED = 256
 END_ID = 1
 
@@ -41,49 +47,56 @@ def compress(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray, np
     """``(left, right, sequence)``: rule ``k`` rewrites symbol ``alphabet + k`` to its left and right symbols."""
     seq = ids.astype(np.uint32)
     lefts, rights, top = [], [], alphabet
-    while len(seq) > 1:
-        codes = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        pairs, counts = np.unique(codes, return_counts=True)
-        often = np.flatnonzero(counts >= LEAST_COUNT)
-        often = often[np.argsort(-counts[often], kind="stable")][: 4 * MOST_RULES]
-        role: dict[int, int] = {}  # 1: opens pairs, 2: closes pairs, 3: pairs with itself
-        chosen = []
-        for code in pairs[often].tolist():
-            a, b = code >> 32, code & 0xFFFFFFFF
-            if a == b:
-                if a in role:
-                    continue
-                role[a] = 3
-            elif role.get(a, 1) != 1 or role.get(b, 2) != 2:
-                continue
-            else:
-                role[a], role[b] = 1, 2
-            chosen.append(code)
-            if len(chosen) == MOST_RULES:
-                break
-        if not chosen:
+    # A pair that is rare stays rare, so only places where a pair was frequent or is new are looked at.
+    at = np.arange(len(seq) - 1) if len(seq) > 1 else np.zeros(0, np.int64)
+    while True:
+        codes = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        bits = len(at).bit_length() + 1
+        some = (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+        some = np.bincount(some, minlength=1 << bits)[some] >= LEAST_COUNT
+        at, codes = at[some], codes[some]
+        pairs, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
+        often = counts >= LEAST_COUNT
+        if not often.any():
             break
-        chosen = np.array(sorted(chosen), dtype=np.uint64)
-        opens = np.zeros(top, dtype=bool)
-        opens[(chosen >> np.uint64(32)).astype(np.int64)] = True
-        at = np.flatnonzero(opens[seq[:-1]])
-        rule = np.minimum(np.searchsorted(chosen, codes[at]), len(chosen) - 1)
-        hit = chosen[rule] == codes[at]
-        at, rule = at[hit], rule[hit]
-        same = seq[at] == seq[at + 1]
-        if same.any():
+        order = np.flatnonzero(often)
+        order = order[np.argsort(-counts[order], kind="stable")]
+        a, b = ((pairs[order] >> np.uint64(shift)).astype(np.int64) & 0xFFFFFFFF for shift in (32, 0))
+        twins = a[0] == b[0]
+        if twins:
+            chosen = order[a == b]
+        elif len(order) > 1500:
+            # Most of a symbol's frequent pairs decide whether it opens or closes; the most frequent pair always goes.
+            opens = np.bincount(a, counts[order], minlength=top) - np.bincount(b, counts[order], minlength=top)
+            opens[a[0]], opens[b[0]] = np.inf, -np.inf
+            chosen = order[(opens[a] > 0) & (opens[b] <= 0)]
+        else:
+            role: dict[int, int] = {}
+            chosen = order[[x != y and role.setdefault(x, 1) == 1 and role.setdefault(y, 2) == 2 for x, y in zip(a.tolist(), b.tolist())]]
+        chosen = np.sort(chosen)
+        rule = np.full(len(pairs), -1)
+        rule[chosen] = np.arange(len(chosen))
+        rule = rule[which]
+        hit = rule >= 0
+        if twins:
             # The k-th place of a run of one pair with itself is taken if k is even.
-            fresh = np.ones(len(at), dtype=bool)
-            fresh[1:] = (np.diff(at) != 1) | (rule[1:] != rule[:-1])
-            run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-            taken = ~same | ((np.arange(len(at)) - run) % 2 == 0)
-            at, rule = at[taken], rule[taken]
-        seq[at] = top + rule
+            place = np.flatnonzero(hit)
+            fresh = np.ones(len(place), dtype=bool)
+            fresh[1:] = np.diff(at[place]) != 1
+            run = np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))
+            hit[place[(np.arange(len(place)) - run) % 2 == 1]] = False
+        first = at[hit]
+        look = np.zeros(len(seq), dtype=bool)
+        look[at[often[which]]] = True
+        look[first] = True
+        look[np.maximum(first - 1, 0)] = look[np.maximum(first - 2, 0)] = True  # one of them stays as the place before
+        seq[first] = top + rule[hit]
         keep = np.ones(len(seq), dtype=bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        lefts.append((chosen >> np.uint64(32)).astype(np.uint32))
-        rights.append((chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        keep[first + 1] = False
+        seq, look = seq[keep], look[keep]
+        at = np.flatnonzero(look[:-1])
+        lefts.append((pairs[chosen] >> np.uint64(32)).astype(np.uint32))
+        rights.append((pairs[chosen] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         top += len(chosen)
     none = np.zeros(0, np.uint32)
     return np.concatenate([none, *lefts]), np.concatenate([none, *rights]), seq
@@ -92,9 +105,9 @@ def compress(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray, np
 def pack(documents: list[np.ndarray], alphabet: int) -> bytes:
     ids = np.concatenate([np.zeros(0, np.uint32), *documents])
     left, right, seq = compress(ids, alphabet)
-    size = np.ones(alphabet + len(left), dtype=np.int64)
-    for k in range(len(left)):
-        size[alphabet + k] = size[left[k]] + size[right[k]]
+    size = [1] * alphabet
+    for x, y in zip(left.tolist(), right.tolist()):
+        size.append(size[x] + size[y])
     head = np.array([len(documents), len(ids), len(left), len(seq), alphabet], dtype="<u4")
     body = [np.array([len(d) for d in documents]), left, right, size[alphabet:], seq]
     return b"RPR1" + head.tobytes() + b"".join(np.asarray(x).astype("<u4").tobytes() for x in body)
@@ -114,6 +127,7 @@ class Block:
         self.lengths, self.left, self.right, self.sizes, self.seq = parts
         self.edges = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
         self.ends = np.cumsum(self._size(self.seq))
+        self._rules()
 
     def _size(self, symbols):
         out = np.ones(len(symbols), dtype=np.int64)
@@ -121,14 +135,34 @@ class Block:
         out[rule] = self.sizes[symbols[rule] - self.alphabet]
         return out
 
+    def _rules(self):
+        """The ids of every rule, one after the other: each is half as long as its occurrences at least, so all fit in memory."""
+        sides = [x.astype(np.int64) - self.alphabet for x in (self.left, self.right)]
+        depth = np.zeros(len(self.left), dtype=np.int64)
+        for k, (x, y) in enumerate(zip(*(x.tolist() for x in sides))):
+            depth[k] = 1 + max(depth[x] if x >= 0 else 0, depth[y] if y >= 0 else 0)
+        self.start = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.flat = np.zeros(int(self.sizes.sum(dtype=np.int64)), dtype=np.uint32)
+        for level in range(1, int(depth.max(initial=0)) + 1):
+            own = np.flatnonzero(depth == level)
+            left_size = self._size(self.left[own])
+            for symbols, at in ((self.left[own], self.start[own]), (self.right[own], self.start[own] + left_size)):
+                size = self._size(symbols)
+                to = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                self.flat[to] = self._expand(symbols)
+
     def _expand(self, symbols):
-        while len(symbols) and (rule := symbols >= self.alphabet).any():
-            place = np.concatenate([[0], np.cumsum(rule + 1)])
-            out = np.empty(place[-1], dtype=np.uint32)
-            out[place[:-1]] = np.where(rule, self.left[np.where(rule, symbols - self.alphabet, 0)], symbols) if len(self.left) else symbols
-            out[place[:-1][rule] + 1] = self.right[symbols[rule] - self.alphabet]
-            symbols = out
-        return symbols
+        rule = symbols >= self.alphabet
+        if not rule.any():
+            return symbols
+        size = self._size(symbols)
+        first = np.zeros(len(symbols), dtype=np.int64)
+        first[rule] = self.start[symbols[rule] - self.alphabet]
+        inside = np.repeat(rule, size)
+        out = np.repeat(symbols, size)
+        place = np.arange(len(out)) - np.repeat(np.cumsum(size) - size - first, size)
+        out[inside] = self.flat[place[inside]]
+        return out
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the block, expanding only the symbols that cover them."""
@@ -151,11 +185,13 @@ _TOKENIZERS: dict[str, tuple] = {}
 
 
 class ChunkEncoder:
-    """Ids of texts by the tokenizers library, which sees each distinct run of non-space characters once.
+    """Ids of texts by the tokenizers library, which sees each distinct word once.
 
-    The tokenizer file maps white space to a separator that no token crosses, so a text's ids are those of
-    its runs in order. New runs go to the library ``JOINED`` at a time, parted by spaces; the offsets of the
-    tokens tell the runs apart. Known runs are held as the bytes of their ids.
+    The tokenizer file lower-cases and maps white space to a separator that no token crosses, so a text's
+    ids are those of its runs of other characters in order, whatever the case of A-Z. It also parts letters
+    and digits from other characters: a new run is cut into what stands before, between and after its first
+    and last letter or digit, and only parts that are new go to the library, ``JOINED`` at a time and parted
+    by spaces; the offsets of the tokens tell the parts apart. Known runs are held as the bytes of their ids.
     """
 
     def __init__(self, path: str):
@@ -165,30 +201,63 @@ class ChunkEncoder:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            _TOKENIZERS[path] = (tokenizer, {})
+            _TOKENIZERS[path] = (tokenizer, Recent(REMEMBERED))
         self.tokenizer, self.known = _TOKENIZERS[path]
         self.alphabet = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        # str.split() also cuts at U+001C to U+001F, which aren't white space to the tokenizer.
-        odd = "\x1c\x1d\x1e\x1f"
-        rows = [t.split() if not any(c in t for c in odd) else t.replace("\t", " ").replace("\n", " ").split(" ") for t in texts]
-        new = list(set(chain.from_iterable(rows)).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set(chain.from_iterable(rows)))
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows of a text column, each row closed by ``END_ID``, and where each row starts (n + 1)."""
+        column = column.cast(pa.string()).fill_null("")
+        if not pc.any(pc.match_substring(column, "<|")).as_py():  # no special token that is told by its case
+            column = pc.ascii_lower(column)
+        lists = pc.ascii_split_whitespace(column)
+        coded = lists.flatten().dictionary_encode()
+        runs, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        edged = pc.not_equal(pc.ascii_trim(coded.dictionary, characters=_OUTSIDE), coded.dictionary).to_numpy(zero_copy_only=False)
+        self._learn(self.known.missing(set(runs)), {runs[i] for i in np.flatnonzero(edged).tolist()})
+        ids, ends = gathered(index, list(map(self.known.new.__getitem__, runs)))
+        for run in runs:
+            if len(run) > LONGEST_REMEMBERED:
+                del self.known.new[run]
+        edges = ends[np.cumsum(np.concatenate([[0], lists.value_lengths().to_numpy(zero_copy_only=False)])).astype(np.int64)]
+        return np.insert(ids.view(np.uint32), edges[1:], np.uint32(END_ID)), edges + np.arange(len(edges))
+
+    def _learn(self, runs: set[str], edged: set[str]) -> None:
+        known, split = self.known.new, {run: parts(run) for run in runs & edged}
+        whole = {run for run, three in split.items() if len(three) == 1}
+        new = list((runs - edged) | whole | self.known.missing(set(chain.from_iterable(split.values())), turn=False))
         for k in range(0, len(new), JOINED):
-            self._learn(new[k : k + JOINED])
-        get, end = self.known.__getitem__, np.uint32(END_ID).tobytes()
-        return [np.frombuffer(b"".join(map(get, r)) + end, dtype=np.uint32) for r in rows]
+            self._encode(new[k : k + JOINED], known)
+        known.update((run, b"".join([known[p] for p in three])) for run, three in split.items() if len(three) > 1)
 
-    def _learn(self, words: list[str]) -> None:
+    def _encode(self, words: list[str], out: dict[str, bytes]) -> None:
         found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         starts = np.cumsum([0] + [len(w) + 1 for w in words])
         cuts = 4 * np.searchsorted(np.array([a for a, _ in found.offsets], dtype=np.int64), starts)
         ids = np.array(found.ids, dtype=np.uint32).tobytes()
         for word, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist()):
-            self.known[word] = ids[a:b]
+            out[word] = ids[a:b]
+
+
+_OUTSIDE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+
+
+def _stays_letter(c: str) -> bool:
+    """Whether a letter or digit is nothing but letters after the tokenizer's normal form and lower case."""
+    return c.isalnum() if c.isascii() else unicodedata.normalize("NFC", c).lower().isalpha()
+
+
+def parts(run: str) -> tuple[str, ...]:
+    """A run cut where its tokens part: ASCII symbols around a core that starts and ends with a letter or digit.
+
+    Special tokens and an apostrophe before the core (which may begin a token with the next letters) stay whole.
+    """
+    core = run.strip(_OUTSIDE)
+    if not core or "<|" in run or not (_stays_letter(core[0]) and _stays_letter(core[-1])):
+        return (run,)
+    at = run.index(core)
+    head, tail = run[:at], run[at + len(core) :]
+    return (run,) if head.endswith("'") else tuple(p for p in (head, core, tail) if p)
 
 
 def _blocks(path):
@@ -206,14 +275,15 @@ def _blocks(path):
             return row
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
-                for doc_id, own in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    if held and held + len(own) > BLOCK:
+            _, offsets = buffers(batch.column(1))
+            for a, b in slices(offsets, SLICE_BYTES):
+                flat, edges = encoder.encode(batch.column(1).slice(a, b - a))
+                for doc_id, start, stop in zip(batch.column(0).slice(a, b - a).to_pylist(), edges[:-1].tolist(), edges[1:].tolist()):
+                    if held and held + stop - start > BLOCK:
                         yield out()
                     ids.append(doc_id)
-                    documents.append(own)
-                    held += len(own)
+                    documents.append(flat[start:stop])
+                    held += stop - start
         if documents:
             yield out()
 
@@ -239,7 +309,7 @@ def _read(batches):
                     pa.array(doc_ids, pa.int64()),
                     pa.array(first + block.edges[:-1], pa.int64()),
                     pa.array(block.lengths.astype(np.int64)),
-                    pa.array([zlib.crc32(d.astype("<u4").tobytes()) for d in block.documents()], pa.int64()),
+                    pa.array([zlib.crc32(block.document(k).astype("<u4").tobytes()) for k in range(len(doc_ids))], pa.int64()),
                 ],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
@@ -253,5 +323,5 @@ def read_documents(blocks: DataFrame) -> DataFrame:
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("total"))
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("shard", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("base"))
-    placed = blocks.join(starts, "shard").select((F.col("base") + F.col("before")).alias("first"), "doc_ids", "data")
+    placed = blocks.join(few(store(starts, "starts")), "shard").select((F.col("base") + F.col("before")).alias("first"), "doc_ids", "data")
     return placed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
