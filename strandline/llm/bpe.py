@@ -1,5 +1,8 @@
 """Byte-level BPE encoding and decoding with a memory-mapped transducer of the corpus's frequent words.
 
+Texts are cut at single spaces between other characters: no pre-token crosses such a space but as its first
+character, so each chunk behind one is encoded once and remembered.
+
 The corpus is counted once; pre-tokens that occur at least once in every ``1 / LEXICON`` of its characters
 are compiled into a minimal acyclic automaton with shared suffixes. As every occurrence takes up its
 characters, these words have at most ``LEXICON`` characters together, whatever the corpus: that bounds the
@@ -14,6 +17,7 @@ import heapq
 import json
 import mmap
 import os
+import re
 import tempfile
 import uuid
 from bisect import bisect_left
@@ -22,23 +26,30 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.llm.recent import Recent
+from strandline.llm.shingles import buffers, gathered, slices
+
 LEXICON = 1 << 21
-#: Words that a Python worker remembers between lookups; the memory is emptied when full.
-REMEMBERED = 100_000
-#: Distinct words that a counting task holds before it passes them on.
-COUNTED = 100_000
+#: Chunks that a Python worker remembers between lookups, and their longest.
+REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
+#: Bytes of text whose distinct chunks are encoded together; a longer text stands alone.
+SLICE_BYTES = 6 << 20
+#: Distinct chunks that a counting task holds before it passes their words on.
+COUNTED = 150_000
 
 #: The published split pattern of byte-level BPE (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WHITE = r"[\t-\r \x85\xa0  -     　]"
 _SPLIT = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"(?:(?!{_WHITE})[^\p{{L}}\p{{N}}])").replace(r"(?!\S)", rf"(?={_WHITE}|\Z)").replace(r"\s", _WHITE))
-
+#: A space that can't be parted from its neighbours, and one that can.
+_AWKWARD, _PARTING = re.compile(rf" {_WHITE}|{_WHITE} "), re.compile(rf"(?<!{_WHITE}) (?!{_WHITE})")
 
 _NONE = 1 << 62
 
@@ -77,13 +88,12 @@ class Vocabulary:
         for rank, pair in enumerate(data["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
-        order = sorted(self.merges)
-        self.pair_keys = np.array([*order, 1 << 62], dtype=np.int64)
-        self.pair_values = np.array([*map(self.merges.get, order), _NONE], dtype=np.int64)
+        self._hash(np.array([*self.merges], dtype=np.int64), np.array([*self.merges.values()], dtype=np.int64))
         self.piece_size = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.piece_start = np.cumsum(self.piece_size) - self.piece_size
         self.piece_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.byte_table = np.array(self.byte_ids, dtype=np.int64)
+        self.spaced_specials = any(" " in t for t in self.special)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, word: bytes) -> tuple[int, ...]:
@@ -106,16 +116,16 @@ class Vocabulary:
                 ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], _NONE)
         return tuple(ids)
 
-    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """``merge`` of many words at once, a round at a time: every word's own best pair, leftmost first."""
-        out: list[tuple[int, ...]] = [()] * len(words)
-        lengths = np.array([len(w) for w in words], dtype=np.int64)
-        for low, width in ((0, 8), (8, 16), (16, 32)):
-            rows = np.flatnonzero((lengths > low) & (lengths <= width))
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """``merge`` of many words at once, a round at a time: every word's own best pair, leftmost first; ids as bytes."""
+        out: list[bytes] = [b""] * len(words)
+        lengths, low = np.array([len(w) for w in words], dtype=np.int64), 0
+        for width in (5, 8, 11, 14, 18, 24, 32):
+            rows, low = np.flatnonzero((lengths > low) & (lengths <= width)), width
             for k in range(0, len(rows), 8192):
                 self._merge_block([words[i] for i in rows[k : k + 8192]], rows[k : k + 8192], width, out)
         for i in np.flatnonzero(lengths > 32):
-            out[i] = self.merge(words[i])
+            out[i] = np.array(self.merge(words[i]), dtype=np.int32).tobytes()
         return out
 
     def _merge_block(self, words: list[bytes], rows: np.ndarray, width: int, out: list) -> None:
@@ -124,7 +134,7 @@ class Vocabulary:
         size = np.array([len(w) for w in words])
         ids = self.byte_table[raw]
         pairs = np.full((n, width), _NONE, dtype=np.int64)  # a pair's rank and what it becomes; the last column stays empty
-        pairs[:, :-1] = self._ranked(ids[:, :-1], ids[:, 1:])
+        pairs[:, :-1] = self._ranked(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
         pairs[np.arange(width)[None, :] >= (size - 1)[:, None]] = _NONE
         active, place = np.arange(n), np.arange(width)
         while len(active):
@@ -149,13 +159,40 @@ class Vocabulary:
             left = at > 0
             own[line[left], at[left] - 1] = self._ranked(now[line[left], at[left] - 1], now[line[left], at[left]])
             ids[active], pairs[active] = now, own
-        for i, row, length in zip(rows.tolist(), ids.tolist(), size.tolist()):
-            out[i] = tuple(row[:length])
+        flat, start = ids.astype(np.int32).tobytes(), np.arange(n) * 4 * width
+        for i, a, b in zip(rows.tolist(), start.tolist(), (start + 4 * size).tolist()):
+            out[i] = flat[a:b]
+
+    def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Pairs in an open table, at the first free place from their hash on."""
+        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.pair_keys, self.pair_values = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, _NONE, dtype=np.int64)
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.pair_keys[slot] == -1)
+            at, one = np.unique(slot[free], return_index=True)
+            placed = free[one]
+            self.pair_keys[at], self.pair_values[at] = keys[placed], values[placed]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[placed] = False
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 32 | b
-        at = np.searchsorted(self.pair_keys, key)
-        return np.where(self.pair_keys[at] == key, self.pair_values[at], _NONE)
+        slot = self._slot(key)
+        found, out = self.pair_keys[slot], self.pair_values[slot]
+        left = np.flatnonzero((found != key) & (found != -1))
+        out[found != key] = _NONE
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            found = self.pair_keys[slot[left]]
+            hit = found == key[left]
+            out[left[hit]] = self.pair_values[slot[left[hit]]]
+            left = left[~hit & (found != -1)]
+        return out
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same with a heap and links, for words of any length."""
@@ -186,6 +223,31 @@ def pieces(text: str, vocabulary: Vocabulary) -> list[str]:
     return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else _SPLIT.findall(part))]
 
 
+def chunks(text: str, vocabulary: Vocabulary) -> list[str]:
+    """The parts of a text between its parting spaces: all but the first stand behind a space of their own."""
+    if vocabulary.spaced_specials:
+        return [text]
+    return _PARTING.split(text) if _AWKWARD.search(text) else text.split(" ")
+
+
+def cut(column: pa.Array, vocabulary: Vocabulary) -> tuple[pa.Array, np.ndarray, np.ndarray | None]:
+    """The chunks of all rows, where those of each row start (n + 1), and the rows' order (None: as they stand)."""
+    column = column.cast(pa.string()).fill_null("")
+    hard = np.full(len(column), vocabulary.spaced_specials)
+    hard |= pc.match_substring_regex(column, _AWKWARD.pattern).to_numpy(zero_copy_only=False)
+    order = np.argsort(hard, kind="stable") if hard.any() else None
+    lists = [pc.split_pattern(column.filter(pa.array(~hard)), " ")]
+    if order is not None:
+        lists.append(pa.array([chunks(t, vocabulary) for t in column.filter(pa.array(hard)).to_pylist()], pa.list_(pa.string())))
+    edges = np.cumsum(np.concatenate([[0], *(x.value_lengths().to_numpy(zero_copy_only=False) for x in lists)])).astype(np.int64)
+    return pa.concat_arrays([x.flatten() for x in lists]), edges, order
+
+
+def spaced_pieces(chunk: str, vocabulary: Vocabulary) -> list[str]:
+    """Pre-tokens of a chunk behind its space."""
+    return [" " + chunk] if chunk.isalpha() else pieces(" " + chunk, vocabulary)
+
+
 class Transducer:
     """A minimal acyclic automaton over bytes that maps each of its words to a tuple of ids."""
 
@@ -263,8 +325,8 @@ class Transducer:
             return None
         return tuple(self.ids[self.start[rank] : self.start[rank + 1]])
 
-    def get_all(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
-        """``get`` of many words: all of them walk the arcs together, byte by byte."""
+    def get_all(self, words: list[bytes]) -> list[bytes | None]:
+        """``get`` of many words, ids as bytes: all of them walk the arcs together, byte by byte."""
         first, label = np.frombuffer(self.first, np.int32), np.frombuffer(self.label, np.uint8)
         target, skip, final = (np.frombuffer(x, kind) for x, kind in ((self.target, np.int32), (self.skip, np.int32), (self.final, np.uint8)))
         if self.arcs is None:  # arcs stand in order of their state and byte
@@ -285,31 +347,41 @@ class Transducer:
             rank[on] += skip[arc]
             state[on] = target[arc]
         alive &= final[state] > 0
-        return [tuple(self.ids[self.start[r] : self.start[r + 1]]) if ok else None for r, ok in zip(rank.tolist(), alive.tolist())]
+        return [self.ids[self.start[r] : self.start[r + 1]].tobytes() if ok else None for r, ok in zip(rank.tolist(), alive.tolist())]
 
 
 def _count_words(vocabulary_path):
     def run(batches):
-        vocabulary, counts = _vocabulary(vocabulary_path), Counter()
+        vocabulary, first, behind = _vocabulary(vocabulary_path), Counter(), Counter()
 
         def out():
+            counts = Counter()
+            for own, cut in ((first, pieces), (behind, spaced_pieces)):
+                for chunk, n in own.items():
+                    for word in cut(chunk, vocabulary):
+                        counts[word] += n
+                own.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                for text in batch.slice(k, 256).column(0).to_pylist():
-                    if text:
-                        counts.update(pieces(text, vocabulary))
-                        if len(counts) > COUNTED:
-                            yield out()
-                            counts.clear()
+            _, offsets = buffers(batch.column(0))
+            for a, b in slices(offsets, SLICE_BYTES):
+                values, edges, _ = cut(batch.column(0).slice(a, b - a), vocabulary)
+                body = np.ones(len(values), dtype=bool)
+                body[edges[:-1]] = False
+                first.update(values.take(pa.array(edges[:-1])).to_pylist())
+                seen = values.filter(pa.array(body)).value_counts()
+                for chunk, n in zip(seen.field("values").to_pylist(), seen.field("counts").to_pylist()):
+                    behind[chunk] += n
+                if len(behind) > COUNTED:
+                    yield out()
         yield out()
 
     return run
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
-_WORDS: dict[str, tuple[Transducer, dict]] = {}
+_WORDS: dict[str, tuple[Transducer, Recent]] = {}
 
 
 def _vocabulary(path: str) -> Vocabulary:
@@ -336,53 +408,75 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, size: int = LEXICON) ->
 
 
 class Encoder:
-    """Ids of texts in one Python worker."""
+    """Ids of texts in one Python worker, as the bytes of 32-bit integers."""
 
     def __init__(self, vocabulary_path: str, lexicon: str):
         self.vocabulary = _vocabulary(vocabulary_path)
         if lexicon not in _WORDS:
             _WORDS.clear()
-            _WORDS[lexicon] = (Transducer(SparkFiles.get(lexicon)), {})
-        self.transducer, self.known = _WORDS[lexicon]
+            _WORDS[lexicon] = (Transducer(SparkFiles.get(lexicon)), Recent(REMEMBERED))
+        self.transducer, self.behind = _WORDS[lexicon]  # what is known of chunks behind a space
 
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of new words: from the lexicon, else merged exactly."""
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words: from the lexicon, else merged exactly."""
         raw = [w.encode() for w in words]
         found = self.transducer.get_all(raw)
         unseen = [i for i, ids in enumerate(found) if ids is None]
         for i, ids in zip(unseen, self.vocabulary.merge_all([raw[i] for i in unseen])):
             special = self.vocabulary.special.get(words[i])
-            found[i] = ids if special is None else (special,)
-        self.known.update(zip(words, found))
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        rows = [pieces(t, self.vocabulary) if t else [] for t in texts]
-        every = set(chain.from_iterable(rows))
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = every
-        if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, r))) for r in rows]
-
-
-def _list_array(rows: list[list[int]]) -> pa.Array:
-    offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    values = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-
-
-def _encode(vocabulary_path, lexicon, at):
+            found[i] = ids if special is None else np.int32(special).tobytes()
+        return dict(zip(words, found))
+
+    def learn(self, heads: set[str], behind: set[str]) -> dict[str, bytes]:
+        """The ids of chunks at the start of a text, by chunk; those of chunks behind a space are then in ``self.behind.new``."""
+        new = self.behind.missing(behind)
+        split = [c for c in new if not c.isalpha()]
+        rows = [pieces(" " + c, self.vocabulary) for c in split]
+        starts = {h: pieces(h, self.vocabulary) for h in heads}
+        every = set(chain.from_iterable(rows)).union(*starts.values())
+        spaced = {w[1:] for w in every if w[0] == " "} - {""}
+        bare = [w for w in every if w[0] != " " or w == " "]
+        single = new.difference(split) | self.behind.missing(spaced - new, turn=False) | spaced & new
+        known, one = self.behind.new, self.words(bare)
+        single = list(single)
+        known.update(zip(single, self.words([" " + c for c in single]).values()))
+        one.update((" " + c, known[c]) for c in spaced)
+        known.update((c, one[r[0]] if len(r) == 1 else b"".join([one[w] for w in r])) for c, r in zip(split, rows))
+        return {h: b"".join([one[w] for w in r]) for h, r in starts.items()}
+
+    def encode(self, column: pa.Array) -> pa.ListArray:
+        """The ids of every row of a text column."""
+        values, edges, order = cut(column, self.vocabulary)
+        coded = values.dictionary_encode()
+        index, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        body = np.ones(len(index), dtype=bool)
+        body[edges[:-1]] = False
+        used = np.zeros(len(distinct), dtype=bool)
+        used[index[body]] = True
+        heads = [distinct[i] for i in index[edges[:-1]].tolist()]
+        start = self.learn(set(heads), {distinct[i] for i in np.flatnonzero(used).tolist()})
+        known, place = self.behind.new, {h: len(distinct) + k for k, h in enumerate(start)}
+        index[edges[:-1]] = [place[h] for h in heads]
+        flat, ends = gathered(index, [*(known[c] if u else b"" for c, u in zip(distinct, used.tolist())), *start.values()])
+        for c in distinct:
+            if len(c) > LONGEST_REMEMBERED:
+                known.pop(c, None)
+        out = pa.ListArray.from_arrays(pa.array(ends[edges].astype(np.int32)), pa.array(flat))
+        return out if order is None else out.take(pa.array(np.argsort(order)))
+
+
+def _encode(vocabulary_path, lexicon, at, keep, both):
     def run(batches):
         encoder = Encoder(vocabulary_path, lexicon)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids = _list_array(encoder.encode(part.column(at).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
+            _, offsets = buffers(batch.column(at))
+            for first, last in slices(offsets, SLICE_BYTES):
+                part = batch.slice(first, last - first)
+                ids = encoder.encode(part.column(at))
+                columns = {c: part.column(c) for c in keep} | {"ids": ids}
+                if both:
+                    columns["decoded"] = pa.array(decoded(ids.flatten().to_numpy(), ids.offsets.to_numpy().astype(np.int64), encoder.vocabulary), pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -411,20 +505,29 @@ def _decode(vocabulary_path, at):
     return run
 
 
-def encode(docs: DataFrame, vocabulary_path: str, size: int = LEXICON) -> DataFrame:
-    """``docs`` with ``ids array<int>``, the token ids of its whole texts (null or empty: no ids).
+def encode(docs: DataFrame, vocabulary_path: str, size: int = LEXICON, keep: list[str] | None = None, both: bool = False) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all of them) with ``ids array<int>``, the token ids of its whole texts (null
+    or empty: no ids); with ``both`` also ``decoded``, the text of these ids.
 
-    Special tokens written in a text are encoded as such, none are added. All other columns pass
-    through untouched (an input column ``ids`` is replaced); repeated rows give repeated results.
+    Special tokens written in a text are encoded as such, none are added. Pairs of equal rank don't exist,
+    and of equal pairs the leftmost merges first. A text of any length is encoded as a whole in one task; a run
+    without a parting space is merged in time n log n. All other columns pass through untouched, whatever
+    their names (an input column ``ids``, or ``decoded`` with ``both``, is replaced); repeated rows give repeated results; an empty table
+    gives no rows.
     """
-    lexicon = build_lexicon(docs, vocabulary_path, size)
-    docs = docs.drop("ids")
-    schema = T.StructType([*docs.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(_encode(vocabulary_path, lexicon, docs.columns.index("text")), schema)
+    lexicon, made = build_lexicon(docs, vocabulary_path, size), ["ids", "decoded"] if both else ["ids"]
+    docs = docs.drop(*made)
+    keep = [c for c in docs.columns if keep is None or c in keep]
+    schema = T.StructType([docs.schema[c] for c in keep]).add("ids", T.ArrayType(T.IntegerType()))
+    return docs.mapInArrow(_encode(vocabulary_path, lexicon, docs.columns.index("text"), keep, both), schema.add("decoded", T.StringType()) if both else schema)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
-    """``encoded`` with ``decoded string``, the text of its ``ids`` (null: null; bytes that are no UTF-8: U+FFFD)."""
+    """``encoded`` with ``decoded string``, the text of its ``ids`` (null: null; bytes that are no UTF-8: U+FFFD).
+
+    Other columns pass through (an input column ``decoded`` is replaced); repeated rows give repeated
+    results; an empty table gives no rows; a row of any length is decoded as a whole.
+    """
     encoded = encoded.drop("decoded")
     schema = T.StructType([*encoded.schema, T.StructField("decoded", T.StringType())])
     return encoded.mapInArrow(_decode(vocabulary_path, encoded.columns.index("ids")), schema)

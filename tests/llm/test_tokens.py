@@ -2,10 +2,12 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandline.llm import bpe, token_files
+from strandline.llm import bpe, recent, token_files
 
 SF = "/root/testdata/sf0.01"
 P = pytest.importorskip("public_tokenizers")
@@ -32,6 +34,8 @@ def test_bpe_equals_the_library(spark):
             ids = library.encode(t or "", add_special_tokens=False).ids
             assert got[i]["ids"] == ids, (i, t)
             assert got[i]["decoded"] == library.decode(ids, skip_special_tokens=False)
+        again = bpe.encode(docs.withColumn("ids", F.lit(1)), BYTE, size=size, keep=["doc_id", "ids"], both=True)
+        assert again.columns == ["doc_id", "ids", "decoded"] and {r[0]: (r[1], r[2]) for r in again.collect()} == {i: (r["ids"], r["decoded"]) for i, r in got.items()}
         rows, docs = rows[: len(ODD)], docs.filter(f"doc_id < {len(ODD)}")
     assert bpe.encode(docs.limit(0), BYTE).count() == 0
 
@@ -85,3 +89,38 @@ def test_repair_round_trip_and_random_access():
     for a, b in rng.integers(0, len(every), (200, 2)):
         assert np.array_equal(block.ids(min(a, b), max(a, b)), every[min(a, b) : max(a, b)])
     assert token_files.Block(token_files.pack([], 10)).documents() == []
+
+
+def test_chunks_between_spaces_are_independent():
+    rng = np.random.default_rng(4)
+    letters = [" ", " ", "\n", "\t", "\xa0", " ", "a", "B", "é", "'s", "1", "!", "<|endoftext|>", "\x1c", "日", "\x85", "​"]
+    vocabulary, library = bpe.Vocabulary(BYTE), Tokenizer.from_file(BYTE)
+    for _ in range(4000):
+        text = "".join(rng.choice(letters, rng.integers(0, 12)))
+        head, *rest = bpe.chunks(text, vocabulary)
+        words = [w for part in (head, *(" " + r for r in rest)) for w in bpe.pieces(part, vocabulary)]
+        assert words == bpe.pieces(text, vocabulary), text
+        ids = [i for w in words for i in ([vocabulary.special[w]] if w in vocabulary.special else vocabulary.merge(w.encode()))]
+        assert ids == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_runs_are_cut_where_the_library_cuts(spark):
+    rng = np.random.default_rng(6)
+    letters = [" ", "\n", "\xa0", "a", "B", "É", "'s", "'", "LL", "1", "!", "(", "\"", "<|endoftext|>", "<|", "\x1c", "日", "̸", "<", "Σ", "İ", "…", "²", "\u0958", "ß", "ﬁ", "\u0345", "\u1e9e"]
+    library, encoder = Tokenizer.from_file(WORD), token_files.ChunkEncoder(WORD)
+    texts = ["".join(rng.choice(letters, rng.integers(0, 10))) for _ in range(4000)] + [None, "The THE (the) 'the the' don't DON'T, 'S 'tis" * 3]
+    for k in range(0, len(texts), 50):
+        own = texts[k : k + 50]
+        flat, edges = encoder.encode(pa.array(own, pa.string()))
+        for i, t in enumerate(own):
+            assert flat[edges[i] : edges[i + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids + [1], t
+
+
+def test_recent_keeps_what_is_asked_for():
+    known = recent.Recent(8)
+    for turn in range(50):
+        keys = {"always", f"k{turn}", f"l{turn}"}
+        new = known.missing(keys)
+        assert new == keys - ({"always"} if turn else set())
+        known.new.update((k, k) for k in new)
+        assert all(known.new[k] == k for k in keys) and len(known.new) + len(known.old) <= 8
