@@ -1,18 +1,28 @@
 """Personal data replaced by surrogates of the same type, gender, script and format.
 
 A surrogate comes from a keyed permutation: the characters of a value, each within its own alphabet
-(digits, lower- or upper-case letters, vowels and consonants of a script for names), are read as one
-number, moved by one step along a secret cycle of all numbers of that shape, and written back. So the
-same value has the same surrogate everywhere (coreference), different values have different surrogates
-(distinctness), none is its own, and punctuation, length, case, script, issuer digit and check digit stay.
-Listed first names permute within their gender and script. A Spark job still checks the distinct entities
-of the corpus for collisions; should two values meet, all surrogates are drawn anew under the next key.
+(digits, lower- or upper-case letters), are read as one number, moved by one step along a secret cycle of all
+numbers of that shape, and written back. So the same value has the same surrogate everywhere (coreference),
+different values have different surrogates (distinctness), none is its own, and punctuation, length, case,
+script, issuer digit and check digit stay. Whoever has the key can undo it; there is no default key.
+
+Names go word by word, so that a person keeps a surrogate under title, full name and surname. Listed given
+names permute within their gender and script, listed Chinese surnames among themselves. Other Latin, Cyrillic
+and Greek words become pronounceable names of their script: the word's number, moved along the cycle of all
+words that need as many syllables, is spelt in syllables, with an ending for feminine or other names as the
+word's own last letter tells. Words of other scripts permute within the letters of their Unicode block. Once a
+text names a person, the words of that name are replaced wherever they stand in it.
+
+A Spark job checks the distinct entities of the corpus: should two values of a kind meet, or a surrogate be
+another value of the corpus, the next key is tried; of ``TRIES`` keys the one with the fewest such values stays
+(none that meet; of small sets, like given names or a block of numbers, some are always in the corpus).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +31,10 @@ from pyspark.sql import types as T
 
 from strandline.llm.store import store
 
-KEY = "set your own secret"
+#: Keys that are tried, and the longest local part of a mail address.
+TRIES, LONGEST_LOCAL = 4, 320
+#: Characters of a value that are read as one number, and of a word that is spelt in syllables.
+CHUNK, LONGEST_NAME = 64, 32
 
 # Given names by script and gender, and titles by gender.
 GIVEN = {
@@ -32,6 +45,9 @@ GIVEN = {
 }
 TITLES = "Mr. Mrs. Ms. Mr Mrs Ms Miss Dr. Dr Prof. Herr Frau Señor Señora Sr. Sra. Monsieur Madame Mme".split()
 
+#: The commonest Chinese surnames.
+HAN_SURNAMES = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段钱汤尹黎易常武乔贺赖龚文"
+
 _LISTED = {name: (names, names.index(name)) for names in GIVEN.values() for name in names}
 _WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _CAPITAL = rf"(?=[^\W\d_a-zß-öø-ÿа-я]){_WORD}"
@@ -39,7 +55,6 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _SOLID = re.compile(
     "|".join(
         [
-            r"(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
             r"(?P<key>\bAKIA[0-9A-Z]{12,20}\b)",
             r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?(?P<secret>[^\s\"',;]{6,})",
             r"(?P<hex>\b(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,128}\b)",
@@ -51,21 +66,50 @@ _SOLID = re.compile(
         ]
     )
 )
+_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,63}")
+_CAPITALS = re.compile(_CAPITAL)
 _TITLED = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\s+(?P<person>{_CAPITAL}(?:[ ]{_CAPITAL}){{0,2}})")
 _NAMED = re.compile(rf"\b(?P<person>(?:{'|'.join(sorted(_LISTED, key=len, reverse=True))})[ ]{_CAPITAL})")
 _TRIGGER = re.compile(r"@|AKIA|(?i:password|passwd|pwd|secret|token|api)")
 _DIGIT = re.compile(r"\d")
 
 
+def _mails(text: str):
+    """From each at sign, forwards to the end of a domain and back over at most ``LONGEST_LOCAL`` characters."""
+    at, end = text.find("@"), 0
+    while at >= 0:
+        if domain := _DOMAIN.match(text, at + 1):
+            first, least = at, max(end, at - LONGEST_LOCAL)
+            while first > least and (text[first - 1].isalnum() or text[first - 1] in "_.%+-"):
+                first -= 1
+            if first < at:
+                end = domain.end()
+                yield first, end, "email"
+        at = text.find("@", at + 1)
+
+
+def _people(text: str):
+    """Persons by title or given name, then every other place of a word of their names."""
+    found = [(*m.span("person"), "person") for m in _TITLED.finditer(text)] if any(t in text for t in TITLES) else []
+    if any(n in text for n in _LISTED):
+        found += [(*m.span("person"), "person") for m in _NAMED.finditer(text)]
+    found = [(a, b - 2, kind) if text[b - 2 : b] in ("'s", "’s") and b - 2 > a else (a, b, kind) for a, b, kind in found]
+    names = {w for a, b, _ in found for w in text[a:b].split(" ") if len(w) > 2 or w and not w.isascii()}
+    names |= {w.upper() for w in names}
+    if names:
+        for m in _CAPITALS.finditer(text):
+            word = m.group().removesuffix("'s").removesuffix("’s")
+            if word in names:
+                found.append((m.start(), m.start() + len(word), "person"))
+    return found
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
-    """Start, end and kind of the entities of a text, in order, without overlaps."""
-    found = []
+    """Start, end and kind of the entities of a text, in order, without overlaps: of two, the one that starts first, then the longer."""
+    found = [*_mails(text)]
     if _DIGIT.search(text) or _TRIGGER.search(text):
         found += [(*m.span(m.lastgroup), m.lastgroup) for m in _SOLID.finditer(text)]
-    if any(t in text for t in TITLES):
-        found += [(*m.span("person"), "person") for m in _TITLED.finditer(text)]
-    if any(n in text for n in _LISTED):
-        found += [(*m.span("person"), "person") for m in _NAMED.finditer(text)]
+    found += _people(text)
     out, end = [], 0
     for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
         if a >= end:
@@ -82,7 +126,50 @@ _DIGITS, _HEX = ["0123456789"], ["0123456789abcdef"]
 #: For hex with an upper-case letter: letters stay letters of their case, so no value meets one in lower case.
 _HEX_CASED = [*_DIGITS, *_both("abcdef")]
 _LETTERS = [*_DIGITS, *_both("abcdefghijklmnopqrstuvwxyz"), *_both("абвгдежзийклмнопрстуфхцчшщъыьэюя")]
-_NAMES = [*_both("aeiou"), *_both("bcdfghjklmnpqrstvwxyz"), *_both("áéíóúàèùâêîôûäëïöü"), *_both("ñç"), *_both("аеёиоуыэюя"), *_both("бвгджзйклмнпрстфхцчшщ"), *_both("αεηιουω"), *_both("βγδζθκλμνξπρστφχψ")]
+
+
+class Syllables:
+    """Names spelt in syllables of one script: no two numbers and no two endings give one name.
+
+    A syllable is an onset, a vowel and perhaps a closing consonant. No onset of two letters starts with a
+    closing consonant, so a name can be read back in one way only. With ``marks`` the first vowel has an accent.
+    """
+
+    def __init__(self, letters: str, onsets: str, vowels: str, closing: str, endings: tuple[str, str], feminine: str, marks: str = ""):
+        self.letters, self.vowels, self.endings, self.feminine, self.marks = "".join(sorted(letters)), vowels, endings, feminine, marks
+        self.place = {c: k for k, c in enumerate(self.letters)}
+        self.syllables = [a + b + c for a in onsets.split() for b in vowels for c in ("", *closing)]
+
+    def name(self, word: str, key: bytes, tweak: str) -> str:
+        number = 0  # of the word among all words of these letters, shorter ones first
+        for c in word:
+            number = number * len(self.letters) + self.place[c] + 1
+        number, count, room = number - 1, 2, len(self.syllables) ** 2
+        while number >= room:
+            number, room, count = number - room, room * len(self.syllables), count + 1
+        number = Permutation(key, f"{tweak}\1{self.letters}{count}", room).step(number)
+        out = []
+        for _ in range(count):
+            number, k = divmod(number, len(self.syllables))
+            out.append(self.syllables[k])
+        new = "".join(reversed(out)) + self.endings[not word.endswith(tuple(self.feminine))]
+        if self.marks:
+            at = next(i for i, c in enumerate(new) if c in self.vowels)
+            new = new[:at] + self.marks[self.vowels.index(new[at])] + new[at + 1 :]
+        return new
+
+
+_PLAIN = "abcdefghijklmnopqrstuvwxyz"
+_MARKED = "".join(chr(c) for c in (*range(0xDF, 0xF7), *range(0xF8, 0x180)) if chr(c).islower() and len(chr(c).upper()) == 1 and chr(c).upper().lower() == chr(c)) + "ß"
+_CYRILLIC = "".join(map(chr, range(0x430, 0x460)))
+_GREEK = "".join(chr(c) for c in range(0x3AC, 0x3CF))
+_ONSETS = "b c d f g h j k l m n p r s t v w z br dr gr kr pr tr bl fl kl st"
+SCRIPTS = (
+    Syllables(_PLAIN, _ONSETS, "aeiou", "lmnr", ("na", "der"), "a"),
+    Syllables(_PLAIN + _MARKED, _ONSETS, "aeiou", "lmnr", ("na", "der"), "aá", "áéíóú"),
+    Syllables(_CYRILLIC, "б в г д ж з к л м н п р с т ф х ч ш бр др гр кр пр тр бл кл ст", "аеиоу", "лмнр", ("ова", "ов"), "ая"),
+    Syllables(_GREEK, "β γ δ ζ θ κ λ μ ν π ρ σ τ φ χ δρ γρ κρ πρ τρ θρ στ", "αειου", "λμνρ", ("ιδου", "ιδης"), "αηάή", "άέίόύ"),
+)
 
 
 class Permutation:
@@ -127,7 +214,16 @@ class Permutation:
 
 
 def permuted(value: str, alphabets: list[str], key: bytes, tweak: str) -> str:
-    """``value`` with each character replaced within its alphabet; others stay and belong to the tweak."""
+    """``value`` with each character replaced within its alphabet; others stay and belong to the tweak.
+
+    Longer values go ``CHUNK`` characters at a time, each under a tweak that knows all before it.
+    """
+    if len(value) > CHUNK:
+        before, out = hashlib.blake2b(tweak.encode(), key=key), []
+        for k in range(0, len(value), CHUNK):
+            out.append(permuted(value[k : k + CHUNK], alphabets, key, f"{tweak}\3{before.hexdigest()}"))
+            before.update(value[k : k + CHUNK].encode("utf-8", "surrogatepass"))
+        return "".join(out)
     places = [next(((a, a.index(c)) for a in alphabets if c in a), None) for c in value]
     if not any(places):
         return value
@@ -152,14 +248,43 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+_BLOCKS: dict[tuple[int, str], str] = {}
+
+
+def _block(c: str) -> str:
+    """The letters of a character's category in its Unicode block of 256 places; of all Chinese ones that aren't listed surnames, or all Korean ones."""
+    at = ord(c)
+    first, last = (0x4E00, 0xA000) if 0x4E00 <= at < 0xA000 else (0xAC00, 0xD7A4) if 0xAC00 <= at < 0xD7A4 else (at & ~255, (at & ~255) + 256)
+    kind = unicodedata.category(c)
+    if (first, kind) not in _BLOCKS:
+        _BLOCKS[first, kind] = "".join(x for x in map(chr, range(first, last)) if unicodedata.category(x) == kind and x not in HAN_SURNAMES)
+    return _BLOCKS[first, kind]
+
+
+def _cased(new: str, old: str) -> str:
+    """``new`` in the case of ``old``: small, capitalised, capitals, or with a second capital inside."""
+    if old == old.lower():
+        return new
+    if old == old.upper() and len(old) > 1:
+        return new.upper()
+    new, inner = new.capitalize(), next((i for i, c in enumerate(old[1:-1], 1) if c.isupper()), 0)
+    return new[:inner] + new[inner].upper() + new[inner + 1 :] if 0 < inner < len(new) else new
+
+
 def _person(word: str, key: bytes) -> str:
     if word in _LISTED:
         names, at = _LISTED[word]
         return names[Permutation(key, "given\1" + names[0], len(names)).step(at)]
-    out = permuted(word, _NAMES, key, "name")
-    while out in _LISTED and out != word:  # stay among the names that aren't listed
-        out = permuted(out, _NAMES, key, "name")
-    return out
+    low = word.lower()
+    if len(word) == 1 and word.isascii():
+        return permuted(word, _LETTERS, key, "initial")
+    for script in SCRIPTS if len(low) <= LONGEST_NAME else ():
+        if all(c in script.place for c in low):
+            # A case that isn't one of the usual three is part of the word.
+            usual = word in (low, low.upper(), low.capitalize())
+            return _cased(script.name(low, key, "name" if usual else "name" + "".join("ul"[c.islower()] for c in word)), word)
+    alphabets = [HAN_SURNAMES, *dict.fromkeys(_block(c) for c in word if c.isalpha() and c not in HAN_SURNAMES)]
+    return permuted(word, alphabets, key, "name")
 
 
 def surrogate(kind: str, value: str, key: bytes) -> str:
@@ -214,10 +339,10 @@ def _entities(at):
     return run
 
 
-def _surrogates(key):
+def _surrogates(key, draw):
     def run(batches):
         for batch in batches:
-            new = [surrogate(k, v, key) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            new = [draw(k, v, key) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=["kind", "value", "surrogate"])
 
     return run
@@ -228,13 +353,15 @@ def entities(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_entities(0), "kind string, value string").distinct()
 
 
-def collisions(found: DataFrame, key: bytes) -> DataFrame:
-    """Surrogates shared by several values of a kind."""
-    drawn = found.mapInArrow(_surrogates(key), "kind string, value string, surrogate string")
-    return drawn.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+def collisions(found: DataFrame, key: bytes, draw=surrogate) -> tuple[int, int]:
+    """Surrogates shared by several values of a kind, and surrogates that are a value of their kind in the corpus."""
+    drawn = found.mapInArrow(_surrogates(key, draw), "kind string, value string, surrogate string")
+    both = drawn.select("kind", F.col("surrogate").alias("x"), F.lit(1).alias("new")).unionByName(found.select("kind", F.col("value").alias("x"), F.lit(0).alias("new")))
+    each = both.groupBy("kind", "x").agg(F.sum("new").alias("new"), F.count_if(F.col("new") == 0).alias("old"))
+    return tuple(each.agg(F.count_if(F.col("new") > 1), F.count_if((F.col("new") > 0) & (F.col("old") > 0))).first())
 
 
-def _replace(at, key):
+def _replace(at, key, draw):
     def run(batches):
         known: dict[tuple[str, str], str] = {}
         for batch in batches:
@@ -248,7 +375,7 @@ def _replace(at, key):
                         if (kind, value) not in known:
                             if len(known) > 100_000:
                                 known.clear()
-                            known[kind, value] = surrogate(kind, value, key)
+                            known[kind, value] = draw(kind, value, key)
                         parts += [text[end:a], known[kind, value]]
                         end = b
                     text = "".join(parts) + text[end:]
@@ -260,15 +387,27 @@ def _replace(at, key):
     return run
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def chosen_version(found: DataFrame, key: str, draw=surrogate, tries: int = TRIES) -> int:
+    """The first version of a key without a collision, or of ``tries`` the one with the fewest."""
+    counts = []
+    for version in range(tries):
+        counts.append(collisions(found, derived(key, version), draw))
+        if counts[-1] == (0, 0):
+            break
+    return min(range(len(counts)), key=counts.__getitem__)
+
+
+def pseudonymised(docs: DataFrame, key: str, draw=surrogate) -> DataFrame:
     """``docs`` with surrogates in ``text`` and their number in ``n_entities`` (null text: null and 0).
 
-    All other columns pass through (an input column ``n_entities`` is replaced). Repeated rows give
-    repeated results. An empty table gives no rows.
+    ``key`` is a secret of the caller. Of entities that overlap the one that starts first is taken, then the
+    longer. A text of any length is searched as a whole, in time linear in its length. All other columns,
+    whatever their names, pass through (an input column ``n_entities`` is replaced). Repeated rows give
+    repeated results; equal values have one surrogate in all rows. An empty table gives no rows.
     """
-    found, version = store(entities(docs), "entities"), 0
-    while collisions(found, derived(key, version)).limit(1).count():
-        version += 1
+    if not key:
+        raise ValueError("surrogates need a key")
+    version = chosen_version(store(entities(docs), "entities"), key, draw)
     docs = docs.drop("n_entities")
     schema = T.StructType([*docs.schema, T.StructField("n_entities", T.LongType())])
-    return docs.mapInArrow(_replace(docs.columns.index("text"), derived(key, version)), schema)
+    return docs.mapInArrow(_replace(docs.columns.index("text"), derived(key, version), draw), schema)

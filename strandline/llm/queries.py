@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def secret() -> str:
+    """The key of surrogates: in ``STRANDLINE_PII_KEY``, else a new one for this run."""
+    return os.environ.get("STRANDLINE_PII_KEY") or secrets.token_hex(16)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,8 +37,7 @@ def op1_decontaminate(spark, sf_dir):
 
 
 def op2_bpe(spark, sf_dir):
-    path = tokenizer("byte_bpe_50k.json")
-    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    done = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), keep=["doc_id"], both=True)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -82,7 +87,7 @@ def op4_tool_calls(spark, sf_dir):
 
 
 def op5_pii(spark, sf_dir):
-    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), secret())
 
 
 def op6_langid(spark, sf_dir):
