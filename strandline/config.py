@@ -7,6 +7,9 @@ import json
 from dataclasses import asdict, dataclass
 
 
+# The names and default values of the settings below.
+
+
 @dataclass(frozen=True)
 class TrackerConfig:
     track_thresh: float = 0.6

@@ -68,8 +68,8 @@ def expanded(b: Box, e: float) -> Box:
 
 
 def scaled(b: Box, scale: float = 1.2) -> Box:
-    """A box scaled about its center."""
-    dx, dy = (size * ((scale - 1) / 2) for size in (b.width, b.height))
+    """A box whose sides each move outwards by half of ``scale`` times its extent."""
+    dx, dy = (size * (scale / 2) for size in (b.width, b.height))
     return Box(b.x1 - dx, b.y1 - dy, b.x2 + dx, b.y2 + dy)
 
 

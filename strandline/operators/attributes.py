@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from strandline.config import NumberConfig
 from strandline.functions.geometry import box, clamped, torso_box, torso_rows
 from strandline.operators.series import back_filled
+from strandline.session import written
 
 
 def model(load: Callable[[], Callable[[pd.Series], pd.Series]], returns: str):
@@ -25,9 +27,9 @@ def model(load: Callable[[], Callable[[pd.Series], pd.Series]], returns: str):
     return scored
 
 
-def person_crops(observations: DataFrame, width: int, height: int) -> DataFrame:
+def person_crops(observations: DataFrame, width: int | Column, height: int | Column) -> DataFrame:
     """Observations with their whole-pixel box inside the image (``crop_*``); those without any are dropped."""
-    inside = clamped(box(), F.lit(width), F.lit(height))
+    inside = clamped(box(), *[x if isinstance(x, Column) else F.lit(x) for x in (width, height)])
     return observations.withColumns({f"crop_{n}": c for n, c in zip(box()._fields, inside)}).filter("crop_x1 is not null")
 
 
@@ -46,16 +48,19 @@ def torso_crops(crops: DataFrame, config: NumberConfig = NumberConfig()) -> Data
 def without_outliers(series: DataFrame, k: float = 0.5, least: int = 3) -> DataFrame:
     """Rows whose embedding isn't further from its series' mean than ``k`` standard deviations above the mean distance.
 
-    Series of fewer than ``least`` rows stay whole. Sums are taken per dimension before the shuffle, and the
-    statistics (one row per series) are joined back, so no series is gathered.
+    Series of fewer than ``least`` rows stay whole; a row without an embedding isn't judged and stays. Means are one vector
+    for each series and task before the shuffle, and the statistics (one row per series) are joined back, so no
+    series is gathered. Distances are written once, as they are read twice.
     """
-    parts = series.select("track_id", F.posexplode("embedding").alias("pos", "x"))
-    means = parts.groupBy("track_id", "pos").agg(F.avg("x").alias("m")).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("ms"))
-    means = means.select("track_id", F.transform("ms", lambda s: s["m"]).alias("mean"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    means = series.filter("embedding is not null").groupBy("track_id").agg(Summarizer.mean(array_to_vector("embedding")).alias("m")).select("track_id", vector_to_array("m").alias("mean"))
     squares = F.zip_with("embedding", "mean", lambda a, b: (a - b) * (a - b))
-    far = series.join(means, "track_id").withColumn("distance", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)))
-    stats = far.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("avg"), F.stddev_pop("distance").alias("std"))
-    kept = far.join(stats, "track_id").filter((F.col("n") < least) | (F.col("distance") - F.col("avg") <= F.col("std") * k))
+    far = series.join(means, "track_id", "left").withColumn("distance", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)))
+    far = written(far.select(*series.columns, "distance"), "distances")
+    stats = far.groupBy("track_id").agg(F.count("distance").alias("n"), F.avg("distance").alias("avg"), F.stddev_pop("distance").alias("std"))
+    kept = far.join(stats, "track_id").filter(F.col("distance").isNull() | (F.col("n") < least) | (F.col("distance") - F.col("avg") <= F.col("std") * k))
     return kept.select(*series.columns, "distance")
 
 
@@ -110,8 +115,6 @@ def team_clusters(series: DataFrame, components: int = 3, teams: int = 2, starts
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
-    from strandline.session import written
-
     players = F.col("role") == "player"
     base = series.select("track_id", "idx", "role", array_to_vector("embedding").alias("features"))
     if base.filter(players).limit(2).count() < 2:
@@ -120,3 +123,46 @@ def team_clusters(series: DataFrame, components: int = 3, teams: int = 2, starts
     fits = [KMeans(k=teams, seed=42 + s, featuresCol="reduced", predictionCol="team").fit(reduced.filter(players)) for s in range(starts)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(reduced).select("track_id", "idx", F.when(players, F.col("team")).alias("team"))
+
+
+@dataclass(frozen=True)
+class Models:
+    """Column functions, e.g. from ``model``. A person is a struct of the image's ``content`` and the crop's corners;
+    a torso adds the corners of its box in the crop. Without ``pose`` the middle rows of a crop are its torso."""
+
+    legibility: Callable[[Column], Column]
+    read: Callable[[Column], Column]
+    features: Callable[[Column], Column]
+    pose: Callable[[Column], Column] | None = None
+
+
+def person_torsos(observations: DataFrame, images: DataFrame, pose: Callable[[Column], Column] | None = None, config: NumberConfig = NumberConfig()) -> DataFrame:
+    """Observations that show something, with ``person`` and ``torso`` structs for models.
+
+    ``images`` has ``sequence_id, frame_idx, width, height, content``. An image meets the array of its boxes, so
+    its bytes are shuffled once, whatever the number of persons in it.
+    """
+    keys, corners = ["sequence_id", "frame_idx"], list(box()._fields)
+    rest = [c for c in observations.columns if c not in keys]
+    frames = observations.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("objects"))
+    rows = images.join(frames, keys).select(*keys, "width", "height", "content", F.explode("objects").alias("o")).select(*keys, "width", "height", "content", "o.*")
+    rows = person_crops(rows, F.col("width"), F.col("height"))
+    person = F.struct("content", *[F.col(f"crop_{c}").alias(c) for c in corners])
+    rows = rows.withColumns({"person": person, "crop_w": F.col("crop_x2") - F.col("crop_x1"), "crop_h": F.col("crop_y2") - F.col("crop_y1")})
+    points = F.lit(None).cast("array<struct<name:string,x:double,y:double,score:double>>") if pose is None else pose(F.col("person"))
+    rows = torso_crops(rows.withColumn("points", points), config)
+    return rows.select(*keys, *rest, "person", F.struct("person", F.col("torso").alias("box")).alias("torso"))
+
+
+def predict_attributes(observations: DataFrame, images: DataFrame, models: Models, config: NumberConfig = NumberConfig()) -> DataFrame:
+    """Observations with ``jersey, confidence, entropy, team``, in three phases.
+
+    Torsos are cut out; numbers are read from those that pass the outlier filter and are legible. Teams are
+    clusters of the features of all torsos, filtered or not. Then both go back to the observations: none has
+    null, 0 and 1 for its number, and only players (``role``) have a team. ``track_id, idx`` is an observation.
+    """
+    shown = written(person_torsos(observations, images, models.pose, config), "torsos")
+    crops = shown.select("track_id", "idx", "embedding", F.struct("person", "torso").alias("crop"))
+    numbered = predict_numbers(observations, crops, lambda c: models.legibility(c["person"]), lambda c: models.read(c["torso"]), config)
+    teams = team_clusters(shown.select("track_id", "idx", "role", models.features(F.col("torso")).alias("embedding")))
+    return numbered.join(teams.filter("team is not null"), ["track_id", "idx"], "left")

@@ -30,15 +30,18 @@ def box_pairs(left: DataFrame, right: DataFrame, measure: Callable[[Box, Box], C
 def best_overlap(tracks: DataFrame, detections: DataFrame, carry: list[str], least: float = 0.5, keys: list[str] = ("frame_idx",)) -> DataFrame:
     """Each track box with the detection that overlaps it most, if that is more than ``least``; else nulls.
 
-    Of equal overlaps the smallest ``det_idx`` wins. The best one is an aggregate, so candidates are reduced
-    before the shuffle. One join serves class, ground truth and embeddings (``carry``).
+    Of equal overlaps the smallest ``det_idx`` wins. One left join inside the frames serves class, ground truth
+    and embeddings (``carry``), and the best one is an aggregate that needs no further shuffle. ``trk_idx`` is
+    unique in a frame.
     """
     keys = list(keys)
-    right = detections.select(*keys, F.col("det_idx"), *[F.col(c).alias("r_" + c) for c in Box._fields], *[F.col(c).alias("c_" + c) for c in carry])
-    near = tracks.join(right, keys).withColumn("iou", iou(box(), box("r_"))).filter(F.col("iou") > least)
-    payload = F.struct("det_idx", "iou", *[F.col("c_" + c).alias(c) for c in carry])
-    best = near.groupBy(*keys, "trk_idx").agg(F.max_by(payload, F.struct("iou", -F.col("det_idx"))).alias("best"))
-    return tracks.join(best, [*keys, "trk_idx"], "left").select(*tracks.columns, "best.*")
+    right = detections.select(*[F.col(k).alias("k_" + k) for k in keys], F.col("det_idx").alias("c_det_idx"), *[F.col(c).alias("r_" + c) for c in Box._fields], *[F.col(c).alias("c_" + c) for c in carry])
+    measure = iou(box(), box("r_"))
+    near = tracks.join(right, [*[F.col(k) == F.col("k_" + k) for k in keys], measure > least], "left").withColumn("c_iou", measure)
+    payload = F.struct(*[F.col("c_" + c).alias(c) for c in ("det_idx", "iou", *carry)])
+    own = [c for c in tracks.columns if c not in (*keys, "trk_idx")]
+    best = near.groupBy(*keys, "trk_idx").agg(*[F.any_value(c).alias(c) for c in own], F.max_by(payload, F.when(F.col("c_det_idx").isNotNull(), F.struct("c_iou", -F.col("c_det_idx")))).alias("best"))
+    return best.select(*tracks.columns, "best.*")
 
 
 def transferred(tracks: DataFrame, detections: DataFrame) -> DataFrame:
@@ -107,6 +110,12 @@ def composed(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.join(second, ["frame_idx", "b"]).select("frame_idx", "a", "c")
 
 
+def unmatched(first: DataFrame, second: DataFrame, rows: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a composed matching leaves: the rows ``frame_idx, a`` and the columns ``frame_idx, c`` without a partner."""
+    pairs = composed(first, second)
+    return rows.join(pairs, ["frame_idx", "a"], "left_anti"), columns.join(pairs, ["frame_idx", "c"], "left_anti")
+
+
 def within_limit(matches: DataFrame, rows: DataFrame, columns: DataFrame, limit: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Matches ``frame_idx, a, b, cost`` of at most ``limit``, then the rows ``frame_idx, a`` and columns ``frame_idx, b`` they leave."""
     kept = matches.filter(F.col("cost") <= limit)

@@ -128,10 +128,9 @@ def split(series: DataFrame, cuts: DataFrame, least: int) -> DataFrame:
     base = series.agg(F.coalesce(F.max("track_id"), F.lit(0)).alias("base"))
     parts = written(numbered(parts, [*order, "frag_no"], base).drop("root"), "fragments")
     columns = [c for c in series.columns if c not in ("seq", "track_id", "idx")]
-    inside = series.join(parts, TRACK).filter(F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
-    cut = inside.select(F.concat("seq", F.array(F.col("frag_no").cast("long"))).alias("seq"), F.col("new_track_id").alias("track_id"), (F.col("idx") - F.col("start_idx")).alias("idx"), *columns)
-    whole = series.join(parts.select(*TRACK).distinct(), TRACK, "left_anti")
-    return cut.unionByName(whole.select(F.concat("seq", F.array(F.lit(-1).cast("long"))).alias("seq"), "track_id", "idx", *columns))
+    rows = series.join(parts, TRACK, "left").filter(F.col("new_track_id").isNull() | F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
+    piece = F.coalesce(F.col("frag_no").cast("long"), F.lit(-1).cast("long"))
+    return rows.select(F.concat("seq", F.array(piece)).alias("seq"), F.coalesce("new_track_id", "track_id").alias("track_id"), (F.col("idx") - F.coalesce("start_idx", F.lit(0))).cast("int").alias("idx"), *columns)
 
 
 def as_series(observations: DataFrame) -> DataFrame:

@@ -64,6 +64,7 @@ class Tracker:
         self.removed: set[int] = set()
 
     def _distance(self, tracks, dets, expand, appearance):
+        """Overlap distances, lowered by appearance; in a frame where a feature is missing, by overlap alone."""
         c = self.config
         cost = 1 - overlaps(grown(np.array([t.last for t in tracks]).reshape(-1, 4), expand), grown(np.array([d["box"] for d in dets]).reshape(-1, 4), expand))
         if appearance and c.with_reid and cost.size and all(t.feature is not None for t in tracks) and all(d.get("embedding") is not None for d in dets):
@@ -113,8 +114,9 @@ class Tracker:
         here = {t.id for t in self.tracked}
         # What expires now stays for one more frame; an id that has expired once isn't kept when lost again.
         self.lost = [t for t in self.lost + newly_lost if t.id not in here and t.id not in self.removed]
-        self.removed |= expired
         self._drop_duplicates()
+        # Ids aren't given twice, so only those that may still be lost again have to be known.
+        self.removed = (self.removed | expired) & {t.id for side in (self.tracked, self.lost) for t in side}
         return self.tracked
 
     def _drop_duplicates(self):

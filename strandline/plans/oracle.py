@@ -20,8 +20,15 @@ _put(
     "box_conversions",
     "det",
     """select frame_idx, det_idx, round(x2 - x1, 6) as w, round(y2 - y1, 6) as h, round(x1 + (x2 - x1) / 2, 6) as cx, round(y1 + (y2 - y1) / 2, 6) as cy,
-  round((x2 - x1) / (y2 - y1), 6) as aspect, round(x1 - (x2 - x1) * 0.1, 6) as sx1, round(y1 - (y2 - y1) * 0.1, 6) as sy1,
-  round(x2 + (x2 - x1) * 0.1, 6) as sx2, round(y2 + (y2 - y1) * 0.1, 6) as sy2 from det""",
+  round((x2 - x1) / (y2 - y1), 6) as aspect, round(x1 - (x2 - x1) * cast(0.6 as double), 6) as sx1, round(y1 - (y2 - y1) * cast(0.6 as double), 6) as sy1,
+  round(x2 + (x2 - x1) * cast(0.6 as double), 6) as sx2, round(y2 + (y2 - y1) * cast(0.6 as double), 6) as sy2 from det""",
+)
+_put(
+    "annotation_reader",
+    "det",
+    """select 'f' || lpad(cast(frame_idx as varchar), 6, '0') || '.jpg' as filename, x1, y1, x2, y2, cast(1 as double) as score, category_id as class_id, gt_track_id,
+  cast(jersey as varchar) as gt_jersey, case when gt_track_id % 2 = 0 then 'left' else 'right' end as gt_team, case when category_id = 1 then 'player' else 'referee' end as gt_role
+  from det where category_id in (1, 2, 3)""",
 )
 _put("frame_index", "det", "select sequence_id, frame_idx, cast(row_number() over (partition by sequence_id order by frame_idx) - 1 as int) as idx from (select distinct frame_idx // 100 as sequence_id, frame_idx from det)")
 _put("frame_left_join_annotations", "det", "select f.frame_idx, d.det_idx, d.category_id from (select distinct frame_idx from det) f left join (select * from det where category_id in (2, 3)) d on f.frame_idx = d.frame_idx")
@@ -108,7 +115,7 @@ _SURE = "list_avg(char_confs[1:2])"
 _READ = f"select track_id, frame_idx, {_NUMBER} as jersey, case when {_NUMBER} is null then 0 else {_SURE} end as confidence, case when {_NUMBER} is null then 1 when {_SURE} > 0 then -{_SURE} * ln({_SURE}) end as entropy from ocr"
 _put("ocr_parse", "ocr", f"select track_id, frame_idx, jersey from ({_READ})")
 _put("confidence_entropy", "ocr", f"select track_id, frame_idx, round(confidence, 6) as confidence, round(entropy, 6) as entropy from ({_READ})")
-_put("dense_backfill", "ocr obs", f"select o.track_id, o.idx, r.jersey, round(coalesce(confidence, 0), 6) as confidence, round(case when r.track_id is null then 1 else r.entropy end, 6) as entropy from obs o left join ({_READ} where frame_idx % 3 = 0) r on r.track_id = o.track_id and r.frame_idx = o.frame_idx")
+_put("dense_backfill", "ocr obs", f"select o.track_id, o.idx, r.jersey, round(coalesce(confidence, 0), 6) as confidence, round(case when r.track_id is null then 1 else r.entropy end, 6) as entropy from obs o left join ({_READ} where char_confs[1] >= cast(0.6 as double)) r on r.track_id = o.track_id and r.frame_idx = o.frame_idx")
 
 _VALID = "list_filter([{'n': 's', 'x': ls_x, 'y': ls_y, 's': ls_s}, {'n': 's', 'x': rs_x, 'y': rs_y, 's': rs_s}, {'n': 'h', 'x': lh_x, 'y': lh_y, 's': lh_s}, {'n': 'h', 'x': rh_x, 'y': rh_y, 's': rh_s}], lambda p: p.s >= cast(0.3 as double))"
 _TORSO = f""", v as (select *, {_VALID} as v from pose), b as (select *, list_transform(v, lambda p: p.x) as xs, list_transform(v, lambda p: p.y) as ys, list_contains(list_transform(v, lambda p: p.n), 's') and list_contains(list_transform(v, lambda p: p.n), 'h') as enough from v),
@@ -179,4 +186,10 @@ _put("team_switches", "obs", _switches(_team("obs"), "team"))
 _put("team_fragments", "obs", _pieces("obs", _TEAM_CUTS(_switches(_team("obs"), "team")), C.team_min_fragment))
 _put("number_split_ids", "obs", f"{_STAGES} select parent_id, track_id, count(*) as n, min(frame_idx) as first_frame from s1 group by parent_id, track_id")
 _put("split_two_stage", "obs", f"{_STAGES} select parent_id, track_id, idx, frame_idx, jersey, team from s2")
+ORACLE["sequence_sessions_stream"] = """
+with e as (select user_id, epoch_us(ts) as us, value from events),
+s as (select *, sum(fresh) over (partition by user_id order by us) as session from (select *, case when us < lag(us) over (partition by user_id order by us) + 1800000000 then 0 else 1 end as fresh from e)),
+w as (select user_id, min(us) as start_us, max(us) + 1800000000 as end_us, count(*) as n_events, round(sum(value), 6) as total from s group by user_id, session)
+select * from w where end_us <= (select max(us) from e) - 3600000000
+"""
 _put("split_summary", "obs", f"{_STAGES} select (select count(distinct track_id) from obs) as tracks, count(*) filter (where n > 1) as tracks_split, cast(coalesce(sum(n), 0) as bigint) as tracks_after from (select parent_id, count(distinct track_id) as n from s1 group by parent_id)")

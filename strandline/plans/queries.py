@@ -8,8 +8,10 @@ from strandline.config import SplitConfig
 from strandline.functions import geometry as g
 from strandline.functions import vectors
 from strandline.operators import assignment, attributes, labels, motion, overlap, series, splits, tracker
+from strandline.plans import trajectories
 from strandline.plans.oracle import ORACLE
 from strandline.sources import adapters as src
+from strandline.sources import files
 from strandline.streaming import online
 
 QUERIES: dict = {}
@@ -179,7 +181,39 @@ def tracker_stream(spark, sf_dir):
 
 @query
 def sequence_sessions_stream(spark, sf_dir):
-    return online.drained(online.sessions(_event_stream(spark, sf_dir)), "sessions")
+    """Sessions that are over for good: they ended an hour or more before the last event."""
+    own = online.drained(online.sessions(_event_stream(spark, sf_dir)), "sessions")
+    return own.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n_events", rounded("total", "total"))
+
+
+@query
+def annotation_reader(spark, sf_dir):
+    """Annotation files, written from the detections, through the reader."""
+    boxes = files.annotated_boxes(files.read_annotations(spark, f"{src.annotation_files(spark, sf_dir)}/*"))
+    return boxes.select("filename", "x1", "y1", "x2", "y2", "score", "class_id", "gt_track_id", "gt_jersey", "gt_team", "gt_role")
+
+
+def _stand_ins():
+    """Models as expressions over a crop's place, for data without images."""
+
+    def read(torso):
+        return F.struct(((torso["person"]["x1"] / 180).cast("int") % 3).cast("string").alias("label"), F.array(F.lit(0.98), F.lit(0.9)).alias("char_confs"))
+
+    def features(torso):
+        side = F.when(torso["person"]["y1"] % 2 == 0, 50.0).otherwise(0.0)
+        return F.array(*[(torso["person"]["x1"] * (k + 1) % 11 + side).cast("double") for k in range(4)])
+
+    return attributes.Models(legibility=lambda person: F.when(person["y1"] % 5 == 0, 0.2).otherwise(0.9), read=read, features=features)
+
+
+@query
+def end_to_end(spark, sf_dir):
+    """Annotation files to labelled frames: tracking, attributes in three phases, both splits, labels."""
+    docs = files.read_annotations(spark, f"{src.annotation_files(spark, sf_dir)}/*")
+    frames = files.listed_frames(docs)
+    boxes = files.annotated_boxes(docs).withColumn("embedding", F.array(*[F.sin(F.col("gt_track_id") * (k + 1)) for k in range(8)]))
+    images = frames.select("sequence_id", "frame_idx", F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit(None).cast("binary").alias("content"))
+    return trajectories.labelled_frames(frames, boxes, images, _stand_ins())
 
 
 @query
@@ -247,7 +281,9 @@ def confidence_entropy(spark, sf_dir):
 
 @query
 def dense_backfill(spark, sf_dir):
-    found = attributes.number_readings(src.readings(spark, sf_dir).filter("frame_idx % 3 = 0")).withColumnRenamed("frame_idx", "frame")
+    """Gaps come from the cascade: readings whose first character is uncertain count as illegible."""
+    readings = attributes.legible(src.readings(spark, sf_dir), F.col("char_confs")[0])
+    found = attributes.number_readings(readings).withColumnRenamed("frame_idx", "frame")
     obs = src.observations(spark, sf_dir).select("track_id", "idx", "frame_idx")
     at = found.join(obs, (obs["track_id"] == found["track_id"]) & (obs["frame_idx"] == found["frame"])).select(obs["track_id"], "idx", "jersey", "confidence", "entropy")
     return series.back_filled(obs, at).select("track_id", "idx", "jersey", rounded("confidence", "confidence"), rounded("entropy", "entropy"))

@@ -6,10 +6,13 @@ queries and their SQL counterparts start from the same rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.operators.series import positions
-from strandline.session import ship
+from strandline.session import shared_dir, ship
 
 SPARK = {"K": "cast(get_json_object(props, '$.k') as int)", "ARR": "array", "STR": "string"}
 DUCK = {"K": "cast(json_extract_string(props, '$.k') as int)", "ARR": "list_value", "STR": "varchar"}
@@ -74,6 +77,19 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*_columns(_DET, SPARK))
 
 
+def annotation_files(spark: SparkSession, sf_dir: str) -> str:
+    """The detections as annotation documents, one per sequence of 100 frames, in the shared folder; where they are."""
+    det = detections(spark, sf_dir).withColumn("sequence_id", F.expr("frame_idx div 100"))
+    image = F.struct(F.col("frame_idx").cast("string").alias("image_id"), F.format_string("f%06d.jpg", "frame_idx").alias("file_name"))
+    corner = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
+    shown = F.struct(F.col("jersey").cast("string").alias("jersey"), F.when(F.col("gt_track_id") % 2 == 0, "left").otherwise("right").alias("team"), F.when(F.col("category_id") == 1, "player").otherwise("referee").alias("role"))
+    own = F.struct("frame_idx", "det_idx", image["image_id"].alias("image_id"), "category_id", F.col("gt_track_id").alias("track_id"), corner.alias("bbox_image"), shown.alias("attributes"))
+    docs = det.groupBy("sequence_id").agg(F.array_sort(F.collect_set(image)).alias("images"), F.array_sort(F.collect_list(own)).alias("annotations"))
+    path = f"{shared_dir(spark)}/strandline/annotations-{uuid.uuid4().hex}"
+    docs.write.partitionBy("sequence_id").json(path)
+    return path
+
+
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).selectExpr(*_columns(_TRK, SPARK))
 

@@ -32,6 +32,12 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return docs.withColumn("sequence_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
 
 
+def listed_frames(documents: DataFrame) -> DataFrame:
+    """``sequence_id, frame_idx, filename`` of the images that annotation documents list, in the order of their names."""
+    names = F.array_sort(F.transform("images", lambda i: i["file_name"]))
+    return documents.select("sequence_id", F.posexplode(names).alias("frame_idx", "filename")).withColumn("frame_idx", F.col("frame_idx").cast("long"))
+
+
 def annotated_boxes(documents: DataFrame, strict: bool = True) -> DataFrame:
     """Flat detections of annotation documents: persons only, corner boxes, score 1, missing attributes null.
 

@@ -21,7 +21,7 @@ def _advance(config):
         rows = pd.concat(list(batches))
         out = []
         for frame, own in sorted(rows.groupby("frame_idx"), key=lambda g: g[0]):
-            dets = [{**r, "embedding": None} for r in own.sort_values("det_idx").to_dict("records")]
+            dets = own.sort_values("det_idx").to_dict("records")
             out += tracker.rows(int(key[0]), int(frame), as_dets(dets))
         state.update((pickle.dumps(tracker),))
         yield pd.DataFrame(out, columns=NAMES)
@@ -32,9 +32,11 @@ def _advance(config):
 def tracked_stream(detections: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:
     """Tracked objects of a stream of detections; the tracker of a sequence is the group's state.
 
-    A trigger brings whole frames, in order between triggers; inside one they are sorted.
+    A trigger brings whole frames, in order between triggers; inside one they are sorted. An ``embedding`` takes
+    part as in a batch. The state holds the tracks of now and those lost within the buffer, nothing older.
     """
-    rows = detections.select(F.col("sequence_id").cast("long"), F.col("frame_idx").cast("long"), F.col("det_idx").cast("int"), *[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2", "score")])
+    embedding = F.col("embedding") if "embedding" in detections.columns else F.lit(None)
+    rows = detections.select(embedding.cast("array<double>").alias("embedding"), F.col("sequence_id").cast("long"), F.col("frame_idx").cast("long"), F.col("det_idx").cast("int"), *[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2", "score")])
     return rows.groupBy("sequence_id").applyInPandasWithState(_advance(config), TRACKED_ROWS, "tracker binary", "append", "NoTimeout")
 
 

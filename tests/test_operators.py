@@ -218,3 +218,129 @@ def test_overlap_helpers(spark):
     det = spark.createDataFrame([(0, k, 0.0, 0.0, 10.0, 10.0, [1.0 * k]) for k in (4, 3)], "frame_idx long, det_idx int, x1 double, y1 double, x2 double, y2 double, embedding array<double>")
     got = {r["trk_idx"]: (r["det_idx"], r["embedding"]) for r in overlap.last_embeddings(trk, det, 1).collect()}
     assert got == {0: (3, [3.0]), 1: (None, [0.0])}
+
+
+def test_scaled_box_by_hand(spark):
+    df = spark.createDataFrame([(10.0, 20.0, 20.0, 60.0)], "x1 double, y1 double, x2 double, y2 double")
+    assert tuple(df.select(*g.scaled(g.box())).first()) == pytest.approx((4.0, -4.0, 26.0, 84.0))
+    assert tuple(df.select(*g.scaled(g.box(), 0.5)).first()) == pytest.approx((7.5, 10.0, 22.5, 70.0))
+
+
+def test_unmatched_sides_of_composed_matchings(spark):
+    first = spark.createDataFrame([(0, 1, 5), (0, 2, 6)], "frame_idx long, a long, b long")
+    second = spark.createDataFrame([(0, 5, 9), (1, 6, 8)], "frame_idx long, b long, c long")
+    rows = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "frame_idx long, a long")
+    columns = spark.createDataFrame([(0, 9), (0, 7), (1, 8)], "frame_idx long, c long")
+    a, c = overlap.unmatched(first, second, rows, columns)
+    assert sorted(map(tuple, a.collect())) == [(0, 2), (0, 3)] and sorted(map(tuple, c.collect())) == [(0, 7), (1, 8)]
+
+
+def crossing(embedded=True):
+    """Two persons that swap places while hidden; only their looks tell them apart."""
+    rows = []
+    for f in range(40):
+        for d, look in enumerate(([1.0, 0.0, 0.1], [0.0, 1.0, 0.1])):
+            if 18 <= f < 22 and d == 1:
+                continue
+            x = (120.0, 100.0)[d] if f < 20 else (106.0, 114.0)[d]
+            rows.append((0, f, d, x, 50.0, x + 40, 130.0, 0.9, look if embedded else None))
+    return rows
+
+
+def test_tracking_by_appearance_in_batch_and_stream(spark, tmp_path):
+    kind = "sequence_id long, frame_idx long, det_idx int, x1 double, y1 double, x2 double, y2 double, score double, embedding array<double>"
+    looks, none = (spark.createDataFrame(crossing(e), kind) for e in (True, False))
+    ids = {name: {(r["frame_idx"], r["det_idx"]): r["tracker_id"] for r in tracker.tracked(df).collect()} for name, df in (("looks", looks), ("none", none))}
+    assert {ids["looks"][f, 0] for f in (0, 39)} == {1} and {ids["looks"][f, 1] for f in (0, 39)} == {2}
+    assert ids["looks"] != ids["none"]
+    from strandline.streaming import online
+
+    for f in (0, 1):  # two files: the state goes from one trigger to the next
+        looks.filter(F.expr(f"frame_idx div 20 = {f}")).coalesce(1).write.parquet(f"{tmp_path}/in/{f}")
+    stream = spark.readStream.schema(looks.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = online.drained(online.tracked_stream(stream), "looks")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tracker.tracked(looks).collect()))
+
+
+def test_stream_equals_batch_on_the_events(spark):
+    from strandline.plans.queries import QUERIES
+
+    batch, stream = (QUERIES[q](spark, "/root/testdata/sf0.001") for q in ("tracker_batch", "tracker_stream"))
+    assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.collect())) != []
+
+
+def test_tracker_forgets_what_cannot_return():
+    rng = random.Random(5)
+    t = tracker.Tracker(TrackerConfig(track_buffer=3))
+    for k in range(300):
+        x = rng.randrange(0, 5000, 500)
+        t.step([{"det_idx": 0, "box": (x, 0.0, x + 40, 80.0), "score": 0.9, "embedding": None}])
+        assert len(t.removed) <= len(t.tracked) + len(t.lost) < 12
+    assert t.next_id > 100
+
+
+def test_other_modes_of_persistence(spark):
+    rows = [(1, i, 7, 0.1 if i % 2 else 0.5, None if i % 3 else 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "track_id long, idx int, jersey int, entropy double, team int")
+    own = splits.number_persistence(df, SplitConfig(entropy_mode="own")).collect()
+    assert {r["idx"] for r in own} == {i for i in range(40) if i % 2 and sum(1 for k in range(i, min(i + 20, 40)) if k % 2) >= 5}
+    assert splits.number_persistence(df).count() == 0
+    teams = {n: {r["idx"] for r in splits.team_persistence(df, SplitConfig(null_is_category=n)).collect()} for n in (True, False)}
+    assert teams[False] == {i for i in range(0, 40, 3) if len(range(i, 40, 3)) >= 5} and teams[True] < teams[False]
+
+
+def test_object_documents_and_frames_on_disk(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, 7), (1, 1, None)], "track_id long, idx int, jersey int")
+    assert [json.loads(r["json"]) for r in labels.documents(df).orderBy("idx").collect()] == [{"track_id": 1, "idx": 0, "jersey": 7}, {"track_id": 1, "idx": 1}]
+    labels.write_frames(df.withColumn("sequence_id", F.lit("s")), f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out/sequence_id=s").count() == 2
+
+
+def test_teams_are_the_clusters_of_players(spark):
+    rng = np.random.default_rng(3)
+    rows = [(t, i, "player" if t < 4 else "referee", [float(x) for x in rng.normal(10 * (t % 2), 0.5, 6)]) for t in range(5) for i in range(20)]
+    df = spark.createDataFrame(rows, "track_id long, idx int, role string, embedding array<double>")
+    got = {(r["track_id"], r["idx"]): r["team"] for r in attributes.team_clusters(df).collect()}
+    teams = [{got[t, i] for i in range(20)} for t in range(5)]
+    assert teams[0] == teams[2] != teams[1] == teams[3] and teams[4] == {None} and len(teams[0]) == 1
+    assert {r["team"] for r in attributes.team_clusters(df.filter("track_id = 4")).collect()} == {None}
+
+
+def test_from_annotations_to_labelled_frames(spark, tmp_path):
+    """Two players and a referee stand still; one player's number changes half way, so its track is split."""
+    from strandline.plans import trajectories
+
+    (tmp_path / "seq").mkdir()
+    persons = [(1, 100, "player"), (2, 400, "player"), (3, 700, "referee")]
+    doc = {
+        "images": [{"image_id": str(f), "file_name": f"{f:03d}.jpg"} for f in range(80)],
+        "annotations": [{"image_id": str(f), "category_id": 1, "track_id": t, "bbox_image": {"x": x, "y": 50, "w": 40, "h": 100}, "attributes": {"role": role, "team": "left"}} for f in range(80) for t, x, role in persons],
+    }
+    (tmp_path / "seq" / "labels.json").write_text(json.dumps(doc))
+    docs = files.read_annotations(spark, f"{tmp_path}/seq/labels.json")
+    frames = files.listed_frames(docs)
+    images = frames.select("sequence_id", "frame_idx", F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.col("frame_idx").cast("string").cast("binary").alias("content"))
+
+    def read(torso):
+        frame, x = torso["person"]["content"].cast("string").cast("int"), torso["person"]["x1"]
+        return F.struct(F.when((x == 100) & (frame >= 40), "9").when(x == 400, "4").otherwise("7").alias("label"), F.array(F.lit(0.99), F.lit(0.5)).alias("char_confs"))
+
+    models = attributes.Models(
+        legibility=lambda person: F.lit(0.9), read=read,
+        features=lambda torso: F.array(*[torso["person"]["x1"].cast("double") * k for k in (1, 2, 3)]),
+        pose=lambda person: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(0.9).alias("score")) for n, x, y in (("ls", 10.0, 20.0), ("rh", 30.0, 60.0))]),
+    )
+    got = trajectories.labelled_frames(frames, files.annotated_boxes(docs), images, models).collect()
+    assert len(got) == 240 and {r["sequence_id"] for r in got} == {"seq"}
+    by = {}
+    for r in got:
+        by.setdefault((r["parent_id"], r["track_id"]), []).append(r)
+    assert {k: (len(v), {r["x1"] for r in v}, {r["jersey"] for r in v}) for k, v in by.items()} == {
+        (1, 4): (40, {100.0}, {7}), (1, 5): (40, {100.0}, {9}), (2, 2): (80, {400.0}, {4}), (3, 3): (80, {700.0}, {7}),
+    }
+    teams = {k: {r["team"] for r in v} for k, v in by.items()}
+    assert teams[3, 3] == {None} and teams[1, 4] == teams[1, 5] != teams[2, 2]
+    one = min(by[1, 5], key=lambda r: r["frame_idx"])
+    assert one["frame_idx"] == 40 and one["label"] == f"5|{one['team']}|9:0.00995" and one["role"] == "player"
+    torsos = attributes.person_torsos(spark.createDataFrame([("seq", 0, -10.0, 5.0, 30.0, 95.0)], "sequence_id string, frame_idx long, x1 double, y1 double, x2 double, y2 double"), images, models.pose)
+    assert tuple(torsos.first()["torso"]["box"]) == (5, 15, 30, 60)
