@@ -38,11 +38,13 @@ from strandline.llm.shingles import buffers, gathered, slices
 
 LEXICON = 1 << 21
 #: Chunks that a Python worker remembers between lookups, and their longest.
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
 #: Bytes of text whose distinct chunks are encoded together; a longer text stands alone.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
+#: Ids whose bytes are gathered together, unless one row has more.
+GATHERED = 1 << 17
 #: Distinct chunks that a counting task holds before it passes their words on.
-COUNTED = 150_000
+COUNTED = 400_000
 
 #: The published split pattern of byte-level BPE (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -350,18 +352,30 @@ class Transducer:
         return [self.ids[self.start[r] : self.start[r + 1]].tobytes() if ok else None for r, ok in zip(rank.tolist(), alive.tolist())]
 
 
+def _summed(words: pa.Array, counts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    both = pa.table({"w": words, "n": counts}).group_by("w").aggregate([("n", "sum")]).combine_chunks()
+    return tuple(both[c].combine_chunks() if isinstance(both[c], pa.ChunkedArray) else both[c] for c in ("w", "n_sum"))
+
+
 def _count_words(vocabulary_path):
+    """Words and their counts; distinct chunks are summed first, and only those with other characters than letters are cut."""
+
     def run(batches):
-        vocabulary, first, behind = _vocabulary(vocabulary_path), Counter(), Counter()
+        vocabulary, heads, held = _vocabulary(vocabulary_path), Counter(), []
 
         def out():
-            counts = Counter()
-            for own, cut in ((first, pieces), (behind, spaced_pieces)):
-                for chunk, n in own.items():
-                    for word in cut(chunk, vocabulary):
-                        counts[word] += n
-                own.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            seen, counts = _summed(pa.concat_arrays([v for v, _ in held]), pa.concat_arrays([n for _, n in held]))
+            plain = pc.utf8_is_alpha(seen)
+            words = [pc.binary_join_element_wise(" ", seen.filter(plain), "")]
+            ns = [counts.filter(plain).to_numpy()]
+            other = pc.invert(plain)
+            rows = [pieces(" " + c, vocabulary) for c in seen.filter(other).to_pylist()] + [pieces(h, vocabulary) for h in heads]
+            each = np.concatenate([counts.filter(other).to_numpy(), np.array([*heads.values()], dtype=np.int64)])
+            words.append(pa.array([*chain.from_iterable(rows)], pa.string()))
+            ns.append(np.repeat(each, [len(r) for r in rows]))
+            held.clear()
+            heads.clear()
+            return pa.RecordBatch.from_arrays([*_summed(pa.concat_arrays(words), pa.array(np.concatenate(ns), pa.int64()))], names=["word", "n"])
 
         for batch in batches:
             _, offsets = buffers(batch.column(0))
@@ -369,13 +383,13 @@ def _count_words(vocabulary_path):
                 values, edges, _ = cut(batch.column(0).slice(a, b - a), vocabulary)
                 body = np.ones(len(values), dtype=bool)
                 body[edges[:-1]] = False
-                first.update(values.take(pa.array(edges[:-1])).to_pylist())
+                heads.update(values.take(pa.array(edges[:-1])).to_pylist())
                 seen = values.filter(pa.array(body)).value_counts()
-                for chunk, n in zip(seen.field("values").to_pylist(), seen.field("counts").to_pylist()):
-                    behind[chunk] += n
-                if len(behind) > COUNTED:
+                held.append((seen.field("values"), seen.field("counts")))
+                if sum(len(v) for v, _ in held) > COUNTED:
                     yield out()
-        yield out()
+        if held:
+            yield out()
 
     return run
 
@@ -482,12 +496,18 @@ def _encode(vocabulary_path, lexicon, at, keep, both):
 
 
 def decoded(ids: np.ndarray, edges: np.ndarray, vocabulary: Vocabulary) -> list[str]:
-    """Texts of rows of ids, given flat with the rows' edges: one gather of all their bytes."""
-    size = vocabulary.piece_size[ids]
-    ends = np.concatenate([[0], np.cumsum(size)])
-    place = np.arange(ends[-1]) + np.repeat(vocabulary.piece_start[ids] - ends[:-1], size)
-    raw, cuts = vocabulary.piece_bytes[place].tobytes(), ends[edges].tolist()
-    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+    """Texts of rows of ids, given flat with the rows' edges: one gather of the bytes of many rows at a time."""
+    out, first = [], 0
+    while first < len(edges) - 1:
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + GATHERED, side="right")) - 1)
+        own, cuts = ids[edges[first] : edges[last]], edges[first : last + 1] - edges[first]
+        size = vocabulary.piece_size[own]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(ends[-1]) + np.repeat(vocabulary.piece_start[own] - ends[:-1], size)
+        raw, cuts = vocabulary.piece_bytes[place].tobytes(), ends[cuts].tolist()
+        out += [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+        first = last
+    return out
 
 
 def _decode(vocabulary_path, at):

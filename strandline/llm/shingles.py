@@ -74,8 +74,14 @@ def gathered(index: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarra
     size = np.array([len(x) for x in ids], dtype=np.int64) // 4
     first = np.cumsum(size) - size
     table = np.frombuffer(b"".join(ids), dtype=np.int32)
-    ends = np.concatenate([[0], np.cumsum(size[index])])
-    return table[np.arange(ends[-1]) + np.repeat(first[index] - ends[:-1], size[index])], ends
+    each = size[index]
+    ends = np.concatenate([[0], np.cumsum(each)])
+    out = np.empty(ends[-1], dtype=np.int32)
+    for k in range(0, len(index), 1 << 16):  # in parts, as places take twice the memory of ids
+        part = slice(k, k + (1 << 16))
+        a, b = ends[k], ends[min(k + (1 << 16), len(index))]
+        out[a:b] = table[np.arange(a, b) + np.repeat(first[index[part]] - ends[:-1][part], each[part])]
+    return out, ends
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
