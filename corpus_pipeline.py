@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import bpe, decontaminate, near_dup, pii, quality
-from strandline.llm.queries import table, tokenizer
-from strandline.llm.store import store
+from strandline.llm.queries import secret, table, tokenizer
+from strandline.llm.store import few, store
 from strandline.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,32 +19,34 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and don't diverge from their language's reference, if it has one."""
-    verdict = quality.quality(docs, keep=COLUMNS, nearest=False)
-    return verdict.filter("kept").select(COLUMNS)
+    return quality.passing(docs, COLUMNS, nearest=False)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    kept = near_dup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Rows without an id can't be compared and stay; repeated rows of a kept id stay as they are.
+    """
+    gone = store(near_dup.near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "near-duplicates")
+    return docs.join(few(gone), "doc_id", "left_anti").select(COLUMNS)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(COLUMNS)
+    """Documents that hold no benchmark item; rows without an id stay."""
+    leaks = store(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    return docs.join(few(leaks), "doc_id", "left_anti").select(COLUMNS)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data; ``n_chars`` follows the new text."""
-    out = pii.pseudonymised(docs.select(COLUMNS))
+    out = pii.pseudonymised(docs.select(COLUMNS), secret())
     return out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left."""
     path = tokenizer("byte_bpe_50k.json")
-    return bpe.encode(docs.select("doc_id", "source", "lang", "text"), path).select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe.encode(docs, path, keep=["doc_id", "source", "lang"]).select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
