@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Texts are read in chunks of ``CHUNK`` bytes. A forward and a backward network of ``HIDDEN`` units pass
-over each chunk; at every position a softmax over the languages is taken from both states. A document's
-probabilities are the mean over its letter positions, so whole texts of any length are pooled. The model
-is trained in numpy by backpropagation through time on a bounded sample of labelled training rows.
+Texts are read in chunks of ``CHUNK`` bytes, which are a position's context. A forward and a backward network
+of ``HIDDEN`` units pass over each chunk; at every position a softmax over the languages is taken from both
+states. A document's probabilities are the mean over the positions of its letters, so whole texts of any
+length are pooled. The model is trained in numpy by backpropagation through time on the whole texts of a
+bounded sample of labelled training rows.
 """
 
 from __future__ import annotations
@@ -18,15 +19,44 @@ from strandline.llm.shingles import buffers
 from strandline.llm.store import crc_mod
 
 HIDDEN, CHUNK = 6, 64
-#: Documents per language in the training sample, and chunks taken from each: what bounds the driver's share.
-SAMPLE_DOCUMENTS, SAMPLE_CHUNKS = 300, 4
-EPOCHS, BATCH, RATE = 8, 64, 0.01
+#: Documents per language in the training sample, about: what bounds the driver's share.
+SAMPLE_DOCUMENTS = 300
+EPOCHS, BATCH, RATE = 1, 64, 0.01
+#: Chunks that pass the network together.
 GROUP = 2048
 
-_ASCII_LETTER = np.zeros(256, dtype=bool)
+_ASCII_LETTER = np.zeros(128, dtype=bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
-_LETTER = _ASCII_LETTER.copy()
-_LETTER[128:] = True
+_LETTERS: list[np.ndarray] = []
+
+
+def _is_letter() -> np.ndarray:
+    """By code point, whether it is a letter."""
+    if not _LETTERS:
+        table = np.zeros(0x110000, dtype=bool)
+        every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+        table[[ord(c) for c in regex.findall(r"\p{L}", every)]] = True
+        _LETTERS.append(table)
+    return _LETTERS[0]
+
+
+def letter_bytes(raw: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 text belongs to a letter; of a letter that is cut off at the start, bytes don't count."""
+    if not len(raw) or raw.max() < 128:
+        return _ASCII_LETTER[raw] if len(raw) else np.zeros(0, dtype=bool)
+    lead = (raw & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    if not len(at):
+        return np.zeros(len(raw), dtype=bool)
+    first = raw[at].astype(np.int64)
+    length = 1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0)
+    code = np.where(length == 1, first, first & (0x7F >> length))
+    for k in range(1, 4):
+        more = length > k
+        code[more] = code[more] << 6 | raw[np.minimum(at[more] + k, len(raw) - 1)] & 0x3F
+    letter = _is_letter()[np.minimum(code, 0x10FFFF)] & (at + length <= len(raw))
+    place = np.cumsum(lead) - 1
+    return np.where(place >= 0, letter[np.maximum(place, 0)], False)
 
 
 def squash(x: np.ndarray, scratch: np.ndarray) -> None:
@@ -147,21 +177,24 @@ class Model:
         return losses
 
 
-def chunked(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows cut into chunks: bytes (chunks, CHUNK), whether a position counts, and each chunk's row."""
-    lengths = np.diff(offsets)
-    per = -(-lengths // CHUNK)
-    row = np.repeat(np.arange(len(lengths)), per)
-    inner = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
-    start = offsets[row] + inner * CHUNK
-    place = start[:, None] + np.arange(CHUNK)[None, :]
-    valid = place < offsets[row + 1][:, None]
-    ids = raw[np.where(valid, place, 0)] if len(raw) else np.zeros((0, CHUNK), np.uint8)
-    ids[~valid] = 32
-    return ids, valid & _LETTER[ids], row
-
-
-_ANY_LETTER = regex.compile(r"\p{L}")
+def chunked(raw: np.ndarray, offsets: np.ndarray, group: int = GROUP):
+    """Rows cut into chunks, ``group`` at a time: bytes (chunks, CHUNK), whether each is of a letter, each chunk's row and start."""
+    per = -(-np.diff(offsets) // CHUNK)
+    ends = np.cumsum(per)
+    for k in range(0, int(ends[-1]) if len(ends) else 0, group):
+        number = np.arange(k, min(k + group, int(ends[-1])))
+        row = np.searchsorted(ends, number, side="right")
+        start = offsets[row] + (number - (ends[row] - per[row])) * CHUNK
+        stop = np.minimum(start + CHUNK, offsets[row + 1])
+        # Letters are told from the bytes around a chunk's ends too.
+        a, b = max(int(offsets[0]), int(start[0]) - 4), min(int(offsets[-1]), int(stop[-1]) + 4)
+        letters = letter_bytes(raw[a:b])
+        place = start[:, None] + np.arange(CHUNK)[None, :]
+        valid = place < stop[:, None]
+        place = np.where(valid, place, a)
+        ids = raw[place]
+        ids[~valid] = 32
+        yield ids, valid & letters[place - a], row, start
 
 
 def _predict(model):
@@ -172,25 +205,15 @@ def _predict(model):
             raw, offsets = buffers(text)
             n = len(text)
             pooled, count = np.zeros((n, len(net.languages))), np.zeros(n)
-            bounds = np.searchsorted(offsets, np.arange(offsets[0], offsets[-1], GROUP * CHUNK))
-            bounds = np.unique(np.concatenate([[0], bounds, [n]]))
-            for a, b in zip(bounds[:-1], bounds[1:]) if net.languages else ():
-                ids, weight, row = chunked(raw, offsets[a : b + 1])
-                for k in range(0, len(ids), GROUP):
-                    own, use, to = ids[k : k + GROUP].T, weight[k : k + GROUP].T, row[k : k + GROUP] + a
-                    p, _ = net.probabilities(np.ascontiguousarray(own))
-                    summed = np.einsum("tlb,tb->bl", p, use.astype(np.float32))
-                    for j in range(len(net.languages)):
-                        pooled[:, j] += np.bincount(to, summed[:, j], minlength=n)
-                    count += np.bincount(to, use.sum(axis=0), minlength=n)
+            for ids, weight, row, _ in chunked(raw, offsets) if net.languages else ():
+                p, _ = net.probabilities(np.ascontiguousarray(ids.T))
+                summed = np.einsum("tlb,tb->bl", p, weight.T.astype(np.float32))
+                for j in range(len(net.languages)):
+                    pooled[:, j] += np.bincount(row, summed[:, j], minlength=n)
+                count += np.bincount(row, weight.sum(axis=1), minlength=n)
             mean = pooled / np.maximum(count, 1)[:, None]
             best = mean.argmax(axis=1) if net.languages else np.zeros(n, int)
             known = count > 0
-            ascii_letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[raw[offsets[0] : offsets[-1]]])])
-            plain = ascii_letters[offsets[1:] - offsets[0]] > ascii_letters[offsets[:-1] - offsets[0]]
-            for i in np.flatnonzero(known & ~plain):
-                known[i] = bool(_ANY_LETTER.search(text[int(i)].as_py()))
-            known &= bool(net.languages)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -203,23 +226,38 @@ def _predict(model):
     return run
 
 
-def _sampled_chunks(batches):
-    for batch in batches:
-        langs, chunks = [], []
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            data = (text or "").encode()
-            for k in range(SAMPLE_CHUNKS):
-                at = len(data) * k // SAMPLE_CHUNKS
-                if piece := data[at : at + CHUNK]:
-                    langs.append(lang)
-                    chunks.append(piece)
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(chunks, pa.binary())], names=["lang", "chunk"])
+def _runs(model):
+    """Runs of letter positions with one label, as byte ranges; what is no letter belongs to the run before it."""
+
+    def run(batches):
+        net = model.value
+        for batch in batches:
+            raw, offsets = buffers(batch.column(1))
+            out: list[list[dict]] = [[] for _ in range(len(batch.column(1)))]
+            for ids, weight, row, start in chunked(raw, offsets) if net.languages else ():
+                best = net.probabilities(np.ascontiguousarray(ids.T))[0].argmax(axis=1).T
+                for i, at in zip(row.tolist(), range(len(row))):
+                    places = np.flatnonzero(weight[at])
+                    if len(places):
+                        own = best[at][places]
+                        cuts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
+                        base = int(start[at] - offsets[i])
+                        for a, b in zip(cuts[:-1], cuts[1:]):
+                            lang, first, last = net.languages[own[a]], base + int(places[a]), base + int(places[b - 1]) + 1
+                            if out[i] and out[i][-1]["lang"] == lang:
+                                out[i][-1]["stop"] = last
+                            else:
+                                out[i].append({"start": first, "stop": last, "lang": lang})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())])))], names=["doc_id", "runs"])
+
+    return run
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_DOCUMENTS) -> Model:
     """A model of the non-null languages of the training rows (crc32 of the id's text, modulo 5, not 0).
 
-    The sample takes rows by a hash of the id, about ``per_language`` of each language.
+    The sample takes ids by their hash, about ``per_language`` of each language, and whole texts. Of rows with one
+    id the first by language and text counts. Without training rows the model knows no language.
     """
     rows = docs.filter((crc_mod(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -228,23 +266,30 @@ def train(docs: DataFrame, per_language: int = SAMPLE_DOCUMENTS) -> Model:
         return Model([])
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / counts[lang]))])
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    taken = rows.filter(place <= share[F.col("lang")]).select("lang", "text")
-    pieces = sorted((r["lang"], bytes(r["chunk"])) for r in taken.mapInArrow(_sampled_chunks, "lang string, chunk binary").limit(4 * SAMPLE_CHUNKS * per_language * len(languages)).collect())
-    chunks = np.full((len(pieces), CHUNK), 32, np.uint8)
-    weight = np.zeros((len(pieces), CHUNK), np.float32)
-    for i, (_, data) in enumerate(pieces):
-        own = np.frombuffer(data, np.uint8)
-        chunks[i, : len(own)] = own
-        weight[i, : len(own)] = _LETTER[own]
+    taken = rows.filter(place <= share[F.col("lang")]).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.*")
+    texts = sorted((r["lang"], r["text"]) for r in taken.collect())
+    raw, offsets = buffers(pa.array([t for _, t in texts], pa.string()))
+    parts = [*chunked(raw, offsets)]
+    labels = np.array([languages.index(lang) for lang, _ in texts])
     model = Model(languages)
-    model.fit(chunks, weight, np.array([languages.index(lang) for lang, _ in pieces]))
+    if parts:
+        chunks, weight, row = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        model.fit(chunks, weight.astype(np.float32), labels[row])
     return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row; ``und`` with score 0 for a text that is null or has no letter.
 
-    Only the text is read: language, source and id take no part. Repeated rows give repeated results.
+    Only the text is read: language, source and id take no part, nor any other column. Of languages with equal
+    probabilities the first by name is taken. A text of any length is pooled as a whole, ``GROUP`` chunks at a
+    time. Repeated rows give repeated results; an empty table gives no rows.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_predict(shipped), "doc_id long, lang_pred string, score double")
+
+
+def label_positions(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, runs``: the label of every letter position, as runs ``start, stop, lang`` of bytes of the UTF-8 text."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_runs(shipped), "doc_id long, runs array<struct<start:long,stop:long,lang:string>>")

@@ -93,7 +93,7 @@ def op5_pii(spark, sf_dir):
 def op6_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = langid.predict(docs, langid.train(docs))
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_near_dup(spark, sf_dir):
@@ -111,7 +111,7 @@ def op9_token_files(spark, sf_dir):
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_quality, op4_tool_calls, op5_pii, op6_langid, op7_near_dup, op8_ctw, op9_token_files, op10_toxicity)}

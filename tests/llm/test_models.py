@@ -110,15 +110,67 @@ def test_langid_held_out_accuracy(spark):
     rows = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
     truth = [(r["doc_id"], r["lang"]) for r in docs.collect() if fold(r["doc_id"], 5) == 0]
     assert np.mean([rows[i]["lang_pred"] == lang for i, lang in truth]) > 0.97
-    odd = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "123 !? ١", "en"), (4, "the of and " * 30000, None), (5, "日本", None)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "123 !? ١", "en"), (4, "the of and " * 30000, None), (5, "日本", None), (6, "— … 😀", "en"), (None, "the end", None)], "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
     got = {r["doc_id"]: r for r in langid.predict(odd, model).collect()}
-    assert [got[i]["lang_pred"] == "und" for i in (1, 2, 3, 4, 5)] == [True, True, True, False, False]
+    assert [got[i]["lang_pred"] == "und" for i in (1, 2, 3, 4, 5, 6, None)] == [True, True, True, False, False, True, False]
     assert got[4]["lang_pred"] == "en" and all(0 <= r["score"] <= 1 for r in got.values())
     empty = langid.train(docs.limit(0))
     assert {r["lang_pred"] for r in langid.predict(odd, empty).collect()} == {"und"}
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_network_equals_a_plain_one():
+    """A bidirectional gated network written out position by position."""
+    model = langid.Model(["a", "b", "c"], hidden=4, seed=3)
+    ids = np.frombuffer("Größe and más".encode(), np.uint8)
+    soft = lambda v: v / (1 + abs(v))
+
+    def states(side, text):
+        x, u, h, out = side.p["x"].astype(float), side.p["u"].astype(float), np.zeros(4), []
+        for byte in text:
+            a, b = x[:, byte], u @ h
+            z, r = (0.5 + 0.5 * np.array([soft(v) for v in (a + b)[k : k + 4]]) for k in (0, 4))
+            c = np.array([soft(v) for v in a[8:] + r * b[8:]])
+            h = z * h + (1 - z) * c
+            out.append(h)
+        return out
+
+    ahead, back = states(model.sides[0], ids), states(model.sides[1], ids[::-1])[::-1]
+    got = model.probabilities(ids[:, None])[0][:, :, 0]
+    for t in range(len(ids)):
+        e = np.exp(model.out["w"].astype(float) @ np.concatenate([ahead[t], back[t]]) + model.out["b"][:, 0])
+        assert np.allclose(got[t], e / e.sum(), atol=1e-5)
+
+
+def test_only_letters_are_pooled():
+    text = "aé— 日\U0001f600𐐀1!ﬁ\u0301z"
+    want = [c.isalpha() for c in text for _ in c.encode()]
+    assert langid.letter_bytes(np.frombuffer(text.encode(), np.uint8)).tolist() == want
+    data = np.frombuffer((text * 50).encode(), np.uint8)
+    for group in (1, 3, 1000):
+        offsets = np.array([0, 0, 30, 30, len(data)])
+        got = np.zeros(len(data), dtype=bool)
+        for ids, weight, row, start in langid.chunked(data, offsets, group):
+            for k in range(len(ids)):
+                n = min(langid.CHUNK, offsets[row[k] + 1] - start[k])
+                assert np.array_equal(ids[k][:n], data[start[k] : start[k] + n]) and not weight[k][n:].any()
+                got[start[k] : start[k] + n] = weight[k][:n]
+        assert got.tolist() == want * 50
+    assert langid.letter_bytes(np.zeros(0, np.uint8)).tolist() == []
+
+
+def test_positions_are_labelled(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs, 40)
+    english, german = (docs.filter(f"lang = '{lang}' and length(text) > 800").orderBy("doc_id").first()["text"][:400] for lang in ("en", "de"))
+    both = spark.createDataFrame([(1, english + german, 7), (2, None, 7), (3, "1 2", 7)], "doc_id long, text string, runs int")
+    got = {r["doc_id"]: r["runs"] for r in langid.label_positions(both, model).collect()}
+    assert got[2] == got[3] == [] and all(a["stop"] <= b["start"] and a["lang"] != b["lang"] for a, b in zip(got[1], got[1][1:]))
+    share = lambda lang, a, b: sum(min(r["stop"], b) - max(r["start"], a) for r in got[1] if r["lang"] == lang and r["start"] < b and r["stop"] > a) / (b - a)
+    cut, end = len(english.encode()), len((english + german).encode())
+    assert share("en", 0, cut) > 0.7 and share("de", cut, end) > 0.7
+
+
 def test_langid_gradients():
     rng = np.random.default_rng(2)
     model = langid.Model(["a", "b", "c"], hidden=3)
@@ -139,6 +191,38 @@ def test_langid_gradients():
             assert abs((losses[0] - losses[1]) / (2 * step) - g[k][at]) < 5e-3 * max(1, abs(g[k][at]))
 
 
+def test_viterbi_equals_all_paths(spark):
+    rng = np.random.default_rng(9)
+    words = Counter({"idiot": 5, "clown": 3, "the": 9, "dot": 2, "it": 4, "to": 6})
+    model = toxicity.CharModel(words)
+    for _ in range(150):
+        token = "".join(rng.choice(list("idot1!05o@cl0wn e")) for _ in range(rng.integers(1, 6)))
+        best = math.inf
+        paths = [("", 0.0)]
+        for options in toxicity.lattice(token, True):
+            paths = [(t + x, c + price) for t, c in paths for x, price in options]
+        for text, price in paths:
+            a = b = "^"
+            for c in text:
+                if c == " ":
+                    price += model.cost(a, b, "^") if b != "^" else 0.0
+                    a = b = "^"
+                else:
+                    price += model.cost(a, b, c)
+                    a, b = b, c
+            best = min(best, price + (model.cost(a, b, "^") if b != "^" else 0.0))
+        cost, found = toxicity.reading(token, model, True)
+        assert math.isclose(cost, best, abs_tol=1e-9)
+        assert any("".join(found) == t.replace(" ", "") for t, _ in paths)
+
+
+def test_copies_count_once():
+    rng = np.random.default_rng(2)
+    sets = [frozenset(f"w{k}" for k in rng.integers(0, 10**6, 60)) for _ in range(40)]
+    sets += [frozenset([*list(s)[:-1], "other"]) for s in sets[:10]] + [sets[3], frozenset()]
+    assert set(range(40)) <= set(kept := toxicity.families(sets)) and len(kept) <= 44
+
+
 def test_toxicity_reads_symbols_at_edges(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     scorer = toxicity.fit(docs, labels)
@@ -150,17 +234,20 @@ def test_toxicity_reads_symbols_at_edges(spark):
 
 
 def test_toxicity_finds_held_out_and_obfuscated(spark):
-    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     scorer = toxicity.fit(docs, labels)
     out = toxicity.toxicity(docs, scorer).join(labels, "doc_id").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
     rows = out.collect()
     clean = [r["predicted"] for r in rows if r["toxic"] == 0]
     toxic = [r["predicted"] for r in rows if r["toxic"] == 1]
-    assert np.mean(clean) < 0.03 and np.mean(toxic) > 0.5
+    assert np.mean(clean) < 0.02 and np.mean(toxic) > 0.9, (np.mean(clean), np.mean(toxic))
     for token, word in (("1d10t", "idiot"), ("LOS3R!!", "loser"), ("clooooown", "clown"), ("m-o-r-o-n", "moron"), ("tr4sh", "trash"), ("$cum", "scum"), ("the,", "the")):
         assert word in toxicity.restore(token, scorer.lm)
     assert toxicity.spaced_runs("so i d i o t now", scorer.lm)[-1] == "idiot"
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "7 " * 9000 + "1d10t"), (4, "!!! ***")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "7 " * 9000 + "1d10t", 0.5), (4, "!!! ***", 0.5)], "doc_id long, text string, score double")
+    small = [x.filter("doc_id < 1500") for x in (docs, labels)]
+    once, twice = toxicity.fit(*small), toxicity.fit(*(x.union(x) for x in small))
+    assert np.allclose(twice.coefficients, once.coefficients) and twice.weights == once.weights
     got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(odd, scorer).collect()}
     assert got[1] == got[2] == got[4] < 0.3 <= got[3]
     nothing = toxicity.fit(docs, labels.limit(0))
