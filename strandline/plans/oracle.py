@@ -60,6 +60,16 @@ _BEST = f"select * from (select t.frame_idx, trk_idx, det_idx, category_id, gt_t
 _put("best_overlap_match", "det trk", f"select frame_idx, trk_idx, det_idx, round(iou, 6) as iou from trk left join ({_BEST}) b using (frame_idx, trk_idx)")
 _put("attribute_transfer", "det trk", f"select frame_idx, trk_idx, coalesce(category_id, 0) as class_id, gt_track_id, jersey as gt_jersey from trk left join ({_BEST}) b using (frame_idx, trk_idx)")
 _put("compose_matches", "det trk", f"select b.frame_idx, b.trk_idx as a, d.gt_track_id as c from ({_BEST}) b join det d on b.frame_idx = d.frame_idx and b.det_idx = d.det_idx")
+# All ways to take or leave the pairs of a frame; one that shares no box with another is always taken.
+ORACLE["optimal_assignment"] = f"""{with_ctes("det", "trk")},
+p as (select *, count(*) over (partition by frame_idx, a) + count(*) over (partition by frame_idx, b) > 2 as rival, row_number() over (partition by frame_idx order by a, b) as k
+  from (select t.frame_idx, cast(trk_idx as bigint) as a, cast(det_idx as bigint) as b, 1 - {_IOU1} as cost from trk t join det d on t.frame_idx = d.frame_idx) where cost < cast(0.8 as double)),
+s as (select frame_idx, cast(0 as bigint) as k, cast([] as bigint[]) as rows, cast([] as bigint[]) as columns, cast(0 as double) as gain from (select distinct frame_idx from p)
+  union all select s.frame_idx, p.k, case when take then list_append(rows, a) else rows end, case when take then list_append(columns, b) else columns end, case when take then gain + cost - cast(0.8 as double) else gain end
+  from s join p on p.frame_idx = s.frame_idx and p.k = s.k + 1 join (values (true), (false)) c(take) on (take and not list_contains(rows, a) and not list_contains(columns, b)) or (not take and rival)),
+w as (select s.* from s join (select frame_idx, max(k) as k from p group by frame_idx) m using (frame_idx, k) qualify row_number() over (partition by frame_idx order by gain) = 1),
+u as (select frame_idx, unnest(rows) as a, unnest(columns) as b from w)
+select frame_idx, a, b, round(cost, 6) as cost from u join p using (frame_idx, a, b)"""
 _put("embedding_cosine_pairs", "emb", "select a.track_id, a.idx, round(greatest(0, 1 - list_dot_product(a.embedding, b.embedding) / (sqrt(list_dot_product(a.embedding, a.embedding)) * sqrt(list_dot_product(b.embedding, b.embedding)))), 6) as distance from emb a join emb b on a.track_id = b.track_id and b.idx = a.idx + 1")
 _CLOSE = f"(select t.frame_idx, trk_idx, det_idx, trk_idx * 7 % 5 > det_idx * 3 % 5 as older from trk t join det d on t.frame_idx = d.frame_idx where 1 - {_IOU1} < cast(0.15 as double))"
 _put(

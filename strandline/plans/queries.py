@@ -155,7 +155,7 @@ def compose_matches(spark, sf_dir):
 @query
 def optimal_assignment(spark, sf_dir):
     pairs = _costs(spark, sf_dir).select("frame_idx", F.col("trk_idx").alias("a"), F.col("det_idx").alias("b"), F.col("distance").alias("cost"))
-    return assignment.assigned(pairs, 0.8)
+    return assignment.assigned(pairs, 0.8).select("frame_idx", "a", "b", rounded("cost", "cost"))
 
 
 def _sequences(det):
