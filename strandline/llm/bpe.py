@@ -538,6 +538,7 @@ def encode(docs: DataFrame, vocabulary_path: str, size: int = LEXICON, keep: lis
     lexicon, made = build_lexicon(docs, vocabulary_path, size), ["ids", "decoded"] if both else ["ids"]
     docs = docs.drop(*made)
     keep = [c for c in docs.columns if keep is None or c in keep]
+    docs = docs.select(*keep, *([] if "text" in keep else ["text"]))
     schema = T.StructType([docs.schema[c] for c in keep]).add("ids", T.ArrayType(T.IntegerType()))
     return docs.mapInArrow(_encode(vocabulary_path, lexicon, docs.columns.index("text"), keep, both), schema.add("decoded", T.StringType()) if both else schema)
 

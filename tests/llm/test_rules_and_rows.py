@@ -300,3 +300,27 @@ def test_pipeline_stages_take_effect(spark, monkeypatch):
     got = {r["doc_id"]: list(r["ids"]) for r in p.run(spark, SF).collect()}
     assert got == {i: library.encode(texts[i] or "", add_special_tokens=False).ids for i in kept}
     assert 0 < len(kept) < len(rows)
+
+
+def test_pipeline_stages_take_any_rows(spark):
+    import corpus_pipeline as p
+
+    pytest.importorskip("public_tokenizers")
+    prose = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en' and length(text) between 900 and 2000").orderBy("doc_id").first()["text"]
+    rows = [(1, prose, "en", "s", len(prose)), (1, prose, "en", "s", len(prose)), (2, prose, None, None, None), (None, prose, "en", "s", 5), (3, None, "en", "s", 0), (4, "", None, None, None), (5, " \n\t", "de", "s", 3), (6, "ab " * 50000, "en", "s", 150000), (7, prose + " mail me: a.b@example.com", "en", "s", 1)]
+    docs = spark.createDataFrame([(*r, True, [1], "x", 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept boolean, ids array<int>, digest string, n_entities int")
+    want = {
+        "quality rules": [None, 1, 1, 2, 7], "near-duplicates": [None, 1, 1, 3, 4, 5, 6], "decontamination": [None, 1, 1, 2, 3, 4, 5, 6, 7],
+        "surrogates": [None, 1, 1, 2, 3, 4, 5, 6, 7], "encoding": [None, 1, 1, 2, 3, 4, 5, 6, 7],
+    }
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert sorted((r["doc_id"] for r in got), key=lambda i: (i is not None, i)) == want[name], name
+        assert out.columns == (p.COLUMNS if name != "encoding" else ["doc_id", "source", "lang", "n_tokens", "ids"])
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        if name == "surrogates":
+            texts = {r["doc_id"]: r for r in got}
+            assert "a.b@" not in texts[7]["text"] and texts[7]["n_chars"] == len(texts[7]["text"]) and texts[2]["n_chars"] is None and texts[3]["text"] is None
+        if name == "encoding":
+            assert {r["doc_id"]: r["n_tokens"] for r in got if r["doc_id"] in (3, 4)} == {3: 0, 4: 0}
