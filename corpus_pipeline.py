@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read
 back as the next stage's ``docs``. All but the last return the columns of ``documents``.
+
+For every stage: other columns of ``docs``, whatever their names, are left out; an empty table gives no rows; a
+text of any length is one row's work. A null or empty text has no words, so the first stage rejects it; the
+others keep such a row as it is (encoded: no ids).
 """
 
 from __future__ import annotations
@@ -18,7 +22,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and don't diverge from their language's reference, if it has one."""
+    """Documents that pass the base rules and don't diverge from their language's reference, if it has one.
+
+    A null language is judged by the nearest reference. Repeated rows are judged alike; a distance that equals
+    its limit passes.
+    """
     return quality.passing(docs, COLUMNS, nearest=False)
 
 
@@ -32,19 +40,25 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; rows without an id stay."""
+    """Documents that hold no benchmark item: less than 75 percent of the shingles of each.
+
+    Rows without an id stay. Of an id with several texts all rows go if they hold an item together.
+    """
     leaks = store(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return docs.join(few(leaks), "doc_id", "left_anti").select(COLUMNS)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data; ``n_chars`` follows the new text."""
+    """Documents with surrogates for personal data; ``n_chars`` follows the new text.
+
+    The key is the one in ``STRANDLINE_PII_KEY``, else new for each run. Repeated rows stay equal.
+    """
     out = pii.pseudonymised(docs.select(COLUMNS), secret())
     return out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """Token ids of every document that is left; repeated rows give repeated ids."""
     path = tokenizer("byte_bpe_50k.json")
     return bpe.encode(docs, path, keep=["doc_id", "source", "lang"]).select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
