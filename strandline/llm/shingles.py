@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
