@@ -120,6 +120,12 @@ _put(
   d as (select track_id, idx, sqrt(sum((x - m) * (x - m))) as d from e join m using (track_id, p) group by track_id, idx)
   select track_id, idx, round(d, 6) as distance from (select *, count(*) over w as n, avg(d) over w as a, stddev_pop(d) over w as s from d window w as (partition by track_id)) where n < 3 or d - a <= cast(0.5 as double) * s""",
 )
+_put(
+    "model_heads",
+    "emb",
+    """select track_id, idx, round(1 / (1 + exp(-embedding[1])), 6) as legible, round(exp(embedding[1]) / (exp(embedding[1]) + exp(embedding[2]) + exp(embedding[3]) + exp(embedding[4])), 6) as first_class,
+  round((embedding[4] + embedding[12]) / 2, 6) as mean_3 from emb""",
+)
 _NUMBER = "case when regexp_full_match(trim(label), '[0-9]+') and cast(trim(label) as int) between 0 and 99 then cast(trim(label) as int) end"
 _SURE = "list_avg(char_confs[1:2])"
 _READ = f"select track_id, frame_idx, {_NUMBER} as jersey, case when {_NUMBER} is null then 0 else {_SURE} end as confidence, case when {_NUMBER} is null then 1 when {_SURE} > 0 then -{_SURE} * ln({_SURE}) end as entropy from ocr"

@@ -269,6 +269,15 @@ def centroid_outlier_filter(spark, sf_dir):
     return attributes.without_outliers(src.appearance(spark, sf_dir)).select("track_id", "idx", rounded("distance", "distance"))
 
 
+@query
+def model_heads(spark, sf_dir):
+    """What stands behind a model: a logit's probability, probabilities of classes, the mean of token vectors."""
+    e = F.col("embedding")
+    tokens = F.array(F.slice(e, 1, 8), F.slice(e, 9, 8))
+    heads = {"legible": vectors.sigmoid(e[0]), "first_class": vectors.softmax(F.slice(e, 1, 4))[0], "mean_3": vectors.mean_vector(tokens)[3]}
+    return src.appearance(spark, sf_dir).select("track_id", "idx", *[rounded(c, n) for n, c in heads.items()])
+
+
 @query
 def ocr_parse(spark, sf_dir):
     return src.readings(spark, sf_dir).select("track_id", "frame_idx", attributes.parsed_number(F.col("label")).alias("jersey"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -13,13 +15,21 @@ _SHIPPED: set[str] = set()
 _LOCAL: list[str] = []
 
 
+def own_folder() -> str:
+    """A folder of this process, gone with it: for files that the driver serves to the executors, and for local sessions."""
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="strandline-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return _LOCAL[0]
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Add the package's sources to the session's Python files, once per application."""
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         _SHIPPED.add(sc.applicationId)
         here = os.path.dirname(os.path.abspath(__file__))
-        path = os.path.join(tempfile.mkdtemp(prefix="strandline-"), "strandline-src.zip")
+        path = os.path.join(own_folder(), f"strandline-{len(_SHIPPED)}.zip")
         with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
             for folder, _, files in os.walk(here):
                 for name in files:
@@ -37,9 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="strandline-"))
-    return _LOCAL[0]
+    return own_folder()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

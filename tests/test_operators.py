@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.config import SplitConfig, TrackerConfig, fingerprint
 from strandline.functions import geometry as g
+from strandline.functions import vectors
 from strandline.operators import attributes, labels, motion, overlap, series, splits, tracker
 from strandline.operators.assignment import assign
 from strandline.sources import files
@@ -160,6 +161,12 @@ def test_geometry_edges(spark):
     assert r[1]["a"] == 0 and r[1]["c"] is None and r[2]["c"] is None
 
 
+def test_vector_heads(spark):
+    df = spark.createDataFrame([([1000.0, 0.0], [[1.0, 2.0], [3.0, 6.0]], None), ([], [], [1])], "v array<double>, t array<array<double>>, x array<int>")
+    one, none = df.select(vectors.softmax(F.col("v")), vectors.mean_vector(F.col("t")), vectors.listed(F.col("x"), "int"), vectors.sigmoid(F.lit(0.0))).collect()
+    assert tuple(one) == ([1.0, 0.0], [2.0, 4.0], [], 0.5) and tuple(none)[:3] == ([], None, [1])
+
+
 def test_numbers_and_labels(spark):
     df = spark.createDataFrame([(x,) for x in ("00", "7 ", "100", "-1", "", "x9", None, "99999999999")], "label string")
     assert [r[0] for r in df.select(attributes.parsed_number(F.col("label"))).collect()] == [0, 7, None, None, None, None, None, None]
