@@ -18,7 +18,6 @@ import json
 import mmap
 import os
 import re
-import tempfile
 import uuid
 from bisect import bisect_left
 from collections import Counter
@@ -35,6 +34,7 @@ from pyspark.sql import types as T
 
 from strandline.llm.recent import Recent
 from strandline.llm.shingles import buffers, gathered, slices
+from strandline.session import own_folder
 
 LEXICON = 1 << 21
 #: Chunks that a Python worker remembers between lookups, and their longest.
@@ -415,7 +415,7 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, size: int = LEXICON) ->
         frequent = [r["word"] for r in counts.filter(F.col("n") >= least).select("word").collect()]
     entries = {w.encode(): (vocabulary.special[w],) if w in vocabulary.special else vocabulary.merge(w.encode()) for w in frequent}
     name = f"lexicon-{uuid.uuid4().hex}"
-    path = os.path.join(tempfile.mkdtemp(prefix="strandline-"), name)
+    path = os.path.join(own_folder(), name)
     Transducer.compile(entries, path)
     spark.sparkContext.addFile(path)
     return name
