@@ -17,9 +17,7 @@ Blocks are rows of a Parquet table, so every store that Spark reads can hold the
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +34,9 @@ BLOCK = 1 << 17
 #: A rule takes three numbers, so it pays if it shortens the sequence by four.
 LEAST_COUNT = 4
 #: Runs that a Python worker remembers, and the longest of them.
-REMEMBERED, LONGEST_REMEMBERED = 800_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 1_000_000, 64
 #: Bytes of text whose distinct runs are encoded together; a longer text stands alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 6 << 20
 JOINED = 256
 END_ID = 1
 
@@ -185,13 +183,12 @@ _TOKENIZERS: dict[str, tuple] = {}
 
 
 class ChunkEncoder:
-    """Ids of texts by the tokenizers library, which sees each distinct word once.
+    """Ids of texts by the tokenizers library, which sees each distinct run of other characters than white space once.
 
     The tokenizer file lower-cases and maps white space to a separator that no token crosses, so a text's
-    ids are those of its runs of other characters in order, whatever the case of A-Z. It also parts letters
-    and digits from other characters: a new run is cut into what stands before, between and after its first
-    and last letter or digit, and only parts that are new go to the library, ``JOINED`` at a time and parted
-    by spaces; the offsets of the tokens tell the parts apart. Known runs are held as the bytes of their ids.
+    ids are those of its runs in order, whatever the case of A-Z. New runs go to the library ``JOINED`` at a
+    time, parted by spaces; the offsets of the tokens tell the runs apart. Known runs are held as the bytes of
+    their ids.
     """
 
     def __init__(self, path: str):
@@ -213,8 +210,9 @@ class ChunkEncoder:
         lists = pc.ascii_split_whitespace(column)
         coded = lists.flatten().dictionary_encode()
         runs, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        edged = pc.not_equal(pc.ascii_trim(coded.dictionary, characters=_OUTSIDE), coded.dictionary).to_numpy(zero_copy_only=False)
-        self._learn(self.known.missing(set(runs)), {runs[i] for i in np.flatnonzero(edged).tolist()})
+        new = list(self.known.missing(set(runs)))
+        for k in range(0, len(new), JOINED):
+            self._learn(new[k : k + JOINED])
         ids, ends = gathered(index, list(map(self.known.new.__getitem__, runs)))
         for run in runs:
             if len(run) > LONGEST_REMEMBERED:
@@ -222,42 +220,12 @@ class ChunkEncoder:
         edges = ends[np.cumsum(np.concatenate([[0], lists.value_lengths().to_numpy(zero_copy_only=False)])).astype(np.int64)]
         return np.insert(ids.view(np.uint32), edges[1:], np.uint32(END_ID)), edges + np.arange(len(edges))
 
-    def _learn(self, runs: set[str], edged: set[str]) -> None:
-        known, split = self.known.new, {run: parts(run) for run in runs & edged}
-        whole = {run for run, three in split.items() if len(three) == 1}
-        new = list((runs - edged) | whole | self.known.missing(set(chain.from_iterable(split.values())), turn=False))
-        for k in range(0, len(new), JOINED):
-            self._encode(new[k : k + JOINED], known)
-        known.update((run, b"".join([known[p] for p in three])) for run, three in split.items() if len(three) > 1)
-
-    def _encode(self, words: list[str], out: dict[str, bytes]) -> None:
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        starts = np.cumsum([0] + [len(w) + 1 for w in words])
+    def _learn(self, runs: list[str]) -> None:
+        found = self.tokenizer.encode(" ".join(runs), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(w) + 1 for w in runs])
         cuts = 4 * np.searchsorted(np.array([a for a, _ in found.offsets], dtype=np.int64), starts)
         ids = np.array(found.ids, dtype=np.uint32).tobytes()
-        for word, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist()):
-            out[word] = ids[a:b]
-
-
-_OUTSIDE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-
-
-def _stays_letter(c: str) -> bool:
-    """Whether a letter or digit is nothing but letters after the tokenizer's normal form and lower case."""
-    return c.isalnum() if c.isascii() else unicodedata.normalize("NFC", c).lower().isalpha()
-
-
-def parts(run: str) -> tuple[str, ...]:
-    """A run cut where its tokens part: ASCII symbols around a core that starts and ends with a letter or digit.
-
-    Special tokens and an apostrophe before the core (which may begin a token with the next letters) stay whole.
-    """
-    core = run.strip(_OUTSIDE)
-    if not core or "<|" in run or not (_stays_letter(core[0]) and _stays_letter(core[-1])):
-        return (run,)
-    at = run.index(core)
-    head, tail = run[:at], run[at + len(core) :]
-    return (run,) if head.endswith("'") else tuple(p for p in (head, core, tail) if p)
+        self.known.new.update((run, ids[a:b]) for run, a, b in zip(runs, cuts[:-1].tolist(), cuts[1:].tolist()))
 
 
 def _blocks(path):

@@ -104,7 +104,7 @@ def test_chunks_between_spaces_are_independent():
         assert ids == library.encode(text, add_special_tokens=False).ids, text
 
 
-def test_runs_are_cut_where_the_library_cuts(spark):
+def test_runs_are_encoded_as_in_their_text():
     rng = np.random.default_rng(6)
     letters = [" ", "\n", "\xa0", "a", "B", "É", "'s", "'", "LL", "1", "!", "(", "\"", "<|endoftext|>", "<|", "\x1c", "日", "̸", "<", "Σ", "İ", "…", "²", "\u0958", "ß", "ﬁ", "\u0345", "\u1e9e"]
     library, encoder = Tokenizer.from_file(WORD), token_files.ChunkEncoder(WORD)
