@@ -238,10 +238,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the comparison of its part with every part of the bucket.
     now = labelled(edges)
     rest = now.filter("id <> c")
-    mixed = rest.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("key")
-    rest = rest.join(mixed, "key").join(full.select("id", "n", "shingles"), "id")
     parted = F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count("n") / BLOCK_ROWS)).alias("n_parts")
-    rest = rest.join(now.filter("id <> c").join(mixed, "key").join(full.select("id", "n"), "id").groupBy("key").agg(parted), "key")
+    mixed = rest.join(full.select("id", "n"), "id").groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed"), parted)
+    mixed = tables.write(mixed.filter("mixed").select("key", "n_parts"), "mixed")
+    rest = rest.join(mixed, "key").join(full.select("id", "shingles"), "id")
     rest = rest.select("key", "id", "label", "shingles", "n_parts", F.expr("pmod(xxhash64(id), n_parts)").alias("part"))
     rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("other"))
     blocks = rest.groupBy("key", F.least("part", "other"), F.greatest("part", "other"))
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("doc_id")
     own = member.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     linked = tables.write(edges.union(more).union(own), "edges")
-    tables.drop(now, edges, full, inside)
+    tables.drop(now, mixed, edges, full, inside)
 
     label = components(linked)
     tables.drop(linked)
