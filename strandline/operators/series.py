@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.session import written
+
 BLOCK = 65536
 
 
@@ -26,6 +28,26 @@ def positions(df: DataFrame, key: str, order: str, block: int = BLOCK) -> DataFr
     return numbered.withColumn("idx", (F.col("_before") + F.col("_row") - 1).cast("int")).drop("_block", "_before", "_n", "_row")
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "idx") -> DataFrame:
+    """``df`` with ``name``, the position (long, from 0) of each row in its series by any order, strings too.
+
+    Rows are dealt by ranges of key and order, sorted there and written, so that places stay as they are; only the
+    counts of a range's series are summed up before it. No series is one task's work. Without ``keys`` the
+    table is one series. Rows that are equal in ``order`` take places next to each other; rows with a null key are left out.
+    """
+    wanted = [F.col(k) for k in keys]
+    sortable = df.withColumns({f"_o{i}": c for i, c in enumerate(order)}) if order else df
+    by = [*wanted, *[F.col(f"_o{i}") for i in range(len(order))]]
+    dealt = sortable.dropna(subset=keys).repartitionByRange(*by).sortWithinPartitions(*by)
+    at = F.monotonically_increasing_id()  # the range's number and the place in it
+    dealt = written(dealt.select(*df.columns, at.alias("_at")), "ranges").withColumn("_range", F.shiftright("_at", 33))
+    pieces = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.select(*keys, "_range", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = dealt.join(pieces if keys else F.broadcast(pieces), [*keys, "_range"])  # without keys one row a range
+    return placed.select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias(name))
+
+
 def blocked(series: DataFrame, reach: int, block: int) -> DataFrame:
     """Rows with their ``block``, each block followed by the first ``reach`` rows of the next one as a margin."""
     if reach > block:

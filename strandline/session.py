@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _LOCAL: list[str] = []
+_OPENED: set[str] = set()
 
 
 def own_folder() -> str:
@@ -50,8 +51,35 @@ def shared_dir(spark: SparkSession) -> str:
     return own_folder()
 
 
+def own_tables(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, below the shared one; ``release`` deletes it."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/strandline/{sc.applicationId}"
+    if path not in _OPENED:
+        _OPENED.add(path)
+        atexit.register(lambda: path in _OPENED and sc._jsc is not None and release(spark))
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder through Spark's file systems; it may be missing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this application has written for its own use.
+
+    Call it when no result is read any more; DataFrames of the library can't be read afterwards. It also runs when
+    the driver's process ends with its session still open; only a driver that was killed leaves its tables.
+    """
+    path = own_tables(spark)
+    _OPENED.discard(path)
+    delete(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/strandline/{name}-{uuid.uuid4().hex}"
+    path = f"{own_tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

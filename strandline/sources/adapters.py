@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.series import positions
-from strandline.session import shared_dir, ship
+from strandline.session import own_tables, ship
 
 SPARK = {"K": "cast(get_json_object(props, '$.k') as int)", "ARR": "array", "STR": "string"}
 DUCK = {"K": "cast(json_extract_string(props, '$.k') as int)", "ARR": "list_value", "STR": "varchar"}
@@ -85,7 +85,7 @@ def annotation_files(spark: SparkSession, sf_dir: str) -> str:
     shown = F.struct(F.col("jersey").cast("string").alias("jersey"), F.when(F.col("gt_track_id") % 2 == 0, "left").otherwise("right").alias("team"), F.when(F.col("category_id") == 1, "player").otherwise("referee").alias("role"))
     own = F.struct("frame_idx", "det_idx", image["image_id"].alias("image_id"), "category_id", F.col("gt_track_id").alias("track_id"), corner.alias("bbox_image"), shown.alias("attributes"))
     docs = det.groupBy("sequence_id").agg(F.array_sort(F.collect_set(image)).alias("images"), F.array_sort(F.collect_list(own)).alias("annotations"))
-    path = f"{shared_dir(spark)}/strandline/annotations-{uuid.uuid4().hex}"
+    path = f"{own_tables(spark)}/annotations-{uuid.uuid4().hex}"
     docs.write.partitionBy("sequence_id").json(path)
     return path
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.config import fingerprint
 from strandline.functions.geometry import xywh_to_xyxy
+from strandline.operators.series import ranked
 
 ANNOTATIONS = """images array<struct<image_id string, file_name string>>,
 annotations array<struct<image_id string, category_id int, track_id long, bbox_image struct<x double, y double, w double, h double>,
@@ -20,10 +21,13 @@ def frames(spark: SparkSession, folder: str, suffix: str = "jpg", content: bool
     """``sequence_id, frame_idx, filename, path`` of the frames below ``folder``, one sequence per folder, in path order.
 
     With ``content`` the bytes come along, for a decoder in a later ``mapInArrow``; without, files are only listed.
+    A folder's paths are ranked over ranges of paths, so a folder with a third of all frames isn't one task's work;
+    bytes don't take part.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", "true").load(folder)
-    named = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("sequence_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "path", *(["content"] if content else []))
-    return named.withColumn("frame_idx", F.row_number().over(Window.partitionBy("sequence_id").orderBy("path")) - 1)
+    named = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("sequence_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "path")
+    placed = ranked(named, ["sequence_id"], [F.col("path")], "frame_idx")
+    return placed.join(files.select("path", "content"), "path") if content else placed
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.config import TrackerConfig
 from strandline.operators.tracker import NAMES, TRACKED_ROWS, Tracker, as_dets
-from strandline.session import shared_dir
+from strandline.session import own_tables
 
 
 def _advance(config):
@@ -49,7 +49,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now, into a table of the shared folder, and read that table."""
     spark = stream.sparkSession
-    folder = f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+    folder = f"{own_tables(spark)}/{name}-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
