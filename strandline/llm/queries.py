@@ -8,7 +8,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, ctw, decontaminate, langid, near_dup, pii, quality, token_files, tool_calls, toxicity
+from strandline.llm import bpe, ctw, decontaminate, langid, near_dup, pii, quality, resample, sort_means, token_files, tool_calls, toxicity, url_filter
 from strandline.llm.store import crc_mod
 from strandline.session import ship
 
@@ -114,7 +114,25 @@ def op10_toxicity(spark, sf_dir):
     return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_quality, op4_tool_calls, op5_pii, op6_langid, op7_near_dup, op8_ctw, op9_token_files, op10_toxicity)}
+#: Words in the name of a host that make it, and what is below it, an entry of the list of op11.
+LISTED_WORDS = ["ads", "adult", "bets", "casino", "pills", "spam"]
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op11_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judged(pages, RULES, url_filter.named_hosts(pages, LISTED_WORDS))
+
+
+def op12_resample(spark, sf_dir):
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sort_means(spark, sf_dir):
+    return sort_means.sort_means(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_quality, op4_tool_calls, op5_pii, op6_langid, op7_near_dup, op8_ctw, op9_token_files, op10_toxicity, op11_url_filter, op12_resample, op13_sort_means)}
 
 _WORDS = "list_filter(string_split_regex(coalesce({}, ''), '[ \\t-\\r]+'), lambda x: x <> '')"
 
@@ -206,3 +224,53 @@ from d
 
 
 ORACLE["op3_quality"] = _quality_sql()
+
+
+ORACLE["op11_url_filter"] = f"""
+with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path from u),
+rules as (select unnest([{", ".join("{'verdict': '%s', 'rule': '%s'}" % r for r in RULES)}], recursive := true)),
+fit as (select host, path, max(struct_pack(n := length(rule), rule := rule, verdict := verdict)) as best from (select distinct host, path from h), rules
+  where (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1))) and starts_with(path, substr(rule, strpos(rule, '/'))) group by host, path)
+select page_id, host, path, best.rule as rule, coalesce(best.verdict, case when list_has_any(string_split_regex(host, '[.-]'), {LISTED_WORDS}) then 'block' else 'allow' end) as verdict
+from h left join fit using (host, path)
+"""
+
+_FEATURES = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+ORACLE["op12_resample"] = f"""
+with tab as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by i) as t from range(256) r(i)),
+d as (select row_number() over () as row, doc_id, {_FEATURES} as w from documents),
+b as (select {_FEATURES} as w from benchmark),
+dw as (select row, unnest(w) as f from d), bw as (select unnest(w) as f from b),
+f as (select f, hex(encode(f)) as x from (select distinct f from (select f from dw union all select f from bw))),
+k as (select f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: ('0x' || substr(x, i, 2))::bigint)), lambda c, y: xor(c // 256, t[1 + xor(c, y) % 256])), 4294967295) % 10000 as bucket from f, tab),
+s as (select bucket, count(*) as s from dw join k using (f) group by bucket), t as (select bucket, count(*) as t from bw join k using (f) group by bucket),
+g as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from dw) + 10000) / ((coalesce(s, 0) + 1)::double * ((select count(*) from bw) + 10000))))::bigint as gain
+  from range(10000) r(bucket) left join s using (bucket) left join t using (bucket)),
+m as (select row, sum(gain) as weight from dw join k using (f) join g using (bucket) group by row),
+x as (select row, doc_id, len(w) as n_features, coalesce(weight, 0)::bigint as weight, (('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5)::double / 4294967296 as u from d left join m using (row)),
+y as (select *, weight + floor(-1000 * ln(-ln(u)))::bigint as score from x),
+z as (select *, case when n_features >= 20 then row_number() over (partition by n_features >= 20 order by score desc, doc_id) end as place, count(*) filter (n_features >= 20) over () as n from y)
+select doc_id, n_features, weight, score, case when place <= 10 * n // 100 then place end as rank from z
+"""
+
+
+def _sort_means_sql(rounds: int = 3) -> str:
+    """The rounds as one relation each: distances to all centroids, the nearest, the floored means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} as (select vec_id, v, min(struct_pack(distance := list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, cluster := cluster)) as best from e, c{r} group by row, vec_id, v),
+s{r} as (select best.cluster as cluster, i, floor(sum(v[i]) / count(*))::bigint as x from a{r}, range(1, 65) g(i) group by all),
+c{r + 1} as (select c{r}.cluster, coalesce(own.m, c{r}.m) as m from c{r} left join (select cluster, list(x order by i) as m from s{r} group by cluster) own using (cluster))""")
+    return f"""
+with e as (select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as (select (row_number() over (order by sha256('1:' || vec_id)) - 1)::int as cluster, v as m from e order by sha256('1:' || vec_id) limit 16),
+{", ".join(steps)}
+select vec_id, best.cluster as cluster, best.distance as distance, (sum(best.distance) over (partition by best.cluster))::bigint as cluster_inertia, (sum(best.distance) over ())::bigint as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+from a{rounds} join c{rounds} on c{rounds}.cluster = best.cluster
+"""
+
+
+ORACLE["op13_sort_means"] = _sort_means_sql()

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.session import shared_dir, written
+from strandline.session import delete, own_tables, written
 
 #: Most ids that are sent to every task instead of shuffling the rows they select (8 bytes each).
 MOST_IDS = 1 << 22
@@ -21,7 +21,7 @@ class Tables:
     """The tables of one run of an operator: written under a folder of their own, dropped when a successor is written."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/strandline/{uuid.uuid4().hex}", 0
+        self.spark, self.at, self.n = spark, f"{own_tables(spark)}/{uuid.uuid4().hex}", 0
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -36,8 +36,7 @@ class Tables:
     def drop(self, *tables: DataFrame) -> None:
         """Delete the files of tables that nothing reads any more."""
         for table in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table))[1])
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, self.paths.pop(id(table))[1])
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
