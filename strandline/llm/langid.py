@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.shingles import buffers
-from strandline.llm.store import crc_mod
+from strandline.llm.store import crc_mod, whole_texts
 
 HIDDEN, CHUNK = 6, 64
 #: Documents per language in the training sample, about: what bounds the driver's share.
 SAMPLE_DOCUMENTS = 300
+#: Characters of the sample at most, in whole texts.
+MOST_CHARS = 32 << 20
 EPOCHS, BATCH, RATE = 1, 64, 0.01
 #: Chunks that pass the network together.
 GROUP = 2048
@@ -256,8 +258,9 @@ def _runs(model):
 def train(docs: DataFrame, per_language: int = SAMPLE_DOCUMENTS) -> Model:
     """A model of the non-null languages of the training rows (crc32 of the id's text, modulo 5, not 0).
 
-    The sample takes ids by their hash, about ``per_language`` of each language, and whole texts. Of rows with one
-    id the first by language and text counts. Without training rows the model knows no language.
+    The sample takes ids by their hash, about ``per_language`` of each language, and whole texts, ``MOST_CHARS``
+    characters in all: a text that is longer than what is left is left out. Of rows with one id the first by language and
+    text counts. Without training rows the model knows no language.
     """
     rows = docs.filter((crc_mod(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -266,8 +269,10 @@ def train(docs: DataFrame, per_language: int = SAMPLE_DOCUMENTS) -> Model:
         return Model([])
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / counts[lang]))])
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    taken = rows.filter(place <= share[F.col("lang")]).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.*")
-    texts = sorted((r["lang"], r["text"]) for r in taken.collect())
+    taken = rows.filter(place <= share[F.col("lang")]).select("doc_id", "lang", place.alias("place")).distinct()
+    first = taken.groupBy("doc_id", "place").agg(F.min("lang").alias("lang"))
+    sample = whole_texts(rows.join(F.broadcast(first.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi"), first, MOST_CHARS)
+    texts = sorted((r["lang"], r["text"]) for r in sample.collect())
     raw, offsets = buffers(pa.array([t for _, t in texts], pa.string()))
     parts = [*chunked(raw, offsets)]
     labels = np.array([languages.index(lang) for lang, _ in texts])
@@ -290,6 +295,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def label_positions(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, runs``: the label of every letter position, as runs ``start, stop, lang`` of bytes of the UTF-8 text."""
+    """``doc_id, runs``: the label of every letter position, as runs ``start, stop, lang`` of bytes of the UTF-8 text.
+
+    A null text, or one without letters, has no runs. Of languages with equal probabilities the first by name is
+    taken. Repeated rows are labelled alike, an empty table gives no rows, other columns are ignored; a text of
+    any length is one row's work, ``GROUP`` chunks at a time.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_runs(shipped), "doc_id long, runs array<struct<start:long,stop:long,lang:string>>")

@@ -49,6 +49,24 @@ def few(ids: DataFrame, most: int = MOST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+def whole_texts(docs: DataFrame, taken: DataFrame, most: int) -> DataFrame:
+    """The ``text`` of the rows of ``taken`` (``doc_id``, ``place`` and more; a sample of bounded rows), at most ``most`` characters in all.
+
+    Rows come in the order of ``place``; one that doesn't fit any more is left out whole, so no text is cut and
+    the caller may collect what is left. Of an id's texts the first by order counts; a null text is empty.
+    """
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = text.join(F.broadcast(taken.select("doc_id", "place")), "doc_id").groupBy("doc_id", "place").agg(F.max(F.length("text")).alias("n"))
+    left, fit = most, []
+    for r in sorted(sizes.collect(), key=lambda r: (r["place"], r["doc_id"])):
+        if r["n"] <= left:
+            left -= r["n"]
+            fit.append(r["doc_id"])
+    chosen = taken.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in fit], "doc_id long")), "doc_id")
+    kept = [c for c in taken.columns if c != "place"]
+    return text.join(F.broadcast(chosen), "doc_id").groupBy(*kept).agg(F.min("text").alias("text"))
+
+
 def crc_mod(column, modulus: int):
     """``crc32`` of a value's text form, modulo ``modulus``: the fold of a row."""
     return F.crc32(column.cast("string").cast("binary")) % modulus

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandline.llm import ctw, langid, toxicity
+from strandline.llm import ctw, langid, store, toxicity
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.01"
@@ -218,9 +218,34 @@ def test_viterbi_equals_all_paths(spark):
 
 def test_copies_count_once():
     rng = np.random.default_rng(2)
-    sets = [frozenset(f"w{k}" for k in rng.integers(0, 10**6, 60)) for _ in range(40)]
-    sets += [frozenset([*list(s)[:-1], "other"]) for s in sets[:10]] + [sets[3], frozenset()]
-    assert set(range(40)) <= set(kept := toxicity.families(sets)) and len(kept) <= 44
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, 80)) for _ in range(40)]
+    texts += [t + " other" for t in texts[:10]] + [texts[3], "", " "]
+    rows = [(i % 2 if i < 40 else (i - 40) % 2, toxicity.shingle_hashes(t)) for i, t in enumerate(texts)]
+    rows[50] = (1, rows[3][1])
+    assert toxicity.families(rows) == [*range(40), 51, 52]
+    assert toxicity.families([(1 - y, own) if i == 45 else (y, own) for i, (y, own) in enumerate(rows)]) == [*range(40), 45, 51, 52]
+
+
+def test_only_true_copies_leave_the_sample(spark):
+    """On the documents: whatever goes has a near copy with its label among what stays, and nothing else goes."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    sample = [(r["toxic"], toxicity.shingle_hashes(r["text"] or "")) for r in docs.join(labels, "doc_id").filter("toxic in (0, 1)").orderBy("doc_id").collect()]
+    stay = set(toxicity.families(sample))
+
+    def near(a, b):
+        return a[0] == b[0] and 4 * len(a[1] & b[1]) >= 3 * len(a[1] | b[1])
+
+    gone = [r for i, r in enumerate(sample) if i not in stay]
+    assert gone and all(any(near(r, sample[j]) for j in stay) for r in gone)
+    kept = [sample[j] for j in stay]
+    assert not any(near(kept[i], kept[j]) for i in range(len(kept)) for j in range(i))
+
+
+def test_samples_are_bounded_in_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "a" * 50), (2, "b" * 70), (3, None), (4, "d" * 40), (4, "c" * 30), (5, "e")], "doc_id long, text string")
+    taken = spark.createDataFrame([(i, i / 10, "x") for i in (1, 2, 3, 4, 9)], "doc_id long, place double, lang string")
+    got = sorted((r["doc_id"], r["lang"], r["text"]) for r in store.whole_texts(docs, taken, 100).collect())
+    assert got == [(1, "x", "a" * 50), (3, "x", ""), (4, "x", "c" * 30)]
 
 
 def test_toxicity_reads_symbols_at_edges(spark):
