@@ -12,7 +12,8 @@ lone surrogates) or nests deeper than ``DEEPEST`` is plain content, not a call.
 Calls and results are hash-joined by conversation and call id. A call's level is 0 if it refers to no
 call, else one more than the highest level it refers to; what never gets one (a cycle, or a reference to no
 call) has level null. Calls of a conversation are ordered in one task if they are ``MOST_CALLS`` at most; in
-longer ones, of which one may hold a third of all rows, rounds of a join raise levels until none changes.
+longer ones, of which one may hold a third of all rows, chains are shortened by doubling and rounds of a join
+raise levels until none changes.
 ``conv_id, level, turn, place`` is the topological order.
 """
 
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +35,6 @@ MOST_CALLS = 50_000
 #: Levels of objects and lists that a call or result may nest.
 DEEPEST = 100
 
-_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
-
 
 def canonical(value) -> str:
     """JSON with sorted keys, no white space and unescaped letters."""
@@ -62,25 +63,101 @@ def _loads(text: str):
     raise ValueError("nested too deep")
 
 
-def violations(arguments, schema: dict | None) -> list[str]:
-    """Why arguments don't fit a schema (``properties`` with ``type`` and ``enum``, ``required``, ``additionalProperties``)."""
+def _is_number(v) -> bool:
+    return isinstance(v, (int, float)) and not isinstance(v, bool)
+
+
+_KINDS = {
+    "string": lambda v: isinstance(v, str), "boolean": lambda v: isinstance(v, bool), "null": lambda v: v is None, "array": lambda v: isinstance(v, list),
+    "object": lambda v: isinstance(v, dict), "number": _is_number, "integer": lambda v: _is_number(v) and (isinstance(v, int) or v.is_integer()),
+}
+
+
+def _same(a, b) -> bool:
+    """Equality of JSON values: ``true`` is no number, numbers are equal by value, objects by their members."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(v, b[k]) for k, v in a.items())
+    return a == b
+
+
+def _bounded(n, schema: dict, *names: str) -> bool:
+    """Whether a number keeps the bounds that a schema has under ``least, most, above, below``."""
+    tests = zip(names, (lambda x: n >= x, lambda x: n <= x, lambda x: n > x, lambda x: n < x))
+    return all(test(schema[k]) for k, test in tests if _is_number(schema.get(k)))
+
+
+def _divides(step, value) -> bool:
+    """Whether a value is a multiple of a step, both as the decimals they are written as."""
+    if not _is_number(step) or not 0 < step < math.inf:
+        return True
+    return Fraction(str(value)) % Fraction(str(step)) == 0
+
+
+def _matches(pattern, text: str) -> bool:
+    try:
+        return re.search(pattern, text) is not None
+    except (re.error, TypeError):  # no pattern that can be tested
+        return True
+
+
+def _check(value, schema, path: str) -> list[str]:
+    """What is wrong with a value, by the path to it. What isn't a schema, or a keyword of another kind, allows all."""
+    if schema is False:
+        return [f"unexpected {path}"]
+    if not isinstance(schema, dict) or isinstance(value, str) and value.startswith("$"):
+        return []
+    kinds = schema.get("type")
+    kinds = [k for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str)]
+    if kinds and all(k in _KINDS for k in kinds) and not any(_KINDS[k](value) for k in kinds):
+        return [f"type of {path}"]
+    out = []
+    if isinstance(schema.get("enum"), list) and not any(_same(value, x) for x in schema["enum"]) or "const" in schema and not _same(value, schema["const"]):
+        out.append(f"value of {path}")
+    if _is_number(value):
+        if not _bounded(value, schema, "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum") or not _divides(schema.get("multipleOf"), value):
+            out.append(f"range of {path}")
+    elif isinstance(value, str):
+        if not _bounded(len(value), schema, "minLength", "maxLength"):
+            out.append(f"length of {path}")
+        if isinstance(schema.get("pattern"), str) and not _matches(schema["pattern"], value):
+            out.append(f"pattern of {path}")
+    elif isinstance(value, list):
+        if not _bounded(len(value), schema, "minItems", "maxItems"):
+            out.append(f"length of {path}")
+        for i, x in enumerate(value):
+            out += _check(x, schema.get("items"), f"{path}[{i}]")
+    elif isinstance(value, dict):
+        out += _members(value, schema, f"{path}.")
+    return out
+
+
+def _members(value: dict, schema: dict, before: str) -> list[str]:
+    known = schema.get("properties") if isinstance(schema.get("properties"), dict) else {}
+    required = schema.get("required") if isinstance(schema.get("required"), list) else []
+    out = [f"missing {before}{k}" for k in required if isinstance(k, str) and k not in value]
+    for k, v in sorted(value.items()):
+        out += _check(v, known[k] if k in known else schema.get("additionalProperties"), before + k)
+    return out
+
+
+def violations(arguments, schema: dict | bool | None) -> list[str]:
+    """Why arguments don't fit a JSON schema; empty if they do. Never raises, whatever the schema holds.
+
+    Checked at every depth: ``type`` (one or several), ``enum``, ``const``, ``properties``, ``required``, ``additionalProperties``,
+    ``items``, bounds of numbers and of lengths, ``multipleOf``, ``pattern``. Other keywords, and those whose value isn't of the
+    kind they need, allow everything. A reference (``$x``) fits anything, as its result isn't known. Null: unknown tool.
+    """
     if not isinstance(arguments, dict):
         return ["arguments are no object"]
     if schema is None:
         return ["unknown tool"]
-    known = schema.get("properties", {})
-    out = [f"missing {k}" for k in schema.get("required", []) if k not in arguments]
-    for k, v in sorted(arguments.items()):
-        if k not in known:
-            out += [f"unexpected {k}"] if schema.get("additionalProperties") is False else []
-            continue
-        kind = _TYPES.get(known[k].get("type"))
-        reference = isinstance(v, str) and v.startswith("$")
-        if kind and not reference and (not isinstance(v, kind) or isinstance(v, bool) and kind is not bool):
-            out.append(f"type of {k}")
-        elif "enum" in known[k] and not reference and v not in known[k]["enum"]:
-            out.append(f"value of {k}")
-    return out
+    if not isinstance(schema, dict):
+        return ["no call is allowed"] if schema is False else []
+    return _members(arguments, schema, "")
 
 
 def _references(value) -> set[str]:
@@ -187,18 +264,39 @@ def levels(calls: DataFrame, most: int = MOST_CALLS) -> DataFrame:
 
 
 def _in_rounds(own: DataFrame, tables: Tables) -> DataFrame:
+    """The same for calls of any number: chains are shortened first, by doubling, then rounds raise what is left.
+
+    A call with one reference only hangs on it. Following that reference's own, twice as far each time, it soon hangs on a
+    call that has none, or several, at a known distance; one that never does hangs in a cycle. Rounds of a join then
+    go from one call with several references to the next, not from call to call.
+    """
     edges = tables.write(own.select("conv_id", "id", F.explode("refs").alias("ref")).distinct(), "references")
-    waiting = edges.select("conv_id", "id").distinct()
-    done = tables.write(own.select("conv_id", "id").distinct().join(waiting, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
+    one = edges.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("n"), F.min("ref").alias("to")).filter("n = 1")
+    hung = tables.write(one.select("conv_id", "id", "to", F.lit(1).cast("long").alias("away")), "hung")
+    for _ in range(max(1, hung.count()).bit_length() + 1):
+        ahead = hung.select("conv_id", F.col("id").alias("to"), F.col("to").alias("next"), F.col("away").alias("more"))
+        met = tables.write(hung.join(ahead, ["conv_id", "to"], "left"), "met")
+        if met.filter("next is not null").isEmpty():
+            tables.drop(met)
+            break
+        farther = tables.write(met.select("conv_id", "id", F.coalesce("next", "to").alias("to"), (F.col("away") + F.coalesce("more", F.lit(0))).alias("away")), "hung")
+        tables.drop(hung, met)
+        hung = farther
+    several = edges.join(hung.select("conv_id", "id"), ["conv_id", "id"], "left_anti")
+    far = hung.select("conv_id", F.col("id").alias("ref"), "to", "away")
+    base = tables.write(several.join(far, ["conv_id", "ref"], "left").select("conv_id", "id", F.coalesce("to", "ref").alias("ref"), F.coalesce("away", F.lit(0)).alias("away")), "left")
+    done = tables.write(own.select("conv_id", "id").distinct().join(edges.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
     while True:
-        ready = edges.join(done.select("conv_id", F.col("id").alias("ref"), "level"), ["conv_id", "ref"], "left")
-        new = ready.groupBy("conv_id", "id").agg((F.max("level") + 1).alias("level"), F.count_if(F.col("level").isNull()).alias("open")).filter("open = 0").drop("open")
+        ready = base.join(done.select("conv_id", F.col("id").alias("ref"), "level"), ["conv_id", "ref"], "left")
+        new = ready.groupBy("conv_id", "id").agg((F.max(F.col("level") + F.col("away")) + 1).cast("int").alias("level"), F.count_if(F.col("level").isNull()).alias("open")).filter("open = 0").drop("open")
         new = tables.write(new.join(done, ["conv_id", "id"], "left_anti"), "levels")
         if new.isEmpty():
-            return done
+            break
         more = tables.write(done.unionByName(new), "levels")
         tables.drop(done, new)
         done = more
+    ends = done.select("conv_id", F.col("id").alias("to"), "level")
+    return done.unionByName(hung.join(ends, ["conv_id", "to"]).select("conv_id", "id", (F.col("level") + F.col("away")).cast("int").alias("level")))
 
 
 def linked(messages: DataFrame, schemas: dict | None = None, most: int = MOST_CALLS) -> DataFrame:

@@ -261,6 +261,47 @@ def test_levels_in_one_task_equal_rounds(spark):
     assert {tuple(r) for r in tool_calls.levels(short, 0).collect()} == {tuple(r) for r in tool_calls.levels(short).collect()} != set()
 
 
+def test_levels_of_a_long_chain_and_of_branches(spark):
+    """Chains of 60,000 calls, one of them in a cycle, one open; and a random graph against a plain version."""
+    n = 60000
+    chain = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.concat(F.lit("c"), "id").alias("id"), F.when(F.col("id") > 0, F.array(F.concat(F.lit("c"), F.col("id") - 1))).otherwise(F.array().cast("array<string>")).alias("refs"))
+    cycle = spark.createDataFrame([(2, f"x{k}", [f"x{(k + 1) % 50}"]) for k in range(50)] + [(2, "y", ["x3"]), (2, "z", ["y", "w"]), (2, "w", []), (3, "a", ["gone"]), (3, "b", ["a"])], "conv_id long, id string, refs array<string>")
+    got = tool_calls.levels(chain.unionByName(cycle), 0)
+    assert got.filter("conv_id = 1 and id = concat('c', level)").count() == n == got.count() - 1
+    rng = random.Random(4)
+    graph = {f"n{k}": sorted({f"n{rng.randrange(max(0, k - 9), k)}" for _ in range(rng.choice([1, 1, 1, 2, 3]))}) if k else [] for k in range(300)}
+    level = {}
+    for k, refs in graph.items():
+        level[k] = max((level[r] + 1 for r in refs), default=0)
+    calls = spark.createDataFrame([(5, k, v) for k, v in graph.items()], "conv_id long, id string, refs array<string>")
+    for most in (0, 1000):
+        assert {r["id"]: r["level"] for r in tool_calls.levels(calls, most).collect()} == level
+
+
+def test_arguments_are_validated_at_every_depth():
+    check = tool_calls.violations
+    schema = {
+        "properties": {
+            "o": {"type": "object", "properties": {"x": {"type": "integer", "minimum": 2, "exclusiveMaximum": 9}, "l": {"type": "array", "items": {"type": ["string", "null"]}, "maxItems": 2}}, "required": ["x", "y"], "additionalProperties": False},
+            "e": {"enum": [1, "a", {"k": [1.0]}]}, "any": True, "never": False, "s": {"type": "string", "minLength": 2, "pattern": "^[a-z]+$"}, "n": {"type": "number", "multipleOf": 0.5}, "c": {"const": None},
+        },
+        "additionalProperties": {"type": "boolean"},
+    }
+    assert check({"o": {"x": "s", "z": 1, "l": ["a", None, 3]}}, schema) == ["missing o.y", "length of o.l", "type of o.l[2]", "type of o.x", "unexpected o.z"]
+    assert check({"o": {"x": 9, "y": 1}}, schema) == ["unexpected o.y", "range of o.x"][::-1]
+    assert check({"e": True}, schema) == ["value of e"] and check({"e": 1.0}, schema) == check({"e": {"k": [1]}}, schema) == []
+    assert check({"any": [], "never": 0, "other": 1, "more": True}, schema) == ["unexpected never", "type of other"]
+    assert check({"s": "A"}, schema) == ["length of s", "pattern of s"] and check({"s": "$ref", "o": "$x"}, schema) == []
+    assert check({"n": 1.25, "c": 0}, schema) == ["value of c", "range of n"] and check({"n": True}, schema) == ["type of n"]
+    assert check({"n": 0.3}, {"properties": {"n": {"multipleOf": 0.1}}}) == []
+    odd = [{}, {"properties": None}, {"properties": [1]}, {"required": 5}, {"required": [7, None]}, {"properties": {"a": None}}, {"properties": {"a": {"type": 5, "enum": 3, "minimum": "x", "pattern": "(", "items": 4, "multipleOf": 0.5}}},
+           {"properties": {"a": {"type": ["string", 7]}}}, {"properties": {"a": {"type": "unheard"}}}, {"additionalProperties": None}, True, 7, []]
+    for arguments in ({}, {"a": 1}, {"a": "x"}, {"a": [1, {}]}, {"a": {"b": None}}, {"a": 10**400}):
+        for s in odd:
+            assert isinstance(check(arguments, s), list)
+    assert check({"a": 1}, {"properties": {"a": {"type": ["string", 7]}}}) == ["type of a"] and check({}, False) == ["no call is allowed"]
+
+
 def test_tool_calls_of_a_hot_conversation_equal_a_plain_version(spark):
     schemas = {"find": {"properties": {"q": {"type": "string"}}, "required": ["q"]}}
     rows = []
