@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, is_dataclass
 
 
 # The names and default values of the settings below.
@@ -68,5 +68,5 @@ class SplitConfig:
 
 
 def fingerprint(*configs) -> str:
-    """A short hash of settings, for the paths of tables that depend on them."""
-    return hashlib.sha256(json.dumps([asdict(c) for c in configs], sort_keys=True).encode()).hexdigest()[:12]
+    """A short hash of settings (or names of what else counts), for the paths of tables that depend on them."""
+    return hashlib.sha256(json.dumps([asdict(c) if is_dataclass(c) else c for c in configs], sort_keys=True).encode()).hexdigest()[:12]

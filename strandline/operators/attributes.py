@@ -11,17 +11,41 @@ from pyspark.sql import functions as F
 
 from strandline.config import NumberConfig
 from strandline.functions.geometry import box, clamped, torso_box, torso_rows
+from strandline.operators.rasters import cut_out, inner
 from strandline.operators.series import back_filled
+from strandline.operators.teams import team_clusters
 from strandline.session import written
 
 
-def model(load: Callable[[], Callable[[pd.Series], pd.Series]], returns: str):
-    """A column function that loads a model once per Python worker and scores Arrow batches with it."""
+def batched(batches: Iterator[pd.Series], size: int) -> Iterator[pd.Series]:
+    """The values of a series of batches in batches of ``size``, in order, over the ends of those that came; the last may be shorter."""
+    waiting: list[pd.Series] = []
+    have = 0
+    for batch in batches:
+        waiting.append(batch)
+        have += len(batch)
+        if have >= size:
+            values = pd.concat(waiting, ignore_index=True) if len(waiting) > 1 else batch.reset_index(drop=True)
+            whole = have - have % size
+            for at in range(0, whole, size):
+                yield values.iloc[at : at + size]
+            waiting, have = [values.iloc[whole:]], have - whole
+    if have:
+        yield pd.concat(waiting, ignore_index=True)
+
+
+def model(load: Callable[[], Callable[[pd.Series], pd.Series]], returns: str, size: int | None = None):
+    """A column function that loads a model once per Python worker and scores batches with it.
+
+    With ``size`` the model sees batches of so many values, whatever came from Spark: the values of a task are
+    regrouped in order and only its last batch is shorter. Without, it sees Spark's batches. At most one of Spark's
+    batches and one of the model's are held.
+    """
 
     @F.pandas_udf(returns)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = load()
-        for batch in batches:
+        for batch in batched(batches, size) if size else batches:
             yield score(batch)
 
     return scored
@@ -91,78 +115,73 @@ def number_readings(readings: DataFrame) -> DataFrame:
     return readings.withColumns({"jersey": number, "confidence": F.when(number.isNotNull(), sure).otherwise(0.0), "entropy": F.when(number.isNotNull(), entropy(sure)).otherwise(1.0)})
 
 
-def predict_numbers(observations: DataFrame, crops: DataFrame, legibility, read, config: NumberConfig = NumberConfig()) -> DataFrame:
-    """The cascade: outlier filter, legibility, reading, back-fill. Observations without a reading have null, 0 and 1.
-
-    ``crops`` has ``track_id, idx, embedding, crop``; ``legibility`` maps the crop column to a score, ``read`` to a
-    struct ``label, char_confs`` (both column functions, e.g. from ``model``).
-    """
-    if config.use_outlier_filter:
-        crops = without_outliers(crops, config.outlier_std, config.outlier_min_samples)
-    if config.use_legibility:
-        crops = legible(crops, legibility(F.col("crop")), config.legibility_threshold)
-    found = number_readings(crops.select("track_id", "idx", read(F.col("crop")).alias("r")).select("track_id", "idx", "r.*"))
-    return back_filled(observations, found.select("track_id", "idx", "jersey", "confidence", "entropy"))
-
-
-def team_clusters(series: DataFrame, components: int = 3, teams: int = 2, starts: int = 10) -> DataFrame:
-    """``track_id, idx, team``: k-means on reduced embeddings, fitted on players, given to players.
-
-    Reduction by principal components; of ``starts`` fits the one of least cost is kept. With fewer players than
-    two all are team 0; other roles have no team. Fitting passes over the data, nothing is collected but centers.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    players = F.col("role") == "player"
-    base = series.select("track_id", "idx", "role", array_to_vector("embedding").alias("features"))
-    if base.filter(players).limit(2).count() < 2:
-        return series.select("track_id", "idx", F.when(players, 0).alias("team"))
-    reduced = written(PCA(k=components, inputCol="features", outputCol="reduced").fit(base).transform(base).select("track_id", "idx", "role", "reduced"), "reduced")
-    fits = [KMeans(k=teams, seed=42 + s, featuresCol="reduced", predictionCol="team").fit(reduced.filter(players)) for s in range(starts)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best.transform(reduced).select("track_id", "idx", F.when(players, F.col("team")).alias("team"))
-
-
 @dataclass(frozen=True)
 class Models:
-    """Column functions, e.g. from ``model``. A person is a struct of the image's ``content`` and the crop's corners;
-    a torso adds the corners of its box in the crop. Without ``pose`` the middle rows of a crop are its torso."""
+    """Column functions, e.g. from ``model``. A person is a struct of the crop's corners ``x1, y1, x2, y2`` in its image and
+    its pixels, ``crop``, a raster; a torso one of the same corners (``person``), the torso's box in the crop (``box``) and
+    the torso's pixels, ``crop``. Without ``pose`` the middle rows of a crop are its torso. ``weights`` names what the
+    models were made of, e.g. hashes of their files: results are kept apart by it."""
 
     legibility: Callable[[Column], Column]
     read: Callable[[Column], Column]
     features: Callable[[Column], Column]
     pose: Callable[[Column], Column] | None = None
+    weights: tuple[str, ...] = ()
+
 
+CORNERS = ("x1", "y1", "x2", "y2")
 
-def person_torsos(observations: DataFrame, images: DataFrame, pose: Callable[[Column], Column] | None = None, config: NumberConfig = NumberConfig()) -> DataFrame:
-    """Observations that show something, with ``person`` and ``torso`` structs for models.
 
-    ``images`` has ``sequence_id, frame_idx, width, height, content``. An image meets the array of its boxes, so
-    its bytes are shuffled once, whatever the number of persons in it.
+def person_torsos(observations: DataFrame, images: DataFrame, pose: Callable[[Column], Column] | None = None, config: NumberConfig = NumberConfig(), decode: Callable | None = None) -> DataFrame:
+    """``sequence_id, frame_idx, track_id, idx, person, torso`` of the observations that show something.
+
+    ``images`` has ``sequence_id, frame_idx, width, height, image``: a raster, or bytes for ``decode``. Boxes are clamped
+    on keys alone; then each image is decoded once and cut to them. ``person`` has the crop's corners and its pixels, the
+    only ones that go on; ``torso`` is a box inside of them, whose pixels are cut when a model asks (``torso_of``).
     """
-    keys, corners = ["sequence_id", "frame_idx"], list(box()._fields)
-    rest = [c for c in observations.columns if c not in keys]
-    frames = observations.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("objects"))
-    rows = images.join(frames, keys).select(*keys, "width", "height", "content", F.explode("objects").alias("o")).select(*keys, "width", "height", "content", "o.*")
-    rows = person_crops(rows, F.col("width"), F.col("height"))
-    person = F.struct("content", *[F.col(f"crop_{c}").alias(c) for c in corners])
-    rows = rows.withColumns({"person": person, "crop_w": F.col("crop_x2") - F.col("crop_x1"), "crop_h": F.col("crop_y2") - F.col("crop_y1")})
+    keys, own = ["sequence_id", "frame_idx"], ["track_id", "idx"]
+    placed = observations.select(*keys, *own, *CORNERS).join(images.select(*keys, "width", "height"), keys)
+    boxes = person_crops(placed, F.col("width"), F.col("height"))
+    places = [f"crop_{c}" for c in CORNERS]
+    rows = cut_out(boxes, images, keys, [*own, *places], decode)
+    person = F.struct(*[F.col(f"crop_{c}").alias(c) for c in CORNERS], "crop")
+    rows = rows.select(*keys, *own, person.alias("person"), (F.col("crop_x2") - F.col("crop_x1")).alias("crop_w"), (F.col("crop_y2") - F.col("crop_y1")).alias("crop_h"))
     points = F.lit(None).cast("array<struct<name:string,x:double,y:double,score:double>>") if pose is None else pose(F.col("person"))
-    rows = torso_crops(rows.withColumn("points", points), config)
-    return rows.select(*keys, *rest, "person", F.struct("person", F.col("torso").alias("box")).alias("torso"))
+    return torso_crops(rows.withColumn("points", points), config).select(*keys, *own, "person", "torso")
+
+
+def torso_of(person: Column, torso: Column) -> Column:
+    """What a model sees of a torso: the person's corners, the torso's box in the crop, the pixels inside."""
+    return F.struct(F.struct(*[person[c].alias(c) for c in CORNERS]).alias("person"), torso.alias("box"), inner(person["crop"], torso).alias("crop"))
+
+
+def predict_numbers(observations: DataFrame, crops: DataFrame, legibility, read, config: NumberConfig = NumberConfig()) -> DataFrame:
+    """The cascade: outlier filter, legibility, reading, back-fill. Observations without a reading have null, 0 and 1.
+
+    ``observations`` has ``track_id, idx, embedding``, ``crops`` has ``track_id, idx, person, torso``; ``legibility`` maps a
+    person to a score, ``read`` a torso to a struct ``label, char_confs`` (both column functions, e.g. from ``model``).
+    The filter sees the observations that have a crop, by key and embedding; crops are joined with what it leaves, once.
+    """
+    keys = ["track_id", "idx"]
+    if config.use_outlier_filter:
+        looks = observations.select(*keys, "embedding").join(crops.select(*keys), keys, "left_semi")
+        crops = crops.join(without_outliers(looks, config.outlier_std, config.outlier_min_samples).select(*keys), keys)
+    if config.use_legibility:
+        crops = legible(crops, legibility(F.col("person")), config.legibility_threshold)
+    found = number_readings(crops.select(*keys, read(torso_of(F.col("person"), F.col("torso"))).alias("r")).select(*keys, "r.*"))
+    return back_filled(observations, found.select(*keys, "jersey", "confidence", "entropy"))
 
 
-def predict_attributes(observations: DataFrame, images: DataFrame, models: Models, config: NumberConfig = NumberConfig()) -> DataFrame:
+def predict_attributes(observations: DataFrame, images: DataFrame, models: Models, config: NumberConfig = NumberConfig(), decode: Callable | None = None) -> DataFrame:
     """Observations with ``jersey, confidence, entropy, team``, in three phases.
 
-    Torsos are cut out; numbers are read from those that pass the outlier filter and are legible. Teams are
-    clusters of the features of all torsos, filtered or not. Then both go back to the observations: none has
-    null, 0 and 1 for its number, and only players (``role``) have a team. ``track_id, idx`` is an observation.
+    Crops are cut out and written once. Numbers are read from those that pass the outlier filter and are legible. Teams are
+    clusters, within each sequence, of the features of all torsos, filtered or not. Then both go back to the observations:
+    none has null, 0 and 1 for its number, and only players (``role``) have a team. ``track_id, idx`` is an observation.
     """
-    shown = written(person_torsos(observations, images, models.pose, config), "torsos")
-    crops = shown.select("track_id", "idx", "embedding", F.struct("person", "torso").alias("crop"))
-    numbered = predict_numbers(observations, crops, lambda c: models.legibility(c["person"]), lambda c: models.read(c["torso"]), config)
-    teams = team_clusters(shown.select("track_id", "idx", "role", models.features(F.col("torso")).alias("embedding")))
-    return numbered.join(teams.filter("team is not null"), ["track_id", "idx"], "left")
+    shown = written(person_torsos(observations, images, models.pose, config, decode), "torsos")
+    numbered = predict_numbers(observations, shown, models.legibility, models.read, config)
+    keys = ["sequence_id", "track_id", "idx"]
+    looks = shown.select(*keys, models.features(torso_of(F.col("person"), F.col("torso"))).alias("embedding"))
+    teams = team_clusters(looks.join(observations.select(*keys, "role"), keys))
+    return numbered.join(teams.filter("team is not null"), keys, "left")

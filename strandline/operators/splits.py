@@ -102,40 +102,46 @@ def pieces(series: DataFrame, cuts: DataFrame, least: int, keys: list[str] = TRA
     return kept.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("n >= 2").drop("n")
 
 
-def numbered(fragments: DataFrame, order: list[str], base: DataFrame, block: int = ID_BLOCK) -> DataFrame:
-    """Fragments with ``new_track_id``: gap-free after the largest id (``base``: one row), in the order of ``order``.
+def numbered(fragments: DataFrame, order: list[str], base: DataFrame, within: list[str] = [], block: int = ID_BLOCK) -> DataFrame:
+    """Fragments with ``new_track_id``: gap-free after the largest id, in the order of ``order``.
 
-    The first order column is an integer; fragments are numbered inside blocks of it, after the sizes of the
-    blocks before. Only the table of block sizes is ordered as a whole.
+    ``base`` has the largest id of each group of ``within``, or of all in one row. The first order column is an integer;
+    fragments are numbered inside blocks of it, after the sizes of the blocks before. Only the table of block sizes of a
+    group is ordered as a whole.
     """
     rows = fragments.withColumn("_block", F.expr(f"{order[0]} div {block}"))
-    sizes = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("_block", before.alias("_before"))
-    inner = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
-    rows = rows.withColumn("_row", inner).join(sizes, "_block").crossJoin(F.broadcast(base))
+    sizes = rows.groupBy(*within, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*within, "_block", before.alias("_before"))
+    inner = F.row_number().over(Window.partitionBy(*within, "_block").orderBy(*order))
+    rows = rows.withColumn("_row", inner).join(sizes, [*within, "_block"])
+    rows = rows.join(base, within) if within else rows.crossJoin(F.broadcast(base))
     return rows.withColumn("new_track_id", (F.col("base") + F.col("_before") + F.col("_row")).cast("long")).drop("_block", "_n", "_before", "_row", "base")
 
 
-def split(series: DataFrame, cuts: DataFrame, least: int) -> DataFrame:
+def split(series: DataFrame, cuts: DataFrame, least: int, within: list[str] = []) -> DataFrame:
     """Series of the next stage: the pieces under new ids, series without two pieces as they were.
 
-    ``series`` has ``seq`` (an array: its place in the order of series), ``track_id``, ``parent_id`` and ``idx``.
+    ``series`` has ``seq`` (an array: its place in the order of series), ``track_id``, ``parent_id`` and ``idx``. New ids
+    follow the largest of the same group of ``within`` (columns that don't change in a series), or of all.
     """
     cuts = written(cuts, "cuts")  # a few rows, read three times
     order = ["root", "seq"]
-    parts = pieces(series, cuts, least, TRACK).withColumn("root", F.col("seq")[0])
-    base = series.agg(F.coalesce(F.max("track_id"), F.lit(0)).alias("base"))
-    parts = written(numbered(parts, [*order, "frag_no"], base).drop("root"), "fragments")
+    keys = [*within, *TRACK]
+    cuts_in = cuts.join(series.select(*keys).distinct(), TRACK) if within else cuts
+    parts = pieces(series, cuts_in, least, keys).withColumn("root", F.col("seq")[0])
+    largest = F.coalesce(F.max("track_id"), F.lit(0)).alias("base")
+    base = series.groupBy(*within).agg(largest) if within else series.agg(largest)
+    parts = written(numbered(parts, [*order, "frag_no"], base, within).drop("root", *within), "fragments")
     columns = [c for c in series.columns if c not in ("seq", "track_id", "idx")]
     rows = series.join(parts, TRACK, "left").filter(F.col("new_track_id").isNull() | F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
     piece = F.coalesce(F.col("frag_no").cast("long"), F.lit(-1).cast("long"))
     return rows.select(F.concat("seq", F.array(piece)).alias("seq"), F.coalesce("new_track_id", "track_id").alias("track_id"), (F.col("idx") - F.coalesce("start_idx", F.lit(0))).cast("int").alias("idx"), *columns)
 
 
-def as_series(observations: DataFrame) -> DataFrame:
-    """Observations as the first stage's series: ordered by track id, each its own parent."""
-    return observations.select(F.array(F.col("track_id").cast("long")).alias("seq"), "track_id", F.col("track_id").alias("parent_id"), *[c for c in observations.columns if c not in ("track_id", "parent_id")])
+def as_series(observations: DataFrame, order: str = "track_id") -> DataFrame:
+    """Observations as the first stage's series, each its own parent, in the order of ``order``: an integer of its own for each series."""
+    return observations.select(F.array(F.col(order).cast("long")).alias("seq"), "track_id", F.col("track_id").alias("parent_id"), *[c for c in observations.columns if c not in ("track_id", "parent_id", order)])
 
 
 def number_cuts(series: DataFrame, config: SplitConfig = SplitConfig(), keys: list[str] = TRACK) -> DataFrame:
@@ -147,22 +153,23 @@ def team_cuts(series: DataFrame, config: SplitConfig = SplitConfig(), keys: list
     return switches(team_persistence(series, config, keys), "team", keys).select(*keys, "idx", F.col("idx").alias("cut"))
 
 
-def split_by_number(series: DataFrame, config: SplitConfig = SplitConfig()) -> DataFrame:
-    return split(series, number_cuts(series, config), config.number_min_fragment)
+def split_by_number(series: DataFrame, config: SplitConfig = SplitConfig(), within: list[str] = []) -> DataFrame:
+    return split(series, number_cuts(series, config), config.number_min_fragment, within)
 
 
-def split_by_team(series: DataFrame, config: SplitConfig = SplitConfig()) -> DataFrame:
-    return split(series, team_cuts(series, config), config.team_min_fragment)
+def split_by_team(series: DataFrame, config: SplitConfig = SplitConfig(), within: list[str] = []) -> DataFrame:
+    return split(series, team_cuts(series, config), config.team_min_fragment, within)
 
 
-def split_two_stage(observations: DataFrame, config: SplitConfig = SplitConfig()) -> DataFrame:
+def split_two_stage(observations: DataFrame, config: SplitConfig = SplitConfig(), order: str = "track_id", within: list[str] = []) -> DataFrame:
     """Observations under the ids of the number split and then of the team split.
 
     An empty table gives no rows. An observation can be in two overlapping pieces; one in a piece that is too
-    short is dropped, unless its series isn't split. What the first stage gives is written once: the second
-    stage reads it several times.
+    short is dropped, unless its series isn't split. What a stage reads several times is written once. ``order`` is an
+    integer of its own for each series, where ``track_id`` is one only in its group of ``within``; then ids are given by group.
     """
-    return split_by_team(written(split_by_number(as_series(observations), config), "series"), config)
+    series = written(as_series(observations, order), "series")
+    return split_by_team(written(split_by_number(series, config, within), "series"), config, within)
 
 
 def split_summary(before: DataFrame, after: DataFrame) -> DataFrame:

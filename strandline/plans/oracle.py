@@ -209,3 +209,21 @@ w as (select user_id, min(us) as start_us, max(us) + 1800000000 as end_us, count
 select * from w where end_us <= (select max(us) from e) - 3600000000
 """
 _put("split_summary", "obs", f"{_STAGES} select (select count(distinct track_id) from obs) as tracks, count(*) filter (where n > 1) as tracks_split, cast(coalesce(sum(n), 0) as bigint) as tracks_after from (select parent_id, count(distinct track_id) as n from s1 group by parent_id)")
+
+
+ORACLE["team_rounds"] = with_ctes("emb") + """,
+p as (select track_id % 2 as sequence_id, track_id, idx, embedding as v from emb where idx % 12 <> 11),
+c0 as (select sequence_id, unnest([0, 1]) as c, unnest([arg_min(v, struct_pack(track_id, idx)), arg_max(v, struct_pack(track_id, idx))]) as m from p group by sequence_id),
+""" + ",\n".join(
+    f"""n{r} as (select p.sequence_id, track_id, idx, v, arg_min(c, struct_pack(d := list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c)) as team from p join c{r} using (sequence_id) group by p.sequence_id, track_id, idx, v),
+s{r} as (select sequence_id, team as c, i, avg(v[i]) as x from n{r}, range(1, 65) g(i) group by all),
+c{r + 1} as (select c{r}.sequence_id, c{r}.c, coalesce(own.m, c{r}.m) as m from c{r} left join (select sequence_id, c, list(x order by i) as m from s{r} group by sequence_id, c) own using (sequence_id, c))"""
+    for r in range(4)
+) + """
+select sequence_id, track_id, idx, team from n3
+"""
+
+ORACLE["path_rank"] = with_ctes("det") + """,
+n as (select frame_idx // 100 as sequence_id, md5(det_idx::varchar) || '/f' || lpad((frame_idx % 100)::varchar, 3, '0') || '.jpg' as path from det)
+select *, row_number() over (partition by sequence_id order by path) - 1 as frame_idx from n
+"""

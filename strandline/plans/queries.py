@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandline.config import SplitConfig
 from strandline.functions import geometry as g
 from strandline.functions import vectors
-from strandline.operators import assignment, attributes, labels, motion, overlap, series, splits, tracker
+from strandline.operators import assignment, attributes, labels, motion, overlap, rasters, series, splits, teams, tracker
 from strandline.plans import trajectories
 from strandline.plans.oracle import ORACLE
 from strandline.sources import adapters as src
@@ -212,7 +212,7 @@ def end_to_end(spark, sf_dir):
     docs = files.read_annotations(spark, f"{src.annotation_files(spark, sf_dir)}/*")
     frames = files.listed_frames(docs)
     boxes = files.annotated_boxes(docs).withColumn("embedding", F.array(*[F.sin(F.col("gt_track_id") * (k + 1)) for k in range(8)]))
-    images = frames.select("sequence_id", "frame_idx", F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit(None).cast("binary").alias("content"))
+    images = frames.select("sequence_id", "frame_idx", F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit(None).cast(rasters.RASTER).alias("image"))
     return trajectories.labelled_frames(frames, boxes, images, _stand_ins())
 
 
@@ -381,7 +381,29 @@ def split_summary(spark, sf_dir):
     return splits.split_summary(own, splits.split_by_number(own))
 
 
+def _looks(spark, sf_dir):
+    """Embeddings of two sequences, players and referees."""
+    emb = src.appearance(spark, sf_dir).withColumn("role", F.when(F.col("idx") % 12 == 11, "referee").otherwise("player"))
+    return emb.withColumn("sequence_id", F.col("track_id") % 2)
+
+
 @query
 def team_clustering(spark, sf_dir):
-    emb = src.appearance(spark, sf_dir).withColumn("role", F.when(F.col("idx") % 12 == 11, "referee").otherwise("player"))
-    return attributes.team_clusters(emb)
+    return teams.team_clusters(_looks(spark, sf_dir))
+
+
+@query
+def team_rounds(spark, sf_dir):
+    """Teams of each sequence after three rounds from the looks of its first and last player."""
+    looks = _looks(spark, sf_dir)
+    at = F.struct("track_id", "idx")
+    ends = looks.filter("role = 'player'").groupBy("sequence_id").agg(F.array(F.min_by("embedding", at), F.max_by("embedding", at)).alias("centres"))
+    return teams.teams_from(looks, ends, 3)
+
+
+@query
+def path_rank(spark, sf_dir):
+    """Places of names in their sequence, by the names alone: no window over a whole sequence."""
+    det = src.detections(spark, sf_dir)
+    names = det.select(F.expr("frame_idx div 100").alias("sequence_id"), F.format_string("%s/f%03d.jpg", F.md5(F.col("det_idx").cast("string")), F.expr("frame_idx % 100")).alias("path"))
+    return series.ranked(names, ["sequence_id"], [F.col("path")], "frame_idx")

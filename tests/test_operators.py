@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandline.config import SplitConfig, TrackerConfig, fingerprint
 from strandline.functions import geometry as g
 from strandline.functions import vectors
-from strandline.operators import attributes, labels, motion, overlap, series, splits, tracker
+from strandline.operators import attributes, labels, motion, overlap, rasters, series, splits, tracker
 from strandline.operators.assignment import assign
 from strandline.sources import files
 
@@ -179,11 +179,13 @@ def test_numbers_and_labels(spark):
 def test_cascade_with_stub_models(spark):
     import pandas as pd
 
-    obs = spark.createDataFrame([(1, i) for i in range(6)], "track_id long, idx int")
-    crops = spark.createDataFrame([(1, i, [float(i == 5) * 9, 1.0], i) for i in range(6)], "track_id long, idx int, embedding array<double>, crop int")
+    obs = spark.createDataFrame([(1, i, [float(i == 5) * 9, 1.0]) for i in range(6)], "track_id long, idx int, embedding array<double>")
+    box = "struct<x1:int,y1:int,x2:int,y2:int>"
+    person = F.struct(*[F.col("idx").alias(c) for c in ("x1", "y1", "x2", "y2")], F.lit(None).cast(rasters.RASTER).alias("crop"))
+    crops = obs.select("track_id", "idx", person.alias("person"), F.lit(None).cast(box).alias("torso"))
     legibility = attributes.model(lambda: lambda s: s.map(lambda x: 0.9 if x != 2 else 0.1), "double")
     read = attributes.model(lambda: lambda s: pd.DataFrame({"label": s.astype(str), "char_confs": [[0.9, 0.5]] * len(s)}), "label string, char_confs array<double>")
-    got = {r["idx"]: (r["jersey"], r["confidence"]) for r in attributes.predict_numbers(obs, crops, legibility, read).collect()}
+    got = {r["idx"]: (r["jersey"], r["confidence"]) for r in attributes.predict_numbers(obs, crops, lambda p: legibility(p["x1"]), lambda t: read(t["person"]["x1"])).collect()}
     assert got == {0: (0, 0.9), 1: (1, 0.9), 2: (None, 0.0), 3: (3, 0.9), 4: (4, 0.9), 5: (None, 0.0)}
 
 
@@ -301,53 +303,3 @@ def test_object_documents_and_frames_on_disk(spark, tmp_path):
     assert [json.loads(r["json"]) for r in labels.documents(df).orderBy("idx").collect()] == [{"track_id": 1, "idx": 0, "jersey": 7}, {"track_id": 1, "idx": 1}]
     labels.write_frames(df.withColumn("sequence_id", F.lit("s")), f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out/sequence_id=s").count() == 2
-
-
-def test_teams_are_the_clusters_of_players(spark):
-    rng = np.random.default_rng(3)
-    rows = [(t, i, "player" if t < 4 else "referee", [float(x) for x in rng.normal(10 * (t % 2), 0.5, 6)]) for t in range(5) for i in range(20)]
-    df = spark.createDataFrame(rows, "track_id long, idx int, role string, embedding array<double>")
-    got = {(r["track_id"], r["idx"]): r["team"] for r in attributes.team_clusters(df).collect()}
-    teams = [{got[t, i] for i in range(20)} for t in range(5)]
-    assert teams[0] == teams[2] != teams[1] == teams[3] and teams[4] == {None} and len(teams[0]) == 1
-    assert {r["team"] for r in attributes.team_clusters(df.filter("track_id = 4")).collect()} == {None}
-
-
-def test_from_annotations_to_labelled_frames(spark, tmp_path):
-    """Two players and a referee stand still; one player's number changes half way, so its track is split."""
-    from strandline.plans import trajectories
-
-    (tmp_path / "seq").mkdir()
-    persons = [(1, 100, "player"), (2, 400, "player"), (3, 700, "referee")]
-    doc = {
-        "images": [{"image_id": str(f), "file_name": f"{f:03d}.jpg"} for f in range(80)],
-        "annotations": [{"image_id": str(f), "category_id": 1, "track_id": t, "bbox_image": {"x": x, "y": 50, "w": 40, "h": 100}, "attributes": {"role": role, "team": "left"}} for f in range(80) for t, x, role in persons],
-    }
-    (tmp_path / "seq" / "labels.json").write_text(json.dumps(doc))
-    docs = files.read_annotations(spark, f"{tmp_path}/seq/labels.json")
-    frames = files.listed_frames(docs)
-    images = frames.select("sequence_id", "frame_idx", F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.col("frame_idx").cast("string").cast("binary").alias("content"))
-
-    def read(torso):
-        frame, x = torso["person"]["content"].cast("string").cast("int"), torso["person"]["x1"]
-        return F.struct(F.when((x == 100) & (frame >= 40), "9").when(x == 400, "4").otherwise("7").alias("label"), F.array(F.lit(0.99), F.lit(0.5)).alias("char_confs"))
-
-    models = attributes.Models(
-        legibility=lambda person: F.lit(0.9), read=read,
-        features=lambda torso: F.array(*[torso["person"]["x1"].cast("double") * k for k in (1, 2, 3)]),
-        pose=lambda person: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(0.9).alias("score")) for n, x, y in (("ls", 10.0, 20.0), ("rh", 30.0, 60.0))]),
-    )
-    got = trajectories.labelled_frames(frames, files.annotated_boxes(docs), images, models).collect()
-    assert len(got) == 240 and {r["sequence_id"] for r in got} == {"seq"}
-    by = {}
-    for r in got:
-        by.setdefault((r["parent_id"], r["track_id"]), []).append(r)
-    assert {k: (len(v), {r["x1"] for r in v}, {r["jersey"] for r in v}) for k, v in by.items()} == {
-        (1, 4): (40, {100.0}, {7}), (1, 5): (40, {100.0}, {9}), (2, 2): (80, {400.0}, {4}), (3, 3): (80, {700.0}, {7}),
-    }
-    teams = {k: {r["team"] for r in v} for k, v in by.items()}
-    assert teams[3, 3] == {None} and teams[1, 4] == teams[1, 5] != teams[2, 2]
-    one = min(by[1, 5], key=lambda r: r["frame_idx"])
-    assert one["frame_idx"] == 40 and one["label"] == f"5|{one['team']}|9:0.00995" and one["role"] == "player"
-    torsos = attributes.person_torsos(spark.createDataFrame([("seq", 0, -10.0, 5.0, 30.0, 95.0)], "sequence_id string, frame_idx long, x1 double, y1 double, x2 double, y2 double"), images, models.pose)
-    assert tuple(torsos.first()["torso"]["box"]) == (5, 15, 30, 60)
