@@ -22,6 +22,12 @@ class Motion:
         w, h = measured[2], measured[3]
         self.axes = [[z, 0.0, (2 * POSITION * s) ** 2, 0.0, (10 * VELOCITY * s) ** 2] for z, s in zip(measured, (w, h, w, h))]
 
+    @classmethod
+    def from_axes(cls, axes) -> Motion:
+        motion = cls.__new__(cls)
+        motion.axes = [list(a) for a in axes]
+        return motion
+
     def sizes(self):
         w, h = self.axes[2][0], self.axes[3][0]
         return w, h, w, h

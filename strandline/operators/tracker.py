@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.config import TrackerConfig
@@ -49,6 +49,19 @@ class Track:
         if det.get("embedding") is not None:
             self.feature = average(self.feature, det["embedding"], momentum)
 
+    @classmethod
+    def from_row(cls, row: tuple) -> Track:
+        """A track from what ``row`` gave."""
+        t = cls.__new__(cls)
+        t.id, t.state, t.start, t.seen, t.det, t.score = row[:6]
+        t.last, t.motion = tuple(row[6]), Motion.from_axes(row[7])
+        t.feature = None if row[8] is None else list(row[8])
+        return t
+
+    def row(self) -> tuple:
+        """Its fields as plain values, in the order of ``TRACK_STATE``."""
+        return (self.id, self.state, self.start, self.seen, self.det, float(self.score), [float(x) for x in self.last], [[float(x) for x in a] for a in self.motion.axes], None if self.feature is None else [float(x) for x in self.feature])
+
     def match(self, det, frame, momentum):
         self.motion.update(measured(*det["box"]))
         self._take(det, frame, momentum)
@@ -62,6 +75,8 @@ class Tracker:
         self.tracked: list[Track] = []
         self.lost: list[Track] = []
         self.removed: set[int] = set()
+        #: What the last frame changed: (id, state, reason), by id.
+        self.changes: list[tuple[int, int, str | None]] = []
 
     def _distance(self, tracks, dets, expand, appearance):
         """Overlap distances, lowered by appearance; in a frame where a feature is missing, by overlap alone."""
@@ -85,6 +100,7 @@ class Tracker:
         c = self.config
         self.frame += 1
         here = {t.id for t in self.tracked}
+        before = self._standing()
         pool = self.tracked + [t for t in self.lost if t.id not in here]
         for t in pool:
             if t.state != TRACKED:
@@ -114,11 +130,19 @@ class Tracker:
         here = {t.id for t in self.tracked}
         # What expires now stays for one more frame; an id that has expired once isn't kept when lost again.
         self.lost = [t for t in self.lost + newly_lost if t.id not in here and t.id not in self.removed]
+        kept = self._standing()
         self._drop_duplicates()
+        after = self._standing()
+        gone = [(k, REMOVED, "duplicate" if k in kept else "expired") for k in before.keys() - after.keys()]
+        self.changes = sorted([(k, state, None) for k, state in after.items() if before.get(k) != state] + gone)
         # Ids aren't given twice, so only those that may still be lost again have to be known.
         self.removed = (self.removed | expired) & {t.id for side in (self.tracked, self.lost) for t in side}
         return self.tracked
 
+    def _standing(self) -> dict[int, int]:
+        """The state of each track that is held."""
+        return {t.id: LOST for t in self.lost} | {t.id: TRACKED for t in self.tracked}
+
     def _drop_duplicates(self):
         boxes = [np.array([t.motion.corners() for t in side]).reshape(-1, 4) for side in (self.tracked, self.lost)]
         drop: tuple[set, set] = set(), set()
@@ -128,11 +152,30 @@ class Tracker:
         self.tracked = [t for t in self.tracked if t.id not in drop[0]]
         self.lost = [t for t in self.lost if t.id not in drop[1]]
 
+    def state(self) -> list[tuple]:
+        """The tracks of now and the lost ones in order, each with its list and whether it has expired before."""
+        return [(k, p, t.id in self.removed, *t.row()) for k, side in enumerate((self.tracked, self.lost)) for p, t in enumerate(side)]
+
+    @classmethod
+    def restored(cls, config: TrackerConfig, frame: int, next_id: int, state: list[tuple]) -> Tracker:
+        """The tracker that had this frame, next id and ``state``."""
+        tracker = cls(config)
+        tracker.frame, tracker.next_id = frame, next_id
+        for side, _, expired, *row in sorted(state, key=lambda r: r[:2]):
+            track = Track.from_row(tuple(row))
+            (tracker.lost if side else tracker.tracked).append(track)
+            if expired:
+                tracker.removed.add(track.id)
+        return tracker
+
     def rows(self, sequence, frame_idx: int, dets: list[dict]) -> Iterator[tuple]:
         for k, t in enumerate(self.step(dets)):
             yield (sequence, frame_idx, k, t.id, *map(float, t.motion.corners()), float(t.score), int(t.det))
 
 
+#: A track as a row, typed, so that state outlives the code that wrote it.
+TRACK_STATE = "side int, place int, expired boolean, id long, state int, start long, seen long, det int, score double, last array<double>, axes array<array<double>>, feature array<double>"
+
 TRACKED_ROWS = "sequence_id long, frame_idx long, out_idx int, tracker_id long, x1 double, y1 double, x2 double, y2 double, score double, det_idx int"
 NAMES = [c.split()[0] for c in TRACKED_ROWS.split(", ")]
 KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.float64()] * 5, pa.int32()]
@@ -143,7 +186,23 @@ def as_dets(rows: list[dict]) -> list[dict]:
     return [{"det_idx": r["det_idx"], "box": (r["x1"], r["y1"], r["x2"], r["y2"]), "score": r["score"], "embedding": r["embedding"]} for r in rows if r["x1"] is not None]
 
 
-def _track(config):
+#: Objects and, with a ``state``, the changes of tracks.
+LIFE_ROWS = TRACKED_ROWS + ", state string, reason string"
+STATES = {TRACKED: "tracked", LOST: "lost", REMOVED: "removed"}
+
+
+def life_rows(tracker: Tracker, sequence, frame_idx: int, dets: list[dict]) -> Iterator[tuple]:
+    """A frame's objects, then what it changed, as rows of ``LIFE_ROWS``."""
+    for row in tracker.rows(sequence, frame_idx, dets):
+        yield (*row, None, None)
+    for own, state, reason in tracker.changes:
+        yield (sequence, frame_idx, None, own, *[None] * 6, STATES[state], reason)
+
+
+def _track(config, life: bool):
+    kinds = KINDS + [pa.string(), pa.string()] if life else KINDS
+    names = NAMES + ["state", "reason"] if life else NAMES
+
     def run(batches):
         sequence, tracker, first = None, None, True
         for batch in batches:
@@ -151,8 +210,8 @@ def _track(config):
             for own, frame, dets in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if first or own != sequence:
                     sequence, tracker, first = own, Tracker(config), False
-                out += tracker.rows(own, frame, as_dets(dets))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(KINDS), KINDS)], names=NAMES)
+                out += life_rows(tracker, own, frame, as_dets(dets)) if life else tracker.rows(own, frame, as_dets(dets))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
 
     return run
 
@@ -164,11 +223,30 @@ def by_frame(detections: DataFrame) -> DataFrame:
     return detections.groupBy(F.col("sequence_id").cast("long"), F.col("frame_idx").cast("long")).agg(F.array_sort(F.collect_list(det)).alias("dets"))
 
 
-def tracked(detections: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:
+def tracked(detections: DataFrame, config: TrackerConfig = TrackerConfig(), life: bool = False) -> DataFrame:
     """Tracked objects of all sequences. A frame without detections needs a row with a null box to be counted.
 
     Tracking is sequential, so a sequence is one task's work; frames are streamed in order and only the
-    tracks' states are held. Sequences run in parallel. An empty table gives no rows.
+    tracks' states are held. Sequences run in parallel. An empty table gives no rows. With ``life`` the same pass also
+    gives what became of the tracks (``LIFE_ROWS``), for ``objects`` and ``intervals``.
     """
     frames = by_frame(detections).repartition("sequence_id").sortWithinPartitions("sequence_id", "frame_idx")
-    return frames.mapInArrow(_track(config), TRACKED_ROWS)
+    return frames.mapInArrow(_track(config, life), LIFE_ROWS if life else TRACKED_ROWS)
+
+
+def objects(rows: DataFrame) -> DataFrame:
+    """The objects among ``LIFE_ROWS``."""
+    return rows.filter("state is null").select(*NAMES)
+
+
+def intervals(rows: DataFrame) -> DataFrame:
+    """``sequence_id, tracker_id, state, from_frame, until_frame, reason``: the life of each track, from ``LIFE_ROWS``.
+
+    A track is ``tracked`` or ``lost`` from a frame until the one where that changes, which isn't part of it; null: it
+    lasts to the end of what was tracked. The last row of a track that went is ``removed``, with its frame, and why:
+    ``expired`` (lost for too long, or lost again after that) or ``duplicate`` (of an older one). A track
+    that goes in the frame in which it would begin has no life.
+    """
+    own = Window.partitionBy("sequence_id", "tracker_id").orderBy("frame_idx")
+    changes = rows.filter("state is not null")
+    return changes.select("sequence_id", "tracker_id", "state", F.col("frame_idx").alias("from_frame"), F.lead("frame_idx").over(own).alias("until_frame"), "reason")

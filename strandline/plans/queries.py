@@ -167,6 +167,12 @@ def tracker_batch(spark, sf_dir):
     return tracker.tracked(_sequences(src.detections(spark, sf_dir)))
 
 
+@query
+def track_intervals(spark, sf_dir):
+    """When each track was tracked and lost, and why it went."""
+    return tracker.intervals(tracker.tracked(_sequences(src.detections(spark, sf_dir)), life=True))
+
+
 def _event_stream(spark, sf_dir):
     """The events as a file stream; a stream takes single files only by a pattern."""
     schema = src.table(spark, sf_dir, "events").schema

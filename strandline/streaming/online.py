@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 import uuid
 from collections.abc import Iterator
 
@@ -10,34 +9,117 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
 from strandline.config import TrackerConfig
-from strandline.operators.tracker import NAMES, TRACKED_ROWS, Tracker, as_dets
+from strandline.operators.tracker import LIFE_ROWS, NAMES, TRACK_STATE, TRACKED_ROWS, Tracker, as_dets, life_rows
 from strandline.session import own_tables
 
 
-def _advance(config):
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        tracker = pickle.loads(state.get[0]) if state.exists else Tracker(config)
-        rows = pd.concat(list(batches))
-        out = []
-        for frame, own in sorted(rows.groupby("frame_idx"), key=lambda g: g[0]):
-            dets = own.sort_values("det_idx").to_dict("records")
-            out += tracker.rows(int(key[0]), int(frame), as_dets(dets))
-        state.update((pickle.dumps(tracker),))
-        yield pd.DataFrame(out, columns=NAMES)
+CLOCK = "frame long, next_id long, newest long, tracked_to long"
+DETECTION = "det_idx int, x1 double, y1 double, x2 double, y2 double, score double, embedding array<double>"
+_FIELDS = [c.split()[0] for c in DETECTION.split(", ")]
+
+
+class OnlineTracker(StatefulProcessor):
+    """The tracker of a sequence as typed state: its clock, its tracks, and the frames that wait for earlier ones.
+
+    Rows go to the waiting frames as they come, one batch at a time, whatever a trigger brings; a frame is tracked when
+    one ``delay`` frames newer is there, all in order. Memory is a batch, a frame and the tracks; waiting frames are
+    in the state store. After ``quiet_ms`` without rows a timer tracks what waits, and the sequence ends.
+    """
+
+    def __init__(self, config: TrackerConfig, delay: int, quiet_ms: int | None, life: bool):
+        self.config, self.delay, self.quiet_ms, self.life = config, delay, quiet_ms, life
+        self.names = NAMES + ["state", "reason"] if life else NAMES
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clock = handle.getValueState("clock", CLOCK)
+        self.tracks = handle.getListState("tracks", TRACK_STATE)
+        self.waiting = handle.getMapState("waiting", "frame_idx long", f"dets array<struct<{DETECTION.replace(' ', ':').replace(',:', ',')}>>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        clock = self._clock()
+        for batch in rows:
+            for frame, own in batch.groupby("frame_idx", sort=True):
+                frame = int(frame)
+                if frame <= clock["tracked_to"]:
+                    continue  # too late: a later frame has been tracked
+                dets = [tuple(None if name == "embedding" and v is None else v for name, v in zip(_FIELDS, r)) for r in own[_FIELDS].itertuples(index=False, name=None)]
+                if self.waiting.containsKey((frame,)):
+                    dets = [*map(tuple, self.waiting.getValue((frame,))[0]), *dets]
+                self.waiting.updateValue((frame,), ([_det(d) for d in dets],))
+                clock["newest"] = max(clock["newest"], frame)
+        yield from self._track(int(key[0]), clock, clock["newest"] - self.delay)
+        if self.quiet_ms is not None:
+            for old in [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        clock = self._clock()
+        yield from self._track(int(key[0]), clock, clock["newest"])
+        self.tracks.clear()
+        self.waiting.clear()
+        self.clock.clear()
+
+    def _clock(self) -> dict:
+        names = [c.split()[0] for c in CLOCK.split(", ")]
+        return dict(zip(names, self.clock.get())) if self.clock.exists() else dict(zip(names, (0, 1, -1, -1)))
+
+    def _track(self, sequence: int, clock: dict, last: int) -> Iterator[pd.DataFrame]:
+        """Track the waiting frames up to ``last`` in order, and keep the state."""
+        ready = sorted(f[0] for f in self.waiting.keys() if f[0] <= last)
+        tracker = Tracker.restored(self.config, clock["frame"], clock["next_id"], [tuple(r) for r in self.tracks.get()] if self.tracks.exists() else [])
+        for frame in ready:
+            found = [dict(zip(_FIELDS, d)) for d in self.waiting.getValue((frame,))[0]]
+            dets = sorted((d for d in found if d["x1"] is not None), key=lambda d: d["det_idx"])
+            rows = life_rows(tracker, sequence, frame, as_dets(dets)) if self.life else tracker.rows(sequence, frame, as_dets(dets))
+            out = list(rows)
+            self.waiting.removeKey((frame,))
+            clock["tracked_to"] = frame
+            if out:
+                yield self._frame(out)
+        self.clock.update((tracker.frame, tracker.next_id, clock["newest"], clock["tracked_to"]))
+        self.tracks.clear()
+        state = tracker.state()
+        if state:
+            self.tracks.put(state)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        """Rows as pandas holds them, whole numbers that may be missing too."""
+        out = pd.DataFrame(rows, columns=self.names)
+        return out.astype({"out_idx": "Int32", "det_idx": "Int32"})
+
+    def close(self) -> None:
+        pass
+
 
-    return run
+def _det(d: tuple) -> tuple:
+    """A detection as the state store takes it: numbers, and null for what is missing."""
+    number, *box, score, embedding = d
+    box = [None if v is None or v != v else float(v) for v in box]
+    return (None if number is None or number != number else int(number), *box, None if score is None or score != score else float(score), None if embedding is None else [float(x) for x in embedding])
 
 
-def tracked_stream(detections: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:
-    """Tracked objects of a stream of detections; the tracker of a sequence is the group's state.
+def tracked_stream(detections: DataFrame, config: TrackerConfig = TrackerConfig(), delay: int = 0, quiet: int | None = None, life: bool = False) -> DataFrame:
+    """Tracked objects of a stream of detections; the tracker of a sequence is typed state (``OnlineTracker``).
 
-    A trigger brings whole frames, in order between triggers; inside one they are sorted. An ``embedding`` takes
-    part as in a batch. The state holds the tracks of now and those lost within the buffer, nothing older.
+    Frames may come in any order within ``delay`` frames of the newest of their sequence, and parts of a frame in several
+    triggers; what comes later than that is dropped. With delay 0 a trigger brings whole frames, in order between
+    triggers. ``quiet`` (seconds): a sequence without rows for so long ends, its waiting frames are tracked and its state
+    goes; one that starts again is a new one. Without, state stays and the last ``delay`` frames wait. A frame without
+    detections needs a row with a null box, as in a batch; an ``embedding`` takes part as there. Rows with a null sequence or
+    frame are left out. ``life`` is as in a batch. The state holds the tracks of now and those lost within the buffer, nothing older.
     """
+    spark = detections.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     embedding = F.col("embedding") if "embedding" in detections.columns else F.lit(None)
     rows = detections.select(embedding.cast("array<double>").alias("embedding"), F.col("sequence_id").cast("long"), F.col("frame_idx").cast("long"), F.col("det_idx").cast("int"), *[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2", "score")])
-    return rows.groupBy("sequence_id").applyInPandasWithState(_advance(config), TRACKED_ROWS, "tracker binary", "append", "NoTimeout")
+    own = rows.dropna(subset=["sequence_id", "frame_idx"]).groupBy("sequence_id")
+    processor = OnlineTracker(config, delay, None if quiet is None else 1000 * quiet, life)
+    return own.transformWithStateInPandas(processor, LIFE_ROWS if life else TRACKED_ROWS, "Append", "None" if quiet is None else "ProcessingTime")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:

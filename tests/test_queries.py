@@ -41,5 +41,5 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_but_sequential_ones_has_sql():
-    assert set(QUERIES) - set(ORACLE) == {"tracker_batch", "tracker_stream", "team_clustering", "end_to_end"}
+    assert set(QUERIES) - set(ORACLE) == {"tracker_batch", "tracker_stream", "track_intervals", "team_clustering", "end_to_end"}
     assert os.path.isdir(SF)
