@@ -72,6 +72,7 @@ def gains(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int = 1
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("t"))
     both = every.unionByName(own, allowMissingColumns=True).unionByName(other, allowMissingColumns=True)
     counts = both.groupBy("bucket").agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("t"), F.lit(0)).alias("t"))
+    counts = Tables(docs.sparkSession).write(counts, "counts")  # read twice, with the corpus behind it
     totals = counts.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))  # one row
     s, t, all_s, all_t = (F.col(c).cast("double") for c in ("s", "t", "all_s", "all_t"))
     ratio = (t + 1) * (all_s + buckets) / ((s + 1) * (all_t + buckets))
