@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 
 from strandline.llm.store import store
 
-#: Keys that are tried, and the longest local part of a mail address.
-TRIES, LONGEST_LOCAL = 4, 320
+#: Keys that are tried.
+TRIES = 4
 #: Characters of a value that are read as one number, and of a word that is spelt in syllables.
 CHUNK, LONGEST_NAME = 64, 32
 
@@ -58,29 +58,38 @@ _SOLID = re.compile(
             r"(?P<key>\bAKIA[0-9A-Z]{12,20}\b)",
             r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?(?P<secret>[^\s\"',;]{6,})",
             r"(?P<hex>\b(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,128}\b)",
-            r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
+            r"(?P<token>(?<![\w-])(?=[\w-]*\d)(?:gh[pousr]_|github_pat_|sk-|xox[abprs]-)[A-Za-z0-9_-]{16,}|(?<![\w-])eyJ[\w-]{8,}\.[\w-]{8,}(?:\.[\w-]+)?)",
+            r"(?i:\bbearer)\s+(?P<bearer>[A-Za-z0-9._~+/=-]{16,})",
+            r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b|\b[A-Za-z]{2}\d{2}(?: ?[A-Za-z]{4})?(?: ?\d{4}){3,7}(?: ?\d{1,3})?\b)",
+            r"(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4})(?![\w:]))",
             rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))",
             r"(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))",
-            r"(?P<phone>(?<![\w(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{4}(?!\w)|(?<!\w)\+\d(?:[ .-]?\d){7,14}(?!\w))",
+            r"(?P<phone>(?<![\w(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{4}(?!\w)|(?<!\w)\+\d(?:[ .-]?\d){7,14}(?!\w)|(?<![\w(])0\d{1,4}[ /-]\d{5,9}(?!\w))",
+            r"(?i:\b(?:tel|phone|mobile|cell|call|fax|telefon|mobil|teléfono|téléphone)\b)[.: ]{1,3}(?P<called>\d{9,12}(?!\w))",
             r"(?P<ssn>(?<!\w)\d{3}-\d{2}-\d{4}(?!\w))",
         ]
     )
 )
-_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,63}")
+_KIND_OF = {"bearer": "token", "called": "phone"}
+_DOMAIN = re.compile(r"(?:[^\W_]|-){1,63}(?:\.(?:[^\W_]|-){1,63}){0,8}\.[^\W\d_]{2,63}")
 _CAPITALS = re.compile(_CAPITAL)
-_TITLED = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\s+(?P<person>{_CAPITAL}(?:[ ]{_CAPITAL}){{0,2}})")
-_NAMED = re.compile(rf"\b(?P<person>(?:{'|'.join(sorted(_LISTED, key=len, reverse=True))})[ ]{_CAPITAL})")
-_TRIGGER = re.compile(r"@|AKIA|(?i:password|passwd|pwd|secret|token|api)")
+_EITHER = sorted({*TITLES, *map(str.upper, TITLES)}, key=len, reverse=True)
+_ANY_GIVEN = sorted({*_LISTED, *map(str.upper, _LISTED)}, key=len, reverse=True)
+_TITLED = re.compile(rf"\b(?:{'|'.join(map(re.escape, _EITHER))})\s+(?P<person>{_CAPITAL}(?:[ ]{_CAPITAL}){{0,2}})")
+_NAMED = re.compile(rf"\b(?P<person>(?:{'|'.join(_ANY_GIVEN)})[ ]{_CAPITAL})")
+#: In small letters throughout: a surname behind a title that has no other use, a listed given name with its surname behind any.
+_SMALL = re.compile(rf"\b(?:(?:mr|mrs|ms)\.|(?:dr|prof|sr|sra)\.(?=\s+(?:{'|'.join(sorted(map(str.lower, _LISTED), key=len, reverse=True))})\b))\s+(?P<person>(?:(?:{'|'.join(sorted(map(str.lower, _LISTED), key=len, reverse=True))})[ ])?[^\W\d_]+)")
+_TRIGGER = re.compile(r"@|AKIA|::|(?i:password|passwd|pwd|secret|token|api|bearer|gh[pousr]_|sk-|xox|eyj)")
 _DIGIT = re.compile(r"\d")
 
 
 def _mails(text: str):
-    """From each at sign, forwards to the end of a domain and back over at most ``LONGEST_LOCAL`` characters."""
+    """From each at sign, forwards to the end of a domain and back over what a local part has: to another at sign at most."""
     at, end = text.find("@"), 0
     while at >= 0:
         if domain := _DOMAIN.match(text, at + 1):
-            first, least = at, max(end, at - LONGEST_LOCAL)
-            while first > least and (text[first - 1].isalnum() or text[first - 1] in "_.%+-"):
+            first = at
+            while first > end and (text[first - 1].isalnum() or text[first - 1] in "_.%+-"):
                 first -= 1
             if first < at:
                 end = domain.end()
@@ -90,12 +99,15 @@ def _mails(text: str):
 
 def _people(text: str):
     """Persons by title or given name, then every other place of a word of their names."""
-    found = [(*m.span("person"), "person") for m in _TITLED.finditer(text)] if any(t in text for t in TITLES) else []
-    if any(n in text for n in _LISTED):
+    found = [(*m.span("person"), "person") for m in _TITLED.finditer(text)] if any(t in text for t in _EITHER) else []
+    if any(n in text for n in _ANY_GIVEN):
         found += [(*m.span("person"), "person") for m in _NAMED.finditer(text)]
+    small = [(*m.span("person"), "person") for m in _SMALL.finditer(text)] if any(t in text for t in ("mr.", "mrs.", "ms.", "dr.", "prof.", "sr.", "sra.")) else []
     found = [(a, b - 2, kind) if text[b - 2 : b] in ("'s", "’s") and b - 2 > a else (a, b, kind) for a, b, kind in found]
-    names = {w for a, b, _ in found for w in text[a:b].split(" ") if len(w) > 2 or w and not w.isascii()}
+    names = {w for a, b, _ in found for w in text[a:b].split(" ") if len(w) > 1 or w and not w.isascii()}
+    names |= {w.capitalize() for w in names if len(w) > 1 and w.isupper()} | {w.capitalize() for a, b, _ in small for w in text[a:b].split(" ") if len(w) > 1}
     names |= {w.upper() for w in names}
+    found += small
     if names:
         for m in _CAPITALS.finditer(text):
             word = m.group().removesuffix("'s").removesuffix("’s")
@@ -106,9 +118,9 @@ def _people(text: str):
 
 def spans(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of the entities of a text, in order, without overlaps: of two, the one that starts first, then the longer."""
-    found = [*_mails(text)]
+    found = [*_mails(text)] if "@" in text else []
     if _DIGIT.search(text) or _TRIGGER.search(text):
-        found += [(*m.span(m.lastgroup), m.lastgroup) for m in _SOLID.finditer(text)]
+        found += [(*m.span(m.lastgroup), _KIND_OF.get(m.lastgroup, m.lastgroup)) for m in _SOLID.finditer(text)]
     found += _people(text)
     out, end = [], 0
     for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
@@ -272,10 +284,10 @@ def _cased(new: str, old: str) -> str:
 
 
 def _person(word: str, key: bytes) -> str:
-    if word in _LISTED:
-        names, at = _LISTED[word]
-        return names[Permutation(key, "given\1" + names[0], len(names)).step(at)]
     low = word.lower()
+    if word in (low, low.upper(), low.capitalize()) and low.capitalize() in _LISTED:
+        names, at = _LISTED[low.capitalize()]
+        return _cased(names[Permutation(key, "given\1" + names[0], len(names)).step(at)].lower(), word)
     if len(word) == 1 and word.isascii():
         return permuted(word, _LETTERS, key, "initial")
     for script in SCRIPTS if len(low) <= LONGEST_NAME else ():
@@ -308,12 +320,17 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
         new = iter(body + str((_luhn(body) + offset) % 10))
         return "".join(next(new) if c.isdigit() else c for c in value)
     if kind == "phone":
-        m = re.match(r"\+\d{1,3}(?=[ .(-])", value)
+        m = re.match(r"\+\d{1,3}(?=[ .(-])|0(?=\d)", value)  # a country's prefix, or the zero before an area
         head = m.group() if m else ""
         parts = re.split(r"(?<!\d)(555)(?!\d)", value[len(head) :])
         fixed = "555" if len(parts) == 3 else ""
         number = permuted("\2".join((parts[0], parts[2])) if fixed else value[len(head) :], _DIGITS, key, "phone" + head + fixed)
         return head + number.replace("\2", "555")
+    if kind == "ip6":
+        return permuted(value, _HEX_CASED if re.search("[A-F]", value) else _HEX, key, kind)
+    if kind == "token":
+        head = re.match(r"gh[pousr]_|github_pat_|sk-|xox[abprs]-|eyJ|", value).group()
+        return head + permuted(value[len(head) :], _LETTERS, key, kind + head)
     if kind == "key":
         return value[:4] + permuted(value[4:], _LETTERS, key, kind)
     if kind == "person":
