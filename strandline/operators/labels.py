@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.rasters import as_png
+from strandline.operators.series import positions, sampled
+from strandline.sources import sinks
+
 
 def significant(value: Column, digits: int = 4) -> Column:
     """A number with so many significant digits and no trailing zeros, as ``%g`` writes it; decimal ties go up."""
@@ -43,3 +47,31 @@ def crop_name(track: Column, frame: Column, truth: Column) -> Column:
 def write_frames(labelled: DataFrame, path: str) -> None:
     """Boxes and labels as Parquet, partitioned by sequence, for whatever draws them."""
     labelled.write.partitionBy("sequence_id").parquet(path)
+
+
+def draw_frames(labelled: DataFrame, path: str, width: int = 1920, height: int = 1080, rate: int = 25) -> None:
+    """One drawing ``<sequence_id>.svg`` per sequence below ``path``: its frames in order, boxes and labels as vectors.
+
+    ``labelled`` has ``sequence_id, frame_idx, x1, y1, x2, y2, label``; a null box stands for a frame without any. A sequence is
+    one object, so one task writes it, frame by frame; sequences are written in parallel. See ``sinks``.
+    """
+    spark = labelled.sparkSession
+    spark.dataSource.register(sinks.Drawings)
+    rows = labelled.select(F.col("sequence_id").cast("string"), F.col("frame_idx").cast("long"), *[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")], "label")
+    dealt = rows.repartition("sequence_id").sortWithinPartitions("sequence_id", "frame_idx", "label")
+    dealt.write.format("strandline_drawings").mode("append").option("width", width).option("height", height).option("rate", rate).save(path)
+
+
+def save_crops(crops: DataFrame, path: str, most: int = 10) -> None:
+    """At most ``most`` crops of each series as PNG files below ``path``, named by series, frame and truth.
+
+    ``crops`` has ``track_id, idx, frame_idx, truth`` and ``crop``, a raster; the sample is systematic (``sampled``) over
+    the crops there are, and only sampled ones are encoded. A crop without pixels isn't written.
+    """
+    spark = crops.sparkSession
+    spark.dataSource.register(sinks.Files)
+    keys = crops.select("track_id", "idx").withColumnRenamed("idx", "place")
+    chosen = sampled(positions(keys, "track_id", "place"), "track_id", most).select("track_id", F.col("place").alias("idx"))
+    name = F.regexp_replace(crop_name(F.col("track_id"), F.col("frame_idx"), F.col("truth")), r"\.jpg$", ".png")
+    files = crops.join(chosen, ["track_id", "idx"]).select(name.alias("name"), as_png(F.col("crop")).alias("content")).filter("content is not null")
+    files.write.format("strandline_files").mode("append").save(path)

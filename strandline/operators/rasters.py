@@ -7,6 +7,8 @@ whatever needs no pixels works on keys.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -29,7 +31,12 @@ def images(spark: SparkSession, folder: str, suffix: str = "jpg") -> DataFrame:
 
 
 def as_array(raster: dict) -> np.ndarray:
-    return np.frombuffer(raster["data"], np.uint8).reshape(raster["height"], raster["width"], raster["channels"])
+    return np.frombuffer(raster["data"], np.uint8).reshape(*[int(raster[k]) for k in ("height", "width", "channels")])
+
+
+def arrays(rasters: pd.DataFrame) -> list[np.ndarray | None]:
+    """Rasters as pandas brings them; those without pixels are None (their numbers come as NaN)."""
+    return [as_array(r) if isinstance(r["data"], bytes) else None for r in rasters.to_dict("records")]
 
 
 def as_raster(pixels: np.ndarray) -> dict:
@@ -77,12 +84,34 @@ def cut_out(boxes: DataFrame, images: DataFrame, keys: list[str], own: list[str]
 
 
 def _inner(rasters: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    for raster, box in zip(rasters.to_dict("records"), boxes.to_dict("records")):
-        rows.append(_cut(None if raster["data"] is None else as_array(raster), box) or dict.fromkeys(("height", "width", "channels", "data")))
-    return pd.DataFrame(rows, columns=["height", "width", "channels", "data"])
+    fields = [f.name for f in _KIND]
+    rows = [_cut(pixels, box) or dict.fromkeys(fields) for pixels, box in zip(arrays(rasters), boxes.to_dict("records"))]
+    return pd.DataFrame(rows, columns=fields)
 
 
 def inner(raster: Column, box: Column) -> Column:
     """The raster inside a box (struct of whole corners) of a raster; its fields are null where the raster is."""
     return F.pandas_udf(_inner, RASTER)(raster, box)
+
+
+def png(pixels: np.ndarray) -> bytes:
+    """A PNG file of rows, columns and 1, 3 or 4 channels; three and four come as Spark reads them, blue first."""
+    colour = {1: 0, 3: 2, 4: 6}[pixels.shape[2]]
+    if pixels.shape[2] > 1:
+        pixels = pixels[:, :, [2, 1, 0, 3][: pixels.shape[2]]]
+
+    def part(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    rows = b"".join(b"\0" + row.tobytes() for row in np.ascontiguousarray(pixels, np.uint8))
+    head = struct.pack(">IIBBBBB", pixels.shape[1], pixels.shape[0], 8, colour, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def as_png(raster: Column) -> Column:
+    """PNG files of rasters; null for one without pixels."""
+
+    def files(rasters: pd.DataFrame) -> pd.Series:
+        return pd.Series([None if pixels is None else png(pixels) for pixels in arrays(rasters)], dtype=object)
+
+    return F.pandas_udf(files, "binary")(raster)
