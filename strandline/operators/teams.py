@@ -139,18 +139,23 @@ def grouped_means(points: DataFrame, centres: DataFrame, rounds: int = ROUNDS, l
     return centres.select("group", "start", "centres").join(moved(points, centres).select("group", "start", "cost"), ["group", "start"])
 
 
-def team_clusters(series: DataFrame, components: int = 3, teams: int = 2, starts: int = 10, seed: int = 42) -> DataFrame:
+def team_clusters(series: DataFrame, components: int = 3, teams: int = 2, starts: int = 10, seed: int = 42, reduce: str = "principal") -> DataFrame:
     """``sequence_id, track_id, idx, team``: k-means on reduced embeddings of each sequence, fitted on players, given to players.
 
-    All rows of a sequence are reduced to principal components together; of ``starts`` fits the one of least cost
-    is kept. With fewer than two players in a sequence they are team 0; other roles have no team, nor has a row
+    All rows of a sequence are reduced together: to ``principal`` components, or by their ``neighbours`` (see there; dearer,
+    for looks that aren't blobs). Of ``starts`` fits the one of least cost is kept. With fewer than two players in a sequence they are team 0; other roles have no team, nor has a row
     without an embedding. An empty table gives no rows. ``track_id, idx`` must be unique in a sequence.
     """
+    from strandline.operators.neighbours import embedded
+
+    if reduce not in ("principal", "neighbours"):
+        raise ValueError(f"there is no reduction {reduce}")
     players = F.col("role") == "player"
     keys = ["sequence_id", "track_id", "idx"]
     base = series.filter("embedding is not null").select(F.col("sequence_id").alias("group"), F.struct("track_id", "idx").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "role")
-    flat = written(reduced(written(base, "looks"), components), "reduced")
-    own = flat.filter(players).select("group", "id", "v")
+    base = written(base, "looks")
+    flat = (reduced if reduce == "principal" else embedded)(base.select("group", "id", "v"), components)
+    own = written(flat.join(base.filter(players).select("group", "id"), ["group", "id"], "left_semi"), "reduced")
     fitted = written(grouped_means(own, seeded(own, teams, starts, seed)), "teams")
     best = fitted.groupBy("group").agg(F.min_by("centres", F.struct("cost", "start")).alias("centres"))
     found = _facts(own, best).select(F.col("group").alias("sequence_id"), "id.track_id", "id.idx", nearest(F.col("v"), F.col("centres"))["c"].alias("team"))
