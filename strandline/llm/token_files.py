@@ -262,7 +262,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Encode whole texts, append ``END_ID`` to each, write the block table and return it as read back.
 
     A null or empty text is just the end id. Rows with equal or null ids are kept, nulls first, equal ids
-    in any order. Other columns are ignored; an empty table gives no blocks.
+    in any order. Other columns are ignored; an empty table gives no blocks. A text of any length is encoded as a
+    whole, one at a time, and is a block of its own if it fills one.
     """
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return store(dealt.mapInArrow(_blocks(tokenizer_path), "shard int, block int, before long, n_ids long, doc_ids array<long>, data binary"), "tokens")
@@ -286,7 +287,9 @@ def _read(batches):
 def read_documents(blocks: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in a block table.
 
-    ``start`` counts the ids of all documents before it; shard totals (one row per shard) are summed in order.
+    ``start`` counts the ids of all documents before it; shard totals (one row per shard) are summed in order. Null and
+    repeated ids come back as often as they were written, each with its own place; a document of any length is
+    expanded alone. No blocks give no rows.
     """
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("total"))
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

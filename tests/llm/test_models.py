@@ -76,6 +76,24 @@ def test_ctw_matches_brute_force(spark):
     assert ctw.score(docs.limit(0)).count() == 0
 
 
+def test_ctw_takes_long_texts_and_any_ids(spark):
+    """Long texts, repeated and null ids: counts by hand; equal texts score alike, in whatever block they are."""
+    long = " ".join(f"w{i * i % 8191}" for i in range(300_000))
+    rows = [(1, long), (1, long), (None, "ab ab"), (None, None), (2, "ab cd"), (2, "ab cd"), (9, "")]
+    train = [t for i, t in rows if i is not None and fold(i, 7) != 2]
+    tokens = Counter(w for t in train for w in brute.words(t))
+    n, v = sum(tokens.values()) + len(train), len(tokens) + 1
+    got = ctw.score(spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, score string").repartition(3)).collect()
+    assert len(got) == len(rows) and {r["train_tokens"] for r in got} == {n}
+    by = {}
+    for r in got:
+        by.setdefault((r["doc_id"], r["n_tokens"]), []).append(r)
+    assert {k: len(x) for k, x in by.items()} == {(1, 300_001): 2, (None, 3): 1, (None, 1): 1, (2, 3): 2, (9, 1): 1}
+    assert all(abs(x[0]["score"] - y["score"]) < 1e-6 * abs(x[0]["score"]) for x in by.values() for y in x) and all(r["held_out"] for r in got if r["doc_id"] is None)
+    want = sum(math.log10((tokens[w] + 1) / (n + v + 1)) for w in brute.words(long)) + math.log10((len(train) + 1) / (n + v + 1))
+    assert math.isclose(by[1, 300_001][0]["base_score"], want, rel_tol=1e-9) and 0 < by[1, 300_001][0]["bits_per_byte"] < 8
+
+
 def test_ctw_blocks_may_be_read_by_several_tasks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"word{i % 7} and w{i} end " * (i % 5), "x") for i in range(60)], "doc_id long, text string, first string").repartition(2)
     whole = sorted(map(tuple, ctw.score(docs).collect()))

@@ -64,6 +64,20 @@ def test_token_files_equal_the_library(spark):
     assert token_files.read_documents(token_files.write_tokens(docs.limit(0), WORD)).count() == 0
 
 
+def test_token_files_keep_null_and_repeated_ids_and_long_texts(spark):
+    long = "".join(f"word{i % 977} " for i in range(400_000))
+    rows = [(None, "first of none"), (None, "first of none"), (None, None), (3, "three"), (3, "three"), (3, ""), (4, long), (5, "five")]
+    docs = spark.createDataFrame([(a, b, "x", 1) for a, b in rows], "doc_id long, text string, data string, block int").repartition(4)
+    library = Tokenizer.from_file(WORD)
+    got = token_files.read_documents(token_files.write_tokens(docs, WORD)).collect()
+    coded = [(i, library.encode(t or "", add_special_tokens=False).ids + [1]) for i, t in rows]
+    want = sorted(((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in coded), key=repr)
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got), key=repr) == want
+    order = sorted(got, key=lambda r: r["start"])
+    assert [r["start"] for r in order] == [0, *np.cumsum([r["n_tokens"] for r in order])[:-1].tolist()]
+    assert [r["doc_id"] for r in order] == [None, None, None, 3, 3, 3, 4, 5]
+
+
 def test_repair_goes_on_until_no_pair_pays():
     rng = np.random.default_rng(1)
     passage = rng.permutation(1000).astype(np.uint32)[:300]
