@@ -84,13 +84,18 @@ def refined_switches(series: DataFrame, found: DataFrame, config: SplitConfig =
     return stats.select(*keys, "idx", F.when(moved, F.col("peak.at")).otherwise(F.col("idx")).alias("refined_idx"))
 
 
-def pieces(series: DataFrame, cuts: DataFrame, least: int, keys: list[str] = TRACK[1:]) -> DataFrame:
-    """``keys, frag_no, start_idx, end_idx`` of series that fall into two pieces or more of at least ``least`` rows.
+def lengths(series: DataFrame, keys: list[str] = TRACK[1:]) -> DataFrame:
+    """``keys, cut``: where each series ends."""
+    return series.groupBy(*keys).agg((F.max("idx") + 1).alias("cut"))
+
+
+def pieces(ends: DataFrame, cuts: DataFrame, least: int, keys: list[str] = TRACK[1:]) -> DataFrame:
+    """``keys, frag_no, start_idx, end_idx`` of series that fall into two pieces or more of at least ``least`` rows, from their ``lengths``.
 
     ``cuts`` has ``idx`` (order) and ``cut`` (where). Moved cuts aren't sorted again: what they make of negative
     length goes, and pieces may overlap.
     """
-    ends = series.groupBy(*keys).agg((F.max("idx") + 1).alias("cut")).join(cuts.select(*keys).distinct(), keys, "left_semi")
+    ends = ends.join(cuts.select(*keys).distinct(), keys, "left_semi")
     bounds = (
         cuts.select(*keys, F.col("idx").cast("long").alias("place"), F.col("cut").cast("int"))
         .unionByName(ends.select(*keys, F.lit(-1).cast("long").alias("place"), F.lit(0).alias("cut")))
@@ -128,10 +133,10 @@ def split(series: DataFrame, cuts: DataFrame, least: int, within: list[str] = []
     cuts = written(cuts, "cuts")  # a few rows, read three times
     order = ["root", "seq"]
     keys = [*within, *TRACK]
-    cuts_in = cuts.join(series.select(*keys).distinct(), TRACK) if within else cuts
-    parts = pieces(series, cuts_in, least, keys).withColumn("root", F.col("seq")[0])
+    ends = written(lengths(series, keys), "lengths")  # one row a series, read three times
+    parts = pieces(ends, cuts.join(ends.drop("cut"), TRACK) if within else cuts, least, keys).withColumn("root", F.col("seq")[0])
     largest = F.coalesce(F.max("track_id"), F.lit(0)).alias("base")
-    base = series.groupBy(*within).agg(largest) if within else series.agg(largest)
+    base = ends.groupBy(*within).agg(largest) if within else ends.agg(largest)
     parts = written(numbered(parts, [*order, "frag_no"], base, within).drop("root", *within), "fragments")
     columns = [c for c in series.columns if c not in ("seq", "track_id", "idx")]
     rows = series.join(parts, TRACK, "left").filter(F.col("new_track_id").isNull() | F.col("idx").between(F.col("start_idx"), F.col("end_idx")))

@@ -96,6 +96,30 @@ def _kalman(columns: str) -> str:
 select track_id, idx, {columns} from k"""
 
 
+def _expected(columns: str, camera: bool = False) -> str:
+    """Predictions of all positions from the first with a number on; those without one aren't seen. The camera keeps axes apart."""
+    axes = [("x", "w"), ("y", "h"), ("w", "w"), ("h", "h")]
+    measured = {"x": "(x1 + x2) / 2", "y": "(y1 + y2) / 2", "w": "x2 - x1", "h": "y2 - y1"}
+    turn = {a: f"(1 + (idx % 7) / cast({100 if a in 'xw' else -200} as double))" if camera else "cast(1 as double)" for a in "xywh"}
+    shift = {"x": "idx % 7 - cast(3 as double)", "y": "cast(2 as double)"} if camera else {}
+    p, v = f"cast({POSITION!r} as double)", f"cast({VELOCITY!r} as double)"
+    first = ", ".join(f"{measured[a]} as {a}, cast(0 as double) as {a}v, pow(2 * {p} * ({measured[s]}), 2) as {a}00, cast(0 as double) as {a}01, pow(10 * {v} * ({measured[s]}), 2) as {a}11" for a, s in axes)
+    speed = {a: f"case when k.seen then k.{a}v else 0 end" if a in "wh" else f"k.{a}v" for a, _ in axes}
+    ahead = ", ".join(f"k.{a} + {speed[a]} as {a}, {speed[a]} as {a}v, k.{a}00 + 2 * k.{a}01 + k.{a}11 + pow({p} * k.{s}, 2) as {a}00, k.{a}01 + k.{a}11 as {a}01, k.{a}11 + pow({v} * k.{s}, 2) as {a}11" for a, s in axes)
+    turned = ", ".join(f"{a} * {turn[a]} + {shift.get(a, '0')} as {a}, {a}v * {turn[a]} as {a}v, " + ", ".join(f"{a}{n} * pow({turn[a]}, 2) as {a}{n}" for n in ("00", "01", "11")) for a, _ in axes)
+    totals = ", ".join(f"{a}00 + pow({p} * {s}, 2) as {a}t, {measured[a]} - {a} as {a}d" for a, s in axes)
+    new = ", ".join(f"case when seen then {a} + {a}00 / {a}t * {a}d else {a} end, case when seen then {a}v + {a}01 / {a}t * {a}d else {a}v end, case when seen then {a}00 - pow({a}00 / {a}t, 2) * {a}t else {a}00 end, case when seen then {a}01 - {a}00 / {a}t * {a}01 / {a}t * {a}t else {a}01 end, case when seen then {a}11 - pow({a}01 / {a}t, 2) * {a}t else {a}11 end" for a, _ in axes)
+    expected = "x - w / 2, y - h / 2, x + w / 2, y + h / 2"
+    return f""", f as (select track_id, min(idx) filter (jersey is not null) as start, max(idx) filter (jersey is not null) as last from obs group by track_id),
+o as (select obs.*, jersey is not null as seen from obs join f using (track_id) where idx between start and last),
+k as (select track_id, idx, seen, {first}, x1 as p1, y1 as q1, x2 as p2, y2 as q2 from o join f using (track_id) where idx = start
+  union all select track_id, idx, seen, {new}, {expected} from (select *, {totals} from (select track_id, idx, seen, x1, y1, x2, y2, {turned} from (select o.track_id, o.idx, o.seen, o.x1, o.y1, o.x2, o.y2, {ahead} from k join o on o.track_id = k.track_id and o.idx = k.idx + 1))))
+select k.track_id, k.idx, k.seen, {columns} from k join o on o.track_id = k.track_id and o.idx = k.idx"""
+
+
+_INSIDE = "greatest(least(p2, x2) - greatest(p1, x1) + 1, 0) * greatest(least(q2, y2) - greatest(q1, y1) + 1, 0)"
+ORACLE["predicted_overlap"] = with_ctes("obs") + _expected(f"round(1 - {_INSIDE} / ((p2 - p1 + 1) * (q2 - q1 + 1) + (x2 - x1 + 1) * (y2 - y1 + 1) - {_INSIDE}), 6) as distance")
+ORACLE["camera_warp"] = with_ctes("obs") + _expected("round(p1, 6) as x1, round(q1, 6) as y1, round(p2, 6) as x2, round(q2, 6) as y2", True)
 ORACLE["kalman_filter_series"] = with_ctes("obs") + _kalman("round(x, 6) as cx, round(y, 6) as cy, round(w, 6) as w, round(h, 6) as h, round(xv, 6) as vx, round(yv, 6) as vy")
 ORACLE["gating_distance"] = with_ctes("obs") + _kalman("round(gate, 6) as gate")
 ORACLE["motion_fused_cost"] = with_ctes("obs") + _kalman("round(case when gate > cast(9.4877 as double) then -1 else cast(0.5 as double) * cast(0.98 as double) + gate * (1 - cast(0.98 as double)) end, 6) as cost") + " where gate is not null"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandline.config import SplitConfig
 from strandline.functions import geometry as g
 from strandline.functions import vectors
-from strandline.operators import assignment, attributes, labels, motion, overlap, rasters, series, splits, teams, tracker
+from strandline.operators import assignment, attributes, labels, motion, overlap, prediction, rasters, series, splits, teams, tracker
 from strandline.plans import trajectories
 from strandline.plans.oracle import ORACLE
 from strandline.sources import adapters as src
@@ -240,6 +240,26 @@ def motion_fused_cost(spark, sf_dir):
     return out.select("track_id", "idx", rounded(F.when(cost == float("inf"), -1.0).otherwise(cost), "cost"))
 
 
+@query
+def predicted_overlap(spark, sf_dir):
+    """How far each track is from where the filter expects it, seen in the frames whose number could be read."""
+    obs = src.observations(spark, sf_dir).withColumn("frame_idx", F.col("idx"))
+    expected = prediction.predicted_boxes(obs.filter("jersey is not null"), ahead=0)
+    found = prediction.predicted_distance(expected, obs.select("track_id", "frame_idx", "x1", "y1", "x2", "y2"), keys=["track_id", "frame_idx"])
+    return found.select("track_id", F.col("frame_idx").cast("int").alias("idx"), F.col("l_seen").alias("seen"), rounded("distance", "distance"))
+
+
+@query
+def camera_warp(spark, sf_dir):
+    """Predicted boxes under a camera that moves and zooms, differently in every frame."""
+    obs = src.observations(spark, sf_dir).withColumn("frame_idx", F.col("idx"))
+    frame, zero = F.col("frame_idx") % 7, F.lit(0.0)
+    warp = F.array(1 + frame / 100, zero, frame - 3.0, zero, 1 - frame / 200, F.lit(2.0))
+    cameras = obs.select("frame_idx").distinct().withColumn("warp", warp)
+    expected = prediction.predicted_boxes(obs.filter("jersey is not null"), ahead=0, cameras=cameras)
+    return expected.select("track_id", F.col("frame_idx").cast("int").alias("idx"), "seen", *[rounded(c, c) for c in ("x1", "y1", "x2", "y2")])
+
+
 @query
 def ema_embedding(spark, sf_dir):
     out = motion.smoothed(src.appearance(spark, sf_dir))
@@ -351,7 +371,7 @@ def refined_switches(spark, sf_dir):
 @query
 def number_fragments(spark, sf_dir):
     own = _series(spark, sf_dir)
-    return splits.pieces(own, splits.number_cuts(own), SplitConfig().number_min_fragment, splits.TRACK).select("track_id", "frag_no", "start_idx", "end_idx")
+    return splits.pieces(splits.lengths(own, splits.TRACK), splits.number_cuts(own), SplitConfig().number_min_fragment, splits.TRACK).select("track_id", "frag_no", "start_idx", "end_idx")
 
 
 @query
@@ -372,7 +392,7 @@ def team_switches(spark, sf_dir):
 @query
 def team_fragments(spark, sf_dir):
     own = _series(spark, sf_dir)
-    return splits.pieces(own, splits.team_cuts(own), SplitConfig().team_min_fragment, splits.TRACK).select("track_id", "frag_no", "start_idx", "end_idx")
+    return splits.pieces(splits.lengths(own, splits.TRACK), splits.team_cuts(own), SplitConfig().team_min_fragment, splits.TRACK).select("track_id", "frag_no", "start_idx", "end_idx")
 
 
 @query

@@ -70,7 +70,7 @@ def test_pieces_and_ids(spark):
     obs = spark.createDataFrame([(t, i) for t, n in ((1, 60), (2, 30), (5, 100)) for i in range(n)], "track_id long, idx int")
     own = splits.as_series(obs)
     cuts = spark.createDataFrame([([1], 1, 30, 30), ([2], 2, 25, 25), ([5], 5, 60, 70), ([5], 5, 80, 40)], "seq array<long>, track_id long, idx int, cut int")
-    got = splits.pieces(own, cuts, 20, splits.TRACK).select("track_id", "frag_no", "start_idx", "end_idx").collect()
+    got = splits.pieces(splits.lengths(own, splits.TRACK), cuts, 20, splits.TRACK).select("track_id", "frag_no", "start_idx", "end_idx").collect()
     # Track 2 has one long piece only; the cuts of track 5 are out of order, so its pieces overlap.
     assert {tuple(r) for r in got} == {(1, 0, 0, 29), (1, 1, 30, 59), (5, 0, 0, 69), (5, 2, 40, 99)}
     after = splits.split(own, cuts, 20).groupBy("parent_id", "track_id").agg(F.count("*").alias("n")).collect()
