@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+import mmap
+import os
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.config import fingerprint
 from strandline.functions.geometry import xywh_to_xyxy
 from strandline.operators.series import ranked
+from strandline.session import own_folder
 
 ANNOTATIONS = """images array<struct<image_id string, file_name string>>,
 annotations array<struct<image_id string, category_id int, track_id long, bbox_image struct<x double, y double, w double, h double>,
 attributes struct<jersey string, team string, role string>>>"""
 PERSONS = (1, 2, 3)
+_SHIPPED: set[tuple[str, str]] = set()
 
 
 def frames(spark: SparkSession, folder: str, suffix: str = "jpg", content: bool = False) -> DataFrame:
@@ -73,6 +81,34 @@ def frame_detections(frame_list: DataFrame, boxes: DataFrame) -> DataFrame:
     return frame_list.join(boxes, ["sequence_id", "filename"], "left")
 
 
+@dataclass(frozen=True)
+class Artefact:
+    """A file that every executor has, named by its content: ``name`` starts with its SHA-256 and is fit for cache keys."""
+
+    name: str
+
+    def open(self) -> mmap.mmap | bytes:
+        """Its content in a worker, mapped: the workers of an executor share the pages of one copy."""
+        with open(SparkFiles.get(self.name), "rb") as f:
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.fstat(f.fileno()).st_size else b""
+
+
+def artefact(spark: SparkSession, path: str) -> Artefact:
+    """Ship a file, e.g. a model's weights, from any path that Spark's file systems know. Equal content is shipped once."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    local = os.path.join(own_folder(), uuid.uuid4().hex)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).copyToLocalFile(at, spark._jvm.org.apache.hadoop.fs.Path(f"file://{local}"))
+    with open(local, "rb") as f:
+        digest = hashlib.file_digest(f, "sha256").hexdigest()
+    name = digest + os.path.splitext(path)[1]
+    named = os.path.join(own_folder(), name)
+    os.replace(local, named)
+    if (spark.sparkContext.applicationId, name) not in _SHIPPED:
+        _SHIPPED.add((spark.sparkContext.applicationId, name))
+        spark.sparkContext.addFile(named)
+    return Artefact(name)
+
+
 def cached(spark: SparkSession, folder: str, name: str, configs: tuple, build: Callable[[], DataFrame], partition_by: str = "sequence_id") -> DataFrame:
     """The table ``name`` made with ``configs``: read if it is there, else built and written. Other settings are another path."""
     path = f"{folder.rstrip('/')}/{name}-{fingerprint(*configs)}"

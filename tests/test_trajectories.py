@@ -115,6 +115,24 @@ def test_models_see_full_batches(spark):
     assert [r["id"] for r in rows] == list(range(100)) and [r["n"] for r in rows] == [32] * 96 + [4] * 4
 
 
+def test_weights_are_shipped_by_content(spark, tmp_path):
+    for name, body in (("one.bin", b"\x03\x04"), ("same.bin", b"\x03\x04"), ("other.bin", b"\x05"), ("none.bin", b"")):
+        (tmp_path / name).write_bytes(body)
+    one, same, other, none = (files.artefact(spark, f"file://{tmp_path}/{n}.bin") for n in ("one", "same", "other", "none"))
+    assert one == same != other and one.name.endswith(".bin") and len(one.name) == 68
+
+    def load(weights):
+        def score():
+            body = weights.open()
+            return lambda values: values * (body[0] if len(body) else 0)
+
+        return score
+
+    row = spark.range(7, 8).select(*[attributes.model(load(w), "long")(F.col("id")).alias(n) for n, w in (("one", one), ("other", other), ("none", none))]).first()
+    assert tuple(row) == (21, 35, 0)
+    assert files.fingerprint((one.name,)) == files.fingerprint((same.name,)) != files.fingerprint((other.name,))
+
+
 def looks(spark, sequences, parts=4):
     rng = np.random.default_rng(3)
     rows = []
