@@ -48,19 +48,31 @@ def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     return sorted((int(r), c) for c, r in enumerate(row_of) if r >= 0 and gain[r, c] < 0)
 
 
+def _rivals(frame: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """How many pairs of the same frame have the same object on a side."""
+    _, own = np.unique(side, return_inverse=True)
+    _, at, counts = np.unique(frame * (own.max(initial=0) + 1) + own, return_inverse=True, return_counts=True)
+    return counts[at]
+
+
 def _solve(limit):
+    """A batch's pairs without a rival are taken together; only the others are solved, frame by frame."""
+
     def run(batches):
         for batch in batches:
-            out = []
-            for frame, pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows, columns = sorted({p["a"] for p in pairs}), sorted({p["b"] for p in pairs})
-                cost = np.full((len(rows), len(columns)), np.inf)
-                place = {a: i for i, a in enumerate(rows)}, {b: i for i, b in enumerate(columns)}
-                for p in pairs:
-                    cost[place[0][p["a"]], place[1][p["b"]]] = p["cost"]
-                out += [(frame, rows[i], columns[j], float(cost[i, j])) for i, j in assign(cost, limit)]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)], names=["frame_idx", "a", "b", "cost"])
+            lists = batch.column(1)
+            a, b, cost = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            frame = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            alone = (_rivals(frame, a) == 1) & (_rivals(frame, b) == 1)
+            taken = [np.flatnonzero(alone)]
+            rest = np.flatnonzero(~alone)
+            for own in np.split(rest, np.flatnonzero(np.diff(frame[rest])) + 1) if len(rest) else []:
+                (rows, i), (columns, j) = (np.unique(side[own], return_inverse=True) for side in (a, b))
+                costs, place = np.full((len(rows), len(columns)), np.inf), np.zeros((len(rows), len(columns)), np.int64)
+                costs[i, j], place[i, j] = cost[own], own
+                taken.append(np.array([place[r, c] for r, c in assign(costs, limit)], np.int64))
+            at = np.concatenate(taken)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(frame[at])), *map(pa.array, (a[at], b[at], cost[at]))], names=["frame_idx", "a", "b", "cost"])
 
     return run
 

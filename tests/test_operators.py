@@ -10,7 +10,7 @@ from strandline.config import SplitConfig, TrackerConfig, fingerprint
 from strandline.functions import geometry as g
 from strandline.functions import vectors
 from strandline.operators import attributes, labels, motion, overlap, rasters, series, splits, tracker
-from strandline.operators.assignment import assign
+from strandline.operators.assignment import assign, assigned
 from strandline.sources import files
 
 
@@ -95,6 +95,24 @@ def test_assignment_is_optimal():
         assert sum(cost[i, j] - limit for i, j in pairs) == pytest.approx(best)
 
 
+def test_frames_are_assigned_as_one_by_one(spark):
+    rng = random.Random(11)
+    rows = [(f, rng.randrange(6), 10 + rng.randrange(6), rng.random()) for f in range(60) for _ in range(rng.randrange(0, 9))] + [(99, 1, 1, float("nan")), (99, 2, 2, None)]
+    rows = list({r[:3]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "frame_idx long, a long, b long, cost double").repartition(3)
+    got = sorted(map(tuple, assigned(df, 0.7).collect()))
+    want = []
+    for f in range(60):
+        own = [r for r in rows if r[0] == f and r[3] < 0.7]
+        left, right = sorted({r[1] for r in own}), sorted({r[2] for r in own})
+        cost = np.full((len(left), len(right)), np.inf)
+        for _, a, b, c in own:
+            cost[left.index(a), right.index(b)] = c
+        want += [(f, left[i], right[j], cost[i, j]) for i, j in assign(cost, 0.7)]
+    assert got == sorted(want) and len(got) > 60
+    assert assigned(df.limit(0), 0.7).count() == 0
+
+
 def test_motion_equals_matrix_form():
     rng = np.random.default_rng(1)
     steps = [np.array([10.0 + 3 * k, 20 - k, 40 + k % 3, 90.0]) + rng.normal(0, 1, 4) for k in range(40)]
