@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from strandline.llm.store import Tables
 
-#: Largest component, after scaling, of a vector that is kept: squared distances of 64 components stay below 2 ** 61.
-LARGEST = 1 << 27
+#: Largest component, after scaling, of a vector that is kept: squared distances of 64 components are 2 ** 60 at most, and
+#: four times that is still a whole 64-bit number.
+LARGEST = 1 << 26
 
 #: Vectors that a task looks at together.
 CHUNK = 16384

@@ -158,6 +158,14 @@ def test_sort_means_equals_a_plain_version(spark):
     assert sort_means.sort_means(table.limit(0)).count() == 0 and sort_means.sort_means(table.filter("vec_id is null")).count() == 0
 
 
+def test_components_up_to_the_largest_are_exact(spark):
+    """Vectors at both ends of the range, where squares are largest; beyond it a vector isn't kept."""
+    end = float(sort_means.LARGEST // 64)
+    rows = [(i, [end if (i >> (k % 5)) & 1 else -end for k in range(64)]) for i in range(40)] + [(99, [end * 2] + [0.0] * 63), (98, [1e300] * 64)]
+    got = sort_means.sort_means(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == sorted(plain_means(rows[:40]))
+
+
 def test_sorted_scan_finds_the_nearest_with_ties():
     rng = np.random.default_rng(5)
     centroids, vectors = rng.integers(-3, 4, (12, 3)), rng.integers(-4, 5, (4000, 3))
