@@ -134,10 +134,11 @@ def split(series: DataFrame, cuts: DataFrame, least: int, within: list[str] = []
     order = ["root", "seq"]
     keys = [*within, *TRACK]
     ends = written(lengths(series, keys), "lengths")  # one row a series, read three times
-    parts = pieces(ends, cuts.join(ends.drop("cut"), TRACK) if within else cuts, least, keys).withColumn("root", F.col("seq")[0])
+    parts = pieces(ends, cuts.join(ends.drop("cut"), TRACK) if within else cuts, least, keys)
+    parts = written(parts.withColumn("root", F.col("seq")[0]), "pieces")
     largest = F.coalesce(F.max("track_id"), F.lit(0)).alias("base")
     base = ends.groupBy(*within).agg(largest) if within else ends.agg(largest)
-    parts = written(numbered(parts, [*order, "frag_no"], base, within).drop("root", *within), "fragments")
+    parts = numbered(parts, [*order, "frag_no"], base, within).drop("root", *within)
     columns = [c for c in series.columns if c not in ("seq", "track_id", "idx")]
     rows = series.join(parts, TRACK, "left").filter(F.col("new_track_id").isNull() | F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
     piece = F.coalesce(F.col("frag_no").cast("long"), F.lit(-1).cast("long"))
@@ -150,12 +151,12 @@ def as_series(observations: DataFrame, order: str = "track_id") -> DataFrame:
 
 
 def number_cuts(series: DataFrame, config: SplitConfig = SplitConfig(), keys: list[str] = TRACK) -> DataFrame:
-    found = switches(number_persistence(series, config, keys), "jersey", keys)
+    found = switches(written(number_persistence(series, config, keys), "persistent"), "jersey", keys)
     return refined_switches(series, found, config, keys).withColumnRenamed("refined_idx", "cut")
 
 
 def team_cuts(series: DataFrame, config: SplitConfig = SplitConfig(), keys: list[str] = TRACK) -> DataFrame:
-    return switches(team_persistence(series, config, keys), "team", keys).select(*keys, "idx", F.col("idx").alias("cut"))
+    return switches(written(team_persistence(series, config, keys), "persistent"), "team", keys).select(*keys, "idx", F.col("idx").alias("cut"))
 
 
 def split_by_number(series: DataFrame, config: SplitConfig = SplitConfig(), within: list[str] = []) -> DataFrame:
