@@ -58,7 +58,7 @@ def labelled_frames(frames: DataFrame, boxes: DataFrame, images: DataFrame, mode
     spark = frames.sparkSession
 
     def kept(name: str, configs: tuple, build) -> DataFrame:
-        return files.cached(spark, cache, name, configs, build) if cache else written(build(), name)
+        return files.cached(spark, cache, name, configs, build, None) if cache else written(build(), name)
 
     series = kept("series", (tracking,), lambda: tracked_observations(frames, boxes, tracking))
     known = kept("attributes", (tracking, number, models.weights), lambda: attributes.predict_attributes(series, images, models, number, decode))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -57,10 +58,23 @@ def own_tables(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/strandline/{sc.applicationId}"
     if path not in _OPENED:
         _OPENED.add(path)
-        atexit.register(lambda: path in _OPENED and sc._jsc is not None and release(spark))
+        atexit.register(_release_at_end, spark, path)
     return path
 
 
+def _release_at_end(spark: SparkSession, path: str) -> None:
+    """What is still there goes; a session that has been stopped, or whose Java side has gone, can't delete any more."""
+    if path in _OPENED and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):
+            release(spark)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any of Spark's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a file or folder through Spark's file systems; it may be missing."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

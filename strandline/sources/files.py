@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strandline.config import fingerprint
 from strandline.functions.geometry import xywh_to_xyxy
 from strandline.operators.series import ranked
-from strandline.session import own_folder
+from strandline.session import exists, own_folder
 
 ANNOTATIONS = """images array<struct<image_id string, file_name string>>,
 annotations array<struct<image_id string, category_id int, track_id long, bbox_image struct<x double, y double, w double, h double>,
@@ -109,13 +109,12 @@ def artefact(spark: SparkSession, path: str) -> Artefact:
     return Artefact(name)
 
 
-def cached(spark: SparkSession, folder: str, name: str, configs: tuple, build: Callable[[], DataFrame], partition_by: str = "sequence_id") -> DataFrame:
-    """The table ``name`` made with ``configs``: read if it is there, else built and written. Other settings are another path."""
+def cached(spark: SparkSession, folder: str, name: str, configs: tuple, build: Callable[[], DataFrame], partition_by: str | None = "sequence_id") -> DataFrame:
+    """The table ``name`` made with ``configs``: read if it was written to its end, else built and written. Other settings are another path.
+
+    A partition column comes back with the type that its values look like; None keeps all columns as they are.
+    """
     path = f"{folder.rstrip('/')}/{name}-{fingerprint(*configs)}"
-    try:
-        return spark.read.parquet(path)
-    except Exception as e:  # only a missing table is built
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    build().write.partitionBy(partition_by).parquet(path)
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").partitionBy(*[c for c in (partition_by,) if c]).parquet(path)
     return spark.read.parquet(path)

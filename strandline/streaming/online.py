@@ -111,7 +111,8 @@ def tracked_stream(detections: DataFrame, config: TrackerConfig = TrackerConfig(
     triggers. ``quiet`` (seconds): a sequence without rows for so long ends, its waiting frames are tracked and its state
     goes; one that starts again is a new one. Without, state stays and the last ``delay`` frames wait. A frame without
     detections needs a row with a null box, as in a batch; an ``embedding`` takes part as there. Rows with a null sequence or
-    frame are left out. ``life`` is as in a batch. The state holds the tracks of now and those lost within the buffer, nothing older.
+    frame are left out. ``life`` is as in a batch. Typed state
+    needs the RocksDB state store, which the session is set to. The state holds the tracks of now and those lost within the buffer, nothing older.
     """
     spark = detections.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -234,7 +234,13 @@ def test_cached_tables_follow_settings(spark, tmp_path):
 
     for config in (SplitConfig(), SplitConfig(), SplitConfig(lookback=9)):
         assert files.cached(spark, str(tmp_path), "t", (config,), build).count() == 1
-    assert len(made) == 2 and fingerprint(SplitConfig()) != fingerprint(SplitConfig(lookback=9))
+    # What a run that failed has left behind isn't read.
+    (tmp_path / f"t-{fingerprint(SplitConfig())}" / "_SUCCESS").unlink()
+    assert files.cached(spark, str(tmp_path), "t", (SplitConfig(),), build).count() == 1 and len(made) == 3
+    text = spark.createDataFrame([("007", 1)], "sequence_id string, v long")
+    for _ in range(2):
+        assert tuple(files.cached(spark, str(tmp_path), "text", (), lambda: text, None).first()) == ("007", 1)
+    assert fingerprint(SplitConfig()) != fingerprint(SplitConfig(lookback=9))
 
 
 def test_overlap_helpers(spark):
