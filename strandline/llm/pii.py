@@ -79,7 +79,12 @@ _TITLED = re.compile(rf"\b(?:{'|'.join(map(re.escape, _EITHER))})\s+(?P<person>{
 _NAMED = re.compile(rf"\b(?P<person>(?:{'|'.join(_ANY_GIVEN)})[ ]{_CAPITAL})")
 #: In small letters throughout: a surname behind a title that has no other use, a listed given name with its surname behind any.
 _SMALL = re.compile(rf"\b(?:(?:mr|mrs|ms)\.|(?:dr|prof|sr|sra)\.(?=\s+(?:{'|'.join(sorted(map(str.lower, _LISTED), key=len, reverse=True))})\b))\s+(?P<person>(?:(?:{'|'.join(sorted(map(str.lower, _LISTED), key=len, reverse=True))})[ ])?[^\W\d_]+)")
-_TRIGGER = re.compile(r"@|AKIA|::|(?i:password|passwd|pwd|secret|token|api|bearer|gh[pousr]_|sk-|xox|eyj)")
+#: What a text without digits needs, in folded case, for anything but names and addresses.
+_TRIGGERS = ("akia", "password", "passwd", "pwd", "secret", "token", "api", "bearer", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "eyj", "sk-")
+_CAPITAL_PAIR = re.compile("[A-ZА-Я]{2}")
+#: The shortest titles, which all others begin with or hold.
+_LEAST_TITLES = [t for t in _EITHER if not any(o != t and o in t for o in _EITHER)]
+_UPPER_GIVEN = [n.upper() for n in _LISTED]
 _DIGIT = re.compile(r"\d")
 
 
@@ -99,8 +104,8 @@ def _mails(text: str):
 
 def _people(text: str):
     """Persons by title or given name, then every other place of a word of their names."""
-    found = [(*m.span("person"), "person") for m in _TITLED.finditer(text)] if any(t in text for t in _EITHER) else []
-    if any(n in text for n in _ANY_GIVEN):
+    found = [(*m.span("person"), "person") for m in _TITLED.finditer(text)] if any(map(text.__contains__, _LEAST_TITLES)) else []
+    if any(map(text.__contains__, _LISTED)) or _CAPITAL_PAIR.search(text) and any(map(text.__contains__, _UPPER_GIVEN)):
         found += [(*m.span("person"), "person") for m in _NAMED.finditer(text)]
     small = [(*m.span("person"), "person") for m in _SMALL.finditer(text)] if any(t in text for t in ("mr.", "mrs.", "ms.", "dr.", "prof.", "sr.", "sra.")) else []
     found = [(a, b - 2, kind) if text[b - 2 : b] in ("'s", "’s") and b - 2 > a else (a, b, kind) for a, b, kind in found]
@@ -119,7 +124,7 @@ def _people(text: str):
 def spans(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of the entities of a text, in order, without overlaps: of two, the one that starts first, then the longer."""
     found = [*_mails(text)] if "@" in text else []
-    if _DIGIT.search(text) or _TRIGGER.search(text):
+    if _DIGIT.search(text) or any(map(text.casefold().__contains__, _TRIGGERS)):
         found += [(*m.span(m.lastgroup), _KIND_OF.get(m.lastgroup, m.lastgroup)) for m in _SOLID.finditer(text)]
     found += _people(text)
     out, end = [], 0
