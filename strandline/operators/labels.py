@@ -11,14 +11,14 @@ from strandline.sources import sinks
 
 
 def significant(value: Column, digits: int = 4) -> Column:
-    """A number with so many significant digits and no trailing zeros, as ``%g`` writes it; decimal ties go up."""
+    """A number with so many significant digits and no trailing zeros, as ``%g`` writes it, a negative zero with its sign; decimal ties go up."""
     text = F.format_string(f"%.{digits - 1}e", value.cast("double"))
     mantissa, power = F.get(F.split(text, "e"), F.lit(0)), F.get(F.split(text, "e"), F.lit(1)).cast("int")
     trimmed = F.regexp_replace(F.regexp_replace(mantissa, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     scientific = F.concat(trimmed, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
     fixed = F.coalesce(*[F.when(power == p, F.format_string(f"%.{digits - 1 - p}f", value.cast("double"))) for p in range(-4, digits)])
     plain = F.when(fixed.contains("."), F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", "")).otherwise(fixed)
-    return F.when(value == 0, "0").when((power < -4) | (power >= digits), scientific).otherwise(plain)
+    return F.when(value == 0, F.format_string("%.0f", value.cast("double"))).when((power < -4) | (power >= digits), scientific).otherwise(plain)
 
 
 def shown(value: Column) -> Column:

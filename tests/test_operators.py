@@ -194,6 +194,15 @@ def test_numbers_and_labels(spark):
     assert df.limit(1).select(labels.label(F.lit(3), F.lit(None), F.lit(7), F.lit(None).cast("double"))).first()[0] == "3|X|7:X"
 
 
+def test_entropy_of_certainty_keeps_its_sign(spark):
+    """A confidence of 1 has entropy -0.0, which SQL and ``%g`` write as -0."""
+    df = spark.createDataFrame([(1.0,), (0.5,)], "conf double").selectExpr("-conf * ln(conf) as entropy")
+    zeros = spark.createDataFrame([(0.0,), (-0.0,), (None,)], "v double")
+    text = labels.label(F.lit(7), F.lit(1), F.lit(2), F.col("entropy"))
+    assert [r[0] for r in df.select(text).collect()] == ["7|1|2:-0", "7|1|2:0.3466"]
+    assert [r[0] for r in zeros.select(labels.significant(F.col("v"))).collect()] == ["0", "-0", None]
+
+
 def test_cascade_with_stub_models(spark):
     import pandas as pd
 
