@@ -266,6 +266,28 @@ def test_samples_are_bounded_in_whole_texts(spark):
     assert got == [(1, "x", "a" * 50), (3, "x", ""), (4, "x", "c" * 30)]
 
 
+def test_toxicity_counts_all_labelled_rows(spark):
+    """Stem weights are those of all rows outside the held-out fold, more than any sample took; copies count once."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(6000):
+        toxic = i % 2
+        words = [f"{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}q" for a, b, c in rng.integers(0, 26, (9, 3))]
+        rows.append((i, " ".join(words + ["vilest"] * (toxic and i % 20 == 1) + ["rotten"] * (i % 2)), toxic))
+    copies = [(i + 6000, t, y) for i, t, y in rows if i % 20 == 1]
+    frame = spark.createDataFrame(rows + copies, "doc_id long, text string, toxic int")
+    scorer = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    first: dict = {}
+    for i, text, y in rows + copies:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            first.setdefault(text, y)
+    n = Counter(first.values())
+    assert n[1] > 2000 and n[0] > 2000
+    for word in ("vilest", "rotten"):
+        seen = sum(word in text for text in first)
+        assert math.isclose(scorer.weights["=" + word], math.log((seen - toxicity.SURE * math.sqrt(seen)) / n[1]) - math.log(0.5 / n[0])), word
+
+
 def test_toxicity_reads_symbols_at_edges(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     scorer = toxicity.fit(docs, labels)
