@@ -1,7 +1,7 @@
 """Predicted boxes: where the filter expects a track in every frame, seen or not, also under a moving camera.
 
-Without a camera the filter is the four scalar ones of ``motion``. A camera's motion is an affine map of each frame that
-mixes the axes, so there the whole eight-state filter runs.
+Without a camera the filter is the four scalar ones of ``motion``. A camera that moves and zooms keeps the axes apart, so it
+does with them too; one that turns or shears mixes them, and from such a frame on the whole eight-state filter runs.
 """
 
 from __future__ import annotations
@@ -25,6 +25,15 @@ class Coupled:
         self.mean = np.array([*z, 0, 0, 0, 0], float)
         self.covariance = np.diag(np.square([*(2 * POSITION * self._sizes()), *(10 * VELOCITY * self._sizes())]))
 
+    @classmethod
+    def of(cls, motion: Motion) -> Coupled:
+        """The same state with terms between the axes, none of them yet."""
+        state = cls.__new__(cls)
+        x, v, p00, p01, p11 = np.array(motion.axes).T
+        state.mean = np.concatenate([x, v])
+        state.covariance = np.block([[np.diag(p00), np.diag(p01)], [np.diag(p01), np.diag(p11)]])
+        return state
+
     def _sizes(self) -> np.ndarray:
         return self.mean[[2, 3, 2, 3]]
 
@@ -53,6 +62,14 @@ class Coupled:
         return x - w / 2, y - h / 2, x + w / 2, y + h / 2
 
 
+def zoomed(motion: Motion, rows) -> None:
+    """Move with a camera whose map has no terms between the axes."""
+    sx, _, dx, _, sy, dy = rows
+    for a, s, d in zip(motion.axes, (sx, sy, sx, sy), (dx, dy, 0.0, 0.0)):
+        x, v, p00, p01, p11 = a
+        a[:] = s * x + d, s * v, s * s * p00, s * s * p01, s * s * p11
+
+
 PREDICTED = "{keys}, frame_idx long, x1 double, y1 double, x2 double, y2 double, seen boolean"
 
 
@@ -83,7 +100,6 @@ def predicted_boxes(observations: DataFrame, keys: list[str] = ["track_id"], ahe
         rows = rows.join(cameras.select(*camera_keys, F.col("frame_idx").cast("long"), F.col("warp").cast("array<double>").alias("warp")), [*camera_keys, "frame_idx"], "left")
         warp = F.col("warp")
     n, kinds = len(keys), {f.name: f.dataType.simpleString() for f in rows.select(*keys).schema}
-    start: Callable = Motion if cameras is None else Coupled
 
     def run(batches):
         track, state, seen_before = None, None, True
@@ -92,13 +108,16 @@ def predicted_boxes(observations: DataFrame, keys: list[str] = ["track_id"], ahe
             for row in zip(*(batch.column(k).to_pylist() for k in range(n + 7))):
                 own, corners, seen, turn = row[:n], row[n + 1 : n + 5], row[n + 5], row[n + 6]
                 if state is None or own != track:
-                    track, state = own, start(measured(*corners))
+                    track, state = own, Motion(measured(*corners))
                     out.append(corners)
                 else:
                     if not seen_before:
                         state.stop_growth()
                     state.predict()
-                    if turn is not None:
+                    if turn is not None and type(state) is Motion and not (turn[1] or turn[3]):
+                        zoomed(state, turn)
+                    elif turn is not None:
+                        state = Coupled.of(state) if type(state) is Motion else state
                         state.warp(turn)
                     out.append(tuple(map(float, state.corners())))
                     if seen:

@@ -97,3 +97,22 @@ def test_distances_may_grow_the_boxes_first(spark):
     apart = prediction.predicted_distance(one, other).collect()
     near = prediction.predicted_distance(one, other, lambda a, b: iou_inclusive(expanded(a, 0.5), expanded(b, 0.5))).collect()
     assert [(r["l_id"], r["r_id"], r["distance"]) for r in apart] == [(1, 7, 1.0)] and 0 < near[0]["distance"] < 1
+
+
+def test_zooming_cameras_keep_scalar_filters():
+    """A camera that moves and zooms gives four scalar filters what it gives the coupled one, also after it turns later."""
+    rng = np.random.default_rng(3)
+    first = measured(10.0, 20.0, 50.0, 120.0)
+    one, other = Motion(first), prediction.Coupled(first)
+    for k in range(12):
+        sx, sy, dx, dy = 1 + rng.normal() / 50, 1 + rng.normal() / 50, *rng.normal(size=2) * 5
+        one.predict(), other.predict()
+        prediction.zoomed(one, [sx, 0.0, dx, 0.0, sy, dy])
+        other.warp([sx, 0.0, dx, 0.0, sy, dy])
+        assert np.allclose(one.corners(), other.corners())
+        if k % 3:
+            x, y = rng.normal(size=2) * 9
+            seen = measured(10 + x, 20 + y, 50 + x, 120 + y)
+            one.update(seen), other.update(seen)
+    later = prediction.Coupled.of(one)
+    assert np.allclose(later.mean, other.mean) and np.allclose(later.covariance, other.covariance)
