@@ -19,14 +19,16 @@ from strandline.session import own_tables
 CLOCK = "frame long, next_id long, newest long, tracked_to long"
 DETECTION = "det_idx int, x1 double, y1 double, x2 double, y2 double, score double, embedding array<double>"
 _FIELDS = [c.split()[0] for c in DETECTION.split(", ")]
+#: Rows of a sequence that a trigger holds in memory before they go to the state store, and rows of a batch given back.
+HELD, GIVEN = 50_000, 5_000
 
 
 class OnlineTracker(StatefulProcessor):
     """The tracker of a sequence as typed state: its clock, its tracks, and the frames that wait for earlier ones.
 
-    Rows go to the waiting frames as they come, one batch at a time, whatever a trigger brings; a frame is tracked when
-    one ``delay`` frames newer is there, all in order. Memory is a batch, a frame and the tracks; waiting frames are
-    in the state store. After ``quiet_ms`` without rows a timer tracks what waits, and the sequence ends.
+    A frame is tracked when one ``delay`` frames newer is there, all in order. Up to ``HELD`` rows of a trigger stay in
+    memory and go to the tracker from there; what is beyond, and what has to wait for later triggers, is in the state store,
+    whatever a trigger brings. Memory is those rows, a batch, a frame and the tracks. After ``quiet_ms`` without rows a timer tracks what waits, and the sequence ends.
     """
 
     def __init__(self, config: TrackerConfig, delay: int, quiet_ms: int | None, life: bool):
@@ -40,18 +42,18 @@ class OnlineTracker(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "frame_idx long", f"dets array<struct<{DETECTION.replace(' ', ':').replace(',:', ',')}>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        clock = self._clock()
+        clock, held, n = self._clock(), {}, 0
         for batch in rows:
-            for frame, own in batch.groupby("frame_idx", sort=True):
-                frame = int(frame)
-                if frame <= clock["tracked_to"]:
-                    continue  # too late: a later frame has been tracked
-                dets = [tuple(None if name == "embedding" and v is None else v for name, v in zip(_FIELDS, r)) for r in own[_FIELDS].itertuples(index=False, name=None)]
-                if self.waiting.containsKey((frame,)):
-                    dets = [*map(tuple, self.waiting.getValue((frame,))[0]), *dets]
-                self.waiting.updateValue((frame,), ([_det(d) for d in dets],))
-                clock["newest"] = max(clock["newest"], frame)
-        yield from self._track(int(key[0]), clock, clock["newest"] - self.delay)
+            frames, dets = batch["frame_idx"].tolist(), zip(*(batch[c].tolist() for c in _FIELDS))
+            for frame, det in zip(frames, dets):
+                if frame > clock["tracked_to"]:  # else too late: a later frame has been tracked
+                    held.setdefault(frame, []).append(_det(det))
+                    n += 1
+            clock["newest"] = max(clock["newest"], *held) if held else clock["newest"]
+            if n >= HELD:
+                self._keep(held)
+                held, n = {}, 0
+        yield from self._track(int(key[0]), clock, clock["newest"] - self.delay, held)
         if self.quiet_ms is not None:
             for old in [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]:
                 self.handle.deleteTimer(old)
@@ -68,19 +70,33 @@ class OnlineTracker(StatefulProcessor):
         names = [c.split()[0] for c in CLOCK.split(", ")]
         return dict(zip(names, self.clock.get())) if self.clock.exists() else dict(zip(names, (0, 1, -1, -1)))
 
-    def _track(self, sequence: int, clock: dict, last: int) -> Iterator[pd.DataFrame]:
-        """Track the waiting frames up to ``last`` in order, and keep the state."""
-        ready = sorted(f[0] for f in self.waiting.keys() if f[0] <= last)
+    def _keep(self, held: dict[int, list[tuple]]) -> None:
+        """Put frames, or more rows of frames, to those that wait in the state store."""
+        for frame, dets in held.items():
+            before = [*map(tuple, self.waiting.getValue((frame,))[0])] if self.waiting.containsKey((frame,)) else []
+            self.waiting.updateValue((frame,), ([_det(d) for d in before] + dets,))
+
+    def _track(self, sequence: int, clock: dict, last: int, held: dict[int, list[tuple]] = {}) -> Iterator[pd.DataFrame]:
+        """Track the waiting and the held frames up to ``last`` in order, and keep the state and the later frames."""
+        stored = {f[0] for f in self.waiting.keys()}
+        self._keep({f: dets for f, dets in held.items() if f > last})
+        ready = sorted(f for f in stored | held.keys() if f <= last)
+        out: list[tuple] = []
         tracker = Tracker.restored(self.config, clock["frame"], clock["next_id"], [tuple(r) for r in self.tracks.get()] if self.tracks.exists() else [])
         for frame in ready:
-            found = [dict(zip(_FIELDS, d)) for d in self.waiting.getValue((frame,))[0]]
+            own = [*self.waiting.getValue((frame,))[0]] if frame in stored else []
+            found = [dict(zip(_FIELDS, d)) for d in [*own, *held.get(frame, ())]]
             dets = sorted((d for d in found if d["x1"] is not None), key=lambda d: d["det_idx"])
             rows = life_rows(tracker, sequence, frame, as_dets(dets)) if self.life else tracker.rows(sequence, frame, as_dets(dets))
-            out = list(rows)
-            self.waiting.removeKey((frame,))
+            out += rows
+            if frame in stored:
+                self.waiting.removeKey((frame,))
             clock["tracked_to"] = frame
-            if out:
+            if len(out) >= GIVEN:
                 yield self._frame(out)
+                out = []
+        if out:
+            yield self._frame(out)
         self.clock.update((tracker.frame, tracker.next_id, clock["newest"], clock["tracked_to"]))
         self.tracks.clear()
         state = tracker.state()

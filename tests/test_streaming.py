@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,42 @@ def test_frames_that_come_too_late_are_dropped(spark, tmp_path):
     odd = spark.createDataFrame([(None, 1, 0, 1.0, 1.0, 2.0, 2.0, 0.9, None), (1, None, 0, 1.0, 1.0, 2.0, 2.0, 0.9, None)], KIND)
     odd.write.parquet(f"{tmp_path}/odd/0")
     assert online.drained(online.tracked_stream(spark.readStream.schema(odd.schema).parquet(f"{tmp_path}/odd/*"), CONFIG), "odd").count() == 0
+
+
+class _Store:
+    """State in memory that counts what is written."""
+
+    def __init__(self):
+        self.value, self.map, self.written = None, {}, 0
+
+    getValueState = getListState = getMapState = lambda self, *_: _Store()
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    put = update = lambda self, value: setattr(self, "value", value)
+    clear = lambda self: setattr(self, "value", None)
+    keys = lambda self: [*self.map]
+    containsKey = lambda self, key: key in self.map
+    getValue = lambda self, key: self.map[key]
+    removeKey = lambda self, key: self.map.pop(key)
+
+    def updateValue(self, key, value):
+        self.written += 1
+        self.map[key] = value
+
+
+def test_frames_of_a_trigger_reach_the_state_store_only_beyond_the_bound(monkeypatch):
+    rows = [(f, k, 100.0 * k + 3 * f, 50.0, 100.0 * k + 3 * f + 40, 130.0, 0.9, None) for f in range(40) for k in range(3)]
+    frame = pd.DataFrame(rows, columns=["frame_idx", *online._FIELDS])
+    frame = frame.sample(frac=1, random_state=1)
+    found = {}
+    for held, delay in ((10_000, 0), (7, 0), (10_000, 9)):
+        monkeypatch.setattr(online, "HELD", held)
+        monkeypatch.setattr(online, "GIVEN", 5)
+        tracker = online.OnlineTracker(TrackerConfig(), delay, None, False)
+        tracker.init(_Store())
+        out = pd.concat(tracker.handleInputRows((4,), iter([frame.iloc[k : k + 11] for k in range(0, 120, 11)]), None))
+        found[held, delay] = [tuple(r) for r in out.itertuples(index=False)], tracker.waiting.written, len(tracker.waiting.map)
+    every, none, left = found[10_000, 0]
+    assert len(every) == 120 and none == left == 0
+    assert found[7, 0][0] == every and found[7, 0][1] > 0 and found[7, 0][2] == 0
+    assert found[10_000, 9][0] == [r for r in every if r[1] <= 30] and found[10_000, 9][1:] == (9, 9)
