@@ -19,6 +19,8 @@ def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     if cost.shape[0] > cost.shape[1]:
         return sorted((r, c) for c, r in assign(cost.T, limit))
     gain = np.minimum(np.where(np.isnan(cost), np.inf, cost) - limit, 0.0)
+    if not gain.any():
+        return []
     n, m = gain.shape
     row_of = np.full(m, -1)
     row_price, column_price = np.zeros(n), np.zeros(m)

@@ -37,17 +37,18 @@ def grown(boxes: np.ndarray, e: float) -> np.ndarray:
 
 
 class Track:
-    __slots__ = ("id", "state", "motion", "last", "feature", "score", "start", "seen", "det")
+    __slots__ = ("id", "state", "motion", "last", "feature", "look", "score", "start", "seen", "det")
 
     def __init__(self, track_id, det, frame):
         self.id, self.state, self.start = track_id, TRACKED, frame
-        self.motion, self.feature = Motion(measured(*det["box"])), None
+        self.motion, self.feature, self.look = Motion(measured(*det["box"])), None, None
         self._take(det, frame)
 
     def _take(self, det, frame, momentum: float = 0.9):
         self.last, self.score, self.seen, self.det, self.state = det["box"], det["score"], frame, det["det_idx"], TRACKED
         if det.get("embedding") is not None:
             self.feature = average(self.feature, det["embedding"], momentum)
+            self.look = unit(self.feature)
 
     @classmethod
     def from_row(cls, row: tuple) -> Track:
@@ -56,6 +57,7 @@ class Track:
         t.id, t.state, t.start, t.seen, t.det, t.score = row[:6]
         t.last, t.motion = tuple(row[6]), Motion.from_axes(row[7])
         t.feature = None if row[8] is None else list(row[8])
+        t.look = None if t.feature is None else unit(t.feature)
         return t
 
     def row(self) -> tuple:
@@ -83,13 +85,15 @@ class Tracker:
         c = self.config
         cost = 1 - overlaps(grown(np.array([t.last for t in tracks]).reshape(-1, 4), expand), grown(np.array([d["box"] for d in dets]).reshape(-1, 4), expand))
         if appearance and c.with_reid and cost.size and all(t.feature is not None for t in tracks) and all(d.get("embedding") is not None for d in dets):
-            looks = np.maximum(0.0, 1 - np.array([unit(t.feature) for t in tracks]) @ np.array([unit(d["embedding"]) for d in dets]).T) / 2
+            looks = np.maximum(0.0, 1 - np.array([t.look for t in tracks]) @ np.array([unit(d["embedding"]) for d in dets]).T) / 2
             looks[(looks > c.appearance_thresh) | (cost > c.proximity_thresh)] = 1.0
             cost = np.minimum(cost, looks)
         return cost
 
     def _round(self, tracks, dets, expand, limit, appearance):
         """Match; the tracks and detections that are left."""
+        if not tracks or not dets:
+            return tracks, dets
         pairs = assign(self._distance(tracks, dets, expand, appearance), limit)
         for i, j in pairs:
             tracks[i].match(dets[j], self.frame, self.config.feature_momentum)
@@ -144,6 +148,8 @@ class Tracker:
         return {t.id: LOST for t in self.lost} | {t.id: TRACKED for t in self.tracked}
 
     def _drop_duplicates(self):
+        if not self.tracked or not self.lost:
+            return
         boxes = [np.array([t.motion.corners() for t in side]).reshape(-1, 4) for side in (self.tracked, self.lost)]
         drop: tuple[set, set] = set(), set()
         for i, j in np.argwhere(1 - overlaps(*boxes) < self.config.duplicate_distance):

@@ -171,3 +171,16 @@ def test_frames_of_a_trigger_reach_the_state_store_only_beyond_the_bound(monkeyp
     assert len(every) == 120 and none == left == 0
     assert found[7, 0][0] == every and found[7, 0][1] > 0 and found[7, 0][2] == 0
     assert found[10_000, 9][0] == [r for r in every if r[1] <= 30] and found[10_000, 9][1:] == (9, 9)
+
+
+def test_rounds_without_tracks_or_detections_measure_nothing(monkeypatch):
+    """Once a frame's detections are matched, no further round measures distances; a restored track keeps its look."""
+    calls = []
+    plain = tracker.Tracker._distance
+    monkeypatch.setattr(tracker.Tracker, "_distance", lambda self, tracks, dets, *more: calls.append((len(tracks), len(dets))) or plain(self, tracks, dets, *more))
+    t = tracker.Tracker()
+    for f in range(5):
+        t.step([{"det_idx": 0, "box": (10.0 + f, 10.0, 50.0 + f, 90.0), "score": 0.9, "embedding": [3.0, 4.0]}])
+    assert calls == [(1, 1)] * 4
+    back = tracker.Tracker.restored(t.config, t.frame, t.next_id, t.state())
+    assert back.tracked[0].look == t.tracked[0].look
