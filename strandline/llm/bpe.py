@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.llm.lean import lean
 from strandline.llm.recent import Recent
 from strandline.llm.shingles import buffers, gathered, slices
 from strandline.session import own_folder
@@ -411,7 +412,7 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, size: int = LEXICON) ->
     frequent: list[str] = []
     if size:
         least = max(2, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // size))
-        counts = docs.select("text").mapInArrow(_count_words(vocabulary_path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counts = docs.select("text").mapInArrow(lean(_count_words(vocabulary_path)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
         frequent = [r["word"] for r in counts.filter(F.col("n") >= least).select("word").collect()]
     entries = {w.encode(): (vocabulary.special[w],) if w in vocabulary.special else vocabulary.merge(w.encode()) for w in frequent}
     name = f"lexicon-{uuid.uuid4().hex}"
@@ -540,7 +541,7 @@ def encode(docs: DataFrame, vocabulary_path: str, size: int = LEXICON, keep: lis
     keep = [c for c in docs.columns if keep is None or c in keep]
     docs = docs.select(*keep, *([] if "text" in keep else ["text"]))
     schema = T.StructType([docs.schema[c] for c in keep]).add("ids", T.ArrayType(T.IntegerType()))
-    return docs.mapInArrow(_encode(vocabulary_path, lexicon, docs.columns.index("text"), keep, both), schema.add("decoded", T.StringType()) if both else schema)
+    return docs.mapInArrow(lean(_encode(vocabulary_path, lexicon, docs.columns.index("text"), keep, both)), schema.add("decoded", T.StringType()) if both else schema)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -551,4 +552,4 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     """
     encoded = encoded.drop("decoded")
     schema = T.StructType([*encoded.schema, T.StructField("decoded", T.StringType())])
-    return encoded.mapInArrow(_decode(vocabulary_path, encoded.columns.index("ids")), schema)
+    return encoded.mapInArrow(lean(_decode(vocabulary_path, encoded.columns.index("ids"))), schema)

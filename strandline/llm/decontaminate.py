@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.llm.lean import lean
 from strandline.llm.shingles import mix, shingle_rows
 from strandline.llm.store import MOST_IDS, Tables, few
 
@@ -108,7 +109,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most_ids: int = MOST_IDS
     spark, tables = docs.sparkSession, Tables(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text")).filter("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text")).filter("id is not null")
-    full = tables.write(items.mapInArrow(_shingles, "id long, hash long").distinct().select(F.col("id").alias("item_id"), "hash"), "items")
+    full = tables.write(items.mapInArrow(lean(_shingles), "id long, hash long").distinct().select(F.col("id").alias("item_id"), "hash"), "items")
     sizes = full.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     sizes = tables.write(sizes.withColumn("partition", F.floor(F.log2("n") + 1e-9).cast("int")), "sizes")
     ranked = full.join(sizes, "item_id").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("hash")))
@@ -116,15 +117,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most_ids: int = MOST_IDS
     sketch = tables.write(sketch, "sketches")
 
     bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-    for row in sketch.select("hash").mapInArrow(_places, "place long").groupBy(F.expr("place div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")).toLocalIterator():
+    for row in sketch.select("hash").mapInArrow(lean(_places), "place long").groupBy(F.expr("place div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")).toLocalIterator():
         bits[row["word"] * 64 : row["word"] * 64 + 64] = np.unpackbits(np.array([row["bits"]], np.int64).view(np.uint8), bitorder="little")
-    probes = docs.mapInArrow(_probe(spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))), "doc_id long, hash long")
+    probes = docs.mapInArrow(lean(_probe(spark.sparkContext.broadcast(np.packbits(bits, bitorder="little")))), "doc_id long, hash long")
     hits = probes.join(sketch, "hash").groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("hits"), F.min("least").alias("least"))
     screened = tables.write(hits.filter("hits >= least").select("doc_id", "item_id"), "candidates")
     tables.drop(sketch)
 
     found = tables.write(screened.select("doc_id").distinct(), "documents")
-    own = docs.join(few(found, most_ids), "doc_id", "left_semi").mapInArrow(_shingles, "doc_id long, hash long").distinct()
+    own = docs.join(few(found, most_ids), "doc_id", "left_semi").mapInArrow(lean(_shingles), "doc_id long, hash long").distinct()
     wanted = screened.join(full, "item_id")
     shared = own.join(wanted, ["doc_id", "hash"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
     pairs = shared.join(sizes, "item_id").filter(f"100 * n_shared >= {PERCENT} * n")

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.components import components
+from strandline.llm.lean import lean
 from strandline.llm.shingles import mix, shingle_rows
 from strandline.llm.store import Tables, few
 
@@ -140,8 +141,8 @@ def _confirm(batches):
     """The pairs of a batch (a, b, full sets of both) that reach the threshold."""
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -185,7 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     tables = Tables(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    sketch = tables.write(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketch")
+    sketch = tables.write(docs.mapInArrow(lean(_sketch), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketch")
 
     # One representative, the smallest id, for each shingle set; sets of one row need no join.
     sets = sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("keys").alias("keys"))
@@ -204,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     involved = tables.write(inside.select(F.col("id").alias("doc_id")).distinct(), "involved")
     texts = docs.join(few(involved), "doc_id", "left_semi")
-    full = texts.mapInArrow(_sets, "id long, n long, digest binary, shingles binary, regs binary").filter("n > 0").dropDuplicates(["id", "digest"])
+    full = texts.mapInArrow(lean(_sets), "id long, n long, digest binary, shingles binary, regs binary").filter("n > 0").dropDuplicates(["id", "digest"])
     full = tables.write(full.drop("digest"), "sets")
     tables.drop(involved)
 
@@ -217,8 +218,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return pairs
 
         able = both(pairs, "n", "regs").filter(f"100 * n_a >= {PERCENT} * n_b and 100 * n_b >= {PERCENT} * n_a")
-        close = able.select("a", "b", "regs_a", "regs_b").mapInArrow(_screen, "a long, b long").distinct()
-        return both(close, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirm, "a long, b long").distinct()
+        close = able.select("a", "b", "regs_a", "regs_b").mapInArrow(lean(_screen), "a long, b long").distinct()
+        return both(close, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(lean(_confirm), "a long, b long").distinct()
 
     def labelled(edges: DataFrame) -> DataFrame:
         label = components(edges)

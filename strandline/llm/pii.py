@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.llm.lean import lean
 from strandline.llm.store import store
 
 #: Keys that are tried.
@@ -372,12 +373,12 @@ def _surrogates(key, draw):
 
 def entities(docs: DataFrame) -> DataFrame:
     """The distinct ``kind, value`` of all texts."""
-    return docs.select("text").mapInArrow(_entities(0), "kind string, value string").distinct()
+    return docs.select("text").mapInArrow(lean(_entities(0)), "kind string, value string").distinct()
 
 
 def collisions(found: DataFrame, key: bytes, draw=surrogate) -> tuple[int, int]:
     """Surrogates shared by several values of a kind, and surrogates that are a value of their kind in the corpus."""
-    drawn = found.mapInArrow(_surrogates(key, draw), "kind string, value string, surrogate string")
+    drawn = found.mapInArrow(lean(_surrogates(key, draw)), "kind string, value string, surrogate string")
     both = drawn.select("kind", F.col("surrogate").alias("x"), F.lit(1).alias("new")).unionByName(found.select("kind", F.col("value").alias("x"), F.lit(0).alias("new")))
     each = both.groupBy("kind", "x").agg(F.sum("new").alias("new"), F.count_if(F.col("new") == 0).alias("old"))
     return tuple(each.agg(F.count_if(F.col("new") > 1), F.count_if((F.col("new") > 0) & (F.col("old") > 0))).first())
@@ -432,4 +433,4 @@ def pseudonymised(docs: DataFrame, key: str, draw=surrogate) -> DataFrame:
     version = chosen_version(store(entities(docs), "entities"), key, draw)
     docs = docs.drop("n_entities")
     schema = T.StructType([*docs.schema, T.StructField("n_entities", T.LongType())])
-    return docs.mapInArrow(_replace(docs.columns.index("text"), derived(key, version), draw), schema)
+    return docs.mapInArrow(lean(_replace(docs.columns.index("text"), derived(key, version), draw)), schema)

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 WIDTH = 5
 SLICE_BYTES = 1 << 19
+#: Rows of a slice: registers take as much memory for a short text as for a long one.
+SLICE_ROWS = 1 << 10
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -59,12 +61,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes; a longer row stands alone."""
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes, and of at most ``rows`` rows; a longer row stands alone."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1
-        last = min(max(last, first + 1), n)
+        last = min(max(last, first + 1), n, first + (rows or n))
         yield first, last
         first = last
 
@@ -133,7 +135,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
 def shingle_rows(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, last row, shingles, edges)`` for slices of a text column of bounded size."""
     raw, offsets = buffers(column)
-    for first, last in slices(offsets):
+    for first, last in slices(offsets, rows=SLICE_ROWS):
         words, bounds = word_hashes(raw, offsets[first : last + 1])
         shingles, edges = shingle_hashes(words, bounds)
         yield first, last, shingles, edges
