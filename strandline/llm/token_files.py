@@ -17,6 +17,9 @@ Blocks are rows of a Parquet table, so every store that Spark reads can hold the
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 
 import numpy as np
@@ -37,7 +40,14 @@ LEAST_COUNT = 4
 REMEMBERED, LONGEST_REMEMBERED = 1_000_000, 64
 #: Bytes of text whose distinct runs are encoded together; a longer text stands alone.
 SLICE_BYTES = 6 << 20
-JOINED = 256
+JOINED, TEXTS = 256, 64
+#: How the tokenizer's file splits words, and the same for ASCII and letters that no normalisation makes anything else
+#: (``LETTERS``); a sign of ``TAILS`` behind a letter or digit begins a word.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS = "À-ÖØ-öø-įı-ɏΑ-ΡΣ-ώЀ-ҁҊ-ԣ"
+PLAIN = re.compile(f"[\\x00-\\x7F{LETTERS}]*").fullmatch
+PLAIN_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^\sa-z0-9{LETTERS}]+"
+TAILS = ".,;:!?"
 END_ID = 1
 
 
@@ -182,24 +192,43 @@ class Block:
 _TOKENIZERS: dict[str, tuple] = {}
 
 
+def _closing(tokenizer) -> np.ndarray | None:
+    """Which ids end a word, of a tokenizer that lower-cases and splits words by ``WORDS``; None of others."""
+    file = json.loads(tokenizer.to_str())
+    model, steps = file["model"], (file["pre_tokenizer"] or {}).get("pretokenizers", [])
+    suffix, vocabulary = model.get("end_of_word_suffix"), model.get("vocab")
+    split = [s["type"] for s in steps] == ["Split", "ByteLevel"] and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == ({"Regex": WORDS}, "Removed", True)
+    bytewise = split and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]
+    normal = [n["type"] for n in (file["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+    plain = suffix and not model["unk_token"] and not model["continuing_subword_prefix"] and not file["post_processor"]
+    if not (bytewise and normal and plain and all(chr(c) in vocabulary and chr(c) + suffix in vocabulary for c in range(33, 127))):
+        return None
+    closing = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
+    closing[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+    return closing
+
+
 class ChunkEncoder:
     """Ids of texts by the tokenizers library, which sees each distinct run of other characters than white space once.
 
     The tokenizer file lower-cases and maps white space to a separator that no token crosses, so a text's
     ids are those of its runs in order, whatever the case of A-Z. New runs go to the library ``JOINED`` at a
-    time, parted by spaces; the offsets of the tokens tell the runs apart. Known runs are held as the bytes of
-    their ids.
+    time, parted by spaces. If the file splits words by ``WORDS``, each word's last token, and no other, ends in the
+    suffix of the file's model: in runs of ASCII characters and ``LETTERS`` words are counted, so the library needn't follow offsets,
+    and a run with a sign behind it takes the ids of the run and of the sign. In other runs, with special tokens or
+    with other files, the offsets of the tokens tell the runs apart. Known runs are held as the bytes of their ids.
     """
 
     def __init__(self, path: str):
         if path not in _TOKENIZERS:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            _TOKENIZERS[path] = (tokenizer, Recent(REMEMBERED))
-        self.tokenizer, self.known = _TOKENIZERS[path]
+            _TOKENIZERS[path] = (tokenizer, Recent(REMEMBERED), _closing(tokenizer))
+        self.tokenizer, self.known, self.closing = _TOKENIZERS[path]
         self.alphabet = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -210,9 +239,18 @@ class ChunkEncoder:
         lists = pc.ascii_split_whitespace(column)
         coded = lists.flatten().dictionary_encode()
         runs, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        new = list(self.known.missing(set(runs)))
+        new, cut = self.known.missing(set(runs)), []
+        if self.closing is not None:
+            cut = [r for r in new if r[-1:] in TAILS and r[-2:-1].isalnum() and len(r) <= LONGEST_REMEMBERED and PLAIN(r)]
+            new = new.difference(cut) | self.known.missing({r[:-1] for r in cut} | {r[-1] for r in cut}, turn=False)
+            plain = [r for r in new if PLAIN(r) and "<|" not in r]
+            new = new.difference(plain)
+            self._learn_plain(plain)
+        new = list(new)
         for k in range(0, len(new), JOINED):
             self._learn(new[k : k + JOINED])
+        known = self.known.new
+        known.update([(r, known[r[:-1]] + known[r[-1]]) for r in cut])
         ids, ends = gathered(index, list(map(self.known.new.__getitem__, runs)))
         for run in runs:
             if len(run) > LONGEST_REMEMBERED:
@@ -220,6 +258,20 @@ class ChunkEncoder:
         edges = ends[np.cumsum(np.concatenate([[0], lists.value_lengths().to_numpy(zero_copy_only=False)])).astype(np.int64)]
         return np.insert(ids.view(np.uint32), edges[1:], np.uint32(END_ID)), edges + np.arange(len(edges))
 
+    def _learn_plain(self, runs: list[str]) -> None:
+        """Runs of ASCII characters and ``LETTERS`` without special tokens: each has as many closing tokens as words."""
+        words = pc.count_substring_regex(pc.ascii_lower(pa.array(runs, pa.string())), PLAIN_WORDS).to_numpy()
+        for first in range(0, len(runs), TEXTS * JOINED):
+            at = range(first, min(first + TEXTS * JOINED, len(runs)), JOINED)
+            for k, found in zip(at, self.tokenizer.encode_batch_fast([" ".join(runs[k : k + JOINED]) for k in at], add_special_tokens=False)):
+                ids = np.array(found.ids, dtype=np.uint32)
+                stops = np.concatenate([[0], np.flatnonzero(self.closing[ids]) + 1])
+                edges = np.concatenate([[0], np.cumsum(words[k : k + JOINED])])
+                if edges[-1] != len(stops) - 1 or stops[-1] != len(ids):
+                    raise ValueError("the tokenizer splits words otherwise than its file says")
+                cuts, ids = (4 * stops[edges]).tolist(), ids.tobytes()
+                self.known.new.update((run, ids[a:b]) for run, a, b in zip(runs[k : k + JOINED], cuts, cuts[1:]))
+
     def _learn(self, runs: list[str]) -> None:
         found = self.tokenizer.encode(" ".join(runs), add_special_tokens=False)
         starts = np.cumsum([0] + [len(w) + 1 for w in runs])
