@@ -73,12 +73,15 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES, rows: int | None = None
 
 def gathered(index: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The 32-bit ids of the entries ``index`` one after the other, and where each ends (n + 1)."""
-    size = np.array([len(x) for x in ids], dtype=np.int64) // 4
+    return spread(index, np.array([len(x) for x in ids], dtype=np.int64) // 4, np.frombuffer(b"".join(ids), dtype=np.int32))
+
+
+def spread(index: np.ndarray, size: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same, of entries that lie one after the other in ``table`` with ``size`` numbers each."""
     first = np.cumsum(size) - size
-    table = np.frombuffer(b"".join(ids), dtype=np.int32)
     each = size[index]
     ends = np.concatenate([[0], np.cumsum(each)])
-    out = np.empty(ends[-1], dtype=np.int32)
+    out = np.empty(ends[-1], dtype=table.dtype)
     for k in range(0, len(index), 1 << 16):  # in parts, as places take twice the memory of ids
         part = slice(k, k + (1 << 16))
         a, b = ends[k], ends[min(k + (1 << 16), len(index))]

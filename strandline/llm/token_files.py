@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 
 import numpy as np
@@ -29,8 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.recent import Recent
-from strandline.llm.shingles import buffers, gathered, slices
+from strandline.llm.shingles import _IS_SPACE, _LOWER, buffers, slices, spread
 from strandline.llm.store import few, store
 
 BLOCK = 1 << 17
@@ -39,15 +37,18 @@ LEAST_COUNT = 4
 #: Runs that a Python worker remembers, and the longest of them.
 REMEMBERED, LONGEST_REMEMBERED = 1_000_000, 64
 #: Bytes of text whose distinct runs are encoded together; a longer text stands alone.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 12 << 20
 JOINED, TEXTS = 256, 64
 #: How the tokenizer's file splits words, and the same for ASCII and letters that no normalisation makes anything else
-#: (``LETTERS``); a sign of ``TAILS`` behind a letter or digit begins a word.
+#: (``LETTERS``).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LETTERS = "À-ÖØ-öø-įı-ɏΑ-ΡΣ-ώЀ-ҁҊ-ԣ"
-PLAIN = re.compile(f"[\\x00-\\x7F{LETTERS}]*").fullmatch
+PLAIN = f"^[\\x00-\\x7F{LETTERS}]*$"
 PLAIN_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^\sa-z0-9{LETTERS}]+"
-TAILS = ".,;:!?"
+#: ASCII letters and digits, and the other ASCII characters that aren't white space: behind one of the former, one of the latter begins a word.
+_ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
+_SIGN = ~(_ALNUM | _IS_SPACE) & (np.arange(256) < 128)
+_CAPITAL = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 END_ID = 1
 
 
@@ -63,7 +64,9 @@ def compress(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray, np
         some = (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
         some = np.bincount(some, minlength=1 << bits)[some] >= LEAST_COUNT
         at, codes = at[some], codes[some]
-        pairs, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
+        coded = pa.array(codes).dictionary_encode()
+        pairs, which = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        counts = np.bincount(which)
         often = counts >= LEAST_COUNT
         if not often.any():
             break
@@ -146,9 +149,10 @@ class Block:
     def _rules(self):
         """The ids of every rule, one after the other: each is half as long as its occurrences at least, so all fit in memory."""
         sides = [x.astype(np.int64) - self.alphabet for x in (self.left, self.right)]
-        depth = np.zeros(len(self.left), dtype=np.int64)
-        for k, (x, y) in enumerate(zip(*(x.tolist() for x in sides))):
-            depth[k] = 1 + max(depth[x] if x >= 0 else 0, depth[y] if y >= 0 else 0)
+        depth: list[int] = []
+        for x, y in zip(*(x.tolist() for x in sides)):
+            depth.append(1 + max(depth[x] if x >= 0 else 0, depth[y] if y >= 0 else 0))
+        depth = np.array(depth, dtype=np.int64)
         self.start = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         self.flat = np.zeros(int(self.sizes.sum(dtype=np.int64)), dtype=np.uint32)
         for level in range(1, int(depth.max(initial=0)) + 1):
@@ -208,15 +212,57 @@ def _closing(tokenizer) -> np.ndarray | None:
     return closing
 
 
+class Runs:
+    """Runs of characters with their ids, in Arrow and numpy; of more than ``size`` those that were asked for lately stay."""
+
+    def __init__(self, size: int):
+        self.size, self.now = size, 0
+        self.runs, self.used = pa.array([], pa.string()), np.zeros(0, np.int64)
+        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def places(self, runs: pa.Array) -> np.ndarray:
+        """Where ``runs`` are, -1 for those that aren't there; places hold until the next call."""
+        if len(self.runs) > self.size:
+            keep = self.used > np.median(self.used)
+            self.ids = self.ids[np.repeat(keep, self.sizes)]
+            self.runs, self.sizes, self.used = self.runs.filter(pa.array(keep)), self.sizes[keep], self.used[keep]
+        at = pc.fill_null(pc.index_in(runs, value_set=self.runs), -1).to_numpy().astype(np.int64)
+        self.now += 1
+        self.used[at[at >= 0]] = self.now
+        return at
+
+    def add(self, runs: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.runs, self.used = pa.concat_arrays([self.runs, runs]), np.concatenate([self.used, np.full(len(runs), self.now)])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+
+
+def lowered(column: pa.Array, part: bool) -> pa.Array:
+    """Texts with A-Z in small letters, if ``part`` with a space between an ASCII letter or digit and an ASCII sign behind it.
+
+    Capitals stay before what may be a mark (U+0300, which is 0xCC 0x80, and above): normalisation joins marks first, and to J or I others than
+    to j or i.
+    """
+    raw, offsets = buffers(column)
+    raw, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+    low = _LOWER[raw]
+    marked = np.flatnonzero(_CAPITAL[raw[:-1]] & (raw[1:] >= 0xCC))
+    low[marked] = raw[marked]
+    if part:
+        begins = np.flatnonzero(_ALNUM[low[:-1]] & _SIGN[low[1:]]) + 1
+        # Between two texts a space does no harm, so their edges needn't be known.
+        offsets, low = offsets + np.searchsorted(begins, offsets), np.insert(low, begins, np.uint8(32))
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets), pa.py_buffer(low))
+
+
 class ChunkEncoder:
     """Ids of texts by the tokenizers library, which sees each distinct run of other characters than white space once.
 
     The tokenizer file lower-cases and maps white space to a separator that no token crosses, so a text's
     ids are those of its runs in order, whatever the case of A-Z. New runs go to the library ``JOINED`` at a
-    time, parted by spaces. If the file splits words by ``WORDS``, each word's last token, and no other, ends in the
-    suffix of the file's model: in runs of ASCII characters and ``LETTERS`` words are counted, so the library needn't follow offsets,
-    and a run with a sign behind it takes the ids of the run and of the sign. In other runs, with special tokens or
-    with other files, the offsets of the tokens tell the runs apart. Known runs are held as the bytes of their ids.
+    time, parted by spaces. If the file splits words by ``WORDS``, a run ends before an ASCII sign behind an ASCII letter or digit
+    too, unless there are special tokens. Then each word's last token, and no other, ends in the suffix of the file's model: in
+    runs of ASCII characters and ``LETTERS`` words are counted, so the library needn't follow offsets. In other runs,
+    with special tokens or with other files, the offsets of the tokens tell the runs apart.
     """
 
     def __init__(self, path: str):
@@ -227,57 +273,83 @@ class ChunkEncoder:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            _TOKENIZERS[path] = (tokenizer, Recent(REMEMBERED), _closing(tokenizer))
+            _TOKENIZERS[path] = (tokenizer, Runs(REMEMBERED), _closing(tokenizer))
         self.tokenizer, self.known, self.closing = _TOKENIZERS[path]
         self.alphabet = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows of a text column, each row closed by ``END_ID``, and where each row starts (n + 1)."""
-        column = column.cast(pa.string()).fill_null("")
-        if not pc.any(pc.match_substring(column, "<|")).as_py():  # no special token that is told by its case
-            column = pc.ascii_lower(column)
+        column = column.cast(pa.large_string()).fill_null("")
+        special = pc.any(pc.match_substring(column, "<|")).as_py()  # special tokens are told by their case
+        if not special:
+            column = lowered(column, self.closing is not None)
         lists = pc.ascii_split_whitespace(column)
-        coded = lists.flatten().dictionary_encode()
-        runs, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        new, cut = self.known.missing(set(runs)), []
+        coded = lists.flatten().cast(pa.string()).dictionary_encode()
+        runs, index = coded.dictionary, coded.indices.to_numpy()
+        at, known = self.known.places(runs), len(self.known.runs)
+        new = runs.filter(pa.array(at < 0))
+        plain = np.zeros(len(new), dtype=bool)
         if self.closing is not None:
-            cut = [r for r in new if r[-1:] in TAILS and r[-2:-1].isalnum() and len(r) <= LONGEST_REMEMBERED and PLAIN(r)]
-            new = new.difference(cut) | self.known.missing({r[:-1] for r in cut} | {r[-1] for r in cut}, turn=False)
-            plain = [r for r in new if PLAIN(r) and "<|" not in r]
-            new = new.difference(plain)
-            self._learn_plain(plain)
-        new = list(new)
-        for k in range(0, len(new), JOINED):
-            self._learn(new[k : k + JOINED])
-        known = self.known.new
-        known.update([(r, known[r[:-1]] + known[r[-1]]) for r in cut])
-        ids, ends = gathered(index, list(map(self.known.new.__getitem__, runs)))
-        for run in runs:
-            if len(run) > LONGEST_REMEMBERED:
-                del self.known.new[run]
-        edges = ends[np.cumsum(np.concatenate([[0], lists.value_lengths().to_numpy(zero_copy_only=False)])).astype(np.int64)]
-        return np.insert(ids.view(np.uint32), edges[1:], np.uint32(END_ID)), edges + np.arange(len(edges))
-
-    def _learn_plain(self, runs: list[str]) -> None:
-        """Runs of ASCII characters and ``LETTERS`` without special tokens: each has as many closing tokens as words."""
-        words = pc.count_substring_regex(pc.ascii_lower(pa.array(runs, pa.string())), PLAIN_WORDS).to_numpy()
-        for first in range(0, len(runs), TEXTS * JOINED):
-            at = range(first, min(first + TEXTS * JOINED, len(runs)), JOINED)
-            for k, found in zip(at, self.tokenizer.encode_batch_fast([" ".join(runs[k : k + JOINED]) for k in at], add_special_tokens=False)):
-                ids = np.array(found.ids, dtype=np.uint32)
-                stops = np.concatenate([[0], np.flatnonzero(self.closing[ids]) + 1])
-                edges = np.concatenate([[0], np.cumsum(words[k : k + JOINED])])
-                if edges[-1] != len(stops) - 1 or stops[-1] != len(ids):
-                    raise ValueError("the tokenizer splits words otherwise than its file says")
-                cuts, ids = (4 * stops[edges]).tolist(), ids.tobytes()
-                self.known.new.update((run, ids[a:b]) for run, a, b in zip(runs[k : k + JOINED], cuts, cuts[1:]))
-
-    def _learn(self, runs: list[str]) -> None:
-        found = self.tokenizer.encode(" ".join(runs), add_special_tokens=False)
-        starts = np.cumsum([0] + [len(w) + 1 for w in runs])
-        cuts = 4 * np.searchsorted(np.array([a for a, _ in found.offsets], dtype=np.int64), starts)
-        ids = np.array(found.ids, dtype=np.uint32).tobytes()
-        self.known.new.update((run, ids[a:b]) for run, a, b in zip(runs, cuts[:-1].tolist(), cuts[1:].tolist()))
+            plain = pc.match_substring_regex(new, PLAIN).to_numpy(zero_copy_only=False)
+            if special:
+                plain &= ~pc.match_substring(new, "<|").to_numpy(zero_copy_only=False)
+        # Long runs come last: they aren't remembered.
+        long = pc.greater(pc.binary_length(new), LONGEST_REMEMBERED).to_numpy(zero_copy_only=False)
+        order, sizes, ids = [], [self.known.sizes], [self.known.ids]
+        for some, learn in ((plain & ~long, self._learn_plain), (~plain & ~long, self._learn), (plain & long, self._learn_plain), (~plain & long, self._learn)):
+            order.append(np.flatnonzero(some))
+            for own in (sizes, ids):
+                own.append(np.zeros(0, own[0].dtype))
+            if some.any():
+                sizes[-1], ids[-1] = learn(new.take(pa.array(order[-1])))
+        place = np.empty(len(new), np.int64)
+        place[np.concatenate(order)] = known + np.arange(len(new))
+        at[at < 0] = place
+        flat, ends = spread(at[index], np.concatenate(sizes), np.concatenate(ids))
+        self.known.add(new.take(pa.array(np.concatenate(order[:2]))), np.concatenate(sizes[1:3]), np.concatenate(ids[1:3]))
+        edges = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
+        return np.insert(flat, edges[1:], np.uint32(END_ID)), edges + np.arange(len(edges))
+
+    def _learn_plain(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of some runs has, and the ids: of runs of ASCII characters and ``LETTERS`` without special tokens.
+
+        Each has as many closing tokens as words.
+        """
+        from tokenizers import normalizers
+
+        words = np.cumsum(pc.count_substring_regex(pc.ascii_lower(runs), PLAIN_WORDS).to_numpy())
+        runs = pc.utf8_lower(runs)  # which is all that the file's normalisation does to them
+        sizes, ids = [], []
+        normal, self.tokenizer.normalizer = self.tokenizer.normalizer, normalizers.Sequence([])
+        try:
+            for first in range(0, len(runs), TEXTS * JOINED):
+                for found in self.tokenizer.encode_batch_fast(_joined(runs.slice(first, TEXTS * JOINED)), add_special_tokens=False):
+                    ids.append(np.array(found.ids, dtype=np.uint32))
+                    sizes.append(len(ids[-1]))
+        finally:
+            self.tokenizer.normalizer = normal
+        ids = np.concatenate(ids)
+        stops = np.flatnonzero(self.closing[ids]) + 1
+        texts = np.minimum(np.arange(1, len(sizes) + 1) * JOINED, len(runs)) - 1
+        if len(stops) != words[-1] or not np.array_equal(np.concatenate([[0], stops])[words[texts]], np.cumsum(sizes)):
+            raise ValueError("the tokenizer splits words otherwise than its file says")
+        return np.diff(np.concatenate([[0], stops])[words], prepend=0), ids
+
+    def _learn(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any runs."""
+        sizes, ids = [], []
+        for k, text in zip(range(0, len(runs), JOINED), _joined(runs)):
+            found = self.tokenizer.encode(text, add_special_tokens=False)
+            starts = np.cumsum([0] + [len(w) + 1 for w in runs.slice(k, JOINED).to_pylist()])
+            sizes.append(np.diff(np.searchsorted(np.array([a for a, _ in found.offsets], dtype=np.int64), starts)))
+            ids.append(np.array(found.ids, dtype=np.uint32))
+        return np.concatenate(sizes), np.concatenate(ids)
+
+
+def _joined(runs: pa.Array) -> list[str]:
+    """Texts of ``JOINED`` runs each, parted by spaces."""
+    edges = np.minimum(np.arange(0, len(runs) + JOINED, JOINED), len(runs)).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), runs), " ").to_pylist()
 
 
 def _blocks(path):
@@ -330,7 +402,7 @@ def _read(batches):
                     pa.array(doc_ids, pa.int64()),
                     pa.array(first + block.edges[:-1], pa.int64()),
                     pa.array(block.lengths.astype(np.int64)),
-                    pa.array([zlib.crc32(block.document(k).astype("<u4").tobytes()) for k in range(len(doc_ids))], pa.int64()),
+                    pa.array([zlib.crc32(ids.astype("<u4", copy=False).tobytes()) for ids in block.documents()], pa.int64()),
                 ],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
