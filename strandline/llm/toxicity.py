@@ -18,13 +18,16 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.near_dup import near_duplicates
+from strandline.llm.shingles import buffers, slices
 from strandline.llm.store import crc_mod, few, store
 
 THRESHOLD = 0.3
@@ -33,6 +36,8 @@ REMEMBERED = 500_000
 RARE = 2000
 #: Distinct keys that a task counts before it passes them on.
 COUNTED = 200_000
+#: Bytes of text whose distinct tokens are looked at together; a longer text stands alone.
+SLICE_BYTES = 8 << 20
 #: Least weight of a stem in a score, and how sure its frequency has to be (normal quantile).
 STRONG, SURE = 0.8, 1.64
 #: Smallest shingle hashes by which ``families`` looks for copies.
@@ -49,6 +54,8 @@ _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) +
 _OPENING = "".join(c for c in _PUNCTUATION if c not in "@$€*")
 #: What no letter is written with: cut from the edges even where symbols may be letters.
 _UNMAPPED = "".join(c for c in _PUNCTUATION if c not in LEET)
+#: The commonest of them behind a word.
+_ENDS = ".,;:?"
 
 
 class CharModel:
@@ -117,6 +124,7 @@ def decode(token: str, model: CharModel, spaced: bool = False) -> list[str]:
 
 def reading(token: str, model: CharModel, spaced: bool = False) -> tuple[float, list[str]]:
     """The cost and the words of the best path."""
+    two, three, none, unseen = model.two.get, model.three.get, model.none, model.unseen
     paths: dict[tuple[str, str], tuple[float, tuple | None]] = {("^", "^"): (0.0, None)}
     for options in lattice(token, spaced):
         new: dict[tuple[str, str], tuple[float, tuple | None]] = {}
@@ -128,10 +136,11 @@ def reading(token: str, model: CharModel, spaced: bool = False) -> tuple[float,
                         cost += model.cost(x, y, "^") if y != "^" else 0.0
                         x = y = "^"
                     else:
-                        cost += model.cost(x, y, c)
+                        cost += two(x + y, none) - three(x + y + c, unseen)
                         x, y = y, c
-                if (x, y) not in new or cost < new[x, y][0]:
-                    new[x, y] = (cost, (back, text) if text else back)
+                key = x, y
+                if key not in new or cost < new[key][0]:
+                    new[key] = (cost, (back, text) if text else back)
         paths = new
     price, _, best = min(((cost + (model.cost(a, b, "^") if b != "^" else 0.0), k, back) for k, ((a, b), (cost, back)) in enumerate(paths.items())), default=(0.0, 0, None))
     parts = []
@@ -225,13 +234,64 @@ def families(rows: list[tuple[int, frozenset[int]]]) -> list[int]:
     return stay
 
 
+def by_token(column: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """``(first row, distinct tokens, the token at each place, where rows begin (n + 1))`` for slices of a text column (null: empty).
+
+    Tokens are parted as ``str.split`` does; white space at a text's edge gives an empty one there.
+    """
+    column = column.cast(pa.large_string()).fill_null("")
+    for first, last in slices(buffers(column)[1], SLICE_BYTES):
+        lists = pc.utf8_split_whitespace(column.slice(first, last - first))
+        coded = lists.flatten().cast(pa.string()).dictionary_encode()
+        yield first, coded.dictionary, coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+
+
+def ordinary(tokens: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Which tokens are ASCII letters, none three times running, and maybe ``_ENDS`` behind them; and the tokens without these in small letters.
+
+    That is then the token's word, for ``plain`` as for ``restore``.
+    """
+    low = pc.ascii_lower(pc.ascii_rtrim(tokens, _ENDS))
+    raw, offsets = buffers(low)
+    raw, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+    thrice = np.flatnonzero((raw[:-2] == raw[1:-1]) & (raw[1:-1] == raw[2:]))
+    own = pc.ascii_is_alpha(low).to_numpy(zero_copy_only=False).copy()
+    own[np.searchsorted(offsets, thrice, side="right") - 1] = False
+    return own, low
+
+
+def heads(stems) -> set[str]:
+    """The first four letters of stems; most words fail already at them."""
+    return {s.lstrip("=")[:4] for s in stems}
+
+
+def candidates(tokens: pa.Array, begin: set[str]) -> np.ndarray:
+    """The tokens that may have a stem with a head of ``begin``: all but ordinary ones whose word begins otherwise."""
+    own, low = ordinary(tokens)
+    return np.flatnonzero(~own | pc.is_in(pc.utf8_slice_codeunits(low, 0, 4), value_set=pa.array(sorted(begin), pa.string())).to_numpy(zero_copy_only=False))
+
+
+def once(some: np.ndarray, index: np.ndarray, edges: np.ndarray) -> tuple[list[int], list[int]]:
+    """The rows and the tokens of all places whose token is one of ``some`` (a mask), each token once a row."""
+    place = np.flatnonzero(some[index])
+    pairs = np.unique((np.searchsorted(edges, place, side="right") - 1) * len(some) + index[place])
+    return (pairs // max(1, len(some))).tolist(), (pairs % max(1, len(some))).tolist()
+
+
+def spaced_rows(tokens: pa.Array, index: np.ndarray, edges: np.ndarray) -> list[int]:
+    """The rows with three tokens of one character running, without which ``spaced_runs`` finds nothing."""
+    one = pc.equal(pc.utf8_length(tokens), 1).to_numpy(zero_copy_only=False)[index]
+    place = np.flatnonzero(one[:-2] & one[1:-1] & one[2:])
+    row = np.searchsorted(edges, place, side="right") - 1
+    return np.unique(row[place + 2 < edges[row + 1]]).tolist()
+
+
 class Scorer:
     """Stem weights and a logistic regression over a document's strongest stems."""
 
     def __init__(self, lm: CharModel, weights: dict[str, float], coefficients: np.ndarray):
-        # Most words fail already at their first four letters.
         self.lm, self.weights, self.coefficients = lm, weights, coefficients
-        self.heads = {s.lstrip("=")[:4] for s in weights}
+        self.heads = heads(weights)
         self.known: dict[str, float] = {}
 
     @staticmethod
@@ -253,30 +313,40 @@ class Scorer:
         self.known[token] = value
         return value
 
+    def rows(self, column: pa.Array) -> Iterator[list[float]]:
+        """What the regression sees of each text: 1, the two strongest stems' weights, and how many are strong."""
+        none = self._features([])
+        for first, tokens, index, edges in by_token(column):
+            at = candidates(tokens, self.heads)
+            values = np.zeros(len(tokens))
+            get = self.known.get
+            for k, token in zip(at.tolist(), tokens.take(pa.array(at)).to_pylist()):
+                value = get(token)
+                values[k] = self.token(token) if value is None else value
+            own: dict[int, list[float]] = {}
+            for row, k in zip(*once(values > STRONG, index, edges)):
+                own.setdefault(row, []).append(float(values[k]))
+            for row in spaced_rows(tokens, index, edges):
+                own.setdefault(row, []).extend(map(self.word, spaced_runs(column[first + row].as_py(), self.lm)))
+            for row in range(len(edges) - 1):
+                yield self._features(own[row]) if row in own else none
+
     def features(self, text: str) -> list[float]:
-        """What the regression sees: 1, the two strongest stems' weights, and how many are strong."""
-        get = self.known.get
-        values = []
-        tokens = text.split()
-        for token in set(tokens):
-            value = get(token)
-            if value is None:
-                value = self.token(token)
-            if value > STRONG:
-                values.append(value)
-        values += map(self.word, spaced_runs(text, self.lm))
-        return self._features(values)
+        return next(self.rows(pa.array([text])))
 
-    def score(self, text: str) -> float:
-        z = float(np.dot(self.coefficients, self.features(text)))
+    def chance(self, features: list[float]) -> float:
+        z = float(np.dot(self.coefficients, features))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
+    def score(self, text: str) -> float:
+        return self.chance(self.features(text))
+
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
 
 def _counted(keys_of, schema: pa.Schema):
-    """Tasks that count the keys ``keys_of`` gives for each row of a batch, and pass counts on before they hold too many."""
+    """Tasks that count the keys ``keys_of`` gives for the rows of a batch, and pass counts on before they hold too many."""
 
     def run(batches):
         counts: Counter = Counter()
@@ -286,8 +356,8 @@ def _counted(keys_of, schema: pa.Schema):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                counts.update(keys_of(row))
+            for keys in keys_of(batch):
+                counts.update(keys)
                 if len(counts) >= COUNTED:
                     yield passed()
                     counts.clear()
@@ -297,12 +367,28 @@ def _counted(keys_of, schema: pa.Schema):
     return run
 
 
-def _words(row):
-    """The plain words of a text, each with whether it stands there without a symbol at its edges."""
-    text, half = row
-    tokens = set(text.split())
-    whole = {t.lower().strip(_UNMAPPED) for t in tokens}
-    return [(w, w in whole, half) for w in {*map(plain, tokens)} if w]
+def _words(batches):
+    """The plain words of texts, each with whether it stands there without a symbol at its edges, and in how many texts of a slice."""
+    for batch in batches:
+        halves = batch.column(1).to_numpy().astype(np.int64)
+        for first, tokens, index, edges in by_token(batch.column(0)):
+            own, low = ordinary(tokens)
+            other = np.flatnonzero(~own)
+            odd = tokens.take(pa.array(other)).to_pylist()
+            cut = pa.array([t.lower().strip(_UNMAPPED) for t in odd], pa.string())
+            coded = pa.concat_arrays([low.take(pa.array(np.flatnonzero(own))), pa.array([plain(t) or "" for t in odd], pa.string()), cut]).dictionary_encode()
+            words, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            word, solid = np.empty(len(tokens), np.int64), np.empty(len(tokens), np.int64)
+            n_own = len(tokens) - len(other)
+            word[own] = solid[own] = ids[:n_own]
+            word[other], solid[other] = np.split(ids[n_own:], 2)
+            row = np.repeat(np.arange(len(edges) - 1), np.diff(edges)) * len(words)
+            have = np.unique(row + word[index])
+            # A word stands whole in a row if it is what is left of any token there; of ordinary tokens it always is.
+            whole = np.isin(have, np.unique(row + solid[index]), assume_unique=True)
+            keys, n = np.unique((have % max(1, len(words)) * 2 + whole) * 2 + halves[first + have // max(1, len(words))], return_counts=True)
+            out = pa.RecordBatch.from_arrays([words.take(pa.array(keys >> 2)), pa.array(keys >> 1 & 1).cast(pa.bool_()), pa.array(keys & 1, pa.int32()), pa.array(n, pa.int64())], names=["word", "whole", "half", "n"])
+            yield out.filter(pc.not_equal(out.column(0), ""))
 
 
 def by_half(counts: DataFrame, *keys: str) -> DataFrame:
@@ -323,8 +409,7 @@ def without_copies(rows: DataFrame) -> DataFrame:
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """``word, whole, n0, n1``: in how many rows of each half a word stands, with (not ``whole``) and without a symbol at its edges."""
-    kinds = pa.schema([("word", pa.string()), ("whole", pa.bool_()), ("half", pa.int32()), ("n", pa.int64())])
-    counts = rows.select("text", "half").mapInArrow(_counted(_words, kinds), "word string, whole boolean, half int, n long")
+    counts = rows.select("text", "half").mapInArrow(_words, "word string, whole boolean, half int, n long")
     return store(by_half(counts, "word", "whole"), "words")
 
 
@@ -340,25 +425,42 @@ def language_model(words: DataFrame, n: int) -> CharModel:
 
 
 def _stems(shipped):
-    """The stems of a document's restored words, only those ``wanted`` if there are any such."""
+    """The stems of documents' restored words, only those ``wanted`` if there are any such."""
 
-    def stems_of(row):
-        text, half = row
+    def stems_of(batch):
         lm, wanted = shipped.value
-        found = set()
-        for word in spaced_runs(text, lm):
-            found.update(own(word, wanted))
-        for token in set(text.split()):
-            have = seen.get(token)
-            if have is None:
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                have = seen[token] = tuple({s for w in restore(token, lm) for s in own(w, wanted)})
-            found.update(have)
-        return [(s, half) for s in found]
-
-    def own(word, wanted):
-        return stems(word) if wanted is None else [s for s in stems(word) if s in wanted]
+        begin = None if wanted is None else heads(wanted)
+        column, halves = batch.column(0), batch.column(1).to_pylist()
+        for first, tokens, index, edges in by_token(column):
+            at = np.arange(len(tokens)) if wanted is None else candidates(tokens, begin)
+            have = {}
+            for k, token in zip(at.tolist(), tokens.take(pa.array(at)).to_pylist()):
+                found = seen.get(token)
+                if found is None:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    found = seen[token] = tuple({s for w in restore(token, lm) for s in own(w, wanted, begin)})
+                if found:
+                    have[k] = found
+            some = np.zeros(len(tokens), dtype=bool)
+            some[list(have)] = True
+            spaced, last, stems_here = set(spaced_rows(tokens, index, edges)), -1, set()
+            for row, k in zip(*once(some, index, edges)):
+                if row != last:
+                    yield [(s, halves[first + last]) for s in stems_here]
+                    last, stems_here = row, set()
+                    if row in spaced:
+                        spaced.remove(row)
+                        stems_here.update(s for w in spaced_runs(column[first + row].as_py(), lm) for s in own(w, wanted, begin))
+                stems_here.update(have[k])
+            yield [(s, halves[first + last]) for s in stems_here]
+            for row in spaced:
+                yield {(s, halves[first + row]) for w in spaced_runs(column[first + row].as_py(), lm) for s in own(w, wanted, begin)}
+
+    def own(word, wanted, begin):
+        if wanted is None:
+            return stems(word)
+        return [s for s in stems(word) if s in wanted] if word[:4] in begin else ()
 
     seen: dict[str, tuple[str, ...]] = {}
     return stems_of
@@ -412,7 +514,8 @@ def _featured(shipped):
     def run(batches):
         scorers = shipped.value
         for batch in batches:
-            rows = [scorers[1 - half].features(text)[1:] for text, half in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            both = [s.rows(batch.column(0)) for s in scorers]
+            rows = [found[1 - half][1:] for half, *found in zip(batch.column(2).to_pylist(), *both)]
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, pa.float64()) for c in (zip(*rows) if rows else [[]] * 3))], names=["toxic", "x1", "x2", "x3"])
 
     return run
@@ -469,7 +572,7 @@ def _score(shipped):
     def run(batches):
         scorer = shipped.value
         for batch in batches:
-            values = [scorer.score(t or "") for t in batch.column(1).to_pylist()]
+            values = [scorer.chance(f) for f in scorer.rows(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], names=["doc_id", "score"])
 
     return run
