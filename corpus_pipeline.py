@@ -6,6 +6,8 @@ back as the next stage's ``docs``. All but the last return the columns of ``docu
 For every stage: other columns of ``docs``, whatever their names, are left out; an empty table gives no rows; a
 text of any length is one row's work. A null or empty text has no words, so the first stage rejects it; the
 others keep such a row as it is (encoded: no ids).
+
+The stages with Python workers let Spark hand rows over in small batches; this holds for the session from then on.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import bpe, decontaminate, near_dup, pii, quality
+from strandline.llm.lean import small_batches
 from strandline.llm.queries import secret, table, tokenizer
 from strandline.llm.store import few, store
 from strandline.session import ship
@@ -35,6 +38,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id can't be compared and stay; repeated rows of a kept id stay as they are.
     """
+    small_batches(spark)
     gone = store(near_dup.near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "near-duplicates")
     return docs.join(few(gone), "doc_id", "left_anti").select(COLUMNS)
 
@@ -44,6 +48,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without an id stay. Of an id with several texts all rows go if they hold an item together.
     """
+    small_batches(spark)
     leaks = store(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return docs.join(few(leaks), "doc_id", "left_anti").select(COLUMNS)
 
@@ -53,12 +58,14 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     The key is the one in ``STRANDLINE_PII_KEY``, else new for each run. Repeated rows stay equal.
     """
+    small_batches(spark)
     out = pii.pseudonymised(docs.select(COLUMNS), secret())
     return out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left; repeated rows give repeated ids."""
+    small_batches(spark)
     path = tokenizer("byte_bpe_50k.json")
     return bpe.encode(docs, path, keep=["doc_id", "source", "lang"]).select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

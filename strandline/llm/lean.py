@@ -5,6 +5,10 @@ from __future__ import annotations
 import ctypes
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Bytes of rows in a batch of ``small_batches``; a longer row stands alone.
+BATCH_BYTES = 1 << 20
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
 
@@ -16,6 +20,16 @@ def give_back() -> None:
         _TRIM(0)
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound the bytes, not only the rows, of the Arrow batches that this session gives to Python workers from now on.
+
+    By default a batch has up to 10,000 rows and 64 MB: all texts of a task at once, in the executor's buffers and
+    in the worker's. The setting stays with the session, as a DataFrame is planned only when it is read.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def lean(run):
     """``run``, a function for ``mapInArrow``, that returns freed memory after each batch that it was given, and at its end.
 
